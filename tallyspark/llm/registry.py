@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from tallyspark.llm.language_id import op1_language_id
 from tallyspark.llm.quality_rules import op4_quality_rules
+from tallyspark.llm.toxicity import op10_toxicity
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op4_quality_rules": op4_quality_rules,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {}

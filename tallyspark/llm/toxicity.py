@@ -1,15 +1,15 @@
 """Toxicity from a weighted lexicon matched with an Aho-Corasick automaton.
 
-Text is folded first: lower case, look-alike letters and accented forms to a-z, digits and signs that
-stand for letters to those letters. Folding keeps one character for one, so matches can be
-checked against the unfolded text: a match counts if no letter or digit stands before or behind it.
+Text is folded first: lower case, look-alike letters to a-z, digits and signs that stand for letters to
+those letters. Folding keeps one character for one, so matches can be checked against the unfolded
+text: a match counts if no letter or digit stands before it nor, unless the entry is a stem, behind it.
 Exception phrases are patterns of the same automaton; matches inside them do not count.
 
-The lexicon is a short list of insults plus the words that labelled documents show to be used in toxic
-texts. A word is weighed by the different contexts (word before, word after) of its first uses in toxic
-and in other documents: copies of one document give one context, so a document with many copies
-does not make its words look toxic. The score is a logistic function of the summed weights and of the same
-per 100 words, fitted on the same bounded sample.
+The lexicon is a short list of insults plus the words and stems that labelled documents show to be used in
+toxic texts. Toxic uses are counted by different contexts (word before, word, word after) of first uses:
+copies of one document give one context, so a document with many copies does not make its words look
+toxic. The score is a logistic function of the summed weights and of the same per 100 words, fitted
+on the same bounded sample.
 
 Null or empty text: no match, the lowest score. Repeated rows are scored alike; columns other than
 doc_id and text are ignored. Without labels the default weights and coefficients hold.
@@ -17,7 +17,8 @@ doc_id and text are ignored. Without labels the default weights and coefficients
 
 from __future__ import annotations
 
-import unicodedata
+import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import ahocorasick
@@ -33,9 +34,12 @@ from tallyspark.llm.labelled import FIT_ROWS, fit_sample
 SEED_WORDS = ("bastard", "clown", "creep", "crap", "cretin", "degenerate", "despicable", "disgusting", "dumbass", "fool", "garbage", "halfwit", "hateful", "idiot", "idiotic", "imbecile", "jackass", "jerk", "loser", "lunatic", "moron", "moronic", "nitwit", "pathetic", "pig", "psycho", "repulsive", "scum", "scumbag", "shit", "shut up", "slut", "stupid", "subhuman", "trash", "vermin", "vile", "weirdo", "whore", "worthless")
 EXCEPTIONS = ("clown fish", "class clown", "trash can", "trash bin", "garbage can", "garbage collection", "garbage collector", "idiot proof", "pathetic fallacy", "guinea pig", "worthless stock", "jerk chicken", "fool proof", "creep up", "take out the trash", "sore loser")
 SEED_WEIGHT = 3.0
-#: Contexts in toxic documents that a word needs, and its least log-odds and z-score, to enter the lexicon.
+#: Contexts in toxic documents that a word or stem needs, and its least log-odds and z-score, to enter the lexicon.
 LEAST_CONTEXTS, LEAST_ODDS, LEAST_Z = 12, 2.5, 6.0
-LEXICON_SIZE = 2000
+#: Lengths of stems that are tried.
+STEMS = range(4, 9)
+#: Entries that are weighed, and that are kept, at most.
+CANDIDATES, LEXICON_SIZE = 50_000, 2000
 #: Intercept, per summed weight (logarithmic), per weight per 100 words (logarithmic); before any fit.
 DEFAULT_COEFFICIENTS = (-3.0, 2.5, 0.5)
 #: Folding, as "what it becomes": what is written for it. Fixed values.
@@ -49,13 +53,9 @@ _fold: list[np.ndarray] = []
 
 
 def folded(points: np.ndarray) -> np.ndarray:
-    """One code point for each: lower-cased, without accents, look-alikes resolved."""
+    """One code point for each: lower-cased, look-alikes resolved."""
     if not _fold:
         out = tx.kinds()[0].copy()
-        for i in range(0xC0, tx.TABLED):
-            plain = unicodedata.normalize("NFKD", chr(out[i]))[:1] if not 0xAC00 <= i <= 0xD7FF else ""
-            if plain:
-                out[i] = ord(plain)
         written = {ord(x): ord(to) for to, many in LOOK_ALIKES.items() for x in many}
         for i in range(tx.TABLED):
             if int(out[i]) in written:
@@ -73,10 +73,13 @@ class Matcher:
 
     def __init__(self, weights: dict[str, float], exceptions: tuple[str, ...] = EXCEPTIONS):
         self.automaton = ahocorasick.Automaton()
+        entries: dict[str, list] = {}  # by text: weight as a word, weight as a stem, is it an exception
         for word, weight in weights.items():
-            self.automaton.add_word(plain(word), (len(word), float(weight)))
+            entries.setdefault(plain(word.rstrip("*")), [None, None, False])[word.endswith("*")] = float(weight)
         for phrase in exceptions:
-            self.automaton.add_word(plain(phrase), (len(phrase), None))
+            entries.setdefault(plain(phrase), [None, None, False])[2] = True
+        for entry, kinds in entries.items():
+            self.automaton.add_word(entry, (len(entry), *kinds))
         if len(self.automaton):
             self.automaton.make_automaton()
 
@@ -85,17 +88,20 @@ class Matcher:
         none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         if not len(self.automaton) or not len(points):
             return none
-        found = [(end + 1 - n, end + 1, w) for end, (n, w) in self.automaton.iter(folded(points).tobytes().decode("utf-32-le", "surrogatepass"))]
+        found = [(end + 1 - n, end + 1, *kinds) for end, (n, *kinds) in self.automaton.iter(folded(points).tobytes().decode("utf-32-le", "surrogatepass"))]
         if not found:
             return none
         starts, ends = np.array([x[0] for x in found]), np.array([x[1] for x in found])
-        weights = np.array([np.nan if x[2] is None else x[2] for x in found])
+        word, stem = (np.array([np.nan if x[k] is None else x[k] for x in found]) for k in (2, 3))
         solid = np.ones(len(points) + 2, bool)  # is a letter or digit, one further right than in the text
         solid[1:-1] = tx.kinds()[2][np.minimum(points, tx.TABLED - 1)] | (points >= tx.TABLED)
         owner = np.searchsorted(offsets, starts, "right") - 1
-        first, last = starts == offsets[owner], ends == offsets[owner + 1]
-        whole = (ends <= offsets[owner + 1]) & (first | ~solid[starts]) & (last | ~solid[ends + 1])
-        starts, ends, weights = starts[whole], ends[whole], weights[whole]
+        closed = (ends == offsets[owner + 1]) | ~solid[np.minimum(ends + 1, len(solid) - 1)]
+        weights = np.where(closed & ~np.isnan(word), word, stem)
+        exempt = np.array([x[4] for x in found]) & closed
+        whole = (ends <= offsets[owner + 1]) & ((starts == offsets[owner]) | ~solid[starts]) & (exempt | ~np.isnan(weights))
+        starts, ends, weights, exempt = starts[whole], ends[whole], weights[whole], exempt[whole]
+        weights[exempt] = np.nan
         spared = np.isnan(weights)
         if spared.any():
             inside = np.zeros(len(points) + 1, np.int64)
@@ -135,43 +141,84 @@ def match_features(matcher: Callable[[], Matcher], keep: tuple[str, ...]) -> Cal
     return run
 
 
-def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, context of its first use in a text, label) of folded words of 3 to 20 letters, distinct within each run of texts."""
+def entries_of(word: str) -> list[str]:
+    """The word and its stems (marked with a star) as the lexicon would have them."""
+    return [word, *(f"{word[:k]}*" for k in STEMS if k <= len(word))] if 3 <= len(word) <= 40 else []
+
+
+def words_of(text: str) -> list[str]:
+    """Runs of letters and digits, folded."""
+    points = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.where(tx.kinds()[2][np.minimum(points, tx.TABLED - 1)], folded(points), 32).astype(np.uint32).tobytes().decode("utf-32-le", "replace").split()
+
+
+def toxic_uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(entry, context of its first use in a text), distinct within each run of texts."""
     for batch in tx.chunks(batches):
-        labels = batch.column("label").to_pylist()
         rows = set()
-        for text, label in zip(batch.column("text").to_pylist(), labels, strict=True):
-            points = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32)
-            kept = np.where(tx.kinds()[2][np.minimum(points, tx.TABLED - 1)], folded(points), 32).astype(np.uint32)
-            words = kept.tobytes().decode("utf-32-le", "replace").split()
-            first = {w: (before, after) for before, w, after in zip(["", *words][:-1][::-1], words[::-1], [*words[1:], ""][::-1], strict=True) if 3 <= len(w) <= 20}
-            rows.update((w, hash_of(*around), label) for w, around in first.items())
-        word, context, label = zip(*rows, strict=True) if rows else ((), (), ())
-        yield pa.RecordBatch.from_pydict({"word": pa.array(word, pa.string()), "context": pa.array(context, pa.int64()), "label": pa.array(label, pa.int32())})
+        for text in batch.column("text").to_pylist():
+            words = words_of(text)
+            first: dict[str, int] = {}
+            for i in range(len(words) - 1, -1, -1):
+                first.update(dict.fromkeys(entries_of(words[i]), i))
+            rows.update((e, zlib.crc32(" ".join(words[max(0, i - 1) : i + 2]).encode("utf-8", "replace"))) for e, i in first.items())
+        entry, context = zip(*rows, strict=True) if rows else ((), ())
+        yield pa.RecordBatch.from_pydict({"entry": pa.array(entry, pa.string()), "context": pa.array(context, pa.int64())})
+
 
+def other_uses(candidates: Callable[[], frozenset]) -> Callable:
+    """(entry, documents that use it) of the candidates, summed up within the task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, counts = candidates(), Counter()
+        for batch in tx.chunks(batches):
+            for text in batch.column("text").to_pylist():
+                counts.update({e for w in set(words_of(text)) for e in entries_of(w) if e in wanted})
+        yield pa.RecordBatch.from_pydict({"entry": pa.array(list(counts), pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
+
+    return run
 
-def hash_of(before: str, after: str) -> int:
-    import zlib
 
-    return zlib.crc32(f"{before} {after}".encode("utf-8", "replace"))
+def closed(entries: dict[str, tuple[int, float]]) -> dict[str, float]:
+    """Weights by entry, of (toxic uses, weight): a stem gives way to a longer entry that covers nearly all its uses, any other longer entry to its stem."""
+    kept: dict[str, float] = {}
+    longest: dict[str, int] = {}
+    for entry, (uses, _) in entries.items():
+        for k in STEMS:
+            if f"{entry.rstrip('*')[:k]}*" != entry and k <= len(entry.rstrip("*")):
+                longest[f"{entry.rstrip('*')[:k]}*"] = max(longest.get(f"{entry.rstrip('*')[:k]}*", 0), uses)
+    for entry, (uses, weight) in sorted(entries.items(), key=lambda x: (len(x[0]), x[0])):
+        covered = any(f"{entry[:k]}*" in kept for k in STEMS if k < len(entry) and f"{entry[:k]}*" != entry)
+        if not covered and longest.get(entry, 0) < 0.97 * uses:
+            kept[entry] = weight
+    return kept
 
 
-def learnt_words(sample: DataFrame) -> DataFrame:
-    """(word, weight) of at most ``LEXICON_SIZE`` words that toxic documents use in many contexts and others hardly.
+def learnt_entries(sample: DataFrame) -> dict[str, float]:
+    """Weights of at most ``LEXICON_SIZE`` words and stems that toxic documents use in many contexts and others hardly.
 
     A word of the default list that is seen often enough to tell, but no more in toxic texts, gets weight 0.
     """
-    seen = sample.select("text", "label").mapInArrow(contexts, "word string, context long, label int")
-    counts = seen.distinct().groupBy("word").agg(F.count_if(F.col("label") == 1).alias("t"), F.count_if(F.col("label") != 1).alias("n"))
-    totals = sample.agg(F.count_if(F.col("label") == 1).alias("toxic"), F.count_if(F.col("label") != 1).alias("other"))
-    p, q = (F.col("t") + 0.5) / (F.col("toxic") + 1), (F.col("n") + 0.5) / (F.col("other") + 1)
-    common = (F.col("t") + F.col("n") + 1) / (F.col("toxic") + F.col("other") + 2)
-    z = (p - q) / F.sqrt(common * (1 - common) * (1 / (F.col("toxic") + 1) + 1 / (F.col("other") + 1)))
-    judged = counts.filter(F.col("t") + F.col("n") >= LEAST_CONTEXTS).crossJoin(F.broadcast(totals)).select("word", F.log(p / q).alias("odds"), z.alias("z"))
-    known = F.col("word").isin([plain(w) for w in SEED_WORDS])
-    toxic = (F.col("odds") >= LEAST_ODDS) & (F.col("z") >= LEAST_Z)
-    weight = F.when(known & ~toxic, 0.0).otherwise(F.least("odds", F.lit(6.0)))
-    return judged.filter(known | toxic).orderBy(F.desc("z"), "word").limit(LEXICON_SIZE).select("word", weight.alias("weight"))
+    context = sample.sparkSession.sparkContext
+    toxic = sample.filter("label = 1").mapInArrow(toxic_uses, "entry string, context long").distinct()
+    uses = toxic.groupBy("entry").agg(F.count("*").alias("t")).filter(F.col("t") >= LEAST_CONTEXTS)
+    t = {r.entry: r.t for r in uses.orderBy(F.desc("t"), "entry").limit(CANDIDATES).collect()}
+    wanted = context.broadcast(frozenset(t) | {plain(w) for w in SEED_WORDS})
+    others = sample.filter("label <> 1").select("text").mapInArrow(other_uses(lambda: wanted.value), "entry string, n long")
+    n = {r.entry: r.n for r in others.groupBy("entry").agg(F.sum("n").alias("n")).collect()}
+    counted = sample.agg(F.count_if(F.col("label") == 1).alias("toxic"), F.count_if(F.col("label") != 1).alias("other")).first()
+    found: dict[str, tuple[int, float]] = {}
+    dull: dict[str, float] = {}
+    for entry in wanted.value:
+        a, b = t.get(entry, 0), n.get(entry, 0)
+        p, q, common = (a + 0.5) / (counted.toxic + 1), (b + 0.5) / (counted.other + 1), (a + b + 1) / (counted.toxic + counted.other + 2)
+        z = (p - q) / np.sqrt(common * (1 - common) * (1 / (counted.toxic + 1) + 1 / (counted.other + 1)))
+        if np.log(p / q) >= LEAST_ODDS and z >= LEAST_Z and a >= LEAST_CONTEXTS:
+            found[entry] = a, float(min(6.0, np.log(p / q)))
+        elif not entry.endswith("*") and a + b >= LEAST_CONTEXTS:
+            dull[entry] = 0.0
+    strongest = sorted(found.items(), key=lambda x: (-x[1][0], x[0]))[:LEXICON_SIZE]
+    return dull | closed(dict(strongest))
 
 
 def signals(weight: np.ndarray, n_words: np.ndarray) -> np.ndarray:
@@ -199,7 +246,7 @@ def toxicity(docs: DataFrame, labels: DataFrame | None, label: str = "toxic", fi
     sample = None
     if labels is not None:
         sample = fit_sample(docs, labels, label, fit_rows)
-        weights = {plain(w): x for w, x in weights.items()} | {r.word: r.weight for r in learnt_words(sample).collect()}
+        weights = {plain(w): x for w, x in weights.items()} | learnt_entries(sample)
         weights = {w: x for w, x in weights.items() if x > 0}
     matcher = context.broadcast(weights)
     build = lambda: Matcher(matcher.value)
