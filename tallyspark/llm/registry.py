@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from tallyspark.llm.language_id import op1_language_id
 from tallyspark.llm.packing import op9_packing
+from tallyspark.llm.pii import op5_pii
 from tallyspark.llm.quality_rules import op4_quality_rules
 from tallyspark.llm.toxicity import op10_toxicity
 
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op4_quality_rules": op4_quality_rules,
+    "op5_pii": op5_pii,
     "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
 }
