@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tallyspark.llm.decontamination import OP7_SQL, op7_decontamination
 from tallyspark.llm.language_id import op1_language_id
 from tallyspark.llm.packing import op9_packing
 from tallyspark.llm.pii import op5_pii
@@ -12,7 +13,8 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op4_quality_rules": op4_quality_rules,
     "op5_pii": op5_pii,
+    "op7_decontamination": op7_decontamination,
     "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_decontamination": OP7_SQL}
