@@ -15,6 +15,7 @@ Columns other than doc_id and text are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -37,37 +38,65 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 COUNTER_BITS = 40
 
 
-class Tokenizer(dict):
-    """Ids of words, as little-endian 32-bit bytes.
+#: A lower-case word with ASCII signs behind an ASCII letter: the tokenizer parts them there.
+SIGNED = re.compile(rb"(.*[a-z])([!-&(-/:-@\[-`{-~]+)", re.DOTALL)
+WORD_END = "</w>"
 
-    The tokenizer drops white space and never joins what it parts, so a text's ids are its words' ids one
-    after another, and each distinct word has to be encoded only once a worker.
+
+class Tokenizer:
+    """Ids of texts, as little-endian 32-bit bytes.
+
+    The tokenizer drops white space, lower-cases and never joins what it parts, so a text's ids are its
+    words' ids one after another, and each distinct word has to be encoded only once a worker. Words of letters
+    alone are encoded as one text, whose ids are parted again where the vocabulary marks the end of a word.
     """
 
     def __init__(self, path: str):
-        super().__init__()
         from tokenizers import Tokenizer as Public
 
         self.public = Public.from_file(path)
+        self.known: dict[bytes, bytes] = {}
+        self.plain: dict[bytes, bytes] = {}
+        vocabulary = self.public.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.special = [x.content.lower().encode() for x in self.public.get_added_tokens_decoder().values()]
+        self.ends[[i for x, i in vocabulary.items() if x.endswith(WORD_END)]] = True
+
+    def encode(self, words: list[bytes]) -> dict[bytes, bytes]:
+        out = {}
+        texts = [w.decode("utf-8", "replace") for w in words]
+        letters = [i for i, t in enumerate(texts) if t.isalpha()]
+        if letters:
+            ids = np.array(self.public.encode_batch_fast([" ".join(texts[i] for i in letters)], add_special_tokens=False)[0].ids, "<u4")
+            ends = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+            if len(ends) == len(letters):
+                raw, start = ids.tobytes(), 0
+                for i, end in zip(letters, ends.tolist(), strict=True):
+                    out[words[i]] = raw[start:end]
+                    start = end
+        rest = [i for i, w in enumerate(words) if w not in out]
+        if rest:
+            found = self.public.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)
+            out.update((words[i], np.array(x.ids, "<u4").tobytes()) for i, x in zip(rest, found, strict=True))
+        return out
+
+    def learn(self, words: set[bytes]) -> None:
+        if len(self.known) + len(words) > REMEMBERED:
+            self.known, self.plain = {}, {}
+        new = {w: w.lower() for w in words - self.known.keys()}  # bytes: A-Z alone
+        parts = {}
+        for w, low in new.items():
+            if any(x in low for x in self.special):
+                parts[w] = (w,)  # the tokenizer looks for these in the text as it stands
+            else:
+                parts[w] = m.groups() if (m := SIGNED.fullmatch(low)) else (low,)
+        self.plain |= self.encode(list({x for p in parts.values() for x in p} - self.plain.keys()))
+        self.known.update((w, b"".join([self.plain[x] for x in p])) for w, p in parts.items())
 
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        ids = np.array(self.public.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
-        self[word] = ids
-        return ids
-
-    def ids(self, text: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, text.split()))
-
-    def learn(self, texts: list[bytes]) -> None:
-        """Encode the words of ``texts`` that aren't known yet in one go, which is faster than one by one."""
-        words = {w for t in texts for w in t.split()}
-        if len(self) + len(words) > REMEMBERED:
-            self.clear()
-        new = list(words - self.keys())[:REMEMBERED]
-        found = self.public.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        self.update(zip(new, (np.array(x.ids, "<u4").tobytes() for x in found), strict=True))
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        split = [t.split() for t in texts]  # at ASCII white space, which the tokenizer parts at too
+        self.learn(set().union(*split))
+        return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
 
 _tokenizers: dict[str, Tokenizer] = {}
@@ -161,9 +190,8 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, last_class:
         words = tokenizer(vocabulary)
         for batch in tx.chunks(batches):
             texts = batch.column("text").cast(pa.large_binary()).fill_null(b"").to_pylist()
-            words.learn(texts)
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
-                packer.add(doc_id, words.ids(text) + last)
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), words.ids(texts), strict=True):
+                packer.add(doc_id, ids + last)
             yield packer.take()
         packer.finish()
         yield packer.take()
