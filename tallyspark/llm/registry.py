@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from tallyspark.llm.decontamination import OP7_SQL, op7_decontamination
 from tallyspark.llm.language_id import op1_language_id
+from tallyspark.llm.lm_score import op3_lm_score
+from tallyspark.llm.near_dup import op2_near_dup
 from tallyspark.llm.packing import op9_packing
 from tallyspark.llm.pii import op5_pii
 from tallyspark.llm.quality_rules import op4_quality_rules
@@ -11,6 +13,8 @@ from tallyspark.llm.toxicity import op10_toxicity
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_near_dup": op2_near_dup,
+    "op3_lm_score": op3_lm_score,
     "op4_quality_rules": op4_quality_rules,
     "op5_pii": op5_pii,
     "op7_decontamination": op7_decontamination,
