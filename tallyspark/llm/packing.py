@@ -16,6 +16,8 @@ Columns other than doc_id and text are ignored.
 from __future__ import annotations
 
 import re
+import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -40,15 +42,21 @@ COUNTER_BITS = 40
 
 #: A lower-case word with ASCII signs behind an ASCII letter: the tokenizer parts them there.
 SIGNED = re.compile(rb"(.*[a-z])([!-&(-/:-@\[-`{-~]+)", re.DOTALL)
-WORD_END = "</w>"
+#: How the tokenizer's model writes bytes: printable ones as the character of that number, the others, in order, from 256 on.
+PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_CHARACTERS = dict(zip(sorted(set(range(256)) - set(PRINTABLE)), range(256, 512), strict=False))
+
+
+def packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class Tokenizer:
     """Ids of texts, as little-endian 32-bit bytes.
 
     The tokenizer drops white space, lower-cases and never joins what it parts, so a text's ids are its
-    words' ids one after another, and each distinct word has to be encoded only once a worker. Words of letters
-    alone are encoded as one text, whose ids are parted again where the vocabulary marks the end of a word.
+    words' ids one after another, and each distinct word has to be encoded only once a worker. Lower-case
+    words of letters alone pass its first steps unchanged and go to its model at once.
     """
 
     def __init__(self, path: str):
@@ -57,27 +65,22 @@ class Tokenizer:
         self.public = Public.from_file(path)
         self.known: dict[bytes, bytes] = {}
         self.plain: dict[bytes, bytes] = {}
-        vocabulary = self.public.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.special = [x.content.lower().encode() for x in self.public.get_added_tokens_decoder().values()]
-        self.ends[[i for x, i in vocabulary.items() if x.endswith(WORD_END)]] = True
+        self.model = self.public.model
 
     def encode(self, words: list[bytes]) -> dict[bytes, bytes]:
-        out = {}
-        texts = [w.decode("utf-8", "replace") for w in words]
-        letters = [i for i, t in enumerate(texts) if t.isalpha()]
-        if letters:
-            ids = np.array(self.public.encode_batch_fast([" ".join(texts[i] for i in letters)], add_special_tokens=False)[0].ids, "<u4")
-            ends = 4 * (np.flatnonzero(self.ends[ids]) + 1)
-            if len(ends) == len(letters):
-                raw, start = ids.tobytes(), 0
-                for i, end in zip(letters, ends.tolist(), strict=True):
-                    out[words[i]] = raw[start:end]
-                    start = end
-        rest = [i for i, w in enumerate(words) if w not in out]
-        if rest:
-            found = self.public.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)
-            out.update((words[i], np.array(x.ids, "<u4").tobytes()) for i, x in zip(rest, found, strict=True))
+        out, rest = {}, []
+        for w in words:
+            if w.isalpha():  # bytes: ASCII letters alone
+                out[w] = packed([x.id for x in self.model.tokenize(w.decode())])
+                continue
+            text = w.decode("utf-8", "replace")
+            if text.isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text):
+                out[w] = packed([x.id for x in self.model.tokenize(w.decode("latin-1").translate(BYTE_CHARACTERS))])
+            else:
+                rest.append((w, text))
+        found = self.public.encode_batch_fast([text for _, text in rest], add_special_tokens=False) if rest else []
+        out.update((w, packed(x.ids)) for (w, _), x in zip(rest, found, strict=True))
         return out
 
     def learn(self, words: set[bytes]) -> None:
