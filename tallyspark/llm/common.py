@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,10 +19,22 @@ def fold(doc_id: str | Column, parts: int) -> Column:
     return F.coalesce(F.crc32(column.cast("string").cast("binary")) % parts, F.lit(-1))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder that all executors share and read it from there."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; one of this machine's own only where that is unset, as in tests."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it from there."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the checkpoint folder that all executors share and read it from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

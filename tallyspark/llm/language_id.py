@@ -15,7 +15,7 @@ the alphabetically first language. Repeated rows are predicted alike; other colu
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -142,32 +142,44 @@ def build(train: DataFrame, **how: float) -> BloomSlices:
     return model
 
 
-def predictor(shared: Callable[[], BloomSlices]) -> Callable:
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared()
-        false = model.false_rates()
-        kind = model.masks.dtype.type
-        names = np.array([*model.langs, UNKNOWN], object)
-        for batch in tx.chunks(batches):
-            keys, first = grams(*tx.code_points(*tx.text_bytes(batch.column("text"))))
-            n = np.diff(first)
-            held = model.containing(keys)
-            share = np.zeros((len(names), batch.num_rows))
-            for k in range(len(model.langs)):
-                hits = tx.sums(((held >> kind(k)) & kind(1)).astype(np.int64), first)
-                share[k] = (hits / np.maximum(n, 1) - false[k]) / max(1e-9, 1 - false[k])
-            best = np.argmax(share[:-1], axis=0) if len(model.langs) else np.zeros(batch.num_rows, int)
-            best = np.where(n > 0, best, len(names) - 1)
-            score = np.where(best < len(names) - 1, np.clip(share[best, np.arange(batch.num_rows)], 0, 1), 0.0)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "lang_pred": pa.array(names[best].tolist(), pa.string()), "score": score})
-
-    return predict
+def judge(model: BloomSlices, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Language and score of each text."""
+    kind, false = model.masks.dtype.type, model.false_rates()
+    keys, first = grams(*tx.code_points(*tx.text_bytes(texts)))
+    n = np.diff(first)
+    held = model.containing(keys)
+    share = np.zeros((len(model.langs), len(texts)))
+    for k in range(len(model.langs)):
+        hits = tx.sums(((held >> kind(k)) & kind(1)).astype(np.int64), first)
+        share[k] = (hits / np.maximum(n, 1) - false[k]) / max(1e-9, 1 - false[k])
+    known = (n > 0) & bool(model.langs)
+    best = np.argmax(share, axis=0) if model.langs else np.zeros(len(texts), int)
+    score = np.where(known, np.clip(share[best, np.arange(len(texts))], 0, 1), 0.0) if model.langs else np.zeros(len(texts))
+    return np.where(known, np.array([*model.langs, UNKNOWN], object)[best], UNKNOWN), score
 
 
 def identify(docs: DataFrame, train: DataFrame) -> DataFrame:
     """doc_id, lang_pred and score of every document, learnt from text and lang of ``train``."""
     model = docs.sparkSession.sparkContext.broadcast(build(train.filter("lang is not null")))
-    return docs.select("doc_id", "text").mapInArrow(predictor(lambda: model.value), "doc_id long, lang_pred string, score double")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tx.chunks(batches):
+            lang, score = judge(model.value, batch.column("text"))
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "lang_pred": pa.array(lang.tolist(), pa.string()), "score": score})
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+
+
+def recognised(docs: DataFrame, train: DataFrame, least_score: float = 0.3) -> DataFrame:
+    """``docs``, with all columns, without those in no learnt language: ``und``, or too few of the n-grams in the best language's set."""
+    model = docs.sparkSession.sparkContext.broadcast(build(train.filter("lang is not null")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tx.chunks(batches):
+            lang, score = judge(model.value, batch.column("text"))
+            yield batch.filter(pa.array((lang != UNKNOWN) & (score >= least_score)))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

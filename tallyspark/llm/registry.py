@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from tallyspark.llm.decontamination import OP7_SQL, op7_decontamination
 from tallyspark.llm.language_id import op1_language_id
+from tallyspark.llm.line_dedup import op6_line_dedup
 from tallyspark.llm.lm_score import op3_lm_score
 from tallyspark.llm.near_dup import op2_near_dup
 from tallyspark.llm.packing import op9_packing
 from tallyspark.llm.pii import op5_pii
+from tallyspark.llm.quality_fm import op8_quality_fm
 from tallyspark.llm.quality_rules import op4_quality_rules
 from tallyspark.llm.toxicity import op10_toxicity
 
@@ -17,7 +19,9 @@ QUERIES = {
     "op3_lm_score": op3_lm_score,
     "op4_quality_rules": op4_quality_rules,
     "op5_pii": op5_pii,
+    "op6_line_dedup": op6_line_dedup,
     "op7_decontamination": op7_decontamination,
+    "op8_quality_fm": op8_quality_fm,
     "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
 }
