@@ -38,3 +38,21 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder that all executors share and read it from there."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: Bits of the filter that ``maybe_in`` broadcasts: 2 MB at most, whatever is in it.
+FILTER_BITS = 1 << 24
+
+
+def maybe_in(rows: DataFrame, wanted: DataFrame, *key: str) -> DataFrame:
+    """``rows`` with a column ``maybe_``, false only where ``wanted`` has no row with these columns.
+
+    It spares most rows a shuffle to a join with ``wanted``. The bitmap has a fixed size; the more is
+    wanted, the more rows pass, and the join behind it decides.
+    """
+    spot = F.pmod(F.xxhash64(*key), F.lit(FILTER_BITS))
+    bits = wanted.select(spot.alias("spot_")).groupBy(F.bitmap_bucket_number("spot_").alias("bucket_")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot_")).alias("bits_"))
+    placed = rows.withColumn("spot_", spot).withColumns({"of_": F.bitmap_bucket_number("spot_"), "bit_": F.bitmap_bit_position("spot_").cast("int")})
+    byte = F.expr("cast(conv(hex(substring(bits_, bit_ div 8 + 1, 1)), 16, 10) as int)")
+    joined = placed.join(F.broadcast(bits), F.col("of_") == F.col("bucket_"), "left").withColumn("byte_", byte)
+    return joined.withColumn("maybe_", F.coalesce(F.expr("shiftright(byte_, bit_ % 8) & 1 = 1"), F.lit(False))).drop("spot_", "of_", "bit_", "bucket_", "bits_", "byte_")

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyspark.llm import text as tx
-from tallyspark.llm.common import cut, table
+from tallyspark.llm.common import cut, maybe_in, table
 
 NUMERATOR, DENOMINATOR = 80, 100
 LEAST_WORDS = 5
@@ -176,8 +176,8 @@ def matches(docs: DataFrame, classes: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(linked, pa.bool_())).select(["a", "b"])
 
     places = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(classes, "key")
-    asked = places.groupBy("first.id", "first.is").agg(F.collect_set("first.number").alias("numbers"))
-    sets = cut(identified(docs).join(asked, ["id", "is"]).select("text", "numbers").mapInArrow(wanted_sets, "key long, words binary").dropDuplicates(["key"]))
+    asked = cut(places.groupBy("first.id", "first.is").agg(F.collect_set("first.number").alias("numbers")))
+    sets = cut(maybe_in(identified(docs), asked, "id", "is").filter("maybe_").join(asked, ["id", "is"]).select("text", "numbers").mapInArrow(wanted_sets, "key long, words binary").dropDuplicates(["key"]))
     one = lambda k, v: sets.select(F.col("key").alias(k), F.col("words").alias(v))
     return pairs.join(one("a", "x"), "a").join(one("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(judge, "a long, b long")
 
@@ -206,10 +206,13 @@ def without(text: Column, numbers: Column) -> Column:
 def remove_lines(docs: DataFrame) -> DataFrame:
     """``docs`` without the later matching lines, and without documents that lose all their words that way."""
     gone = removed_lines(docs).filter(F.size("numbers") > 0).select(F.col("id").alias("id_"), F.col("is").alias("is_"), F.col("numbers").alias("numbers_"))
-    marked = docs.select("*", F.coalesce("doc_id", F.lit(NULL_ID)).alias("id_"), F.xxhash64("text").alias("is_")).join(gone, ["id_", "is_"], "left")
+    gone = cut(gone)
+    marked = maybe_in(docs.select("*", F.coalesce("doc_id", F.lit(NULL_ID)).alias("id_"), F.xxhash64("text").alias("is_")), gone, "id_", "is_")
+    asked = marked.filter("maybe_").join(gone, ["id_", "is_"], "left")
     left = F.when(F.col("numbers_").isNull(), F.col("text")).otherwise(without(F.col("text"), F.col("numbers_")))
     kept = F.col("numbers_").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    return marked.withColumn("text", left).filter(kept).select(docs.columns)
+    changed = asked.withColumn("text", left).filter(kept).select(docs.columns)
+    return marked.filter("not maybe_").select(docs.columns).unionByName(changed)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
