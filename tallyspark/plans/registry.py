@@ -2,5 +2,340 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyspark.functions import scalars
+from tallyspark.operators import dashboard, receipts, reports
+from tallyspark.operators import purchases as buying
+from tallyspark.sources import views
+from tallyspark.sources.views import VIEWS_SQL
+from tallyspark.streaming import jobs
+
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register the decorated query under its name, with the SQL that follows the views."""
+
+    def add(run):
+        QUERIES[run.__name__] = run
+        if sql is not None:
+            ORACLE_SQL[run.__name__] = VIEWS_SQL + sql
+        return run
+
+    return add
+
+
+@query("SELECT id, purchase_date, category, currency, amount FROM purchases WHERE user_id = 7 AND month(purchase_date) = 3 AND category = 'BUILDING'")
+def purchase_listing_filtered(spark: SparkSession, d: str) -> DataFrame:
+    return buying.listing(views.purchases(spark, d), 7, month=3, category=" building ").select("id", "purchase_date", "category", "currency", "amount")
+
+
+@query("SELECT id, amount FROM purchases WHERE user_id = 3 AND purchase_date >= DATE '1995-02-01' AND purchase_date < DATE '1995-03-01'")
+def purchase_listing_month(spark: SparkSession, d: str) -> DataFrame:
+    return buying.listing(views.purchases(spark, d), 3, 1995, 2).select("id", "amount")
+
+
+@query(
+    """SELECT p.id, coalesce(n, 0) AS n_items, coalesce(t, '') AS titles FROM purchases p LEFT JOIN
+    (SELECT purchase_id, count(*) AS n, string_agg(title, '|' ORDER BY line_index) AS t FROM purchase_items GROUP BY purchase_id) i ON p.id = i.purchase_id"""
+)
+def purchases_with_items_nested(spark: SparkSession, d: str) -> DataFrame:
+    nested = buying.with_items(views.purchases(spark, d), views.purchase_items(spark, d))
+    return nested.select("id", F.size("items").cast("long").alias("n_items"), F.array_join(F.transform("items", lambda x: x["title"]), "|").alias("titles"))
+
+
+@query(
+    """, totals AS (SELECT purchase_id, CAST(sum(coalesce(line_total, CAST(quantity * unit_price AS DECIMAL(19,2)))) AS DECIMAL(19,2)) AS items_sum FROM purchase_items GROUP BY purchase_id)
+    SELECT id, items_sum, CASE WHEN items_sum > 0 THEN items_sum ELSE amount END AS derived_amount FROM purchases LEFT JOIN totals ON id = purchase_id"""
+)
+def purchase_amount_from_items(spark: SparkSession, d: str) -> DataFrame:
+    return buying.with_amounts(views.purchases(spark, d), views.purchase_items(spark, d)).select("id", "items_sum", "derived_amount")
+
+
+MONTHLY_SQL = ", m AS (SELECT *, strftime(purchase_date, '%Y-%m') AS period, CASE WHEN trim(coalesce(store_name, '')) = '' THEN 'Unknown Store' ELSE store_name END AS store FROM purchases)"
+
+
+def grouped_sql(*by: str) -> str:
+    keys = ", ".join(by)
+    return f"""{MONTHLY_SQL}, g AS (SELECT user_id, period, {keys}, count(*) AS purchase_count, CAST(sum(amount) AS DECIMAL(19,2)) AS total_amount, min(CAST(purchase_date AS VARCHAR) || lpad(CAST(id AS VARCHAR), 20, '0')) AS f
+    FROM m GROUP BY user_id, period, {keys})
+    SELECT user_id, period, {keys}, purchase_count, total_amount, CAST(row_number() OVER (PARTITION BY user_id, period ORDER BY f) AS INTEGER) AS rank FROM g"""
+
+
+@query(grouped_sql("category", "currency"))
+def report_category_summary(spark: SparkSession, d: str) -> DataFrame:
+    return reports.category_summary(views.purchases(spark, d))
+
+
+@query(grouped_sql("store", "currency"))
+def report_store_summary(spark: SparkSession, d: str) -> DataFrame:
+    return reports.store_summary(views.purchases(spark, d))
+
+
+@query(grouped_sql("currency"))
+def report_totals_by_currency(spark: SparkSession, d: str) -> DataFrame:
+    return reports.currency_totals(views.purchases(spark, d))
+
+
+@query(
+    MONTHLY_SQL
+    + """ SELECT user_id, period, CAST(row_number() OVER (PARTITION BY user_id, period ORDER BY purchase_date, id) AS INTEGER) AS rank, CAST(purchase_date AS VARCHAR) AS "purchaseDate", title, category,
+    coalesce(store_name, '') AS "storeName", currency, CAST(amount AS VARCHAR) AS amount, coalesce(comment, '') AS comment FROM m"""
+)
+def report_monthly_rows(spark: SparkSession, d: str) -> DataFrame:
+    return reports.report_rows(views.purchases(spark, d))
+
+
+@query(
+    MONTHLY_SQL
+    + """, c AS (SELECT user_id, period, currency, count(*) AS n, min(CAST(purchase_date AS VARCHAR) || lpad(CAST(id AS VARCHAR), 20, '0')) AS f FROM m GROUP BY user_id, period, currency)
+    SELECT user_id, period, string_agg(currency, ', ' ORDER BY f) AS currencies, CAST(sum(n) AS BIGINT) AS purchase_count FROM c GROUP BY user_id, period"""
+)
+def report_currencies_metadata(spark: SparkSession, d: str) -> DataFrame:
+    return reports.currencies(reports.monthly(views.purchases(spark, d)), ["user_id", "period"])
+
+
+@query(
+    """SELECT j.id AS job_id, j.report_type, email, count(p.id) AS purchase_count FROM report_jobs j JOIN users u ON j.user_id = u.id
+    LEFT JOIN purchases p ON p.user_id = j.user_id AND p.purchase_date >= make_date(j.year, CAST(j.month AS INTEGER), 1) AND p.purchase_date < make_date(j.year, CAST(j.month AS INTEGER), 1) + INTERVAL 1 MONTH
+    GROUP BY j.id, j.report_type, email"""
+)
+def report_jobs_batch(spark: SparkSession, d: str) -> DataFrame:
+    todo = views.report_jobs(spark, d)
+    counts = reports.of_jobs(todo, views.purchases(spark, d)).groupBy("job_id").agg(F.count("*").alias("n"))
+    joined = todo.withColumnRenamed("id", "job_id").join(counts, "job_id", "left")
+    return joined.select("job_id", "report_type", "email", F.coalesce("n", F.lit(0)).alias("purchase_count"))
+
+
+def cell_sql(c: str) -> str:
+    return f"CASE WHEN regexp_matches({c}, '[,\"\\n]') THEN '\"' || replace({c}, '\"', '\"\"') || '\"' ELSE {c} END"
+
+
+def csv_sql() -> str:
+    """The documents of the three report types as rows (job, section, row, line)."""
+    q = cell_sql
+
+    def groups(kind: str, section: int, key: str, count: bool) -> str:
+        keys = f"{key}, currency" if key else "currency"
+        cells = (q(key) + " || ',' || " if key else "") + "currency" + (" || ',' || n" if count else "") + " || ',' || total"
+        return f"""SELECT job_id, {section} AS section, 2 + row_number() OVER (PARTITION BY job_id ORDER BY f) AS row, {cells} AS line FROM
+        (SELECT job_id, {keys}, count(*) AS n, CAST(CAST(sum(amount) AS DECIMAL(19,2)) AS VARCHAR) AS total, min(CAST(purchase_date AS VARCHAR) || lpad(CAST(id AS VARCHAR), 20, '0')) AS f FROM r WHERE report_type = '{kind}' GROUP BY job_id, {keys})"""
+
+    def frame(kind: str, section: int, title: str, header: str, message: str, always: bool = False) -> str:
+        some = "TRUE" if always else f"j.id IN (SELECT job_id FROM r WHERE report_type = '{kind}')"
+        return f"""SELECT j.id, {section}, x.k, CASE x.k WHEN 1 THEN '{title}' WHEN 2 THEN CASE WHEN {some} THEN '{header}' ELSE '{message}' END ELSE '' END
+        FROM report_jobs j, (SELECT unnest([1, 2, 2147483647]) AS k) x WHERE report_type = '{kind}'"""
+
+    parts = [
+        """SELECT j.id AS job_id, 0 AS section, CAST(x.k AS BIGINT) AS row, CASE x.k WHEN 0 THEN CASE report_type WHEN 'MONTHLY_SPENDING' THEN 'Monthly Spending Report' WHEN 'CATEGORY_SUMMARY' THEN 'Category Summary Report' ELSE 'Store Summary Report' END
+        WHEN 1 THEN 'Period,' || printf('%04d-%02d', year, month) WHEN 2 THEN 'Owner,' || email WHEN 3 THEN 'Report Type,' || report_type
+        WHEN 4 THEN 'Currencies,' || coalesce(CASE WHEN contains(cur, ',') THEN '"' || cur || '"' ELSE cur END, 'No purchases') ELSE '' END AS line
+        FROM report_jobs j JOIN users u ON j.user_id = u.id LEFT JOIN (SELECT job_id, string_agg(currency, ', ' ORDER BY f) AS cur FROM
+        (SELECT job_id, currency, min(CAST(purchase_date AS VARCHAR) || lpad(CAST(id AS VARCHAR), 20, '0')) AS f FROM r GROUP BY job_id, currency) GROUP BY job_id) c ON c.job_id = j.id, (SELECT unnest(range(0, 6)) AS k) x"""
+    ]
+    cells = " || ',' || ".join(["CAST(purchase_date AS VARCHAR)", q("title"), q("category"), q("coalesce(store_name, '')"), "currency", "CAST(amount AS VARCHAR)", q("coalesce(comment, '')")])
+    m = "MONTHLY_SPENDING"
+    parts += [
+        frame(m, 1, "Purchases", "purchaseDate,title,category,storeName,currency,amount,comment", "No purchases found for the selected period"),
+        f"SELECT job_id, 1, 2 + row_number() OVER (PARTITION BY job_id ORDER BY purchase_date, id), {cells} FROM r WHERE report_type = '{m}'",
+        frame(m, 2, "Totals by Currency", "currency,totalAmount", "No currency totals available"),
+        groups(m, 2, "", False),
+        frame(m, 3, "Category Summary", "category,currency,totalAmount", "No category totals available"),
+        groups(m, 3, "category", False),
+    ]
+    for kind, title, header, message, key in (
+        ("CATEGORY_SUMMARY", "Category Summary", "category,currency,purchaseCount,totalAmount", "No category totals available", "category"),
+        ("STORE_SUMMARY", "Store Summary", "storeName,currency,purchaseCount,totalAmount", "No store totals available", "store"),
+    ):
+        parts += [
+            frame(kind, 1, title, header, message),
+            groups(kind, 1, key, True),
+            frame(kind, 2, "Totals by Currency", "currency,totalAmount", "No currency totals available"),
+            groups(kind, 2, "", False),
+            frame(kind, 3, "Summary", "metric,value", "", True),
+            f"SELECT j.id, 3, 3, 'Purchase Count,' || count(r.id) FROM report_jobs j LEFT JOIN r ON r.job_id = j.id WHERE j.report_type = '{kind}' GROUP BY j.id",
+        ]
+    return f""", r AS (SELECT j.id AS job_id, j.report_type, p.*, CASE WHEN trim(coalesce(store_name, '')) = '' THEN 'Unknown Store' ELSE store_name END AS store FROM report_jobs j JOIN purchases p
+    ON p.user_id = j.user_id AND year(p.purchase_date) = j.year AND month(p.purchase_date) = j.month), all_rows AS ({' UNION ALL '.join(parts)})
+    SELECT job_id, CAST(row_number() OVER (PARTITION BY job_id ORDER BY section, row) AS INTEGER) AS line_no, line FROM all_rows"""
+
+
+@query(csv_sql())
+def report_csv_lines(spark: SparkSession, d: str) -> DataFrame:
+    return reports.csv_lines(reports.document(views.report_jobs(spark, d), views.purchases(spark, d)))
+
+
+@query(
+    """SELECT user_id, currency, total, CAST(row_number() OVER (PARTITION BY user_id ORDER BY total DESC, currency) AS INTEGER) AS rank
+    FROM (SELECT user_id, currency, CAST(sum(amount) AS DECIMAL(19,2)) AS total FROM purchases GROUP BY user_id, currency)"""
+)
+def dashboard_currency_summary(spark: SparkSession, d: str) -> DataFrame:
+    return dashboard.currency_summary(views.purchases(spark, d))
+
+
+SEGMENTS_SQL = """, s AS (
+    SELECT user_id, currency, upper(trim(category)) AS key, CAST(sum(amount) AS DECIMAL(19,2)) AS value, max(CAST(created_at AS VARCHAR) || lpad(CAST(id AS VARCHAR), 20, '0')) AS seen FROM purchases GROUP BY ALL
+), t AS (
+    SELECT *, CAST(sum(value) OVER w AS DECIMAL(19,2)) AS total, row_number() OVER (PARTITION BY user_id, currency ORDER BY value DESC, seen DESC) AS place FROM s WINDOW w AS (PARTITION BY user_id, currency)
+), q AS (
+    SELECT *, place >= 5 OR CAST(value AS DOUBLE) / CAST(total AS DOUBLE) < 0.06 AS is_rollup FROM t WHERE total > 0
+), z AS (
+    SELECT user_id, currency, is_rollup, CASE WHEN is_rollup THEN 'OTHER' ELSE key END AS segment, CAST(sum(value) AS DECIMAL(19,2)) AS value, min(place) AS place, min(total) AS total FROM q GROUP BY ALL
+), segments AS (
+    SELECT user_id, currency, CAST(row_number() OVER (PARTITION BY user_id, currency ORDER BY is_rollup, place) AS INTEGER) AS rank, segment, is_rollup, value, CAST(value AS DOUBLE) / CAST(total AS DOUBLE) AS share FROM z WHERE NOT is_rollup OR value > 0
+)
+"""
+
+
+@query(SEGMENTS_SQL + "SELECT * FROM segments")
+def dashboard_spending_segments(spark: SparkSession, d: str) -> DataFrame:
+    return dashboard.spending_segments(views.purchases(spark, d))
+
+
+@query(SEGMENTS_SQL + "SELECT user_id, currency, segment, is_rollup, value, share FROM segments WHERE rank = 1")
+def dashboard_top_category(spark: SparkSession, d: str) -> DataFrame:
+    return dashboard.top_category(views.purchases(spark, d))
+
+
+LATEST_SQL = ", latest AS (SELECT job_id, status, updated_at, event_id, count(*) OVER (PARTITION BY job_id) AS n_changes FROM job_events QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY updated_at DESC, event_id DESC) = 1)"
+
+
+@query(LATEST_SQL + " SELECT * FROM latest")
+def job_latest_status(spark: SparkSession, d: str) -> DataFrame:
+    return jobs.latest_status(views.job_events(spark, d))
+
+
+@query(LATEST_SQL + " SELECT count(*) FILTER (status IN ('NEW', 'PROCESSING')) AS active, count(*) FILTER (status = 'DONE') AS ready, count(*) FILTER (status = 'FAILED') AS failed FROM latest")
+def dashboard_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return dashboard.job_metrics(jobs.latest_status(views.job_events(spark, d)))
+
+
+@query(
+    """, f AS (SELECT 'purchase' AS kind, id, created_at AS at_, title, 0 AS feed FROM purchases WHERE user_id = 5 UNION ALL
+    SELECT 'job', event_id, updated_at, 'Job ' || job_id || ' ' || status, 1 FROM job_events)
+    SELECT kind, id, at_ AS "at", title FROM f ORDER BY at_ DESC, feed, id DESC LIMIT 5"""
+)
+def dashboard_recent_activity(spark: SparkSession, d: str) -> DataFrame:
+    bought = views.purchases(spark, d).filter("user_id = 5").select(F.lit("purchase").alias("kind"), "id", F.col("created_at").alias("at"), "title")
+    done = views.job_events(spark, d).select(F.lit("job").alias("kind"), F.col("event_id").alias("id"), F.col("updated_at").alias("at"), F.concat_ws(" ", F.lit("Job"), "job_id", "status").alias("title"))
+    return dashboard.recent_activity(bought, done)
+
+
+@query("SELECT 'users' AS table_name, count(*) AS n_rows FROM users UNION ALL SELECT 'purchases', count(*) FROM purchases UNION ALL SELECT 'purchase_items', count(*) FROM purchase_items UNION ALL SELECT 'report_jobs', count(*) FROM report_jobs")
+def admin_overview(spark: SparkSession, d: str) -> DataFrame:
+    return dashboard.table_counts(users=views.users(spark, d), purchases=views.purchases(spark, d), purchase_items=views.purchase_items(spark, d), report_jobs=views.report_jobs(spark, d))
+
+
+@query(
+    """SELECT id, email, CASE WHEN google_subject IS NULL THEN 'PASSWORD' ELSE 'GOOGLE' END AS auth_provider, CASE WHEN email = 'nation_3@example.org' THEN 'ADMIN' ELSE 'USER' END AS role
+    FROM users ORDER BY created_on DESC, id DESC LIMIT 10"""
+)
+def admin_recent_users(spark: SparkSession, d: str) -> DataFrame:
+    return dashboard.recent_users(views.users(spark, d), ["nation_3@example.org"])
+
+
+@query(
+    """, o AS (SELECT id, coalesce(chat_id <> '' AND connected_at IS NOT NULL, FALSE) AS connected, preferred_channel FROM users)
+    SELECT id, connected, CASE preferred_channel WHEN 'TELEGRAM' THEN 'TELEGRAM,EMAIL' ELSE 'EMAIL,TELEGRAM' END AS channel_order,
+    CASE WHEN preferred_channel = 'TELEGRAM' AND connected THEN 'TELEGRAM' ELSE 'EMAIL' END AS channel FROM o"""
+)
+def delivery_plan(spark: SparkSession, d: str) -> DataFrame:
+    return dashboard.delivery_plan(views.users(spark, d))
+
+
+UPDATES_SQL = ", updates AS (SELECT event_id AS update_id, 'chat-' || user_id AS chat_id, CASE WHEN event_type IN ('signup', 'click') THEN '/start  tok-' || user_id ELSE event_type END AS text, ts AS at_ FROM events)"
+
+
+def updates(spark: SparkSession, d: str) -> DataFrame:
+    text = F.when(F.col("event_type").isin("signup", "click"), F.concat(F.lit("/start  tok-"), "user_id")).otherwise(F.col("event_type"))
+    return views.read(spark, d, "events").select(F.col("event_id").alias("update_id"), F.concat(F.lit("chat-"), "user_id").alias("chat_id"), text.alias("text"), F.col("ts").alias("at"))
+
+
+@query(UPDATES_SQL + " SELECT update_id, chat_id, text FROM updates WHERE update_id >= 137 ORDER BY update_id LIMIT 20")
+def bot_offset_batch(spark: SparkSession, d: str) -> DataFrame:
+    return jobs.next_batch(updates(spark, d), 137).select("update_id", "chat_id", "text")
+
+
+@query(
+    UPDATES_SQL
+    + """, tokens AS (SELECT DISTINCT 'tok-' || user_id AS token, user_id, TIMESTAMP '2024-01-20' AS expires_at FROM events WHERE user_id % 5 <> 0)
+    SELECT user_id, token, chat_id, update_id FROM (SELECT t.user_id, token, chat_id, update_id, row_number() OVER (PARTITION BY token ORDER BY update_id) AS k
+    FROM updates u JOIN tokens t ON u.text = '/start  ' || t.token WHERE t.expires_at >= u.at_) WHERE k = 1"""
+)
+def token_link(spark: SparkSession, d: str) -> DataFrame:
+    tokens = views.read(spark, d, "events").filter("user_id % 5 <> 0").select(F.concat(F.lit("tok-"), "user_id").alias("token"), "user_id").distinct()
+    tokens = tokens.withColumns({"expires_at": F.expr("timestamp_ntz'2024-01-20'"), "used_at": F.expr("cast(null as timestamp_ntz)")})
+    return jobs.link_tokens(updates(spark, d), tokens)
+
+
+@query(
+    """, gone AS (SELECT id FROM purchases WHERE id % 3 = 0 AND user_id <= 5)
+    SELECT (SELECT count(*) FROM purchases WHERE id NOT IN (SELECT id FROM gone)) AS n_purchases, (SELECT count(*) FROM purchase_items WHERE purchase_id NOT IN (SELECT id FROM gone)) AS n_items,
+    (SELECT count(*) FROM purchases WHERE id NOT IN (SELECT id FROM gone)) AS n_linked"""
+)
+def delete_cascade(spark: SparkSession, d: str) -> DataFrame:
+    bought = views.purchases(spark, d)
+    links = bought.select(F.col("id").alias("receipt_id"), F.col("id").alias("purchase_id"))
+    asked = bought.filter("id % 3 = 0").select("id", F.least("user_id", F.lit(5)).alias("user_id"))  # not all are the owner's
+    left, items, linked = buying.delete(bought, views.purchase_items(spark, d), links, asked)
+    a, b, c = left.agg(F.count("*").alias("n_purchases")), items.agg(F.count("*").alias("n_items")), linked.agg(F.count("purchase_id").alias("n_linked"))
+    return a.crossJoin(b).crossJoin(c)
+
+
+@query("SELECT c_custkey AS id FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def missing_owner_anti(spark: SparkSession, d: str) -> DataFrame:
+    buyers = views.read(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return views.read(spark, d, "customer").join(buyers, "c_custkey", "left_anti").select(F.col("c_custkey").alias("id"))
+
+
+@query(
+    """SELECT id AS job_id, 'reports/' || user_id || '/' || replace(lower(report_type), '_', '-') || '/' || printf('%d-%02d', year, month) || '-csv' AS key_start,
+    replace(lower(report_type), '_', '-') || '-' || printf('%d-%02d', year, month) || '.csv' AS download_name FROM report_jobs"""
+)
+def key_and_slug_names(spark: SparkSession, d: str) -> DataFrame:
+    kind, period = scalars.slug(F.col("report_type")), F.format_string("%d-%02d", "year", "month")
+    return views.report_jobs(spark, d).select(F.col("id").alias("job_id"), F.concat(F.lit("reports/"), "user_id", F.lit("/"), kind, F.lit("/"), period, F.lit("-csv")).alias("key_start"), F.concat(kind, F.lit("-"), period, F.lit(".csv")).alias("download_name"))
+
+
+CENTS = "CAST(CAST({} AS DECIMAL(19,2)) * 0.01 AS DECIMAL(19,2))"
+RECEIPTS_SQL = " SELECT o_orderkey AS receipt_id, 'MARKET ' || CASE o_orderkey % 4 WHEN 0 THEN 'NORTH' WHEN 1 THEN 'SOUTH' WHEN 2 THEN 'EAST' ELSE 'WEST' END AS store_name, " + CENTS.format("o_totalprice") + " AS total_amount, CAST(o_orderdate AS DATE) AS purchase_date FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)"
+
+
+@query(RECEIPTS_SQL)
+def receipt_header_parse(spark: SparkSession, d: str) -> DataFrame:
+    return receipts.headers(views.receipt_texts(spark, d))
+
+
+@query(
+    " SELECT l_orderkey AS receipt_id, CAST(line_index + 1 AS INTEGER) AS line_index, upper(p_name) AS title, CAST(CAST(l_quantity AS INTEGER) AS DECIMAL(19,3)) AS quantity, CAST(NULL AS VARCHAR) AS unit, "
+    + CENTS.format("p_retailprice") + " AS unit_price, " + CENTS.format("l_extendedprice") + " AS line_total FROM numbered JOIN part ON l_partkey = p_partkey WHERE l_orderkey IN (SELECT o_orderkey FROM orders)"
+)
+def receipt_line_items(spark: SparkSession, d: str) -> DataFrame:
+    return receipts.items(views.receipt_texts(spark, d)).drop("raw_fragment")
+
+
+@query()
+def receipt_documents_parse(spark: SparkSession, d: str) -> DataFrame:
+    return receipts.headers(views.read(spark, d, "documents").select(F.col("doc_id").alias("receipt_id"), F.col("text").alias("raw_text")))
+
+
+@query(
+    ", h AS (" + RECEIPTS_SQL + """), t AS (SELECT l_orderkey, upper(p_name) AS title FROM numbered JOIN part ON l_partkey = p_partkey WHERE line_index = 0)
+    SELECT receipt_id, p.user_id, t.title, p.category, total_amount AS amount, p.currency, h.purchase_date, h.store_name FROM h JOIN purchases p ON p.id = receipt_id JOIN t ON t.l_orderkey = receipt_id WHERE receipt_id % 4 NOT IN (0, 1)"""
+)
+def receipt_to_purchase(spark: SparkSession, d: str) -> DataFrame:
+    texts = views.receipt_texts(spark, d)
+    key = F.col("id")
+    uploaded = views.purchases(spark, d).select(
+        key.alias("receipt_id"),
+        "user_id",
+        F.when(key % 4 == 0, key).alias("purchase_id"),
+        F.when(key % 4 != 1, F.lower("category")).otherwise("  ").alias("category"),
+        "currency",
+        F.lit("scan.png").alias("original_file_name"),
+        F.col("created_at").alias("uploaded_at"),
+    )
+    return receipts.to_purchases(uploaded, receipts.headers(texts), receipts.items(texts))
