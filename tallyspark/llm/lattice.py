@@ -35,38 +35,43 @@ def start_probabilities(scores: np.ndarray) -> np.ndarray:
 class Lattice:
     """Forward and backward recursions, in log space, over many words at a time.
 
+    A word's arcs are the pieces found in it, followed from each position only as far as some piece goes on.
     Piece ``n`` (one beyond the vocabulary) stands for a byte of a character that has no piece of its own.
     """
 
     def __init__(self, pieces: list[str]):
         self.n = len(pieces)
         self.longest = max(map(len, pieces))
-        self.tables = []
-        points = [np.array([ord(c) for c in p], np.uint64) for p in pieces]
-        keys = np.array([int(np.sum(p * self.base(len(p)), dtype=np.uint64)) for p in points], np.uint64)
-        keys = tx.mix(keys + np.array([len(p) for p in points], np.uint64))
-        left = np.arange(self.n)
-        shift = 0
-        while len(left) and shift + BITS <= 64:  # pieces that meet another in a table go to the next one
-            slots = ((keys[left] >> np.uint64(shift)) & np.uint64((1 << BITS) - 1)).astype(np.int64)
-            own, at = np.unique(slots, return_index=True)
-            ids, held = np.full(1 << BITS, -1, np.int32), np.zeros(1 << BITS, np.uint64)
-            ids[own], held[own] = left[at], keys[left[at]]
-            self.tables.append((np.uint64(shift), ids, held))
-            left = np.delete(left, at)
-            shift += BITS
+        number = {p: i for i, p in enumerate(pieces)}
+        prefixes = sorted({p[:k] for p in pieces for k in range(1, len(p) + 1)})
+        self.piece = np.array([number.get(p, -1) for p in prefixes], np.int64)
+        self.keys = np.array([int(tx.mix(np.array([self.hash(p)], np.uint64) + np.uint64(len(p)))[0]) for p in prefixes], np.uint64)
+        slots = self.slots(self.keys)
+        self.heads = np.full(1 << BITS, -1, np.int32)
+        self.after = np.full(len(prefixes), -1, np.int32)
+        for i, slot in enumerate(slots.tolist()):  # prefixes that share a slot are chained
+            self.after[i], self.heads[slot] = self.heads[slot], i
 
     @staticmethod
-    def base(n: int) -> np.ndarray:
-        return tx.powers(n)[0]
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Pieces of the keys, -1 where there is none."""
-        out = np.full(keys.shape, -1, np.int32)
-        for shift, ids, held in self.tables:
-            slots = ((keys >> shift) & np.uint64((1 << BITS) - 1)).astype(np.int64)
-            out = np.where((held[slots] == keys) & (out < 0), ids[slots], out)
-        return out
+    def hash(text: str) -> np.uint64:
+        points = np.array([ord(c) for c in text], np.uint64)
+        return np.sum(points * tx.powers(len(points))[0], dtype=np.uint64)
+
+    @staticmethod
+    def slots(keys: np.ndarray) -> np.ndarray:
+        return (keys >> np.uint64(64 - BITS)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which keys are prefixes of pieces, and those prefixes."""
+        found = self.heads[self.slots(keys)]
+        at = np.flatnonzero(found >= 0)
+        node = found[at]
+        while True:
+            wrong = np.flatnonzero((node >= 0) & (self.keys[node] != keys[at]))
+            if not len(wrong):
+                break
+            node[wrong] = self.after[node[wrong]]
+        return at[node >= 0], node[node >= 0]
 
     def runs(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(rows, points, lengths): words of similar length as a matrix of code points with the mark in front."""
@@ -85,73 +90,83 @@ class Lattice:
             yield rows, points, lengths[rows]
             a = b
 
-    def arcs(self, points: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-        """By piece length from 1: the piece that begins at each position or -1; and the bytes of characters without one."""
+    def arcs(self, points: np.ndarray, lengths: np.ndarray, log_p: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Row, start, end, piece (``n`` for bytes), how many bytes, and cost of all arcs."""
         width = points.shape[1]
-        base = self.base(self.longest)
-        key = np.zeros(points.shape, np.uint64)
-        out = []
-        for size in range(1, min(self.longest, width) + 1):
-            key = key[:, : width - size + 1] + points[:, size - 1 :] * base[size - 1]
-            out.append(self.find(tx.mix(key + np.uint64(size))))
-        bare = np.where((out[0] < 0) & (points > 0), 1 + (points >= 0x80).astype(int) + (points >= 0x800) + (points >= 0x10000), 0)
-        return out, bare
+        flat = points.ravel()
+        spot = np.flatnonzero((np.arange(width) < lengths[:, None]).ravel())  # where an arc may start
+        room = np.repeat(lengths, lengths) - spot % width
+        base = tx.powers(self.longest)[0]
+        key = np.zeros(len(spot), np.uint64)
+        known = np.zeros(len(flat), bool)
+        parts = []
+        for size in range(1, self.longest + 1):
+            fits = room >= size
+            spot, room, key = spot[fits], room[fits], key[fits]
+            if not len(spot):
+                break
+            key = key + flat[spot + size - 1] * base[size - 1]
+            at, node = self.find(tx.mix(key + np.uint64(size)))
+            if size == 1:
+                everywhere = spot
+            spot, room, key = spot[at], room[at], key[at]
+            piece = self.piece[node]
+            whole = piece >= 0
+            if size == 1:
+                known[spot[whole]] = True
+            parts.append((spot[whole], np.full(whole.sum(), size), piece[whole]))
+        bare = everywhere[~known[everywhere]]
+        code = flat[bare]
+        n_bytes = 1 + (code >= 0x80).astype(np.int64) + (code >= 0x800) + (code >= 0x10000)
+        spot, size, piece = (np.concatenate([p[k] for p in parts] + [x]) for k, x in ((0, bare), (1, np.ones(len(bare), np.int64)), (2, np.full(len(bare), self.n))))
+        n_bytes = np.concatenate([np.ones(len(spot) - len(bare), np.int64), n_bytes])
+        start = spot % width
+        return spot // width, start, start + size, piece, n_bytes, log_p[piece] * n_bytes
+
+    @staticmethod
+    def sweep(known: np.ndarray, row: np.ndarray, source: np.ndarray, target: np.ndarray, cost: np.ndarray, steps: range) -> None:
+        """Fill ``known[:, target]`` step by step with the log of the sum over arcs of exp(known[:, source] + cost)."""
+        order = np.lexsort((row, target))
+        row, source, target, cost = row[order], source[order], target[order], cost[order]
+        bounds = np.searchsorted(target, np.arange(known.shape[1] + 1))
+        for j in steps:
+            a, b = bounds[j], bounds[j + 1]
+            if a == b:
+                continue
+            rows, value = row[a:b], known[row[a:b], source[a:b]] + cost[a:b]
+            first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+            top = np.maximum.reduceat(value, first)
+            shift = np.where(np.isfinite(top), top, 0.0)
+            with np.errstate(divide="ignore"):
+                known[rows[first], j] = shift + np.log(np.add.reduceat(np.exp(value - np.repeat(shift, np.diff(np.append(first, len(rows))))), first))
+
+    def alpha(self, shape: tuple[int, int], arcs: tuple[np.ndarray, ...]) -> np.ndarray:
+        out = np.full((shape[0], shape[1] + 1), NEVER)
+        out[:, 0] = 0.0
+        self.sweep(out, arcs[0], arcs[1], arcs[2], arcs[5], range(1, shape[1] + 1))
+        return out
+
+    def beta(self, shape: tuple[int, int], lengths: np.ndarray, arcs: tuple[np.ndarray, ...]) -> np.ndarray:
+        out = np.full((shape[0], shape[1] + 1), NEVER)
+        out[np.arange(shape[0]), lengths] = 0.0
+        self.sweep(out, arcs[0], arcs[2], arcs[1], arcs[5], range(shape[1] - 1, -1, -1))
+        return out
 
     def forward(self, words: list[str], log_p: np.ndarray) -> np.ndarray:
         """Natural log of each word's probability over all its segmentations."""
         out = np.zeros(len(words))
         for rows, points, lengths in self.runs(words):
-            cost, _, _ = self.costs(points, log_p)
-            out[rows] = self.alpha(cost, points.shape)[np.arange(len(rows)), lengths]
+            out[rows] = self.alpha(points.shape, self.arcs(points, lengths, log_p))[np.arange(len(rows)), lengths]
         return out
 
-    def costs(self, points: np.ndarray, log_p: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-        found, bare = self.arcs(points)
-        padded = np.append(log_p[: self.n], NEVER)
-        cost = [padded[f] for f in found]  # index -1 is the last entry
-        cost[0] = np.where(bare > 0, bare * log_p[self.n], cost[0])
-        return cost, found, bare
-
-    @staticmethod
-    def add(terms: list[np.ndarray]) -> np.ndarray:
-        if len(terms) == 1:
-            return terms[0]
-        stack = np.stack(terms)
-        top = stack.max(axis=0)
-        safe = np.where(np.isfinite(top), top, 0.0)
-        with np.errstate(divide="ignore"):
-            return safe + np.log(np.exp(stack - safe).sum(axis=0))
-
-    def alpha(self, cost: list[np.ndarray], shape: tuple[int, int]) -> np.ndarray:
-        rows, width = shape
-        a = np.full((rows, width + 1), NEVER)
-        a[:, 0] = 0.0
-        for j in range(1, width + 1):
-            a[:, j] = self.add([a[:, j - k] + cost[k - 1][:, j - k] for k in range(1, min(j, len(cost)) + 1)])
-        return a
-
-    def beta(self, cost: list[np.ndarray], shape: tuple[int, int], lengths: np.ndarray) -> np.ndarray:
-        rows, width = shape
-        b = np.full((rows, width + 1), NEVER)
-        b[np.arange(rows), lengths] = 0.0
-        for j in range(width - 1, -1, -1):
-            reach = self.add([cost[k - 1][:, j] + b[:, j + k] for k in range(1, min(width - j, len(cost)) + 1)])
-            b[:, j] = np.where(j < lengths, reach, b[:, j])
-        return b
-
     def expected(self, words: list[str], counts: np.ndarray, log_p: np.ndarray) -> np.ndarray:
         """How often each piece (and byte) is expected to be used in the words, each taken ``counts`` times."""
         total = np.zeros(self.n + 1)
         for rows, points, lengths in self.runs(words):
-            cost, found, bare = self.costs(points, log_p)
-            a, b = self.alpha(cost, points.shape), self.beta(cost, points.shape, lengths)
-            whole = a[np.arange(len(rows)), lengths][:, None]
-            for k in range(1, len(cost) + 1):
-                with np.errstate(invalid="ignore"):
-                    share = np.exp(a[:, : points.shape[1] - k + 1] + cost[k - 1] + b[:, k:] - whole)
-                share = np.nan_to_num(share) * counts[rows][:, None]
-                known = found[k - 1] >= 0
-                total[: self.n] += np.bincount(found[k - 1][known], share[known], self.n)
-                if k == 1:
-                    total[self.n] += (share * bare)[bare > 0].sum()
+            arcs = self.arcs(points, lengths, log_p)
+            a, b = self.alpha(points.shape, arcs), self.beta(points.shape, lengths, arcs)
+            row, start, end, piece, n_bytes, cost = arcs
+            whole = a[np.arange(len(rows)), lengths]
+            share = np.exp(a[row, start] + cost + b[row, end] - whole[row]) * counts[rows][row] * n_bytes
+            total += np.bincount(piece, share, self.n + 1)
         return total

@@ -136,6 +136,7 @@ def blocks(frequent: Callable[[], tuple[np.ndarray, np.ndarray, np.ndarray]], as
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
         known, counts, log_ps = frequent()
+        values = ((counts > 0).astype(np.float64), counts_log(counts), log_ps)
         held: list = []
         size = 0
 
@@ -145,32 +146,25 @@ def blocks(frequent: Callable[[], tuple[np.ndarray, np.ndarray, np.ndarray]], as
             if asking:
                 return pa.RecordBatch.from_pydict({"block": np.full(len(keys), block), "key": keys.view(np.int64)})
             columns = [pa.concat_arrays([pa.array(h[i]) for h in held]) for i in range(1, 6)]
-            lists = []
-            for k, firsts, ns in ((h[0], h[6], h[7]) for h in held):
-                at = np.searchsorted(keys, k).astype(np.uint32)
-                lists.append((at, firsts, ns))
-            indexes = pa.concat_arrays([as_lists(at.tobytes(), f, 4) for at, f, _ in lists])
-            repeats = pa.concat_arrays([as_lists(n.tobytes(), f, 4) for _, f, n in lists])
+            asked = pa.concat_arrays([as_lists(np.searchsorted(keys, h[0]).astype(np.uint32).tobytes(), h[6], 4) for h in held])
             names = ["doc_id", "n_tokens", "n_known", "base", "model"]
-            return pa.RecordBatch.from_pydict({"block": np.full(len(columns[0]), block)} | dict(zip(names, columns, strict=True)) | {"asked": indexes, "times": repeats})
+            return pa.RecordBatch.from_pydict({"block": np.full(len(asked), block)} | dict(zip(names, columns, strict=True)) | {"asked": asked})
 
         for batch in tx.chunks(batches):
             words = tx.Words(*tx.text_bytes(batch.column("text")))
             keys = words.hashes()
-            owner = words.owner()
-            # Distinct words of each text, and how often it has them.
-            order = np.lexsort((keys, owner))
-            k, o = keys[order], owner[order]
-            new = np.ones(len(k), bool)
-            new[1:] = (k[1:] != k[:-1]) | (o[1:] != o[:-1])
-            at = np.flatnonzero(new)
-            k, o, times = k[at], o[at], np.diff(np.append(at, len(k)))
-            place = np.minimum(np.searchsorted(known, k), max(0, len(known) - 1))
-            common = known[place] == k if len(known) else np.zeros(len(k), bool)
-            n = batch.num_rows
-            summed = lambda v: np.bincount(o[common], (times[common] * v[place[common]]) if v is not None else times[common], n)  # noqa: B023, E731
-            rare = ~common
-            held.append((k[rare], batch.column("doc_id"), np.diff(words.first).astype(np.int64), summed((counts > 0).astype(float)).astype(np.int64), summed(counts_log(counts)), summed(log_ps), np.append(0, np.cumsum(np.bincount(o[rare], minlength=n))), times[rare].astype(np.uint32)))
+            if asking:
+                keys = np.unique(keys)
+            place = np.minimum(np.searchsorted(known, keys), max(0, len(known) - 1))
+            common = known[place] == keys if len(known) else np.zeros(len(keys), bool)
+            if asking:
+                held.append((keys[~common],))
+            else:
+                owner, n, place = words.owner(), batch.num_rows, place[common]
+                summed = [np.bincount(owner[common], v[place], n) if len(known) else np.zeros(n) for v in values]
+                rare = ~common
+                first = np.append(0, np.cumsum(np.bincount(owner[rare], minlength=n)))
+                held.append((keys[rare], batch.column("doc_id"), np.diff(words.first).astype(np.int64), summed[0].astype(np.int64), summed[1], summed[2], first))
             size += len(words.raw)
             if size >= BLOCK_BYTES:
                 yield take()
@@ -196,19 +190,17 @@ def answer(_: tuple, docs: pa.Table, words: pa.Table) -> pa.Table:
     keys = words.column("key").to_numpy().view(np.uint64)
     order = np.argsort(keys)
     counts, log_ps = words.column("n").to_numpy()[order], words.column("log_p").to_numpy()[order]
-    asked, times = docs.column("asked").combine_chunks(), docs.column("times").combine_chunks()
-    lengths = np.array([len(x) // 4 for x in asked.to_pylist()], np.int64)
-    at = np.frombuffer(b"".join(asked.to_pylist()), np.uint32)
-    n = np.frombuffer(b"".join(times.to_pylist()), np.uint32).astype(np.float64)
-    first = np.append(0, np.cumsum(lengths))
+    asked = docs.column("asked").to_pylist()
+    at = np.frombuffer(b"".join(asked), np.uint32)
+    first = np.append(0, np.cumsum([len(x) // 4 for x in asked]))
     add = lambda name, values: docs.column(name).to_numpy() + tx.sums(values, first)
     return pa.table(
         {
             "doc_id": docs.column("doc_id"),
             "n_tokens": docs.column("n_tokens"),
-            "n_known": (docs.column("n_known").to_numpy() + tx.sums((n * (counts[at] > 0)), first)).astype(np.int64),
-            "base": add("base", n * counts_log(counts)[at]),
-            "model": add("model", n * log_ps[at]),
+            "n_known": (docs.column("n_known").to_numpy() + tx.sums((counts[at] > 0).astype(np.int64), first)).astype(np.int64),
+            "base": add("base", counts_log(counts)[at]),
+            "model": add("model", log_ps[at]),
         }
     )
 
@@ -248,7 +240,7 @@ def lm_scores(docs: DataFrame, learn: str, vocabulary: str, rounds: int = ROUNDS
     frequent = spark.sparkContext.broadcast((keys[order], top.column("n").to_numpy()[order], top.column("log_p").to_numpy()[order]))
     source = docs.select("doc_id", "text")
     asked = source.mapInArrow(blocks(lambda: frequent.value, True), "block long, key long")
-    held = source.mapInArrow(blocks(lambda: frequent.value, False), "block long, doc_id long, n_tokens long, n_known long, base double, model double, asked binary, times binary")
+    held = source.mapInArrow(blocks(lambda: frequent.value, False), "block long, doc_id long, n_tokens long, n_known long, base double, model double, asked binary")
     answers = asked.join(valued, "key").select("block", "key", "n", "log_p")
     summed = held.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(answer, "doc_id long, n_tokens long, n_known long, base double, model double")
     below = float(np.log10(n_train + 0.5 * (n_distinct + 1)))
