@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tallyspark.functions import scalars
-from tallyspark.operators import dashboard, receipts, reports
+from tallyspark.functions.calculator import calculate
+from tallyspark.operators import dashboard, notices, receipts, reports
 from tallyspark.operators import purchases as buying
 from tallyspark.sources import views
 from tallyspark.sources.views import VIEWS_SQL
@@ -339,3 +341,69 @@ def receipt_to_purchase(spark: SparkSession, d: str) -> DataFrame:
         F.col("created_at").alias("uploaded_at"),
     )
     return receipts.to_purchases(uploaded, receipts.headers(texts), receipts.items(texts))
+
+
+def finished_jobs(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("id")
+    status = F.element_at(F.lit(["DONE", "FAILED", "NEW"]), (key % 3 + 1).cast("int"))
+    return views.report_jobs(spark, d).select("id", "year", "month", "report_type", status.alias("status"), F.when(key % 2 == 0, F.concat(F.lit("reports/"), key)).alias("s3_key"), F.when(key % 6 == 1, "no data").alias("error_message"))
+
+
+FINISHED_SQL = ", finished AS (SELECT id, year, month, report_type, CASE id % 3 WHEN 0 THEN 'DONE' WHEN 1 THEN 'FAILED' ELSE 'NEW' END AS status, CASE WHEN id % 2 = 0 THEN 'reports/' || id END AS s3_key, CASE WHEN id % 6 = 1 THEN 'no data' END AS error_message FROM report_jobs)"
+
+
+@query(
+    FINISHED_SQL
+    + """ SELECT id, status = 'DONE' AND s3_key IS NOT NULL AS ready, CASE WHEN status = 'FAILED' THEN coalesce(error_message, 'Report generation failed') END AS error,
+    CASE WHEN status = 'DONE' AND s3_key IS NOT NULL THEN TIMESTAMP '2024-01-01 00:15:00' END AS expires_at FROM finished"""
+)
+def job_download_contract(spark: SparkSession, d: str) -> DataFrame:
+    return notices.download_contract(finished_jobs(spark, d), F.expr("timestamp_ntz'2024-01-01'")).select("id", "ready", "error", "expires_at")
+
+
+@query(
+    FINISHED_SQL
+    + """, n AS (SELECT id, status, replace(lower(report_type), '_', ' ') AS t, printf('%04d-%02d', year, month) AS p FROM finished WHERE status <> 'NEW')
+    SELECT id, upper(t[1]) || substr(t, 2) || CASE status WHEN 'DONE' THEN ' report is ready: ' ELSE ' report failed: ' END || p AS subject,
+    'Your ' || t || ' report for ' || p || CASE status WHEN 'DONE' THEN ' is attached.' ELSE ' could not be made.' END AS body FROM n"""
+)
+def notification_texts(spark: SparkSession, d: str) -> DataFrame:
+    return notices.notification(finished_jobs(spark, d).filter("status <> 'NEW'")).select("id", "subject", "body")
+
+
+@query(
+    """SELECT o_orderkey AS receipt_id, coalesce(n, 0) AS line_count, CASE WHEN o_orderkey % 2 = 0 THEN p.category WHEN o_orderkey % 3 = 0 THEN 'FOOD' END AS category
+    FROM orders JOIN purchases p ON p.id = o_orderkey LEFT JOIN (SELECT purchase_id, count(*) AS n FROM purchase_items GROUP BY purchase_id) i ON i.purchase_id = o_orderkey"""
+)
+def receipt_summaries(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    scans = views.read(spark, d, "orders").select(key.alias("receipt_id"), F.when(key % 2 == 0, key).alias("purchase_id"), F.when(key % 3 == 0, " food ").otherwise(" ").alias("category"))
+    lines = views.purchase_items(spark, d).select(F.col("purchase_id").alias("receipt_id"))
+    return notices.receipt_summaries(scans, lines, views.purchases(spark, d)).select("receipt_id", "line_count", "category")
+
+
+@query(
+    """, u AS (SELECT id, coalesce(chat_id <> '' AND connected_at IS NOT NULL, FALSE) AS connected FROM users)
+    SELECT id, connected, CASE WHEN NOT connected AND id % 2 = 0 THEN 'tok-' || id || '-2' END AS token, CASE WHEN NOT connected AND id % 2 = 0 THEN TIMESTAMP '2024-03-01' END AS expires_at FROM u"""
+)
+def connection_status(spark: SparkSession, d: str) -> DataFrame:
+    users = views.users(spark, d)
+    at = lambda t: F.expr(f"timestamp_ntz'{t}'")
+    made = users.filter("id % 2 = 0").select(F.col("id").alias("user_id"), F.explode(F.lit([1, 2, 3])).alias("k"))
+    tokens = made.select(
+        "user_id",
+        F.format_string("tok-%d-%d", "user_id", "k").alias("token"),
+        F.when(F.col("k") == 3, at("2024-01-01")).otherwise(at("2024-03-01")).alias("expires_at"),
+        F.expr("cast(null as timestamp_ntz)").alias("used_at"),
+        F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(0, cast(k as int))").alias("created_at"),
+        at("2024-02-01").alias("now"),
+    )
+    return notices.connection_status(users, jobs.pending_tokens(tokens))
+
+
+@query(" SELECT l_orderkey AS id, line_index, CAST(CAST(l_quantity AS INTEGER) * 3 + 1.5 AS DECIMAL(19,2)) AS value FROM numbered")
+def calculated_amounts(spark: SparkSession, d: str) -> DataFrame:
+    lines = views.read(spark, d, "lineitem")
+    place = Window.partitionBy("l_orderkey").orderBy(*lines.columns)
+    typed = F.concat(F.lit("("), F.col("l_quantity").cast("int"), F.lit(" + 0) * 6 / 2 + 1.5"))
+    return lines.select(F.col("l_orderkey").alias("id"), (F.row_number().over(place) - 1).cast("int").alias("line_index"), calculate(typed).alias("value"))
