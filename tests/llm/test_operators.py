@@ -245,7 +245,7 @@ EMAIL, CARD = "john@example.com", "4556737586899855"
 def test_pii():
     plain = f"mail {EMAIL} from 10.0.0.256 or 10.0.0.25 and +1 (555) 123-4567, card {CARD}."
     assert [(KINDS[k], plain[a:b]) for a, k, b in plain_spans(plain)] == [("email", EMAIL), ("ip", "10.0.0.25"), ("phone", "+1 (555) 123-4567"), ("card", CARD)]
-    for disguised in ("john [at] example [dot] com", "john at example dot com", "jоhn@exаmple.com", "j​ohn" and "john＠example.com", "１0.0.0.25", "ten" and "10 dot 0 dot 0 dot 25", "+1 five five five one two three four five six seven"):
+    for disguised in ("john [at] example [dot] com", "john at example dot com", "jоhn@exаmple.com", "john＠example.com", "１０.0.0.25", "10 dot 0 dot 0 dot 25", "+1 five five five one two three four five six seven"):
         text = f"see {disguised} now"
         spans = disguised_spans(text, plain_spans(text))
         assert [text[a:b] for a, _, b in spans] == [disguised], disguised
