@@ -1,7 +1,7 @@
 """Personal data, plain and disguised, with spans in the source text.
 
-Plain e-mail addresses, IP addresses, card and phone numbers are found in the text as it stands. Texts with
-signs of disguise are then run through transducers, each a rewriting of one kind of disguise that keeps, for every
+Plain e-mail addresses, IP addresses, card and phone numbers are found in the text as it stands. All texts
+are then run through transducers, each a rewriting of one kind of disguise that keeps, for every
 character it writes, the source characters that it stands for: look-alike letters, full-width forms and
 other scripts' digits become ASCII, runs of spelled digits become digits, and "(at)", "[dot]", " at " and the
 like become "@" and ".". Identifiers found in the rewritten text are mapped back to source spans; one
@@ -85,6 +85,8 @@ LOOK_ALIKES = {
     ".": "․。｡", "@": "＠﹫", "-": "‐‑‒–−", "+": "＋",
 }
 SINGLE = str.maketrans({x: to for to, many in LOOK_ALIKES.items() for x in many})
+#: All that ``single`` rewrites: the table, full-width forms and other scripts' digits.
+FOREIGN = re.compile(rf"[{''.join(map(re.escape, map(chr, SINGLE)))}！-～]|(?![0-9])\d")
 #: Spelled digits of English, German, French and Spanish. Fixed values.
 SPELLED = {
     "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
@@ -97,15 +99,14 @@ SPELT = "|".join(sorted(SPELLED, key=len, reverse=True))
 SPELT_RUN = re.compile(rf"(?<!\w)(?:(?:{SPELT}|[0-9])(?:[ ,-]{{1,2}}|(?=\W)|\Z)){{3,}}", re.IGNORECASE)
 SPELT_WORD = re.compile(rf"(?<!\w)(?:{SPELT})(?!\w)", re.IGNORECASE)
 PLUS = re.compile(r"(?<!\w)plus\s+(?=[0-9])", re.IGNORECASE)
-BRACKETED_AT = re.compile(r"\s*[\[({<]\s*(?:at|@|arroba|ät)\s*[\])}>]\s*", re.IGNORECASE)
-BRACKETED_DOT = re.compile(r"\s*[\[({<]\s*(?:dot|punkt|point|punto|\.)\s*[\])}>]\s*", re.IGNORECASE)
+# White space in front is only tried from its beginning, so that long runs of it take linear time.
+BRACKETED_AT = re.compile(r"(?:(?<!\s)\s+)?[\[({<]\s*(?:at|@|arroba|ät)\s*[\])}>]\s*", re.IGNORECASE)
+BRACKETED_DOT = re.compile(r"(?:(?<!\s)\s+)?[\[({<]\s*(?:dot|punkt|point|punto|\.)\s*[\])}>]\s*", re.IGNORECASE)
 #: Bare words stand for signs only where the whole reads as an address: name at host dot end.
 BARE = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?P<at>\s+at\s+|@)[A-Za-z0-9-]+(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+)+", re.IGNORECASE)
 BARE_AT, BARE_DOT = re.compile(r"\s+at\s+", re.IGNORECASE), re.compile(r"\s+dot\s+", re.IGNORECASE)
 BARE_LOCAL_DOT = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:\s+dot\s+[A-Za-z0-9_%+-]+)+(?=@)", re.IGNORECASE)
 IP_DOT = re.compile(r"(?<=[0-9])\s+dot\s+(?=[0-9])", re.IGNORECASE)
-#: Texts without any of these are left alone.
-SIGNS = re.compile(rf"[\[({{<]\s*(?:at|dot|@|\.|arroba|ät|punkt|point|punto)\s*[\])}}>]|\bdot\b|[^\u0000-ɏ‒-‧一-鿿가-힯]|(?:\b(?:{SPELT})[ ,-]{{1,2}}){{2}}", re.IGNORECASE)
 
 
 class Rewriting:
@@ -153,10 +154,8 @@ def spelt(text: str) -> Iterator[tuple[int, int, str]]:
 
 
 def disguised_spans(text: str, plain: list[Span]) -> list[Span]:
-    if not SIGNS.search(text):
-        return []
     way = Rewriting(text)
-    way.replace([(i, i + 1, to) for i, c in enumerate(text) if c >= "\x80" and (to := single(c)) != c])
+    way.replace([(m.start(), m.end(), single(m[0])) for m in FOREIGN.finditer(text)] if not text.isascii() else [])
     way.replace(list(spelt(way.text)))
     way.replace([(m.start(), m.end(), "+") for m in PLUS.finditer(way.text)])
     way.replace([(m.start(), m.end(), "@") for m in BRACKETED_AT.finditer(way.text)])
