@@ -1,14 +1,14 @@
 """Line deduplication by an exact set-similarity join.
 
-A line's set is its distinct words, A-Z lower-cased; lines of fewer than ``LEAST_WORDS`` distinct words are
-left alone. Two lines match if ``NUMERATOR / DENOMINATOR`` of their union is in both; of matching lines all but
+A line's set is its distinct words, A-Z lower-cased. Lines without words are left alone, as are those of fewer
+distinct words than a caller asks for (``LEAST_WORDS`` if it does not say; the query and the pipeline take all, 1). Two lines match if ``NUMERATOR / DENOMINATOR`` of their union is in both; of matching lines all but
 the first, by document id, text hash and line number, are removed.
 
 Lines with equal sets form one class at once. A line's words are ordered by rarity, from counts of all lines'
 words in a table of hashed counters whose size is fixed; any order gives right results, a good one gives few
 candidates. Two matching sets share a word within their first n - ceil(t n) + 1 words, so only those are joined by
 word, under the length filter, the positional filter and a bitmap bound on the difference. Words that one class
-alone has in front drop out before the join. Candidates are verified on full sets, so matches are exact.
+alone has in front drop out before the join, as do sets under ``LEAST_JOINED`` words, which match equal sets alone. Candidates are verified on full sets, so matches are exact.
 
 Null or empty text: no lines. Rows of equal id and text keep the same lines. A null id comes first. Columns
 other than doc_id and text are ignored; ``remove_lines`` keeps all and drops documents of which no words are left.
@@ -29,6 +29,8 @@ from tallyspark.llm.common import cut, maybe_in, table
 
 NUMERATOR, DENOMINATOR = 80, 100
 LEAST_WORDS = 5
+#: The least size of a set that can match a different one: n of n + 1 words.
+LEAST_JOINED = -(-NUMERATOR // (DENOMINATOR - NUMERATOR))
 #: Counters that words are counted in; their logarithms, a byte each, are broadcast.
 COUNTERS = 1 << 20
 NEWLINE = np.zeros(256, bool)
@@ -95,16 +97,19 @@ def word_ranks(docs: DataFrame) -> np.ndarray:
     return ranks
 
 
-def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in tx.chunks(batches):
-        lines = Lines(*tx.text_bytes(batch.column("text")), None)
-        a, b = lines.keys()
-        long = np.flatnonzero(lines.n >= LEAST_WORDS)
-        at = pa.array(lines.owner[long])
-        yield pa.RecordBatch.from_pydict({"id": batch.column("id").take(at), "is": batch.column("is").take(at), "number": lines.number[long].astype(np.int32), "key": a[long].view(np.int64), "more": b[long].view(np.int64)})
+def occurrences(least_words: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tx.chunks(batches):
+            lines = Lines(*tx.text_bytes(batch.column("text")), None)
+            a, b = lines.keys()
+            long = np.flatnonzero(lines.n >= max(1, least_words))
+            at = pa.array(lines.owner[long])
+            yield pa.RecordBatch.from_pydict({"id": batch.column("id").take(at), "is": batch.column("is").take(at), "number": lines.number[long].astype(np.int32), "key": a[long].view(np.int64), "more": b[long].view(np.int64)})
+
+    return run
 
 
-def fronts(ranks: Callable[[], np.ndarray]) -> Callable:
+def fronts(ranks: Callable[[], np.ndarray], least_words: int) -> Callable:
     """(word, key, n, place, bits) of the words in front of each line, once a task for lines with equal sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +117,7 @@ def fronts(ranks: Callable[[], np.ndarray]) -> Callable:
         for batch in tx.chunks(batches):
             lines = Lines(*tx.text_bytes(batch.column("text")), ranks())
             keys, _ = lines.keys()
-            fit = np.flatnonzero(lines.n >= LEAST_WORDS)
+            fit = np.flatnonzero(lines.n >= max(LEAST_JOINED, least_words))
             own, first = np.unique(keys[fit], return_index=True)
             new = ~np.isin(own, seen, assume_unique=True)
             chosen = fit[first[new]]
@@ -126,10 +131,10 @@ def fronts(ranks: Callable[[], np.ndarray]) -> Callable:
     return run
 
 
-def candidates(docs: DataFrame) -> DataFrame:
+def candidates(docs: DataFrame, least_words: int) -> DataFrame:
     """(a, b): keys of sets that pass the prefix, length, positional and bitmap filters."""
     ranks = docs.sparkSession.sparkContext.broadcast(word_ranks(docs))
-    rows = docs.select("text").mapInArrow(fronts(lambda: ranks.value), "word long, key long, n int, place int, bits long")
+    rows = docs.select("text").mapInArrow(fronts(lambda: ranks.value, least_words), "word long, key long, n int, place int, bits long")
     same = Window.partitionBy("word")
     shared = rows.select("*", F.min("key").over(same).alias("low"), F.max("key").over(same).alias("high")).filter("low <> high").drop("low", "high")
     # Sizes of matching sets differ by less than this factor, so they lie in the same or in neighbouring steps of it.
@@ -162,9 +167,9 @@ def wanted_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"key": keys[at].view(np.int64), "words": pa.array([lines.hashes[lines.first[i] : lines.first[i + 1]].tobytes() for i in at], pa.binary())})
 
 
-def matches(docs: DataFrame, classes: DataFrame) -> DataFrame:
+def matches(docs: DataFrame, classes: DataFrame, least_words: int) -> DataFrame:
     """(a, b): keys of the sets that match, from their full sets. ``classes`` has the first occurrence of each key."""
-    pairs = cut(candidates(docs))
+    pairs = cut(candidates(docs, least_words))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,15 +187,15 @@ def matches(docs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(one("a", "x"), "a").join(one("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(judge, "a long, b long")
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
+def removed_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """(id, is, numbers, n_links): lines to remove from each document that has any, from 0; and how many other sets its sets match."""
-    lines = cut(identified(docs).mapInArrow(occurrences, "id long, is long, number int, key long, more long"))
+    lines = cut(identified(docs).mapInArrow(occurrences(least_words), "id long, is long, number int, key long, more long"))
     place = F.struct("id", "is", "number")
     classes = cut(lines.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.min("more").alias("low"), F.max("more").alias("high")))
     # Two different sets with one 64-bit key would be told apart by the other hash.
     if not classes.filter("low <> high").isEmpty():
         raise ValueError("two line sets have the same 64-bit key")
-    linked = cut(matches(docs, classes.select("key", "first")))
+    linked = cut(matches(docs, classes.select("key", "first"), least_words))
     both = linked.unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b")))
     firsts = both.join(classes.select(F.col("key").alias("b"), F.col("first").alias("theirs")), "b").groupBy("a").agg(F.min("theirs").alias("theirs"), F.count("*").alias("links"))
     bounds = classes.filter("n > 1").select("key", "first").join(firsts.withColumnRenamed("a", "key"), "key", "full")
@@ -203,9 +208,9 @@ def without(text: Column, numbers: Column) -> Column:
     return F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains(numbers, i)), "\n")
 
 
-def remove_lines(docs: DataFrame) -> DataFrame:
+def remove_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """``docs`` without the later matching lines, and without documents that lose all their words that way."""
-    gone = removed_lines(docs).filter(F.size("numbers") > 0).select(F.col("id").alias("id_"), F.col("is").alias("is_"), F.col("numbers").alias("numbers_"))
+    gone = removed_lines(docs, least_words).filter(F.size("numbers") > 0).select(F.col("id").alias("id_"), F.col("is").alias("is_"), F.col("numbers").alias("numbers_"))
     gone = cut(gone)
     marked = maybe_in(docs.select("*", F.coalesce("doc_id", F.lit(NULL_ID)).alias("id_"), F.xxhash64("text").alias("is_")), gone, "id_", "is_")
     asked = marked.filter("maybe_").join(gone, ["id_", "is_"], "left")
@@ -218,7 +223,7 @@ def remove_lines(docs: DataFrame) -> DataFrame:
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed, n_links (matching other sets of its lines) and the removed lines' numbers from 0."""
     docs = table(spark, sf_dir, "documents")
-    found = removed_lines(docs)
+    found = removed_lines(docs, least_words=1)
     n_lines = F.when(F.coalesce("text", F.lit("")) == "", 0).otherwise(1 + F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))))
     rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.xxhash64("text").alias("is"), n_lines.cast("long").alias("n_lines"))
     joined = rows.join(found, ["id", "is"], "left")
