@@ -12,7 +12,7 @@ Classes are compared in three steps, never all with all. First each class is pai
 one of its bands' groups, which joins a large group of copies by as many pairs as it has members. Verified links
 give components. Groups that then hold more than one component are gone through again: their members are paired with
 the group's first and with the one before, where these lie in other components. What groups still are mixed are compared
-in full: large ones are parted by a second and third band, and blocks of about ``BLOCK`` classes with their texts meet inside a
+in full, whatever their size: blocks of about ``BLOCK`` classes with their texts meet inside a
 task, which verifies the pairs of different components whose estimate is high enough and passes on no more links than it takes
 to join what is linked. Those complete the components.
 
@@ -45,7 +45,7 @@ BANDS = BUCKETS // ROWS
 MANTISSA = 10
 #: Standard errors that an estimate may lie below the threshold before a pair is dropped unverified.
 SLACK = 5
-#: Classes of a block, one or two of which are compared within one task; groups up to PARTED such are not parted by a further band.
+#: Classes of a block, one or two of which are compared within one task; neighbours are sought in parts of about PARTED such.
 BLOCK, PARTED = 1024, 4
 SKETCHED = "doc_id long, is long, n_shingles long, class binary, sketch binary"
 
@@ -255,22 +255,11 @@ def rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
 
 def cross_links(classes: DataFrame, members: DataFrame, docs: DataFrame) -> DataFrame:
     """(a, b): links that join classes that share a band but not yet a component."""
-    most = BLOCK * PARTED
-    kept = members
-    for _ in range(2):  # part large groups by each further band
-        large = members.filter(F.col("size") > most).select("key", "class", "root", "n_shingles")
-        if large.isEmpty():
-            break
-        further = banded(classes.join(large.select("class").distinct(), "class", "left_semi")).select(F.col("key").alias("next"), "class")
-        parted = large.join(further, "class").filter("next <> key").select(F.xxhash64(F.greatest("key", "next"), F.least("key", "next")).alias("key"), "class", "n_shingles", "root").distinct()
-        kept = kept.filter(F.col("size") <= most)
-        members = mixed(parted)
-        kept = kept.unionByName(members)
     n_parts = F.ceil(F.col("size") / BLOCK).cast("int")
-    laid = kept.select("key", "class", "root", F.pmod(F.xxhash64("class"), n_parts).cast("int").alias("part"), (n_parts - 1).alias("last"))
+    laid = members.select("key", "class", "root", F.pmod(F.xxhash64("class"), n_parts).cast("int").alias("part"), (n_parts - 1).alias("last"))
     dealt = laid.select("key", "class", "root", "part", F.explode(F.sequence(F.lit(0), "last")).alias("with"))
     dealt = dealt.select("key", "root", "part", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"), "class")
-    needed = classes.join(kept.select("class").distinct(), "class", "left_semi")
+    needed = classes.join(members.select("class").distinct(), "class", "left_semi")
     full = dealt.join(needed.select("class", "n_shingles", "sketch").join(texts_of(needed, docs), "class"), "class")
     return full.groupBy("key", "i", "j").applyInArrow(compare, "a binary, b binary").distinct()
 
