@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +43,25 @@ def cut(df: DataFrame) -> DataFrame:
 
 #: Bits of the filter that ``maybe_in`` broadcasts: 2 MB at most, whatever is in it.
 FILTER_BITS = 1 << 24
+#: Bits of ``bitmap``: 8 a wanted key, within these bounds (128 KB to 16 MB).
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
+
+
+def bitmap(wanted: DataFrame, key: str) -> np.ndarray:
+    """A bitmap of the keys (a column of longs, taken as unsigned) of ``wanted``, modulo its length, which is at most ``MOST_BITS``.
+
+    The driver holds those bits alone. More keys than bits let more of other keys through, so what is let through must be joined.
+    """
+    n_bits = LEAST_BITS
+    while n_bits < min(MOST_BITS, 8 * wanted.count()):
+        n_bits *= 2
+    spot = F.col(key).bitwiseAND(F.lit(n_bits - 1))
+    packed = wanted.groupBy(F.bitmap_bucket_number(spot + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(spot + 1)).alias("bits"))
+    out = np.zeros(n_bits // 8, np.uint8)
+    for row in packed.toArrow().to_pylist():
+        part = np.frombuffer(row["bits"], np.uint8)[: len(out)]
+        out[(row["bucket"] - 1) * len(part) :][: len(part)] = part
+    return out
 
 
 def maybe_in(rows: DataFrame, wanted: DataFrame, *key: str) -> DataFrame:

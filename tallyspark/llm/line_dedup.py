@@ -4,14 +4,20 @@ A line's set is its distinct words, A-Z lower-cased. Lines without words are lef
 distinct words than a caller asks for (``LEAST_WORDS`` if it does not say; the query and the pipeline take all, 1). Two lines match if ``NUMERATOR / DENOMINATOR`` of their union is in both; of matching lines all but
 the first, by document id, text hash and line number, are removed.
 
-Lines with equal sets form one class at once. A line's words are ordered by rarity, from counts of all lines'
+Lines with equal sets form one class at once, known by two 64-bit hashes. A line's words are ordered by rarity, from counts of all lines'
 words in a table of hashed counters whose size is fixed; any order gives right results, a good one gives few
-candidates. Two matching sets share a word within their first n - ceil(t n) + 1 words, so only those are joined by
-word, under the length filter, the positional filter and a bitmap bound on the difference. Words that one class
-alone has in front drop out before the join, as do sets under ``LEAST_JOINED`` words, which match equal sets alone. Candidates are verified on full sets, so matches are exact.
+candidates. Two matching sets share a word within their first n - ceil(t n) + 1 words. The join has two steps, and
+neither writes out pairs:
+
+1. ``promising``: one small row for each class and front word is dealt by word. Rows of a word that no other row of it could match, by
+   size, position, a parity bitmap of the sets, and the word before (two sets that also share that one meet there), go. Words
+   so frequent that they could fill a task are dealt in parts, and their rows all stay.
+2. ``neighbours``: what stays is joined with its full sets and dealt by word again, large groups in pairs of blocks. A
+   task verifies the pairs of sets whose first word in common is the group's, so that each pair counts once, and returns for each class
+   how many match it there and the first place of those.
 
 Null or empty text: no lines. Rows of equal id and text keep the same lines. A null id comes first. Columns
-other than doc_id and text are ignored; ``remove_lines`` keeps all and drops documents of which no words are left.
+other than doc_id and text are ignored, whatever their names; ``remove_lines`` keeps all and drops documents of which no words are left.
 """
 
 from __future__ import annotations
@@ -22,20 +28,26 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tallyspark.llm import text as tx
-from tallyspark.llm.common import cut, maybe_in, table
+from tallyspark.llm.common import bitmap, cut, maybe_in, table
 
 NUMERATOR, DENOMINATOR = 80, 100
 LEAST_WORDS = 5
 #: The least size of a set that can match a different one: n of n + 1 words.
 LEAST_JOINED = -(-NUMERATOR // (DENOMINATOR - NUMERATOR))
-#: Counters that words are counted in; their logarithms, a byte each, are broadcast.
-COUNTERS = 1 << 20
-NEWLINE = np.zeros(256, bool)
-NEWLINE[10] = True
+#: Counters that words are counted in; of each, the logarithm is broadcast in a byte. They travel in blocks.
+COUNTERS, COUNTER_BLOCK = 1 << 20, 1 << 12
+#: Words whose counter is over so many, and over SHARE times the mean, are dealt in parts of about so many rows.
+FREQUENT, SHARE = 1 << 16, 16
+#: Rows of a word up to which they are tried against each other in ``promising``; of more, all stay.
+TRIED = 1 << 14
+#: Sets of a block; one or two blocks are compared within one task.
+BLOCK = 1024
+#: Rows that are looked at together, pairs likewise, and words of pairs that are verified together.
+ROWS, PAIRS, VERIFIED = 1 << 16, 1 << 20, 1 << 22
 NULL_ID = -(1 << 63)
+PLACE = ("id", "is", "number")
 
 
 class Lines:
@@ -51,12 +63,13 @@ class Lines:
         self.number = np.arange(len(self.owner)) - head[self.owner]
         of_line = np.searchsorted(starts, words.starts, "right") - 1
         hashes = words.hashes()
-        rank = ranks[(hashes % np.uint64(COUNTERS)).astype(np.int64)] if ranks is not None else np.zeros(len(hashes), np.uint8)
-        order = np.lexsort((hashes, rank, of_line))
+        rank = ranks[(hashes % np.uint64(COUNTERS)).astype(np.int64)] if ranks is not None else None
+        order = sorted_words(of_line, rank, hashes)
         line, hashes = of_line[order], hashes[order]
         new = np.ones(len(line), bool)
         new[1:] = (line[1:] != line[:-1]) | (hashes[1:] != hashes[:-1])
         self.line, self.hashes = line[new], hashes[new]
+        self.rank = rank[order][new] if ranks is not None else None
         self.first = np.searchsorted(self.line, np.arange(len(self.owner) + 1))
         self.n = np.diff(self.first)
         self.n_lines = np.bincount(self.owner, minlength=len(offsets) - 1)
@@ -65,13 +78,51 @@ class Lines:
         """Two hashes of each line's set, which do not depend on the order of its words."""
         return tuple(tx.mix(tx.sums(tx.mix(self.hashes ^ np.uint64(salt)), self.first)) for salt in (tx.MIX_1, tx.MIX_2))
 
-    def bits(self) -> np.ndarray:
-        """Of each line, a bit for every word, at a place that depends on the word."""
-        ones = np.uint64(1) << (self.hashes >> np.uint64(58))
-        filled = self.first[:-1][self.n > 0]
-        out = np.zeros(len(self.n), np.uint64)
-        out[self.n > 0] = np.bitwise_or.reduceat(ones, filled) if len(filled) else ones[:0]
-        return out
+
+class Seen:
+    """Keys that a task has had, forgotten when there are many."""
+
+    def __init__(self):
+        self.keys = self.more = np.zeros(0, np.uint64)
+
+    def new(self, keys: np.ndarray, more: np.ndarray) -> np.ndarray:
+        """One row of each key that has not been had."""
+        order = np.lexsort((more, keys))
+        keys, more = keys[order], more[order]
+        first = np.ones(len(keys), bool)
+        first[1:] = (keys[1:] != keys[:-1]) | (more[1:] != more[:-1])
+        if len(self.keys):
+            spot = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            first &= (self.keys[spot] != keys) | (self.more[spot] != more)
+        keys, more = keys[first], more[first]
+        if len(self.keys) < 1 << 20:
+            keys, more = np.append(self.keys, keys), np.append(self.more, more)
+        by_key = np.argsort(keys, kind="stable")
+        self.keys, self.more = keys[by_key], more[by_key]
+        return order[first]
+
+
+def sorted_words(line: np.ndarray, rank: np.ndarray | None, hashes: np.ndarray) -> np.ndarray:
+    """The order of words by line, rank and hash."""
+    if len(line) and line[-1] < 1 << 14:
+        packed = (line.astype(np.uint64) << np.uint64(50)) | (hashes >> np.uint64(14))
+        if rank is not None:
+            packed = (line.astype(np.uint64) << np.uint64(50)) | (rank.astype(np.uint64) << np.uint64(42)) | (hashes >> np.uint64(22))
+        order = np.argsort(packed)
+        alike = np.flatnonzero(packed[order[1:]] == packed[order[:-1]])
+        if (hashes[order[alike]] == hashes[order[alike + 1]]).all():
+            return order
+    return np.lexsort((hashes, np.zeros(len(line), np.uint8) if rank is None else rank, line))
+
+
+def parity(hashes: np.ndarray, first: np.ndarray, shift: int = 58) -> np.ndarray:
+    """Of each set, 64 bits each of which says if an odd number of its words fall there; sets differ in at least as many words as bits."""
+    ones = np.uint64(1) << ((hashes >> np.uint64(shift)) & np.uint64(63))
+    out = np.zeros(len(first) - 1, np.uint64)
+    filled = np.flatnonzero(np.diff(first) > 0)
+    if len(filled):
+        out[filled] = np.bitwise_xor.reduceat(ones, first[:-1][filled])
+    return out
 
 
 def front(n: np.ndarray) -> np.ndarray:
@@ -79,22 +130,44 @@ def front(n: np.ndarray) -> np.ndarray:
     return n - -(-NUMERATOR * n // DENOMINATOR) + 1
 
 
+def common_words(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Words that sets of n and m words must share to match."""
+    return -(-NUMERATOR * (n + m) // (NUMERATOR + DENOMINATOR))
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.xxhash64("text").alias("is"), "text")
+
+
+# --- words and classes
+
+
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(COUNTERS, np.int64)
     for batch in tx.chunks(batches):
         hashes = tx.Words(*tx.text_bytes(batch.column("text"))).hashes()
         total += np.bincount((hashes % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
-    used = np.flatnonzero(total)
-    yield pa.RecordBatch.from_pydict({"counter": used.astype(np.int32), "n": total[used]})
+    yield pa.RecordBatch.from_pydict({"block": np.arange(COUNTERS // COUNTER_BLOCK, dtype=np.int32), "counts": pa.array([x.tobytes() for x in total.reshape(-1, COUNTER_BLOCK)], pa.binary())})
+
 
+def add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The blocks of a task, summed as they come."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, counts in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+            total[block] = total.get(block, 0) + np.frombuffer(counts, np.int64)
+    yield pa.RecordBatch.from_pydict({"block": pa.array(total, pa.int32()), "counts": pa.array([x.tobytes() for x in total.values()], pa.binary())})
 
-def word_ranks(docs: DataFrame) -> np.ndarray:
-    """The logarithm of each counter, in steps of an eighth of a doubling; at most ``COUNTERS`` rows come to the driver."""
-    counts = docs.select("text").mapInArrow(count_words, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n"))
-    rows = counts.select("counter", F.least(F.lit(255), F.floor(8 * F.log2("n"))).cast("short").alias("rank")).toArrow()
-    ranks = np.zeros(COUNTERS, np.uint8)
-    ranks[rows.column("counter").to_numpy()] = rows.column("rank").to_numpy()
-    return ranks
+
+def word_ranks(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """The logarithm of each counter, in steps of an eighth of a doubling, and the least one of frequent words. ``COUNTERS`` numbers come to the driver."""
+    schema = "block int, counts binary"
+    summed = docs.select("text").mapInArrow(count_words, schema).repartition("block").mapInArrow(add_counts, schema)
+    counts = np.zeros(COUNTERS, np.int64)
+    for row in summed.toArrow().to_pylist():
+        counts[row["block"] * COUNTER_BLOCK :][:COUNTER_BLOCK] = np.frombuffer(row["counts"], np.int64)
+    ranks = np.minimum(255, np.floor(8 * np.log2(np.maximum(counts, 1)))).astype(np.uint8)
+    return ranks, int(np.ceil(8 * np.log2(max(FREQUENT, SHARE * counts.mean()))))
 
 
 def occurrences(least_words: int) -> Callable:
@@ -109,98 +182,297 @@ def occurrences(least_words: int) -> Callable:
     return run
 
 
-def fronts(ranks: Callable[[], np.ndarray], least_words: int) -> Callable:
-    """(word, key, n, place, bits) of the words in front of each line, once a task for lines with equal sets."""
+# --- step 1: rows of front words that could match another
+
+
+def fronts(ranks: Callable[[], tuple[np.ndarray, int]], least_words: int) -> Callable:
+    """A row for each front word of each line, once a task for lines with equal sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(0, np.uint64)
+        seen = Seen()
+        table, frequent = ranks()
         for batch in tx.chunks(batches):
-            lines = Lines(*tx.text_bytes(batch.column("text")), ranks())
-            keys, _ = lines.keys()
+            lines = Lines(*tx.text_bytes(batch.column("text")), table)
+            keys, more = lines.keys()
             fit = np.flatnonzero(lines.n >= max(LEAST_JOINED, least_words))
-            own, first = np.unique(keys[fit], return_index=True)
-            new = ~np.isin(own, seen, assume_unique=True)
-            chosen = fit[first[new]]
-            seen = np.union1d(seen, own[new]) if len(seen) < (1 << 20) else own
+            chosen = fit[seen.new(keys[fit], more[fit])]
             many = front(lines.n[chosen])
             place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
             of = np.repeat(chosen, many)
-            word = lines.hashes[lines.first[of] + place]
-            yield pa.RecordBatch.from_pydict({"word": word.view(np.int64), "key": keys[of].view(np.int64), "n": lines.n[of].astype(np.int32), "place": place.astype(np.int32), "bits": lines.bits()[of].view(np.int64)})
+            at = lines.first[of] + place
+            before = np.where(place > 0, lines.hashes[at - 1], np.uint64(0))
+            # A part of about FREQUENT rows of a frequent word; other words have one part, -1.
+            parts = np.exp2((lines.rank[at].astype(np.float64) + 1) / 8) // FREQUENT + 1
+            part = np.where(lines.rank[at] >= frequent, (keys[of] >> np.uint64(33)).astype(np.int64) % parts.astype(np.int64), -1)
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "word": lines.hashes[at].view(np.int64),
+                    "part": part.astype(np.int32),
+                    "key": keys[of].view(np.int64),
+                    "n": lines.n[of].astype(np.int32),
+                    "place": place.astype(np.int32),
+                    "before": before.view(np.int64),
+                    "bits": parity(lines.hashes, lines.first)[of].view(np.int64),
+                }
+            )
 
     return run
 
 
-def candidates(docs: DataFrame, least_words: int) -> DataFrame:
-    """(a, b): keys of sets that pass the prefix, length, positional and bitmap filters."""
-    ranks = docs.sparkSession.sparkContext.broadcast(word_ranks(docs))
-    rows = docs.select("text").mapInArrow(fronts(lambda: ranks.value, least_words), "word long, key long, n int, place int, bits long")
-    same = Window.partitionBy("word")
-    shared = rows.select("*", F.min("key").over(same).alias("low"), F.max("key").over(same).alias("high")).filter("low <> high").drop("low", "high")
-    # Sizes of matching sets differ by less than this factor, so they lie in the same or in neighbouring steps of it.
-    step = F.floor(F.log(F.col("n").cast("double")) / float(np.log(DENOMINATOR / NUMERATOR))).cast("int")
-    shared = cut(shared.distinct().withColumn("step", step))
-    a = shared.select("word", F.col("key").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("bits").alias("ba"), F.explode(F.array("step", F.col("step") - 1)).alias("step"))
-    b = shared.select("word", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("bits").alias("bb"), "step")
-    # a is the larger set, or of equal sets the one with the larger key.
-    larger = (F.col("na") > F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") > F.col("b")))
-    lengths = DENOMINATOR * F.col("nb") >= NUMERATOR * F.col("na")
-    both = F.col("na") + F.col("nb")
-    common = F.ceil(NUMERATOR * both / (NUMERATOR + DENOMINATOR))
-    positional = 1 + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1) >= common
-    # Each bit that differs is a word that only one of the sets has.
-    differing = F.bit_count(F.col("ba").bitwiseXOR(F.col("bb"))) <= both - 2 * common
-    return a.join(b, ["word", "step"]).filter(larger & lengths & positional & differing).select("a", "b").distinct()
+def groups(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """Tables of about ``ROWS`` rows, or of one group; batches come sorted by group, and no group is parted."""
+    held: list[pa.RecordBatch] = []
+
+    def joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+    rows = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < ROWS:
+            continue
+        whole = joined(held)
+        last = np.ones(whole.num_rows, bool)
+        for k in by:
+            column = whole.column(k).to_numpy()
+            last &= column == column[-1]
+        begin = whole.num_rows - int(np.argmin(last[::-1])) if not last.all() else 0
+        if begin:
+            yield whole.slice(0, begin)
+        held = [whole.slice(begin)]
+        # A group that alone fills a table is looked at again when as many more rows have come.
+        rows = whole.num_rows - begin if begin else 0
+    if held and sum(b.num_rows for b in held):
+        yield joined(held)
+
+
+def close_pairs(group: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j), i < j, of one group and near enough in size, in slabs; rows are sorted by group and n."""
+    far = int(n.max()) + 2
+    spot = group * far + n
+    ends = np.searchsorted(spot, group * far + np.minimum(DENOMINATOR * n // NUMERATOR, far - 1), "right")
+    many = ends - np.arange(len(n)) - 1
+    total = np.cumsum(many)
+    row = 0
+    while row < len(n):
+        stop = max(row + 1, int(np.searchsorted(total, (total[row - 1] if row else 0) + PAIRS, "right")))
+        some = many[row:stop]
+        i = np.repeat(np.arange(row, stop), some)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(some) - some, some)
+        if len(i):
+            yield i, j
+        row = stop
+
+
+def group_numbers(*columns: np.ndarray) -> np.ndarray:
+    new = np.zeros(len(columns[0]), bool)
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.cumsum(new)
+
+
+def promising_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, key) of rows that another row of their word could match."""
+    for batch in groups(batches, ("word", "part")):
+        word, part, key, n, place, before, bits = (batch.column(k).to_numpy() for k in ("word", "part", "key", "n", "place", "before", "bits"))
+        order = np.lexsort((bits, before, place, key, n, part, word))
+        word, part, key, n, place, before, bits = (x[order] for x in (word, part, key, n, place, before, bits))
+        new = np.zeros(len(word), bool)
+        new[:1] = True
+        for x in (word, part, key, n, place, before, bits):
+            new[1:] |= x[1:] != x[:-1]
+        word, part, key, n, place, before, bits = (x[new] for x in (word, part, key, n.astype(np.int64), place.astype(np.int64), before, bits))
+        group = group_numbers(word, part)
+        size = np.bincount(group)[group]
+        stays = (part >= 0) | (size > TRIED)
+        tried = np.flatnonzero(~stays & (size > 1))
+        group, n_, place, before, bits = (x[tried] for x in (group, n, place, before, bits.view(np.uint64)))
+        for i, j in close_pairs(group, n_) if len(tried) else ():
+            common = common_words(n_[i], n_[j])
+            fits = np.minimum(n_[i] - place[i], n_[j] - place[j]) >= common
+            fits &= (before[i] != before[j]) | (place[i] == 0) | (place[j] == 0)
+            i, j, common = i[fits], j[fits], common[fits]
+            fits = np.bitwise_count(bits[i] ^ bits[j]) <= n_[i] + n_[j] - 2 * common
+            stays[tried[i[fits]]] = True
+            stays[tried[j[fits]]] = True
+        yield pa.RecordBatch.from_pydict({"word": word[stays], "key": key[stays]})
+
+
+def promising(docs: DataFrame, ranks: Callable[[], tuple[np.ndarray, int]], least_words: int) -> DataFrame:
+    rows = docs.select("text").mapInArrow(fronts(ranks, least_words), "word long, part int, key long, n int, place int, before long, bits long")
+    return rows.repartition("word", "part").sortWithinPartitions("word", "part").mapInArrow(promising_rows, "word long, key long")
+
+
+# --- step 2: full sets, verified
+
+
+def wanted_sets(ranks: Callable[[], tuple[np.ndarray, int]], wanted: Callable[[], np.ndarray]) -> Callable:
+    """(key, more, words) of lines that ``wanted`` may hold, once a task; words in the order of rarity."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Seen()
+        bits = wanted()
+        for batch in tx.chunks(batches):
+            lines = Lines(*tx.text_bytes(batch.column("text")), ranks()[0])
+            keys, more = lines.keys()
+            spot = keys % np.uint64(8 * len(bits))
+            fit = np.flatnonzero((lines.n >= LEAST_JOINED) & ((bits[(spot >> np.uint64(3)).astype(np.int64)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1 == 1))
+            chosen = fit[seen.new(keys[fit], more[fit])]
+            words = pa.array([lines.hashes[lines.first[i] : lines.first[i + 1]].tobytes() for i in chosen], pa.binary())
+            yield pa.RecordBatch.from_pydict({"key": keys[chosen].view(np.int64), "more": more[chosen].view(np.int64), "words": words})
 
-def identified(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.xxhash64("text").alias("is"), "text")
-
+    return run
 
-def wanted_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, words) of the lines that each document is asked for."""
-    for batch in tx.chunks(batches):
-        lines = Lines(*tx.text_bytes(batch.column("text")), None)
-        base = np.searchsorted(lines.owner, np.arange(batch.num_rows))
-        at = [base[d] + k for d, ks in enumerate(batch.column("numbers").to_pylist()) for k in ks]
-        keys, _ = lines.keys()
-        yield pa.RecordBatch.from_pydict({"key": keys[at].view(np.int64), "words": pa.array([lines.hashes[lines.first[i] : lines.first[i + 1]].tobytes() for i in at], pa.binary())})
 
+class Sets:
+    """Sets of words of a table, with words numbered so that a set and a word make one number."""
 
-def matches(docs: DataFrame, classes: DataFrame, least_words: int) -> DataFrame:
-    """(a, b): keys of the sets that match, from their full sets. ``classes`` has the first occurrence of each key."""
-    pairs = cut(candidates(docs, least_words))
+    def __init__(self, words: pa.Array):
+        offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+        raw = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+        self.hashes = np.frombuffer(raw.tobytes(), np.uint64)
+        self.first = (offsets - offsets[0]) // 8
+        self.n = np.diff(self.first)
+        self.owner = np.repeat(np.arange(len(self.n)), self.n)
+        self.place = np.arange(len(self.hashes)) - self.first[self.owner]
+        found, self.number = np.unique(self.hashes, return_inverse=True)
+        self.distinct = len(found)
+
+    def kept(self, place: np.ndarray) -> np.ndarray:
+        """Sorted numbers of (set, word) for the words before ``place`` of each set."""
+        some = self.place < place[self.owner]
+        return np.sort(self.owner[some] * self.distinct + self.number[some])
+
+    def common(self, x: np.ndarray, y: np.ndarray, place: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+        """Of pairs, how many of the words of y before its ``place`` are in x, among ``numbers``."""
+        many = place[y]
+        at = np.repeat(self.first[y], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        asked = np.repeat(x, many) * self.distinct + self.number[at]
+        spot = np.minimum(np.searchsorted(numbers, asked), len(numbers) - 1)
+        return tx.sums((numbers[spot] == asked).astype(np.int64) if len(numbers) else np.zeros(len(asked), np.int64), np.append(0, np.cumsum(many)))
+
+    def table(self, rows: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Sets of ``rows`` by the words, before ``place`` of each set, that at least two of them have."""
+        some = np.concatenate([np.arange(self.first[r], self.first[r] + place[r]) for r in rows]).astype(np.int64)
+        numbers, spot, many = np.unique(self.number[some], return_inverse=True, return_counts=True)
+        column = np.cumsum(many > 1) - 1
+        shared = many[spot] > 1
+        out = np.zeros((len(rows), int((many > 1).sum())), np.float32)
+        out[np.searchsorted(rows, self.owner[some[shared]]), column[spot[shared]]] = 1
+        return out
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            linked = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(DENOMINATOR * common >= NUMERATOR * (len(x) + len(y) - common))
-            yield batch.filter(pa.array(linked, pa.bool_())).select(["a", "b"])
 
-    places = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(classes, "key")
-    asked = cut(places.groupBy("first.id", "first.is").agg(F.collect_set("first.number").alias("numbers")))
-    sets = cut(maybe_in(identified(docs), asked, "id", "is").filter("maybe_").join(asked, ["id", "is"]).select("text", "numbers").mapInArrow(wanted_sets, "key long, words binary").dropDuplicates(["key"]))
-    one = lambda k, v: sets.select(F.col("key").alias(k), F.col("words").alias(v))
-    return pairs.join(one("a", "x"), "a").join(one("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(judge, "a long, b long")
+def verified(sets: Sets, group: np.ndarray, part: np.ndarray, two: np.ndarray, upto: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Matching pairs (x, y) of rows, sorted by group and size, whose first word in common is the group's.
+
+    ``upto`` is the place of the group's word in each set; where ``two`` is true, only rows of different parts are pairs. Large groups are
+    compared as products of tables of words, others pair by pair.
+    """
+    n = sets.n
+    size = np.bincount(group)
+    large = size >= 64
+    for g in np.flatnonzero(large):
+        rows = np.flatnonzero(group == g)
+        whole, before = sets.table(rows, n), sets.table(rows, upto)
+        for a in range(0, len(rows), 512):
+            some = rows[a : a + 512]
+            common = whole[a : a + 512] @ whole.T
+            linked = (DENOMINATOR + NUMERATOR) * common >= NUMERATOR * (n[some][:, None] + n[rows][None, :])
+            linked &= before[a : a + 512] @ before.T == 0
+            linked &= rows[None, :] > some[:, None]
+            if two[rows[0]]:
+                linked &= part[rows][None, :] != part[some][:, None]
+            x, y = np.nonzero(linked)
+            yield some[x], rows[y]
+    small = np.flatnonzero(~large[group])
+    if not len(small):
+        return
+    bits = [parity(sets.hashes, sets.first, s) for s in (58, 52)]
+    all_, before = sets.kept(n), sets.kept(upto)
+    for i, j in close_pairs(group[small], n[small]):
+        x, y = small[i], small[j]
+        common = common_words(n[x], n[y])
+        fits = ~two[x] | (part[x] != part[y])
+        for b in bits:
+            fits &= np.bitwise_count(b[x] ^ b[y]) <= n[x] + n[y] - 2 * common
+        x, y = x[fits], y[fits]
+        ends = np.cumsum(n[y])
+        row = 0
+        while row < len(x):
+            stop = max(row + 1, int(np.searchsorted(ends, (ends[row - 1] if row else 0) + VERIFIED, "right")))
+            a, b = x[row:stop], y[row:stop]
+            first = sets.common(a, b, upto, before) == 0
+            a, b = a[first], b[first]
+            linked = (DENOMINATOR + NUMERATOR) * sets.common(a, b, n, all_) >= NUMERATOR * (n[a] + n[b])
+            yield a[linked], b[linked]
+            row = stop
+
+
+def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each set of a group: how many sets it matches there, and the first place of those."""
+    for batch in groups(batches, ("word", "i", "j")):
+        sets = Sets(batch.column("words"))
+        word, i, j, part, key, more = (batch.column(k).to_numpy() for k in ("word", "i", "j", "part", "key", "more"))
+        is_word = sets.hashes == word.view(np.uint64)[sets.owner]
+        upto = np.full(len(word), -1)
+        upto[sets.owner[is_word]] = sets.place[is_word]
+        order = np.lexsort((more, key, sets.n, j, i, word))
+        new = np.ones(len(order), bool)
+        for k, x in enumerate((word, i, j, key, more)):
+            new[1:] = (x[order[1:]] != x[order[:-1]]) if not k else new[1:] | (x[order[1:]] != x[order[:-1]])
+        # Only a set whose 64-bit key is another's as well lacks the word.
+        order = order[new & (upto[order] >= 0)]
+        batch = batch.take(pa.array(order))
+        if not batch.num_rows:
+            continue
+        sets = Sets(batch.column("words"))
+        word, i, j, part = (x[order] for x in (word, i, j, part))
+        place = [batch.column(k).to_numpy() for k in PLACE]
+        by_place = np.lexsort(place[::-1])
+        rank = np.empty(len(order), np.int64)
+        rank[by_place] = np.arange(len(order))
+        links, least = np.zeros(len(order), np.int64), np.full(len(order), len(order))
+        for x, y in verified(sets, group_numbers(word, i, j), part, i != j, upto[order]):
+            links += np.bincount(x, minlength=len(links)) + np.bincount(y, minlength=len(links))
+            np.minimum.at(least, x, rank[y])
+            np.minimum.at(least, y, rank[x])
+        found = np.flatnonzero(links)
+        theirs = batch.take(pa.array(by_place[least[found]]))
+        yield pa.RecordBatch.from_pydict({"key": batch.column("key").take(pa.array(found)), "more": batch.column("more").take(pa.array(found)), "links": links[found], **{k: theirs.column(k) for k in PLACE}})
+
+
+def neighbours(docs: DataFrame, classes: DataFrame, least_words: int) -> DataFrame:
+    """(key, more, links, theirs): how many sets match each set that any does, and the first place of those. ``classes`` has the first place of each set."""
+    shared = docs.sparkSession.sparkContext.broadcast(word_ranks(docs))
+    ranks = lambda: shared.value
+    rows = cut(promising(docs, ranks, least_words))
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(rows, "key"))
+    sets = docs.select("text").mapInArrow(wanted_sets(ranks, lambda: bits.value), "key long, more long, words binary").dropDuplicates(["key", "more"])
+    placed = sets.join(classes.select("key", "more", "first"), ["key", "more"])
+    large = rows.groupBy("word").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")).filter("parts > 1")
+    laid = rows.join(large, "word", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    laid = laid.withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    dealt = laid.select("word", "key", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("with"))
+    dealt = dealt.select("word", "key", "part", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"))
+    full = dealt.join(placed, "key").select("word", "i", "j", "part", "key", "more", "first.id", "first.is", "first.number", "words")
+    found = full.repartition("word", "i", "j").sortWithinPartitions("word", "i", "j").mapInArrow(compare, "key long, more long, links long, id long, is long, number int")
+    return found.groupBy("key", "more").agg(F.sum("links").alias("links"), F.min(F.struct(*PLACE)).alias("theirs"))
+
+
+# --- lines to remove
 
 
 def removed_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """(id, is, numbers, n_links): lines to remove from each document that has any, from 0; and how many other sets its sets match."""
     lines = cut(identified(docs).mapInArrow(occurrences(least_words), "id long, is long, number int, key long, more long"))
-    place = F.struct("id", "is", "number")
-    classes = cut(lines.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.min("more").alias("low"), F.max("more").alias("high")))
-    # Two different sets with one 64-bit key would be told apart by the other hash.
-    if not classes.filter("low <> high").isEmpty():
-        raise ValueError("two line sets have the same 64-bit key")
-    linked = cut(matches(docs, classes.select("key", "first"), least_words))
-    both = linked.unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    firsts = both.join(classes.select(F.col("key").alias("b"), F.col("first").alias("theirs")), "b").groupBy("a").agg(F.min("theirs").alias("theirs"), F.count("*").alias("links"))
-    bounds = classes.filter("n > 1").select("key", "first").join(firsts.withColumnRenamed("a", "key"), "key", "full")
-    bounds = bounds.join(classes.select("key", F.col("first").alias("own")), "key").select("key", F.least("own", F.coalesce("theirs", "own")).alias("bound"), F.coalesce("links", F.lit(0)).alias("links"))
-    later = lines.join(bounds, "key").withColumn("gone", place > F.col("bound"))
+    place = F.struct(*PLACE)
+    classes = cut(lines.groupBy("key", "more").agg(F.min(place).alias("first"), F.count("*").alias("n")))
+    bounds = classes.join(neighbours(docs, classes, least_words), ["key", "more"], "left").filter("n > 1 or links is not null")
+    bounds = bounds.select("key", "more", F.least("first", F.coalesce("theirs", "first")).alias("bound"), F.coalesce("links", F.lit(0)).alias("links"))
+    later = lines.join(bounds, ["key", "more"]).withColumn("gone", place > F.col("bound"))
     return later.groupBy("id", "is").agg(F.sort_array(F.collect_set(F.when(F.col("gone"), F.col("number")))).alias("numbers"), F.sum("links").alias("n_links"))
 
 
