@@ -40,6 +40,8 @@ LEAST_JOINED = -(-NUMERATOR // (DENOMINATOR - NUMERATOR))
 COUNTERS, COUNTER_BLOCK = 1 << 20, 1 << 12
 #: Words whose counter is over so many, and over SHARE times the mean, are dealt in parts of about so many rows.
 FREQUENT, SHARE = 1 << 16, 16
+#: The largest size and place that a row of a front word can tell.
+FULL = (1 << 14) - 1
 #: Rows of a word up to which they are tried against each other in ``promising``; of more, all stay.
 TRIED = 1 << 14
 #: Sets of a block; one or two blocks are compared within one task.
@@ -115,14 +117,20 @@ def sorted_words(line: np.ndarray, rank: np.ndarray | None, hashes: np.ndarray)
     return np.lexsort((hashes, np.zeros(len(line), np.uint8) if rank is None else rank, line))
 
 
-def parity(hashes: np.ndarray, first: np.ndarray, shift: int = 58) -> np.ndarray:
-    """Of each set, 64 bits each of which says if an odd number of its words fall there; sets differ in at least as many words as bits."""
-    ones = np.uint64(1) << ((hashes >> np.uint64(shift)) & np.uint64(63))
-    out = np.zeros(len(first) - 1, np.uint64)
+def parity(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each set, 128 bits each of which says if an odd number of its words fall there; sets differ in at least as many words as bits."""
     filled = np.flatnonzero(np.diff(first) > 0)
-    if len(filled):
-        out[filled] = np.bitwise_xor.reduceat(ones, first[:-1][filled])
-    return out
+    spot = hashes >> np.uint64(57)
+    ones = np.uint64(1) << (spot & np.uint64(63))
+    out = np.zeros((2, len(first) - 1), np.uint64)
+    for k in range(2) if len(filled) else ():
+        out[k, filled] = np.bitwise_xor.reduceat(np.where(spot >> np.uint64(6) == k, ones, np.uint64(0)), first[:-1][filled])
+    return out[0], out[1]
+
+
+def apart(x: tuple[np.ndarray, ...], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Bits in which the parities of sets i and j differ."""
+    return sum(np.bitwise_count(k[i] ^ k[j]).astype(np.int64) for k in x)
 
 
 def front(n: np.ndarray) -> np.ndarray:
@@ -186,7 +194,11 @@ def occurrences(least_words: int) -> Callable:
 
 
 def fronts(ranks: Callable[[], tuple[np.ndarray, int]], least_words: int) -> Callable:
-    """A row for each front word of each line, once a task for lines with equal sets."""
+    """A row for each front word of each line, once a task for lines with equal sets.
+
+    ``spot`` has, from the top, 36 bits of a hash that the row is dealt by, then 14 each for the size of the set and the place of the word. A
+    size of ``FULL`` stands for all from there on, and for rows of frequent words.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Seen()
@@ -201,26 +213,23 @@ def fronts(ranks: Callable[[], tuple[np.ndarray, int]], least_words: int) -> Cal
             of = np.repeat(chosen, many)
             at = lines.first[of] + place
             before = np.where(place > 0, lines.hashes[at - 1], np.uint64(0))
-            # A part of about FREQUENT rows of a frequent word; other words have one part, -1.
-            parts = np.exp2((lines.rank[at].astype(np.float64) + 1) / 8) // FREQUENT + 1
-            part = np.where(lines.rank[at] >= frequent, (keys[of] >> np.uint64(33)).astype(np.int64) % parts.astype(np.int64), -1)
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "word": lines.hashes[at].view(np.int64),
-                    "part": part.astype(np.int32),
-                    "key": keys[of].view(np.int64),
-                    "n": lines.n[of].astype(np.int32),
-                    "place": place.astype(np.int32),
-                    "before": before.view(np.int64),
-                    "bits": parity(lines.hashes, lines.first)[of].view(np.int64),
-                }
-            )
+            # A part of about FREQUENT rows of a frequent word; other words have one part.
+            often = np.flatnonzero(lines.rank[at] >= frequent)
+            parts = (np.exp2((lines.rank[at[often]].astype(np.float64) + 1) / 8) // FREQUENT + 1).astype(np.uint64)
+            word = lines.hashes[at]
+            dealt = tx.mix(word)
+            dealt[often] = tx.mix(word[often] + np.uint64(tx.BASE) * (keys[of[often]] % parts))
+            n = np.minimum(lines.n[of], FULL).astype(np.uint64)
+            n[often] = FULL
+            low, high = (x[of] for x in parity(lines.hashes, lines.first))
+            columns = {"spot": (dealt >> np.uint64(28) << np.uint64(28)) | (n << np.uint64(14)) | np.minimum(place, FULL).astype(np.uint64), "word": word, "key": keys[of], "before": before, "low": low, "high": high}
+            yield pa.RecordBatch.from_pydict({k: v.view(np.int64) for k, v in columns.items()})
 
     return run
 
 
-def groups(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
-    """Tables of about ``ROWS`` rows, or of one group; batches come sorted by group, and no group is parted."""
+def groups(batches: Iterator[pa.RecordBatch], shift: int) -> Iterator[pa.RecordBatch]:
+    """Tables of about ``ROWS`` rows, or of one group; batches come sorted by ``spot``, and no group, which is spot without its last ``shift`` bits, is parted."""
     held: list[pa.RecordBatch] = []
 
     def joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -235,10 +244,8 @@ def groups(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[p
         if rows < ROWS:
             continue
         whole = joined(held)
-        last = np.ones(whole.num_rows, bool)
-        for k in by:
-            column = whole.column(k).to_numpy()
-            last &= column == column[-1]
+        spot = whole.column("spot").to_numpy() >> shift
+        last = spot == spot[-1]
         begin = whole.num_rows - int(np.argmin(last[::-1])) if not last.all() else 0
         if begin:
             yield whole.slice(0, begin)
@@ -276,34 +283,36 @@ def group_numbers(*columns: np.ndarray) -> np.ndarray:
 
 def promising_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word, key) of rows that another row of their word could match."""
-    for batch in groups(batches, ("word", "part")):
-        word, part, key, n, place, before, bits = (batch.column(k).to_numpy() for k in ("word", "part", "key", "n", "place", "before", "bits"))
-        order = np.lexsort((bits, before, place, key, n, part, word))
-        word, part, key, n, place, before, bits = (x[order] for x in (word, part, key, n, place, before, bits))
-        new = np.zeros(len(word), bool)
+    names = ("spot", "word", "key", "before", "low", "high")
+    for batch in groups(batches, 28):
+        columns = [batch.column(k).to_numpy().view(np.uint64) for k in names]
+        order = np.lexsort((columns[2], columns[0]))
+        columns = [c[order] for c in columns]
+        new = np.zeros(len(order), bool)
         new[:1] = True
-        for x in (word, part, key, n, place, before, bits):
-            new[1:] |= x[1:] != x[:-1]
-        word, part, key, n, place, before, bits = (x[new] for x in (word, part, key, n.astype(np.int64), place.astype(np.int64), before, bits))
-        group = group_numbers(word, part)
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        spot, word, key, before, low, high = (c[new] for c in columns)
+        n, place = ((spot >> np.uint64(s)).astype(np.int64) & FULL for s in (14, 0))
+        group = group_numbers(spot >> np.uint64(28))
         size = np.bincount(group)[group]
-        stays = (part >= 0) | (size > TRIED)
+        stays = (n == FULL) | (size > TRIED)
         tried = np.flatnonzero(~stays & (size > 1))
-        group, n_, place, before, bits = (x[tried] for x in (group, n, place, before, bits.view(np.uint64)))
-        for i, j in close_pairs(group, n_) if len(tried) else ():
-            common = common_words(n_[i], n_[j])
-            fits = np.minimum(n_[i] - place[i], n_[j] - place[j]) >= common
+        group, n, place, before, low, high = (x[tried] for x in (group, n, place, before, low, high))
+        for i, j in close_pairs(group, n) if len(tried) else ():
+            common = common_words(n[i], n[j])
+            fits = np.minimum(n[i] - place[i], n[j] - place[j]) >= common
             fits &= (before[i] != before[j]) | (place[i] == 0) | (place[j] == 0)
             i, j, common = i[fits], j[fits], common[fits]
-            fits = np.bitwise_count(bits[i] ^ bits[j]) <= n_[i] + n_[j] - 2 * common
+            fits = apart((low, high), i, j) <= n[i] + n[j] - 2 * common
             stays[tried[i[fits]]] = True
             stays[tried[j[fits]]] = True
-        yield pa.RecordBatch.from_pydict({"word": word[stays], "key": key[stays]})
+        yield pa.RecordBatch.from_pydict({"word": word[stays].view(np.int64), "key": key[stays].view(np.int64)})
 
 
 def promising(docs: DataFrame, ranks: Callable[[], tuple[np.ndarray, int]], least_words: int) -> DataFrame:
-    rows = docs.select("text").mapInArrow(fronts(ranks, least_words), "word long, part int, key long, n int, place int, before long, bits long")
-    return rows.repartition("word", "part").sortWithinPartitions("word", "part").mapInArrow(promising_rows, "word long, key long")
+    rows = docs.select("text").mapInArrow(fronts(ranks, least_words), "spot long, word long, key long, before long, low long, high long")
+    return rows.repartition(F.shiftright("spot", 28)).sortWithinPartitions("spot").mapInArrow(promising_rows, "word long, key long")
 
 
 # --- step 2: full sets, verified
@@ -390,14 +399,12 @@ def verified(sets: Sets, group: np.ndarray, part: np.ndarray, two: np.ndarray, u
     small = np.flatnonzero(~large[group])
     if not len(small):
         return
-    bits = [parity(sets.hashes, sets.first, s) for s in (58, 52)]
+    bits = parity(sets.hashes, sets.first)
     all_, before = sets.kept(n), sets.kept(upto)
     for i, j in close_pairs(group[small], n[small]):
         x, y = small[i], small[j]
         common = common_words(n[x], n[y])
-        fits = ~two[x] | (part[x] != part[y])
-        for b in bits:
-            fits &= np.bitwise_count(b[x] ^ b[y]) <= n[x] + n[y] - 2 * common
+        fits = (~two[x] | (part[x] != part[y])) & (apart(bits, x, y) <= n[x] + n[y] - 2 * common)
         x, y = x[fits], y[fits]
         ends = np.cumsum(n[y])
         row = 0
@@ -413,7 +420,7 @@ def verified(sets: Sets, group: np.ndarray, part: np.ndarray, two: np.ndarray, u
 
 def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each set of a group: how many sets it matches there, and the first place of those."""
-    for batch in groups(batches, ("word", "i", "j")):
+    for batch in groups(batches, 0):
         sets = Sets(batch.column("words"))
         word, i, j, part, key, more = (batch.column(k).to_numpy() for k in ("word", "i", "j", "part", "key", "more"))
         is_word = sets.hashes == word.view(np.uint64)[sets.owner]
@@ -444,11 +451,11 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"key": batch.column("key").take(pa.array(found)), "more": batch.column("more").take(pa.array(found)), "links": links[found], **{k: theirs.column(k) for k in PLACE}})
 
 
-def neighbours(docs: DataFrame, classes: DataFrame, least_words: int) -> DataFrame:
-    """(key, more, links, theirs): how many sets match each set that any does, and the first place of those. ``classes`` has the first place of each set."""
-    shared = docs.sparkSession.sparkContext.broadcast(word_ranks(docs))
-    ranks = lambda: shared.value
-    rows = cut(promising(docs, ranks, least_words))
+def neighbours(docs: DataFrame, rows: DataFrame, ranks: Callable, classes: DataFrame) -> DataFrame:
+    """(key, more, links, theirs): how many sets match each set that any does, and the first place of those.
+
+    ``rows`` are the promising ones; ``classes`` has the first place of each of their sets.
+    """
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(rows, "key"))
     sets = docs.select("text").mapInArrow(wanted_sets(ranks, lambda: bits.value), "key long, more long, words binary").dropDuplicates(["key", "more"])
     placed = sets.join(classes.select("key", "more", "first"), ["key", "more"])
@@ -457,8 +464,8 @@ def neighbours(docs: DataFrame, classes: DataFrame, least_words: int) -> DataFra
     laid = laid.withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
     dealt = laid.select("word", "key", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("with"))
     dealt = dealt.select("word", "key", "part", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"))
-    full = dealt.join(placed, "key").select("word", "i", "j", "part", "key", "more", "first.id", "first.is", "first.number", "words")
-    found = full.repartition("word", "i", "j").sortWithinPartitions("word", "i", "j").mapInArrow(compare, "key long, more long, links long, id long, is long, number int")
+    full = dealt.join(placed, "key").select(F.xxhash64("word", "i", "j").alias("spot"), "word", "i", "j", "part", "key", "more", "first.id", "first.is", "first.number", "words")
+    found = full.repartition("spot").sortWithinPartitions("spot").mapInArrow(compare, "key long, more long, links long, id long, is long, number int")
     return found.groupBy("key", "more").agg(F.sum("links").alias("links"), F.min(F.struct(*PLACE)).alias("theirs"))
 
 
@@ -468,10 +475,16 @@ def neighbours(docs: DataFrame, classes: DataFrame, least_words: int) -> DataFra
 def removed_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """(id, is, numbers, n_links): lines to remove from each document that has any, from 0; and how many other sets its sets match."""
     lines = cut(identified(docs).mapInArrow(occurrences(least_words), "id long, is long, number int, key long, more long"))
+    shared = docs.sparkSession.sparkContext.broadcast(word_ranks(docs))
+    ranks = lambda: shared.value
+    rows = cut(promising(docs, ranks, least_words))
     place = F.struct(*PLACE)
-    classes = cut(lines.groupBy("key", "more").agg(F.min(place).alias("first"), F.count("*").alias("n")))
-    bounds = classes.join(neighbours(docs, classes, least_words), ["key", "more"], "left").filter("n > 1 or links is not null")
-    bounds = bounds.select("key", "more", F.least("first", F.coalesce("theirs", "first")).alias("bound"), F.coalesce("links", F.lit(0)).alias("links"))
+    classes = lines.groupBy("key", "more").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    # Sets that occur once and that no other could match go no further.
+    classes = cut(maybe_in(classes, rows, "key").filter("n > 1 or maybe_").drop("maybe_"))
+    bounds = classes.join(neighbours(docs, rows, ranks, classes), ["key", "more"], "left").filter("n > 1 or links is not null")
+    bounds = cut(bounds.select("key", "more", F.least("first", F.coalesce("theirs", "first")).alias("bound"), F.coalesce("links", F.lit(0)).alias("links")))
+    lines = maybe_in(lines, bounds, "key").filter("maybe_").drop("maybe_")
     later = lines.join(bounds, ["key", "more"]).withColumn("gone", place > F.col("bound"))
     return later.groupBy("id", "is").agg(F.sort_array(F.collect_set(F.when(F.col("gone"), F.col("number")))).alias("numbers"), F.sum("links").alias("n_links"))
 

@@ -7,6 +7,7 @@ UTF-8 never uses ASCII bytes inside a longer character, so ASCII separators can
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,10 @@ MIX_1, MIX_2 = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 #: Bytes that part words where a word is ``[^\x20\x09-\x0D]+``.
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
+#: The first bytes of eight, by how many.
+HEAD = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+#: Bytes of a word that are hashed along with other words'; the rest of longer ones is hashed word by word.
+LONG_WORD = 64
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
@@ -74,7 +79,7 @@ class Words:
 
     def __init__(self, raw: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACES):
         self.raw, self.offsets = raw, offsets
-        inside = ~separators[raw]
+        inside = (raw != 0x20) & (raw - np.uint8(9) > 4) if separators is SPACES else ~separators[raw]
         edge = np.zeros(len(raw) + 1, bool)
         edge[offsets] = True
         before = np.empty(len(raw), bool)
@@ -93,10 +98,24 @@ class Words:
         """A 64-bit hash of each word, with A-Z lower-cased unless ``lower`` is false."""
         if not len(self.starts):
             return np.zeros(0, np.uint64)
-        power, inverse = powers(len(self.raw))
-        values = ((LOWER[self.raw] if lower else self.raw).astype(np.uint64) + np.uint64(1)) * power
-        values[~self.inside] = 0
-        return mix(np.add.reduceat(values, self.starts) * inverse[self.starts])
+        data = np.zeros(len(self.raw) + 8, np.uint8)
+        data[:-8] = self.raw
+        if lower:
+            data[:-8] += (self.raw - np.uint8(65) < 26).view(np.uint8) << np.uint8(5)
+        # Eight bytes from each place; of those at a word's begin, what is behind its end is masked.
+        eight = np.ndarray(len(self.raw) + 1, "<u8", data, strides=(1,))
+        size = self.ends - self.starts
+        out = mix((eight[self.starts] & HEAD[np.minimum(size, 8)]) + size.astype(np.uint64) * np.uint64(BASE))
+        at = np.flatnonzero(size > 8)
+        done = 8
+        while len(at) and done < LONG_WORD:
+            out[at] = mix(out[at] * np.uint64(BASE) ^ (eight[self.starts[at] + done] & HEAD[np.minimum(size[at] - done, 8)]))
+            done += 8
+            at = at[size[at] > done]
+        for i in at:
+            rest = hashlib.blake2b(data[self.starts[i] + done : self.ends[i]].tobytes(), digest_size=8).digest()
+            out[i] ^= np.frombuffer(rest, np.uint64)[0]
+        return out
 
     def owner(self) -> np.ndarray:
         """The text of each word."""
