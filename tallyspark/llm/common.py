@@ -28,6 +28,20 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+#: What stands for a null document id; it comes before all others.
+NULL_ID = -(1 << 63)
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """``docs`` with all columns in a struct, doc, which no name of theirs can clash with, and id (never null) and is (a hash of the text), which tell rows of different texts apart."""
+    return docs.select(F.struct(*(F.col(f"`{k}`") for k in docs.columns)).alias("doc"), F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.xxhash64("text").alias("is"))
+
+
+def unpacked(rows: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The columns of what ``packed`` gave, some ``changed``."""
+    return rows.select(*(changed[k].alias(k) if k in changed else F.col("doc")[k].alias(k) for k in columns))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it from there."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

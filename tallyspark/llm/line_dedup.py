@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm import text as tx
-from tallyspark.llm.common import bitmap, cut, maybe_in, table
+from tallyspark.llm.common import NULL_ID, bitmap, cut, maybe_in, packed, table, unpacked
 
 NUMERATOR, DENOMINATOR = 80, 100
 LEAST_WORDS = 5
@@ -48,7 +48,6 @@ TRIED = 1 << 14
 BLOCK = 1024
 #: Rows that are looked at together, pairs likewise, and words of pairs that are verified together.
 ROWS, PAIRS, VERIFIED = 1 << 16, 1 << 20, 1 << 22
-NULL_ID = -(1 << 63)
 PLACE = ("id", "is", "number")
 
 
@@ -495,14 +494,13 @@ def without(text: Column, numbers: Column) -> Column:
 
 def remove_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """``docs`` without the later matching lines, and without documents that lose all their words that way."""
-    gone = removed_lines(docs, least_words).filter(F.size("numbers") > 0).select(F.col("id").alias("id_"), F.col("is").alias("is_"), F.col("numbers").alias("numbers_"))
-    gone = cut(gone)
-    marked = maybe_in(docs.select("*", F.coalesce("doc_id", F.lit(NULL_ID)).alias("id_"), F.xxhash64("text").alias("is_")), gone, "id_", "is_")
-    asked = marked.filter("maybe_").join(gone, ["id_", "is_"], "left")
-    left = F.when(F.col("numbers_").isNull(), F.col("text")).otherwise(without(F.col("text"), F.col("numbers_")))
-    kept = F.col("numbers_").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    changed = asked.withColumn("text", left).filter(kept).select(docs.columns)
-    return marked.filter("not maybe_").select(docs.columns).unionByName(changed)
+    gone = cut(removed_lines(docs, least_words).filter(F.size("numbers") > 0).select("id", "is", "numbers"))
+    marked = maybe_in(packed(docs), gone, "id", "is")
+    asked = marked.filter("maybe_").join(gone, ["id", "is"], "left")
+    text = F.col("doc.text")
+    asked = asked.withColumn("left", F.when(F.col("numbers").isNull(), text).otherwise(without(text, F.col("numbers"))))
+    changed = asked.filter(F.col("numbers").isNull() | F.col("left").rlike(r"[^\x20\x09-\x0D]"))
+    return unpacked(marked.filter("not maybe_"), docs.columns).unionByName(unpacked(changed, docs.columns, text=F.col("left")))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyspark.llm import text as tx
-from tallyspark.llm.common import cut, maybe_in, table
+from tallyspark.llm.common import NULL_ID, cut, maybe_in, packed, table, unpacked
 from tallyspark.llm.components import components
 
 SHINGLE = 5
@@ -206,7 +206,7 @@ def texts_of(classes: DataFrame, docs: DataFrame) -> DataFrame:
 
 def identified(docs: DataFrame, *keep: str) -> DataFrame:
     """id (never null) and a hash of the text, which together tell rows of different texts apart."""
-    return docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.xxhash64("text").alias("is"), "text", *keep)
+    return docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.xxhash64("text").alias("is"), "text", *keep)
 
 
 def compare(_: tuple, group: pa.Table) -> pa.Table:
@@ -268,7 +268,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, is (hash of its text), n_shingles, component_id and kept."""
     marked = docs.select("doc_id", F.xxhash64("text").alias("is"), "text")
     sketched = cut(marked.mapInArrow(sketches, SKETCHED))
-    rep = F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), "is")).alias("rep")
+    rep = F.min(F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "is")).alias("rep")
     classes = cut(sketched.filter("class is not null").groupBy("class").agg(rep, F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")))
     bands = banded(classes)
     links = cut(verified(cut(likely(leader_pairs(bands), classes)), classes, docs))
@@ -292,14 +292,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One document of each component, with all columns of ``docs``; of equal rows one stays, unless they have no words."""
-    found = cut(near_duplicates(docs))
-    gone = found.filter(~F.col("kept")).select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id_"), F.col("is").alias("is_")).distinct()
-    twice = found.filter("kept and n_shingles > 0").groupBy(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id_"), F.col("is").alias("is_")).agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    touched = cut(gone.withColumn("gone_", F.lit(True)).unionByName(twice.withColumn("gone_", F.lit(False))))
-    marked = maybe_in(docs.select("*", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id_"), F.xxhash64("text").alias("is_")), touched, "id_", "is_")
-    asked = marked.filter("maybe_").join(touched, ["id_", "is_"], "left")
-    single = asked.filter("gone_ is null").unionByName(asked.filter("not gone_").dropDuplicates(["id_", "is_"]))
-    return marked.filter("not maybe_").select(docs.columns).unionByName(single.select(docs.columns))
+    found = cut(near_duplicates(docs).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "is", "n_shingles", "kept"))
+    gone = found.filter("not kept").select("id", "is").distinct()
+    twice = found.filter("kept and n_shingles > 0").groupBy("id", "is").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    touched = cut(gone.withColumn("gone", F.lit(True)).unionByName(twice.withColumn("gone", F.lit(False))))
+    marked = maybe_in(packed(docs), touched, "id", "is")
+    asked = marked.filter("maybe_").join(touched, ["id", "is"], "left")
+    single = asked.filter("gone is null").unionByName(asked.filter("not gone").dropDuplicates(["id", "is"]))
+    return unpacked(marked.filter("not maybe_"), docs.columns).unionByName(unpacked(single, docs.columns))
 
 
 def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
