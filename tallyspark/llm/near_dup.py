@@ -275,13 +275,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     roots = components(links)
     members = mixed(banded(cut(rooted(classes.select("class", "n_shingles", "sketch"), roots)), "root"))
     near = cut(verified(cut(likely(neighbour_pairs(members), classes)), classes, docs))
+    tied = lambda more: more.unionByName(roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
     if not near.isEmpty():
-        links = links.unionByName(near)
-        roots = components(links)
+        # Known components go on as stars, so that only what joins them is sought.
+        roots = components(tied(near))
         members = mixed(rooted(members.drop("root", "size"), roots))
     if not members.isEmpty():
-        links = links.unionByName(cut(cross_links(classes, members, docs)))
-        roots = components(links)
+        across = cut(cross_links(classes, members, docs))
+        if not across.isEmpty():
+            roots = components(tied(across))
     placed = classes.join(roots.withColumnRenamed("node", "class"), "class", "left").select("class", "least_id", F.coalesce("root", "class").alias("root"))
     ids = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = placed.join(ids, "root").select("class", "component_id")
