@@ -1,17 +1,17 @@
 """Language-model scores from a subword lattice.
 
 Words are generated piece by piece from a given vocabulary, which is not trained here. A piece's probability starts
-from its vocabulary score and is re-estimated from the training documents' distinct words by expected
-counts over all segmentations (forward and backward recursion in log space). The lattice of a word also has
-one arc for the word as a whole, of its training count less ``DISCOUNT``; what is discounted goes to the
-segmentations, so the two sum to one distribution and unseen words get what their pieces make likely. A
-text's score sums, over its words and the end, the log of the probability over all ways through the lattice. The
-base score is a smoothed count of whole words.
+from its vocabulary score and is re-estimated from the training documents' words by expected
+counts over all segmentations (forward and backward recursion in log space); ``rounds=0`` leaves the existing scores as they are. A
+text's score is its marginal probability: the sum, over its words, of the log of the probability over all ways through the word's lattice, given
+that a word comes rather than the end, and of the end at last. The base score is a smoothed count of whole words and
+has no part in the score.
 
 Word counts cover all documents: each task counts the distinct words that it reads, Spark sums the counts by
 word, and expected counts are summed over that table, so what reaches the driver is one number a
 vocabulary piece. To score, a task reduces the documents it reads to blocks of word numbers and asks, once a
-block, for its distinct words; answers are joined by word and meet their block again. The words that make up
+block, for its distinct words; answers are joined by word and meet their block again, where a checksum of the words tells whether
+they are the block's own. A word is known by its 64-bit hash. The words that make up
 ``FREQUENT`` or more of all tokens, at most 1 / FREQUENT of them, are broadcast and never asked for, so no word is hot.
 
 Null or empty text: the end alone. Documents with a null id are scored, not learnt from. Repeated rows are
@@ -35,8 +35,6 @@ from tallyspark.llm.lattice import Lattice, read_vocabulary, start_probabilities
 
 ROUNDS = 2
 FREQUENT = 1e-4
-#: Taken from each word's count for the segmentations into pieces.
-DISCOUNT = 0.75
 #: Added to each piece's expected count.
 SMOOTHING = 0.01
 #: Bytes of text in a block, and distinct words that a task holds before it passes counts on.
@@ -106,18 +104,14 @@ def expectations(path: str, shared: Callable[[], np.ndarray]) -> Callable:
     return run
 
 
-def likelihoods(path: str, shared: Callable[[], np.ndarray], n_train: int, n_words: int) -> Callable:
-    """log10 of the probability of each word, of a corpus of ``n_train`` tokens and ``n_words`` distinct words."""
+def likelihoods(path: str, shared: Callable[[], np.ndarray]) -> Callable:
+    """log10 of the probability of each word, over all its segmentations."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, _ = lattice(path)
         for batch in batches:
             words = [w.decode("utf-8", "replace") for w in batch.column("word").to_pylist()]
             log_p = model.forward(words, shared())
-            if n_words:
-                whole = np.maximum(batch.column("n").to_numpy() - DISCOUNT, 0) / n_train
-                with np.errstate(divide="ignore"):
-                    log_p = np.logaddexp(np.log(whole), log_p + np.log(DISCOUNT * n_words / n_train))
             yield pa.RecordBatch.from_pydict({"key": batch.column("key"), "n": batch.column("n"), "log_p": log_p / np.log(10)})
 
     return run
@@ -148,7 +142,8 @@ def blocks(frequent: Callable[[], tuple[np.ndarray, np.ndarray, np.ndarray]], as
             columns = [pa.concat_arrays([pa.array(h[i]) for h in held]) for i in range(1, 6)]
             asked = pa.concat_arrays([as_lists(np.searchsorted(keys, h[0]).astype(np.uint32).tobytes(), h[6], 4) for h in held])
             names = ["doc_id", "n_tokens", "n_known", "base", "model"]
-            return pa.RecordBatch.from_pydict({"block": np.full(len(asked), block)} | dict(zip(names, columns, strict=True)) | {"asked": asked})
+            check = np.full(len(asked), np.bitwise_xor.reduce(keys)).view(np.int64)
+            return pa.RecordBatch.from_pydict({"block": np.full(len(asked), block), "check": check} | dict(zip(names, columns, strict=True)) | {"asked": asked})
 
         for batch in tx.chunks(batches):
             words = tx.Words(*tx.text_bytes(batch.column("text")))
@@ -189,6 +184,8 @@ def answer(_: tuple, docs: pa.Table, words: pa.Table) -> pa.Table:
     """Add what a block's words bring to its documents' sums."""
     keys = words.column("key").to_numpy().view(np.uint64)
     order = np.argsort(keys)
+    if not (docs.column("check").to_numpy().view(np.uint64) == np.bitwise_xor.reduce(keys)).all():
+        raise RuntimeError("a block got answers for other words than its own")
     counts, log_ps = words.column("n").to_numpy()[order], words.column("log_p").to_numpy()[order]
     asked = docs.column("asked").to_pylist()
     at = np.frombuffer(b"".join(asked), np.uint32)
@@ -206,11 +203,11 @@ def answer(_: tuple, docs: pa.Table, words: pa.Table) -> pa.Table:
 
 
 def train(words: DataFrame, path: str, rounds: int = ROUNDS) -> np.ndarray:
-    """Natural logs of the pieces' probabilities; the last is a byte's. Every distinct training word counts once."""
+    """Natural logs of the pieces' probabilities; the last is a byte's. A word counts as often as training documents have it."""
     context = words.sparkSession.sparkContext
     model, scores = lattice(path)
     p = np.append(start_probabilities(scores) * 0.999, 0.001 / 256)
-    learnt = words.filter("n > 0").select("word", F.lit(1).cast("long").alias("n"))
+    learnt = words.filter("n > 0").select("word", "n")
     for _ in range(rounds):
         shared = context.broadcast(np.log(p))
         rows = learnt.mapInArrow(expectations(path, lambda s=shared: s.value), "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).toArrow()
@@ -233,18 +230,20 @@ def lm_scores(docs: DataFrame, learn: str, vocabulary: str, rounds: int = ROUNDS
     totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
     n_train, n_distinct = totals.n + n_ends, totals.v + (n_ends > 0)
     shared = spark.sparkContext.broadcast(train(words, vocabulary, rounds))
-    valued = cut(words.mapInArrow(likelihoods(vocabulary, lambda: shared.value, n_train, totals.v), "key long, n long, log_p double"))
+    valued = cut(words.mapInArrow(likelihoods(vocabulary, lambda: shared.value), "key long, n long, log_p double"))
     top = valued.filter(F.col("n") >= max(1.0, FREQUENT * n_train)).toArrow().sort_by("key") if n_train else valued.limit(0).toArrow()
     keys = top.column("key").to_numpy().view(np.uint64)
     order = np.argsort(keys)
     frequent = spark.sparkContext.broadcast((keys[order], top.column("n").to_numpy()[order], top.column("log_p").to_numpy()[order]))
     source = docs.select("doc_id", "text")
     asked = source.mapInArrow(blocks(lambda: frequent.value, True), "block long, key long")
-    held = source.mapInArrow(blocks(lambda: frequent.value, False), "block long, doc_id long, n_tokens long, n_known long, base double, model double, asked binary")
+    held = source.mapInArrow(blocks(lambda: frequent.value, False), "block long, check long, doc_id long, n_tokens long, n_known long, base double, model double, asked binary")
     answers = asked.join(valued, "key").select("block", "key", "n", "log_p")
     summed = held.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(answer, "doc_id long, n_tokens long, n_known long, base double, model double")
     below = float(np.log10(n_train + 0.5 * (n_distinct + 1)))
     end_base, end_known = float(np.log10(n_ends + 0.5)), int(n_ends > 0)
+    # How likely the end is, and with it, that a word comes instead; both may come if nothing was learnt.
+    end = (n_ends + 0.5) / (n_train + 1)
     n_tokens = F.col("n_tokens") + 1
     return summed.select(
         "doc_id",
@@ -252,7 +251,7 @@ def lm_scores(docs: DataFrame, learn: str, vocabulary: str, rounds: int = ROUNDS
         (F.col("n_known") + end_known).alias("n_known"),
         F.lit(n_train).cast("long").alias("train_tokens"),
         (F.col("base") + end_base - n_tokens * below).alias("base_score"),
-        (F.col("model") + float(np.log10(max(n_ends, 0.5) / max(n_train, 1)))).alias("score"),
+        (F.col("model") + F.col("n_tokens") * float(np.log10(1 - end)) + float(np.log10(end))).alias("score"),
     )
 
 
