@@ -35,7 +35,7 @@ END = 2
 #: Pieces shorter than capacity / LAST_CLASS are not classed.
 LAST_CLASS = 64
 #: Distinct words whose ids a worker remembers; beyond it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 COUNTER_BITS = 40
 

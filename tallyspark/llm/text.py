@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: Odd multipliers of the 64-bit hashes.
 BASE = 0x9E3779B97F4A7C15
 MIX_1, MIX_2 = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
@@ -49,6 +49,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = CH
             stop = max(row + 1, int(np.searchsorted(ends, used + size, "right")))
             yield batch.slice(row, stop - row)
             row = stop
+    pa.default_memory_pool().release_unused()
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
