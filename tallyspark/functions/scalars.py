@@ -44,8 +44,35 @@ def safe_file_name(c: Column) -> Column:
     return F.regexp_replace(base, "[^A-Za-z0-9._-]", "_")
 
 
+#: Categories that have a label of their own. Fixed values.
+LABELS = {"FOOD": "Food", "UTILITIES": "Utilities", "TRANSPORT": "Transport", "HEALTH": "Health", "ENTERTAINMENT": "Entertainment", "SHOPPING": "Shopping", "HOUSING": "Housing", "EDUCATION": "Education", "FAMILY": "Family", "TRAVEL": "Travel", "SUBSCRIPTIONS": "Subscriptions", "BILLS": "Bills", "OTHER": "Other"}
+
+
+def mapped(c: Column, labels: dict[str, str]) -> Column:
+    """The label of a code, null if it has none."""
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in labels.items() for x in pair)), c)
+
+
+def object_key(prefix: str, user_id: Column, *rest: Column) -> Column:
+    """A key that no other object has: prefix/user/..., where a part ``F.uuid()`` makes it one of its own."""
+    return F.concat_ws("/", F.lit(prefix), user_id.cast("string"), *rest)
+
+
+def report_key(user_id: Column, kind: Column, year: Column, month: Column, form: Column) -> Column:
+    name = F.concat_ws("-", F.format_string("%d-%02d", year, month), F.lower(form), F.uuid())
+    return object_key("reports", user_id, slug(kind), F.concat(name, F.lit("."), F.lower(form)))
+
+
+def receipt_key(user_id: Column, file_name: Column) -> Column:
+    return object_key("receipts", user_id, F.concat_ws("-", F.uuid(), safe_file_name(file_name)))
+
+
 def category_label(c: Column) -> Column:
-    """Words of a key in title case."""
+    """The label of a known category, else the words of its key in title case."""
+    return F.coalesce(mapped(category_key(c), LABELS), title_case(c))
+
+
+def title_case(c: Column) -> Column:
     words = F.filter(F.split(F.lower(trimmed(c)), r"[_\s-]+"), lambda w: w != "")
     return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.substring(w, 2, 1 << 30))), " ")
 

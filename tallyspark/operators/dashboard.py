@@ -18,6 +18,26 @@ def currency_summary(purchases: DataFrame) -> DataFrame:
     return sums.withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("total"), "currency")))
 
 
+def selected(purchases: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Each user's purchases in the currency that ``wanted`` (user_id, currency) names, or in the default one if they have none in it."""
+    ranked = currency_summary(purchases).join(wanted.select("user_id", F.col("currency").alias("asked")), "user_id", "left")
+    best = F.row_number().over(Window.partitionBy("user_id").orderBy((F.col("currency") == F.coalesce("asked", F.lit(""))).desc(), "rank"))
+    chosen = ranked.withColumn("k", best).filter("k = 1").select("user_id", "currency")
+    return purchases.join(chosen, ["user_id", "currency"], "left_semi")
+
+
+def segment_counts(purchases: DataFrame) -> DataFrame:
+    """(user_id, currency, n_segments): segments left after the roll-up."""
+    return spending_segments(purchases).groupBy("user_id", "currency").agg(F.count("*").alias("n_segments"))
+
+
+def upserted(rows: DataFrame, new: DataFrame) -> DataFrame:
+    """A list (id, place, ...) with new rows first and, of rows with one id, the new one alone; ``place`` counts from 0."""
+    both = new.withColumn("old", F.lit(0)).unionByName(rows.join(new.select("id"), "id", "left_anti").withColumn("old", F.lit(1)))
+    # A list is one screen's rows, so one task may number it.
+    return both.withColumn("place", F.row_number().over(Window.orderBy("old", "place")) - 1).drop("old")
+
+
 def spending_segments(purchases: DataFrame) -> DataFrame:
     """Category shares per user and currency, with small and late ones rolled up into one segment that comes last.
 

@@ -30,14 +30,18 @@ def type_name(kind: Column) -> Column:
 
 
 def notification(jobs: DataFrame) -> DataFrame:
-    """Adds subject and body of the message that a finished job sends."""
-    name, when = type_name(F.col("report_type")), period(F.col("year"), F.col("month"))
-    done = F.col("status") == "DONE"
-    subject = F.when(done, F.concat(name, F.lit(" report is ready: "), when)).otherwise(F.concat(name, F.lit(" report failed: "), when))
-    body = F.when(done, F.concat(F.lit("Your "), F.lower(name), F.lit(" report for "), when, F.lit(" is attached."))).otherwise(
-        F.concat(F.lit("Your "), F.lower(name), F.lit(" report for "), when, F.lit(" could not be made."))
-    )
-    return jobs.withColumns({"subject": subject, "body": body})
+    """Adds subject and body of the message that a finished job sends. ``jobs``: id, report_type, report_format, year, month, status."""
+    name, when, number = type_name(F.col("report_type")), period(F.col("year"), F.col("month")), F.col("id").cast("string")
+    plain = F.replace(F.lower("report_type"), F.lit("_"), F.lit(" "))
+    text = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    done, form = F.col("status") == "DONE", F.col("report_format")
+    subject = text(name, " ", form, " report for ", when, F.when(done, " is ready").otherwise(" failed"))
+    ready = text(
+        "Your ", plain, " report in ", form, " format for ", when, " is ready.\nReport job id: ", number, "\nThe report file is attached or delivered directly in your selected channel.\n",
+        "You can also download it via GET /api/reports/", number, "/download after authenticating.",
+    )
+    failed = text(plain, " report generation in ", form, " format for ", when, " failed.\nReport job id: ", number, "\nCheck GET /api/reports/", number, " for the current status and error details.")
+    return jobs.withColumns({"subject": subject, "body": F.when(done, ready).otherwise(failed)})
 
 
 def receipt_summaries(receipts: DataFrame, lines: DataFrame, purchases: DataFrame) -> DataFrame:

@@ -42,19 +42,60 @@ def errors(requests: DataFrame) -> DataFrame:
         return F.coalesce(trimmed(F.col(c)) == "", F.lit(True))
 
     rules = [
-        (blank("title"), "title must not be blank"),
-        (blank("category"), "category must not be blank"),
-        (~F.coalesce(F.col("amount") > 0, F.lit(False)), "amount must be greater than 0"),
-        (~F.coalesce(F.col("currency").isin(*CURRENCIES), F.lit(False)), "currency is required"),
-        (F.col("purchase_date").isNull(), "purchaseDate is required"),
+        (blank("title"), "title: must not be blank"),
+        (blank("category"), "category: must not be blank"),
+        (~F.coalesce(F.col("amount") > 0, F.lit(False)), "amount: must be greater than 0"),
+        (~F.coalesce(F.col("currency").isin(*CURRENCIES), F.lit(False)), "currency: must not be null"),
+        (F.col("purchase_date").isNull(), "purchaseDate: must not be null"),
     ]
     found = F.filter(F.array(*(F.when(bad, F.lit(text)) for bad, text in rules)), lambda x: x.isNotNull())
     return requests.withColumn("errors", F.nullif(F.array_join(found, "; "), F.lit("")))
 
 
-def listing(purchases: DataFrame, user_id: int | None = None, year: int | None = None, month: int | None = None, category: str | None = None) -> DataFrame:
+def preview(purchases: DataFrame, n: int = 3) -> DataFrame:
+    """Purchases with the first ``n`` of their ``items`` and how many more there are."""
+    return purchases.withColumns({"shown": F.slice("items", 1, n), "more": F.greatest(F.size("items") - n, F.lit(0))})
+
+
+def created(requests: DataFrame, now: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """New purchases with amounts derived from their items, those items, and refused requests with their ``errors``.
+
+    ``requests``: id, user_id, title, category, amount, currency, purchase_date, store_name, comment and items (title, quantity, unit, unit_price, line_total).
+    """
+    checked = errors(normalised(requests))
+    bad = F.filter(F.transform("items", lambda x, i: item_errors(x, i)), lambda e: e != "")
+    broken = F.when(F.size(bad) > 0, F.array_join(bad, "; "))
+    checked = checked.withColumn("errors", F.nullif(F.concat_ws("; ", "errors", broken), F.lit("")))
+    good = checked.filter("errors is null")
+    items = exploded_items(good).withColumns({"title": trimmed(F.col("title")), "unit": optional_text(F.col("unit")), "unit_price": money(F.col("unit_price")), "line_total": money(F.col("line_total"))})
+    bought = with_amounts(good.drop("items", "errors"), items).withColumn("amount", F.col("derived_amount")).drop("items_sum", "derived_amount").withColumn("created_at", now)
+    return bought, items, checked.filter("errors is not null")
+
+
+def item_errors(item: Column, place: Column) -> Column:
+    """Messages of an item's broken rules, joined by "; ", else an empty text."""
+    name = lambda field: F.concat(F.lit("items["), place.cast("string"), F.lit(f"].{field}: "))
+    blank = F.when(F.coalesce(trimmed(item["title"]) == "", F.lit(True)), F.concat(name("title"), F.lit("must not be blank")))
+    numbers = [F.when(item[c] <= 0, F.concat(name(shown), F.lit("must be greater than 0"))) for c, shown in (("quantity", "quantity"), ("unit_price", "unitPrice"), ("line_total", "lineTotal"))]
+    return F.concat_ws("; ", blank, *numbers)
+
+
+def drafted(items: DataFrame) -> DataFrame:
+    """Items as typed (all texts) as items of a request: numbers only if positive, totals derived, rows without anything left out."""
+    number = lambda c: F.when(F.expr(f"try_cast({c} as decimal(19,3))") > 0, F.expr(f"try_cast({c} as decimal(19,3))"))
+    typed = items.withColumns({"title": trimmed(F.col("title")), "unit": optional_text(F.col("unit")), **{c: number(c) for c in ("quantity", "unit_price", "line_total")}})
+    typed = item_total(typed.withColumn("unit_price", money(F.col("unit_price")))).withColumn("line_total", F.col("total")).drop("total")
+    return typed.filter("title <> '' or unit is not null or quantity is not null or unit_price is not null or line_total is not null")
+
+
+def drafts_total(items: DataFrame) -> DataFrame:
+    """(purchase_id, total) of drafted items; an item without a total counts nothing."""
+    return items.groupBy("purchase_id").agg(F.sum(F.coalesce("line_total", F.lit(0).cast(MONEY))).cast(MONEY).alias("total"))
+
+
+def listing(purchases: DataFrame, user_id: int, year: int | None = None, month: int | None = None, category: str | None = None) -> DataFrame:
     """One user's purchases, newest first. Year and month are independent: a month alone is that month of every year."""
-    rows = purchases if user_id is None else purchases.filter(F.col("user_id") == user_id)
+    rows = purchases.filter(F.col("user_id") == user_id)
     if year and month:  # a range, so that file statistics apply
         rows = rows.filter((F.col("purchase_date") >= F.make_date(F.lit(year), F.lit(month), F.lit(1))) & (F.col("purchase_date") < F.add_months(F.make_date(F.lit(year), F.lit(month), F.lit(1)), 1)))
     elif year:

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from tallyspark.functions import scalars
 from tallyspark.functions.calculator import calculate
-from tallyspark.operators import dashboard, notices, receipts, reports
+from tallyspark.operators import accounts, dashboard, lifecycle, notices, receipts, reports
 from tallyspark.operators import purchases as buying
 from tallyspark.sources import views
 from tallyspark.sources.views import VIEWS_SQL
@@ -346,10 +346,10 @@ def receipt_to_purchase(spark: SparkSession, d: str) -> DataFrame:
 def finished_jobs(spark: SparkSession, d: str) -> DataFrame:
     key = F.col("id")
     status = F.element_at(F.lit(["DONE", "FAILED", "NEW"]), (key % 3 + 1).cast("int"))
-    return views.report_jobs(spark, d).select("id", "year", "month", "report_type", status.alias("status"), F.when(key % 2 == 0, F.concat(F.lit("reports/"), key)).alias("s3_key"), F.when(key % 6 == 1, "no data").alias("error_message"))
+    return views.report_jobs(spark, d).select("id", "year", "month", "report_type", "report_format", status.alias("status"), F.when(key % 2 == 0, F.concat(F.lit("reports/"), key)).alias("s3_key"), F.when(key % 6 == 1, "no data").alias("error_message"))
 
 
-FINISHED_SQL = ", finished AS (SELECT id, year, month, report_type, CASE id % 3 WHEN 0 THEN 'DONE' WHEN 1 THEN 'FAILED' ELSE 'NEW' END AS status, CASE WHEN id % 2 = 0 THEN 'reports/' || id END AS s3_key, CASE WHEN id % 6 = 1 THEN 'no data' END AS error_message FROM report_jobs)"
+FINISHED_SQL = ", finished AS (SELECT id, year, month, report_type, report_format, CASE id % 3 WHEN 0 THEN 'DONE' WHEN 1 THEN 'FAILED' ELSE 'NEW' END AS status, CASE WHEN id % 2 = 0 THEN 'reports/' || id END AS s3_key, CASE WHEN id % 6 = 1 THEN 'no data' END AS error_message FROM report_jobs)"
 
 
 @query(
@@ -363,9 +363,11 @@ def job_download_contract(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     FINISHED_SQL
-    + """, n AS (SELECT id, status, replace(lower(report_type), '_', ' ') AS t, printf('%04d-%02d', year, month) AS p FROM finished WHERE status <> 'NEW')
-    SELECT id, upper(t[1]) || substr(t, 2) || CASE status WHEN 'DONE' THEN ' report is ready: ' ELSE ' report failed: ' END || p AS subject,
-    'Your ' || t || ' report for ' || p || CASE status WHEN 'DONE' THEN ' is attached.' ELSE ' could not be made.' END AS body FROM n"""
+    + """, n AS (SELECT id, status, report_format AS f, replace(lower(report_type), '_', ' ') AS t, printf('%04d-%02d', year, month) AS p FROM finished WHERE status <> 'NEW')
+    SELECT id, upper(t[1]) || substr(t, 2) || ' ' || f || ' report for ' || p || CASE status WHEN 'DONE' THEN ' is ready' ELSE ' failed' END AS subject,
+    CASE status WHEN 'DONE' THEN 'Your ' || t || ' report in ' || f || ' format for ' || p || ' is ready.' || chr(10) || 'Report job id: ' || id || chr(10)
+        || 'The report file is attached or delivered directly in your selected channel.' || chr(10) || 'You can also download it via GET /api/reports/' || id || '/download after authenticating.'
+    ELSE t || ' report generation in ' || f || ' format for ' || p || ' failed.' || chr(10) || 'Report job id: ' || id || chr(10) || 'Check GET /api/reports/' || id || ' for the current status and error details.' END AS body FROM n"""
 )
 def notification_texts(spark: SparkSession, d: str) -> DataFrame:
     return notices.notification(finished_jobs(spark, d).filter("status <> 'NEW'")).select("id", "subject", "body")
@@ -407,3 +409,277 @@ def calculated_amounts(spark: SparkSession, d: str) -> DataFrame:
     place = Window.partitionBy("l_orderkey").orderBy(*lines.columns)
     typed = F.concat(F.lit("("), F.col("l_quantity").cast("int"), F.lit(" + 0) * 6 / 2 + 1.5"))
     return lines.select(F.col("l_orderkey").alias("id"), (F.row_number().over(place) - 1).cast("int").alias("line_index"), calculate(typed).alias("value"))
+
+
+# --- requests, statuses and accounts
+
+
+@query("SELECT id, title, amount FROM purchases WHERE id = 33 AND user_id = (SELECT user_id FROM purchases WHERE id = 33)")
+def purchase_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """The owner finds purchase 33, all others find nothing."""
+    rows = views.purchases(spark, d)
+    found = [lifecycle.find(rows, 33, user).select("id", "title", "amount") for user in range(25)]
+    out = found[0]
+    for one in found[1:]:
+        out = out.unionByName(one)
+    return out
+
+
+REQUESTS = """, requests AS (SELECT id, user_id, CASE WHEN id % 11 = 0 THEN '  ' ELSE '  ' || title || ' ' END AS title, CASE WHEN id % 13 = 0 THEN NULL ELSE lower(category) END AS category,
+    CASE WHEN id % 5 = 0 THEN 0.00 ELSE amount END AS amount, CASE WHEN id % 17 = 0 THEN 'GBP' ELSE currency END AS currency, purchase_date, id % 3 AS n FROM purchases)"""
+
+
+def requests(spark: SparkSession, d: str) -> DataFrame:
+    """Requests of purchases with none to two items, of which some are broken."""
+    key = F.col("id")
+    item = lambda k: F.struct(F.when(key % 19 != k, F.lit(f" item {k} ")).alias("title"), (key % 4).cast("decimal(19,3)").alias("quantity"), F.lit("pcs").alias("unit"), F.lit(1.25).cast("decimal(19,2)").alias("unit_price"), F.lit(None).cast("decimal(19,2)").alias("line_total"))
+    return views.purchases(spark, d).select(
+        "id", "user_id", F.when(key % 11 == 0, "  ").otherwise(F.concat(F.lit("  "), "title", F.lit(" "))).alias("title"), F.when(key % 13 != 0, F.lower("category")).alias("category"),
+        F.when(key % 5 == 0, 0).otherwise(F.col("amount")).cast("decimal(19,2)").alias("amount"), F.when(key % 17 == 0, "GBP").otherwise(F.col("currency")).alias("currency"), "purchase_date",
+        F.lit(None).cast("string").alias("store_name"), F.lit("").alias("comment"), F.slice(F.array(item(0), item(1)), 1, (key % 3).cast("int")).alias("items"),
+    )
+
+
+ERRORS_SQL = """, judged AS (SELECT *, concat_ws('; ', CASE WHEN trim(title) = '' THEN 'title: must not be blank' END, CASE WHEN category IS NULL THEN 'category: must not be blank' END,
+    CASE WHEN amount <= 0 THEN 'amount: must be greater than 0' END, CASE WHEN currency = 'GBP' THEN 'currency: must not be null' END,
+    CASE WHEN n > 0 AND id % 19 = 0 THEN 'items[0].title: must not be blank' END, CASE WHEN n > 0 AND id % 4 = 0 THEN 'items[0].quantity: must be greater than 0' END,
+    CASE WHEN n > 1 AND id % 19 = 1 THEN 'items[1].title: must not be blank' END, CASE WHEN n > 1 AND id % 4 = 0 THEN 'items[1].quantity: must be greater than 0' END) AS errors FROM requests)"""
+
+
+@query(REQUESTS + ERRORS_SQL + " SELECT id, errors FROM judged WHERE errors <> ''")
+def purchase_requests_refused(spark: SparkSession, d: str) -> DataFrame:
+    return buying.created(requests(spark, d), F.expr("timestamp_ntz'2024-01-01'"))[2].select("id", "errors")
+
+
+@query(
+    REQUESTS
+    + ERRORS_SQL
+    + """ SELECT id, trim(title) AS title, upper(category) AS category, CAST(CASE WHEN n > 0 THEN n * (id % 4) * 1.25 ELSE amount END AS DECIMAL(19,2)) AS amount, CAST(n AS BIGINT) AS n_items,
+    CASE n WHEN 0 THEN '' WHEN 1 THEN '0:item 0' ELSE '0:item 0,1:item 1' END AS items FROM judged WHERE errors = ''"""
+)
+def purchases_created(spark: SparkSession, d: str) -> DataFrame:
+    bought, items, _ = buying.created(requests(spark, d), F.expr("timestamp_ntz'2024-01-01'"))
+    shown = items.groupBy("purchase_id").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(F.concat(F.col("line_index").cast("string"), F.lit(":"), F.col("title")))), ",").alias("shown"))
+    return bought.join(shown, F.col("id") == F.col("purchase_id"), "left").select("id", "title", "category", "amount", F.coalesce("n", F.lit(0)).alias("n_items"), F.coalesce("shown", F.lit("")).alias("items"))
+
+
+def scans(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    empty = {"raw_ocr_text": "string", "parsed_store_name": "string", "parsed_total_amount": "decimal(19,2)", "parsed_purchase_date": "date"}
+    return views.read(spark, d, "orders").select(
+        key.alias("id"), (key % 25).cast("long").alias("user_id"), F.when(key % 4 == 0, key).alias("purchase_id"), F.col("o_orderdate").alias("uploaded_at"), F.lit("NEW").alias("ocr_status"),
+        *(F.lit(None).cast(kind).alias(c) for c, kind in empty.items()), F.lit("old").alias("ocr_error_message"), F.lit(None).cast("timestamp_ntz").alias("ocr_processed_at"),
+    )
+
+
+def scan_lines(spark: SparkSession, d: str) -> DataFrame:
+    """One line each that was read before."""
+    nothing = {"quantity": "decimal(19,3)", "unit": "string", "unit_price": "decimal(19,2)"}
+    return views.read(spark, d, "orders").select(
+        F.col("o_orderkey").alias("receipt_id"), F.lit(9).alias("line_index"), F.lit("old line").alias("title"), *(F.lit(None).cast(k).alias(c) for c, k in nothing.items()), F.lit(1).cast("decimal(19,2)").alias("line_total"), F.lit("old line 1.00").alias("raw_fragment")
+    )
+
+
+def scan_results(spark: SparkSession, d: str) -> DataFrame:
+    """Texts of most receipts; some are blank, some failed, and as many again belong to receipts that are gone."""
+    key = F.col("receipt_id")
+    texts = views.receipt_texts(spark, d).filter("receipt_id % 7 <> 0")
+    own = texts.select("receipt_id", F.when(key % 5 == 0, " \n ").otherwise(F.when(key % 5 != 1, F.col("raw_text"))).alias("raw_text"), F.when(key % 5 == 1, "no engine").alias("error"))
+    return own.unionByName(own.withColumn("receipt_id", -key))
+
+
+WRITTEN_SQL = """, r AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) OR o_orderkey % 7 = 0 THEN 'NEW' WHEN o_orderkey % 5 IN (0, 1) THEN 'FAILED' ELSE 'DONE' END AS ocr_status, * FROM orders)"""
+
+
+@query(
+    WRITTEN_SQL
+    + f""" SELECT id, ocr_status, CASE ocr_status WHEN 'DONE' THEN 'MARKET ' || CASE id % 4 WHEN 0 THEN 'NORTH' WHEN 1 THEN 'SOUTH' WHEN 2 THEN 'EAST' ELSE 'WEST' END END AS store_name,
+    CASE ocr_status WHEN 'DONE' THEN {CENTS.format("o_totalprice")} END AS total_amount, CASE ocr_status WHEN 'DONE' THEN CAST(o_orderdate AS DATE) END AS purchase_date,
+    CASE ocr_status WHEN 'NEW' THEN 'old' WHEN 'FAILED' THEN CASE id % 5 WHEN 0 THEN 'OCR returned empty text' ELSE 'no engine' END END AS error, ocr_status <> 'NEW' AS processed FROM r"""
+)
+def receipt_writeback(spark: SparkSession, d: str) -> DataFrame:
+    rows, _ = lifecycle.write_back(scans(spark, d), scan_lines(spark, d), scan_results(spark, d), F.expr("timestamp_ntz'2024-01-01'"))
+    return rows.select("id", "ocr_status", F.col("parsed_store_name").alias("store_name"), F.col("parsed_total_amount").alias("total_amount"), F.col("parsed_purchase_date").alias("purchase_date"), F.col("ocr_error_message").alias("error"), F.col("ocr_processed_at").isNotNull().alias("processed"))
+
+
+@query(
+    WRITTEN_SQL
+    + """ SELECT id AS receipt_id, ocr_status, CASE ocr_status WHEN 'NEW' THEN 1 WHEN 'DONE' THEN (SELECT count(*) FROM lineitem WHERE l_orderkey = id) ELSE 0 END AS n_lines FROM r"""
+)
+def receipt_lines_replaced(spark: SparkSession, d: str) -> DataFrame:
+    rows, lines = lifecycle.write_back(scans(spark, d), scan_lines(spark, d), scan_results(spark, d), F.expr("timestamp_ntz'2024-01-01'"))
+    counts = lines.groupBy("receipt_id").agg(F.count("*").alias("n_lines"))
+    return rows.select(F.col("id").alias("receipt_id"), "ocr_status").join(counts, "receipt_id", "left").withColumn("n_lines", F.coalesce("n_lines", F.lit(0)))
+
+
+@query(
+    """, s AS (SELECT o_orderkey AS id, o_orderkey % 25 AS user_id, o_orderdate AS uploaded_at FROM orders WHERE o_orderkey % 25 = 3)
+    SELECT s.id, CAST(row_number() OVER (ORDER BY uploaded_at DESC, s.id DESC) AS INTEGER) AS place, email AS owner_email, p.title AS purchase_title, CAST(coalesce(n, 0) AS BIGINT) AS n_lines
+    FROM s JOIN users u ON u.id = s.user_id LEFT JOIN purchases p ON p.id = s.id AND s.id % 4 = 0 LEFT JOIN (SELECT purchase_id, count(*) AS n FROM purchase_items GROUP BY purchase_id) i ON i.purchase_id = s.id"""
+)
+def receipt_listing(spark: SparkSession, d: str) -> DataFrame:
+    lines = views.purchase_items(spark, d).select(F.col("purchase_id").alias("receipt_id"), "line_index", F.col("line_index").cast("long").alias("id"), "title", "quantity", "unit", "unit_price", "line_total")
+    found = lifecycle.newest(lifecycle.graph(scans(spark, d), views.users(spark, d), views.purchases(spark, d), lines), 3, "uploaded_at")
+    place = F.row_number().over(Window.orderBy(F.desc("uploaded_at"), F.desc("id")))
+    return found.select("id", place.alias("place"), "owner_email", "purchase_title", F.size("lines").cast("long").alias("n_lines"))
+
+
+JOBS_SQL = """, e AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY updated_at DESC, event_id DESC) AS k FROM job_events),
+    last AS (SELECT job_id AS id, status, event_id FROM e WHERE k = 1), j AS (SELECT DISTINCT job_id AS id FROM job_events WHERE job_id % 3 <> 0)"""
+
+
+def some_jobs(events: DataFrame) -> DataFrame:
+    """A job of each user of the events but every third, with a file and an error from before."""
+    ids = events.select(F.col("job_id").alias("id")).distinct().filter("id % 3 <> 0")
+    return ids.select("id", F.lit("NEW").alias("status"), F.lit("old key").alias("s3_key"), F.lit("old error").alias("error_message"), F.expr("timestamp_ntz'2000-01-01'").alias("updated_at"))
+
+
+def job_changes(spark: SparkSession, d: str) -> DataFrame:
+    return views.job_events(spark, d).withColumns({"s3_key": F.concat(F.lit("k"), "event_id"), "error": F.concat(F.lit("e"), "event_id")})
+
+
+@query(
+    JOBS_SQL
+    + """ SELECT j.id, status, CASE status WHEN 'DONE' THEN 'k' || event_id END AS s3_key, CASE status WHEN 'FAILED' THEN 'e' || event_id END AS error_message FROM j JOIN last ON j.id = last.id"""
+)
+def job_transitions(spark: SparkSession, d: str) -> DataFrame:
+    events = job_changes(spark, d)
+    return lifecycle.transitions(some_jobs(events), events)[0].select("id", "status", "s3_key", "error_message")
+
+
+@query(JOBS_SQL + " SELECT event_id, job_id FROM job_events WHERE job_id NOT IN (SELECT id FROM j)")
+def job_orphan_events(spark: SparkSession, d: str) -> DataFrame:
+    events = job_changes(spark, d)
+    return lifecycle.transitions(some_jobs(events), events)[1].select("event_id", "job_id")
+
+
+@query(
+    """ SELECT id AS job_id, '{"reportJobId":' || id || ',"userId":' || user_id || ',"year":' || year || ',"month":' || month || ',"reportType":"' || report_type || '","reportFormat":"' || report_format || '"}' AS value
+    FROM report_jobs WHERE id % 2 = 0"""
+)
+def job_messages(spark: SparkSession, d: str) -> DataFrame:
+    return lifecycle.messages(views.report_jobs(spark, d).withColumn("status", F.when(F.col("id") % 2 == 0, "NEW").otherwise("DONE")))
+
+
+@query(
+    """, t AS (SELECT j.id AS job_id, u.id AS user_id, u.preferred_channel AS p, coalesce(chat_id <> '' AND connected_at IS NOT NULL, FALSE) AS c, (j.id % 2) = 0 AS email_ok, (j.id % 3) = 0 AS chat_ok FROM report_jobs j JOIN users u ON u.id = j.user_id),
+    o AS (SELECT *, CASE WHEN p = 'TELEGRAM' AND c THEN 1 WHEN c THEN 2 ELSE 0 END AS chat_place, CASE WHEN p = 'TELEGRAM' AND c THEN 2 ELSE 1 END AS email_place FROM t),
+    w AS (SELECT *, CASE WHEN chat_place > 0 AND chat_ok AND (NOT email_ok OR chat_place < email_place) THEN 'TELEGRAM' WHEN email_ok THEN 'EMAIL' END AS channel FROM o)
+    SELECT job_id, channel, CAST(CASE channel WHEN 'EMAIL' THEN email_place WHEN 'TELEGRAM' THEN chat_place ELSE CASE WHEN chat_place > 0 THEN 2 ELSE 1 END END AS BIGINT) AS n_tries,
+    CASE WHEN channel IS NULL THEN CASE WHEN chat_place = 2 THEN 'TELEGRAM is down' ELSE 'EMAIL is down' END END AS error FROM w"""
+)
+def delivery_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    people = views.users(spark, d)
+    plan = dashboard.delivery_plan(people).select(F.col("id").alias("user_id"), F.filter(F.split("channel_order", ","), lambda c: (c == "EMAIL") | F.col("connected")).alias("channels"))
+    todo = views.report_jobs(spark, d).join(plan, "user_id").select(F.col("id").alias("job_id"), "channels")
+    ok = F.when(F.col("channel") == "EMAIL", F.col("job_id") % 2 == 0).otherwise(F.col("job_id") % 3 == 0)
+    tries = todo.select("job_id", F.explode("channels").alias("channel")).withColumn("ok", ok).withColumn("error", F.when(~ok, F.concat("channel", F.lit(" is down"))))
+    return lifecycle.delivered(todo, tries)
+
+
+@query("SELECT CAST(max(event_id) AS BIGINT) AS last_update_id, CAST(max(event_id) + 1 AS BIGINT) AS next_offset FROM events")
+def polling_offset(spark: SparkSession, d: str) -> DataFrame:
+    state = spark.range(1).select(F.lit(-1).cast("long").alias("last_update_id"))
+    found = lifecycle.polling_state(state, views.read(spark, d, "events").select(F.col("event_id").cast("long").alias("update_id")))
+    return found.select(F.col("last_update_id").cast("long").alias("last_update_id"), F.col("next_offset").cast("long").alias("next_offset"))
+
+
+@query(JOBS_SQL + " SELECT id AS user_id, status IN ('NEW', 'PROCESSING') AS under_way FROM last")
+def refresh_needed(spark: SparkSession, d: str) -> DataFrame:
+    return lifecycle.any_under_way(jobs.latest_status(views.job_events(spark, d)).withColumnRenamed("job_id", "user_id"))
+
+
+@query(
+    """, r AS (SELECT c_custkey AS request_id, CASE WHEN c_custkey % 4 = 0 THEN lower(n_name) || '@example.org' ELSE 'new' || (c_custkey // 3) || '@example.org' END AS email FROM customer JOIN nation ON c_nationkey = n_nationkey),
+    k AS (SELECT *, row_number() OVER (PARTITION BY email ORDER BY request_id) AS k, email IN (SELECT email FROM users) AS taken FROM r)
+    SELECT request_id, email, CASE WHEN NOT taken AND k = 1 THEN CASE email WHEN 'new1@example.org' THEN 'ADMIN' ELSE 'USER' END END AS role, CASE WHEN taken OR k > 1 THEN 'User with email already exists' END AS error FROM k"""
+)
+def users_registered(spark: SparkSession, d: str) -> DataFrame:
+    people = views.read(spark, d, "customer").join(views.read(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    email = F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lit(" "), F.upper("n_name"), F.lit("@Example.org"))).otherwise(F.concat(F.lit("new"), F.floor(F.col("c_custkey") / 3).cast("string"), F.lit("@example.org ")))
+    asked = people.select(F.col("c_custkey").alias("request_id"), email.alias("email"), F.lit("x").alias("password_hash"))
+    new, refused = accounts.register(views.users(spark, d), asked, ["new1@example.org"], F.expr("timestamp_ntz'2024-01-01'"))
+    return new.select("request_id", "email", "role", F.lit(None).cast("string").alias("error")).unionByName(refused.select("request_id", "email", F.lit(None).cast("string").alias("role"), "error"))
+
+
+@query(
+    """SELECT id, coalesce(google_subject, CASE WHEN id % 5 = 0 THEN 'sub-' || id END) AS google_subject FROM users
+    UNION ALL SELECT NULL, 'sub-x' || id FROM users WHERE id % 5 = 1"""
+)
+def accounts_linked(spark: SparkSession, d: str) -> DataFrame:
+    people = views.users(spark, d)
+    own = people.filter("id % 5 = 0").select("email", F.concat(F.lit("sub-"), "id").alias("subject"))
+    other = people.filter("id % 5 = 1").select(F.concat(F.lit("x"), "email").alias("email"), F.concat(F.lit("sub-x"), "id").alias("subject"))
+    linked, new = accounts.linked_accounts(people, own.unionByName(other), [])
+    return linked.select("id", "google_subject").unionByName(new.select(F.lit(None).cast("long").alias("id"), "google_subject"))
+
+
+@query(
+    """SELECT id, CASE WHEN id % 2 = 1 AND (id % 3 = 0 OR coalesce(chat_id <> '' AND connected_at IS NOT NULL, FALSE)) THEN CASE WHEN id % 3 = 0 THEN 'EMAIL' ELSE 'TELEGRAM' END ELSE preferred_channel END AS preferred_channel,
+    id % 2 = 1 AND id % 3 <> 0 AND NOT coalesce(chat_id <> '' AND connected_at IS NOT NULL, FALSE) AS refused FROM users"""
+)
+def channel_preferences(spark: SparkSession, d: str) -> DataFrame:
+    people = views.users(spark, d)
+    asked = people.filter("id % 2 = 1").select("id", F.when(F.col("id") % 3 == 0, "EMAIL").otherwise("TELEGRAM").alias("channel"))
+    changed, refused = accounts.preferences(people, asked)
+    return changed.join(refused.select("id", F.lit(True).alias("refused")), "id", "left").select("id", "preferred_channel", F.coalesce("refused", F.lit(False)).alias("refused"))
+
+
+@query(
+    """SELECT 'users' AS table_name, count(*) AS n_rows FROM users WHERE id % 6 <> 0 UNION ALL SELECT 'purchases', count(*) FROM purchases WHERE user_id % 6 <> 0
+    UNION ALL SELECT 'items', count(*) FROM purchase_items i WHERE i.purchase_id NOT IN (SELECT id FROM purchases WHERE user_id % 6 = 0) UNION ALL SELECT 'jobs', count(*) FROM report_jobs WHERE user_id % 6 <> 0"""
+)
+def user_delete_cascade(spark: SparkSession, d: str) -> DataFrame:
+    people = views.users(spark, d)
+    left = accounts.remove_users(people.filter("id % 6 = 0"), people, views.purchases(spark, d), views.purchase_items(spark, d), jobs=views.report_jobs(spark, d))
+    return dashboard.table_counts(**left)
+
+
+@query(
+    """SELECT id, concat_ws('; ', CASE WHEN y < 2000 THEN 'year: must be greater than or equal to 2000' END, CASE WHEN y > 9999 THEN 'year: must be less than or equal to 9999' END,
+    CASE WHEN m < 1 THEN 'month: must be greater than or equal to 1' END, CASE WHEN m > 12 THEN 'month: must be less than or equal to 12' END, CASE WHEN id % 7 = 0 THEN 'reportType: must not be null' END,
+    CASE WHEN id % 9 = 0 THEN 'reportFormat: must not be null' END) AS errors FROM (SELECT id, 1990 + id % 30 * 400 AS y, id % 15 AS m FROM report_jobs)"""
+)
+def report_requests_checked(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("id")
+    asked = views.report_jobs(spark, d).select("id", (1990 + key % 30 * 400).alias("year"), (key % 15).alias("month"), F.when(key % 7 != 0, F.col("report_type")).alias("report_type"), F.when(key % 9 == 0, "DOC").otherwise(F.col("report_format")).alias("report_format"))
+    return accounts.report_errors(asked).select("id", F.coalesce("errors", F.lit("")).alias("errors"))
+
+
+@query(
+    """, s AS (SELECT user_id, currency, sum(amount) AS t FROM purchases GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY (user_id % 2 = 0 AND currency = 'EUR') DESC, t DESC, currency) AS k FROM s)
+    SELECT p.user_id, p.currency, count(*) AS n, CAST(sum(amount) AS DECIMAL(19,2)) AS total FROM purchases p JOIN r ON r.k = 1 AND r.user_id = p.user_id AND r.currency = p.currency GROUP BY ALL"""
+)
+def dashboard_selected_currency(spark: SparkSession, d: str) -> DataFrame:
+    wanted = views.users(spark, d).select(F.col("id").alias("user_id"), F.when(F.col("id") % 2 == 0, "EUR").otherwise("XXX").alias("currency"))
+    chosen = dashboard.selected(views.purchases(spark, d), wanted)
+    return chosen.groupBy("user_id", "currency").agg(F.count("*").alias("n"), F.sum("amount").cast("decimal(19,2)").alias("total"))
+
+
+@query(
+    """, typed AS (SELECT purchase_id, title, CASE WHEN line_index % 4 = 0 THEN NULL WHEN line_index % 4 = 1 THEN 0 ELSE 2 END AS q, unit_price AS u, CASE WHEN line_index % 3 = 0 THEN line_total END AS l FROM purchase_items)
+    SELECT purchase_id, CAST(sum(CASE WHEN l > 0 THEN l WHEN q > 0 THEN CAST(q * u AS DECIMAL(19,2)) ELSE 0 END) AS DECIMAL(19,2)) AS total FROM typed GROUP BY purchase_id"""
+)
+def item_drafts_total(spark: SparkSession, d: str) -> DataFrame:
+    index = F.col("line_index")
+    typed = views.purchase_items(spark, d).select(
+        "purchase_id", "title", "unit", F.when(index % 4 == 0, "").when(index % 4 == 1, "0").otherwise("2").alias("quantity"), F.col("unit_price").cast("string").alias("unit_price"), F.when(index % 3 == 0, F.col("line_total").cast("string")).otherwise("two").alias("line_total")
+    )
+    return buying.drafts_total(buying.drafted(typed))
+
+
+@query(
+    """SELECT id, CASE category WHEN 'BUILDING' THEN 'Building' WHEN 'AUTOMOBILE' THEN 'Automobile' WHEN 'MACHINERY' THEN 'Machinery' WHEN 'HOUSEHOLD' THEN 'Household' WHEN 'FURNITURE' THEN 'Furniture' END AS label,
+    CASE WHEN id % 2 = 0 THEN 'Food' ELSE 'Eating Out' END AS other FROM purchases"""
+)
+def category_labels(spark: SparkSession, d: str) -> DataFrame:
+    return views.purchases(spark, d).select("id", scalars.category_label(F.col("category")).alias("label"), scalars.category_label(F.when(F.col("id") % 2 == 0, " food ").otherwise("eating_OUT")).alias("other"))
+
+
+@query(
+    """, n AS (SELECT purchase_id, count(*) AS n FROM purchase_items GROUP BY purchase_id)
+    SELECT id, CAST(least(coalesce(n, 0), 3) AS BIGINT) AS n_shown, CAST(greatest(coalesce(n, 0) - 3, 0) AS BIGINT) AS more FROM purchases LEFT JOIN n ON id = purchase_id"""
+)
+def purchase_previews(spark: SparkSession, d: str) -> DataFrame:
+    shown = buying.preview(buying.with_items(views.purchases(spark, d), views.purchase_items(spark, d)))
+    return shown.select("id", F.size("shown").cast("long").alias("n_shown"), F.col("more").cast("long").alias("more"))

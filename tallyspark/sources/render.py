@@ -7,9 +7,12 @@ from __future__ import annotations
 
 import io
 import zipfile
+from collections.abc import Callable, Iterator
 from xml.sax.saxutils import escape
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Row = tuple[str, list[str]]  # kind, cells
 PAGE_HEIGHT, PAGE_WIDTH, MARGIN, LINE_HEIGHT = 842, 595, 50, 15
@@ -92,4 +95,53 @@ def workbook(rows: list[Row]) -> bytes:
     return out.getvalue()
 
 
-RENDERERS = {"PDF": pdf, "XLSX": workbook}
+def csv(rows: list[Row]) -> bytes:
+    """Lines of one report: the title as it is, cells quoted where they must be, an empty line after the metadata and after each section."""
+
+    def cell(v: str) -> str:
+        return '"' + v.replace('"', '""') + '"' if any(c in v for c in ',"\n') else v
+
+    return "".join((cells[0] if kind in ("title", "section", "message", "blank") else ",".join(map(cell, cells))) + "\n" for kind, cells in rows).encode()
+
+
+def sheet_width(document: DataFrame) -> DataFrame:
+    """(job_id, width): the most cells that a row of each report has, two at least."""
+    return document.groupBy("job_id").agg(F.greatest(F.lit(2), F.max(F.size("cells"))).alias("width"))
+
+
+RENDERERS = {"CSV": csv, "PDF": pdf, "XLSX": workbook}
+
+
+def render(document: DataFrame, job_id: int, form: str) -> bytes:
+    """The file of one job's report in a format of ``RENDERERS``."""
+    if form not in RENDERERS:
+        raise ValueError(f"no generator for format {form}")
+    return RENDERERS[form](rows_of(document, job_id))
+
+
+def read_objects(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length, content) of stored files."""
+    return spark.read.format("binaryFile").load(path).select("path", "length", "content")
+
+
+def read_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(path, raw_text): each text file as one row."""
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw_text"))
+
+
+def recognised(objects: DataFrame, recognise: Callable[[bytes], str]) -> DataFrame:
+    """(path, raw_text, error) by a text recogniser; ``bytes.decode`` takes files that are text already. What it raises becomes the error."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, errors = [], []
+            for content in batch.column("content").to_pylist():
+                try:
+                    texts.append(recognise(content))
+                    errors.append(None)
+                except Exception as e:
+                    texts.append(None)
+                    errors.append(str(e))
+            yield pa.RecordBatch.from_pydict({"path": batch.column("path"), "raw_text": pa.array(texts, pa.string()), "error": pa.array(errors, pa.string())})
+
+    return objects.select("path", "content").mapInArrow(run, "path string, raw_text string, error string")

@@ -79,6 +79,7 @@ def report_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("k") == 13, 2050).otherwise(1995).alias("year"),
         F.when(F.col("k") == 13, 1).otherwise(F.col("k")).cast("int").alias("month"),
         F.element_at(F.lit(["MONTHLY_SPENDING", "CATEGORY_SUMMARY", "STORE_SUMMARY"]), (F.col("k") % 3 + 1).cast("int")).alias("report_type"),
+        F.element_at(F.lit(["CSV", "PDF", "XLSX"]), ((F.col("k") + F.col("user_id")) % 3 + 1).cast("int")).alias("report_format"),
     )
 
 
@@ -136,7 +137,8 @@ WITH users AS (
     FROM numbered JOIN part ON l_partkey = p_partkey
 ), report_jobs AS (
     SELECT id * 100 + k AS id, id AS user_id, CASE WHEN k = 13 THEN 2050 ELSE 1995 END AS year, CASE WHEN k = 13 THEN 1 ELSE k END AS month,
-           CASE k % 3 WHEN 0 THEN 'MONTHLY_SPENDING' WHEN 1 THEN 'CATEGORY_SUMMARY' ELSE 'STORE_SUMMARY' END AS report_type
+           CASE k % 3 WHEN 0 THEN 'MONTHLY_SPENDING' WHEN 1 THEN 'CATEGORY_SUMMARY' ELSE 'STORE_SUMMARY' END AS report_type,
+           CASE (k + id) % 3 WHEN 0 THEN 'CSV' WHEN 1 THEN 'PDF' ELSE 'XLSX' END AS report_format
     FROM users, (SELECT unnest(range(1, 14)) AS k)
 ), job_events AS (
     SELECT event_id, user_id AS job_id, ts AS updated_at,

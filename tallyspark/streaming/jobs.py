@@ -24,9 +24,10 @@ def next_batch(updates: DataFrame, offset: int, n: int = 20) -> DataFrame:
 
 
 def start_tokens(updates: DataFrame) -> DataFrame:
-    """(update_id, chat_id, token) of "/start <token>" messages."""
+    """(update_id, chat_id, token, and ``at`` if there) of "/start <token>" messages."""
+    kept = [c for c in ("at",) if c in updates.columns]
     parts = F.split(F.trim("text"), r"\s+", 2)
-    return updates.filter(F.col("text").startswith("/start") & (F.size(parts) == 2)).select("update_id", "chat_id", F.element_at(parts, 2).alias("token"))
+    return updates.filter(F.col("text").startswith("/start") & (F.size(parts) == 2)).select("update_id", "chat_id", F.element_at(parts, 2).alias("token"), *kept)
 
 
 def link_tokens(updates: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -34,8 +35,7 @@ def link_tokens(updates: DataFrame, tokens: DataFrame) -> DataFrame:
 
     ``updates``: update_id, chat_id, text, at. ``tokens``: token, user_id, expires_at, used_at.
     """
-    asked = start_tokens(updates).join(updates.select("update_id", "at"), "update_id")
-    valid = asked.join(tokens.filter("used_at is null"), "token").filter("expires_at >= at")
+    valid = start_tokens(updates).join(tokens.filter("used_at is null"), "token").filter("expires_at >= at")
     first = F.row_number().over(Window.partitionBy("token").orderBy("update_id"))
     return valid.withColumn("k", first).filter("k = 1").select("user_id", "token", "chat_id", "update_id")
 
