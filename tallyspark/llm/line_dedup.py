@@ -253,6 +253,7 @@ def groups(batches: Iterator[pa.RecordBatch], shift: int) -> Iterator[pa.RecordB
         rows = whole.num_rows - begin if begin else 0
     if held and sum(b.num_rows for b in held):
         yield joined(held)
+    tx.give_back()
 
 
 def close_pairs(group: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -34,8 +34,8 @@ CAPACITY = 4096
 END = 2
 #: Pieces shorter than capacity / LAST_CLASS are not classed.
 LAST_CLASS = 64
-#: Distinct words whose ids a worker remembers; beyond it starts anew.
-REMEMBERED = 300_000
+#: Distinct words whose ids a worker remembers; beyond, it keeps only those of the texts at hand.
+REMEMBERED = 600_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 COUNTER_BITS = 40
 
@@ -85,14 +85,20 @@ class Tokenizer:
 
     def learn(self, words: set[bytes]) -> None:
         if len(self.known) + len(words) > REMEMBERED:
-            self.known, self.plain = {}, {}
+            # Frequent words are among those that are asked for now.
+            self.known = {w: self.known[w] for w in words & self.known.keys()}
+            self.plain = {}
         new = {w: w.lower() for w in words - self.known.keys()}  # bytes: A-Z alone
-        parts = {}
+        single, parts = {}, {}
         for w, low in new.items():
             if any(x in low for x in self.special):
-                parts[w] = (w,)  # the tokenizer looks for these in the text as it stands
+                single[w] = w  # the tokenizer looks for these in the text as it stands
+            elif m := SIGNED.fullmatch(low):
+                parts[w] = m.groups()
             else:
-                parts[w] = m.groups() if (m := SIGNED.fullmatch(low)) else (low,)
+                single[w] = low
+        found = self.encode(list(set(single.values())))
+        self.known.update((w, found[low]) for w, low in single.items())
         self.plain |= self.encode(list({x for p in parts.values() for x in p} - self.plain.keys()))
         self.known.update((w, b"".join([self.plain[x] for x in p])) for w, p in parts.items())
 

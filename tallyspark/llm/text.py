@@ -7,6 +7,8 @@ UTF-8 never uses ASCII bytes inside a longer character, so ASCII separators can
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -49,7 +51,14 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = CH
             stop = max(row + 1, int(np.searchsorted(ends, used + size, "right")))
             yield batch.slice(row, stop - row)
             row = stop
+    give_back()
+
+
+def give_back() -> None:
+    """Return memory that is free again to the system; a worker lives on after its task and may wait beside others."""
     pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
