@@ -35,7 +35,7 @@ END = 2
 #: Pieces shorter than capacity / LAST_CLASS are not classed.
 LAST_CLASS = 64
 #: Distinct words whose ids a worker remembers; beyond, it keeps only those of the texts at hand.
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 COUNTER_BITS = 40
 
@@ -63,6 +63,7 @@ class Tokenizer:
         from tokenizers import Tokenizer as Public
 
         self.public = Public.from_file(path)
+        self.remembered = REMEMBERED
         self.known: dict[bytes, bytes] = {}
         self.plain: dict[bytes, bytes] = {}
         self.special = [x.content.lower().encode() for x in self.public.get_added_tokens_decoder().values()]
@@ -84,10 +85,12 @@ class Tokenizer:
         return out
 
     def learn(self, words: set[bytes]) -> None:
-        if len(self.known) + len(words) > REMEMBERED:
+        if len(self.known) + len(words) > self.remembered:
             # Frequent words are among those that are asked for now.
-            self.known = {w: self.known[w] for w in words & self.known.keys()}
-            self.plain = {}
+            kept = {w: self.known[w] for w in words & self.known.keys()}
+            self.known.clear()
+            self.known.update(kept)
+            self.plain.clear()
         new = {w: w.lower() for w in words - self.known.keys()}  # bytes: A-Z alone
         single, parts = {}, {}
         for w, low in new.items():
@@ -112,9 +115,11 @@ _tokenizers: dict[str, Tokenizer] = {}
 
 
 def tokenizer(path: str) -> Tokenizer:
-    """The worker's tokenizer for a vocabulary file."""
+    """The worker's tokenizer for a vocabulary file. Its words are forgotten when the worker turns to another operator."""
     if path not in _tokenizers:
-        _tokenizers[path] = Tokenizer(path)
+        _tokenizers[path] = made = Tokenizer(path)
+        tx.KEPT.append(made.known)
+        tx.KEPT.append(made.plain)
     return _tokenizers[path]
 
 
@@ -190,14 +195,18 @@ class Packer:
         return pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in zip(names, columns, strict=True)})
 
 
-def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, last_class: int = LAST_CLASS, end: int = END) -> DataFrame:
-    """One row a piece: where it lies in its document and in its sequence. ``vocabulary`` must be at that path on every machine."""
+def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, last_class: int = LAST_CLASS, end: int = END, remembered: int = REMEMBERED) -> DataFrame:
+    """One row a piece: where it lies in its document and in its sequence. ``vocabulary`` must be at that path on every machine.
+
+    ``remembered``: distinct words whose ids a worker holds (about 200 bytes each); fewer cost time, not results.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(TaskContext.get().partitionId(), capacity, last_class)
         last = np.array([end], "<u4").tobytes()
         words = tokenizer(vocabulary)
-        for batch in tx.chunks(batches):
+        words.remembered = remembered
+        for batch in tx.chunks(batches, keep=True):
             texts = batch.column("text").cast(pa.large_binary()).fill_null(b"").to_pylist()
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), words.ids(texts), strict=True):
                 packer.add(doc_id, ids + last)

@@ -39,8 +39,14 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that each holds one row, or at most ``size`` bytes of text."""
+#: What one operator remembers in a worker; it goes when the worker reads texts for another.
+KEPT: list[dict] = []
+
+
+def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = CHUNK_BYTES, keep: bool = False) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that each holds one row, or at most ``size`` bytes of text. Unless ``keep``, what is ``KEPT`` is forgotten first."""
+    for held in KEPT if not keep else ():
+        held.clear()
     for batch in batches:
         if not batch.num_rows:
             continue
