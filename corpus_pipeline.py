@@ -40,11 +40,12 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    # Workers that serve other stages too remember fewer words.
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), remembered=200_000)
 
 
 STAGES = [("language", language), ("lines", lines), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("packing", packing)]
-#: Tokens, links and learnt n-grams can't be had in SQL; the tests compare with a brute-force version.
+#: Tokens, links and learnt n-grams can't be had in SQL; the tests look at each stage.
 ORACLE_SQL = None
 
 
