@@ -519,3 +519,45 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
         F.array_join(F.transform(numbers, lambda k: k.cast("string")), ",").alias("removed"),
     )
+
+
+OP6_SQL = r"""
+WITH d AS (
+    SELECT doc_id, coalesce(text, '') AS t FROM documents
+), split AS (
+    SELECT doc_id, string_split(t, chr(10)) AS parts FROM d
+), numbered AS (
+    SELECT doc_id, k - 1 AS number, regexp_extract_all(translate(parts[k], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+    FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS k FROM split)
+), lines AS (
+    SELECT doc_id, number, array_to_string(list_sort(list_distinct(w)), ' ') AS words FROM numbered WHERE len(w) > 0
+), sets AS (
+    SELECT words, row_number() OVER (ORDER BY words) AS s, min((doc_id, number)) AS first FROM lines GROUP BY words
+), members AS (
+    SELECT s, len(string_split(words, ' ')) AS n, unnest(string_split(words, ' ')) AS word FROM sets
+), counts AS (
+    SELECT word, count(*) AS c FROM members GROUP BY word
+), placed AS (
+    SELECT s, n, word, row_number() OVER (PARTITION BY s ORDER BY c, word) AS place FROM members JOIN counts USING (word)
+), front AS (
+    SELECT s, n, word FROM placed WHERE place <= n - (4 * n + 4) // 5 + 1
+), candidates AS (
+    SELECT DISTINCT x.s AS a, y.s AS b, x.n AS n_a, y.n AS n_b FROM front x JOIN front y ON x.word = y.word AND x.s < y.s AND 5 * x.n >= 4 * y.n AND 5 * y.n >= 4 * x.n
+), matched AS (
+    SELECT a, b FROM candidates JOIN members x ON x.s = a JOIN members y ON y.s = b AND y.word = x.word
+    GROUP BY a, b, n_a, n_b HAVING 100 * count(*) >= 80 * (n_a + n_b - count(*))
+), pairs AS (
+    SELECT a, b FROM matched UNION ALL SELECT b, a FROM matched
+), theirs AS (
+    SELECT a AS s, count(*) AS links, min(sets.first) AS first FROM pairs JOIN sets ON sets.s = b GROUP BY a
+), bounds AS (
+    SELECT words, coalesce(links, 0) AS links, least(sets.first, coalesce(theirs.first, sets.first)) AS bound FROM sets LEFT JOIN theirs USING (s)
+), found AS (
+    SELECT doc_id, sum(links) AS n_links, count(*) FILTER (WHERE (doc_id, number) > bound) AS n_removed,
+           string_agg(CAST(number AS VARCHAR), ',' ORDER BY number) FILTER (WHERE (doc_id, number) > bound) AS removed
+    FROM lines JOIN bounds USING (words) GROUP BY doc_id
+)
+SELECT doc_id, CAST(CASE WHEN t = '' THEN 0 ELSE 1 + len(t) - len(replace(t, chr(10), '')) END AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, coalesce(removed, '') AS removed
+FROM d LEFT JOIN found USING (doc_id)
+"""

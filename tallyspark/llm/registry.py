@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from tallyspark.llm.decontamination import OP7_SQL, op7_decontamination
 from tallyspark.llm.language_id import op1_language_id
-from tallyspark.llm.line_dedup import op6_line_dedup
+from tallyspark.llm.line_dedup import OP6_SQL, op6_line_dedup
 from tallyspark.llm.lm_score import op3_lm_score
-from tallyspark.llm.near_dup import op2_near_dup
+from tallyspark.llm.near_dup import OP2_SQL, op2_near_dup
 from tallyspark.llm.packing import op9_packing
 from tallyspark.llm.pii import op5_pii
 from tallyspark.llm.quality_fm import op8_quality_fm
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
 }
-ORACLE_SQL: dict[str, str] = {"op7_decontamination": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_near_dup": OP2_SQL, "op6_line_dedup": OP6_SQL, "op7_decontamination": OP7_SQL}
