@@ -115,14 +115,15 @@ _tokenizers: dict[str, Tokenizer] = {}
 
 
 def tokenizer(path: str) -> Tokenizer:
-    """The worker's tokenizer for a vocabulary file. Its words are forgotten when the worker turns to another operator."""
+    """The worker's tokenizer for a vocabulary file. It goes, with its words, when the worker turns to another operator."""
     if path not in _tokenizers:
-        _tokenizers[path] = made = Tokenizer(path)
-        tx.KEPT.append(made.known)
-        tx.KEPT.append(made.plain)
+        _tokenizers[path] = Tokenizer(path)
     return _tokenizers[path]
 
 
+tx.KEPT.append(_tokenizers)
+
+
 class Packer:
     """Packs documents one after another; holds what its open sequences hold."""
 

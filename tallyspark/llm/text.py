@@ -45,8 +45,10 @@ KEPT: list[dict] = []
 
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = CHUNK_BYTES, keep: bool = False) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds one row, or at most ``size`` bytes of text. Unless ``keep``, what is ``KEPT`` is forgotten first."""
-    for held in KEPT if not keep else ():
-        held.clear()
+    if not keep and any(KEPT):
+        for held in KEPT:
+            held.clear()
+        give_back()
     for batch in batches:
         if not batch.num_rows:
             continue
