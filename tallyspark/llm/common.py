@@ -28,6 +28,16 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+#: Bytes of an Arrow batch; a batch exceeds them by one row at most, however long texts are.
+BATCH_BYTES = 4 << 20
+BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
+    """Let rows travel to Python workers in batches of ``size`` bytes, for this session; Spark's own bound is 64 MB for each task."""
+    spark.conf.set(BATCHES, f"{size}b")
+
+
 #: What stands for a null document id; it comes before all others.
 NULL_ID = -(1 << 63)
 

@@ -3,8 +3,9 @@
 import duckdb
 
 import corpus_pipeline
-from tallyspark.llm.common import table, written
+from tallyspark.llm.common import BATCHES, bounded_batches, table, written
 from tallyspark.llm.decontamination import OP7_SQL, op7_decontamination, scan
+from tallyspark.llm.line_dedup import remove_lines
 from tallyspark.llm.near_dup import near_duplicates
 
 SF = "/root/testdata/sf0.001"
@@ -35,3 +36,15 @@ def test_decontamination_sql(spark):
     theirs = con.sql(OP7_SQL)
     names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     assert sorted(tuple(r) for r in ours.select(names).collect()) == sorted(tuple(r[theirs.columns.index(c)] for c in names) for r in theirs.fetchall())
+
+
+def test_small_batches(spark):
+    docs = table(spark, SF, "documents")
+    asked = lambda: [sorted(map(str, df.collect())) for df in (remove_lines(docs, least_words=1), near_duplicates(docs))]
+    before = spark.conf.get(BATCHES)
+    try:
+        whole = asked()
+        bounded_batches(spark, 3000)
+        assert asked() == whole
+    finally:
+        spark.conf.set(BATCHES, before)
