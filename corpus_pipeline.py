@@ -6,14 +6,15 @@
 4. decontamination: documents that hold a window of a benchmark item go.
 5. packing: what is left is tokenised and packed; one row a piece.
 
-Every stage but the last returns the columns that it was given.
+Every stage but the last returns the columns that it was given. Stages that use Python bound the session's Arrow batches
+by bytes (``bounded_batches``), so that a task's memory does not grow with the length of texts.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm.common import table, written
+from tallyspark.llm.common import bounded_batches, table, written
 from tallyspark.llm.decontamination import decontaminate
 from tallyspark.llm.language_id import recognised
 from tallyspark.llm.line_dedup import remove_lines
@@ -22,14 +23,17 @@ from tallyspark.llm.packing import pack
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return recognised(docs, docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return remove_lines(docs, least_words=1)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return deduplicate(docs)
 
 
@@ -40,12 +44,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
+    bounded_batches(spark)
     # Workers that serve other stages too remember fewer words.
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"), remembered=200_000)
 
 
 STAGES = [("language", language), ("lines", lines), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("packing", packing)]
-#: Tokens, links and learnt n-grams can't be had in SQL; the tests look at each stage.
+#: Tokens, links and learnt n-grams can't be had in SQL; the tests look at each stage, and hold lines, near-duplicates and decontamination against SQL.
 ORACLE_SQL = None
 
 
