@@ -31,8 +31,8 @@ MIN_SHARE = 1e-5
 MIN_RATIO = 0.15
 SLOTS = 1 << 20
 PROBES = 4
-#: Bits of a slot, and so languages at most.
-MAX_LANGUAGES = 64
+#: Bits of a slot. More languages than that take further arrays.
+SLOT_BITS = 64
 UNKNOWN = "und"
 #: Distinct n-grams that a task holds before it passes its counts on.
 HELD = 1 << 20
@@ -106,29 +106,35 @@ def probes(keys: np.ndarray, slots: int = SLOTS) -> Iterator[np.ndarray]:
         yield ((keys + np.uint64(k) * step) & np.uint64(slots - 1)).astype(np.int64)
 
 
+def bits(masks: np.ndarray, lang: int) -> np.ndarray:
+    """The language's bit of each mask."""
+    kind = masks.dtype.type
+    return (masks >> kind(lang % SLOT_BITS)) & kind(1)
+
+
 class BloomSlices:
-    """Bloom filters of up to 64 languages in one array, bit l of a slot being language l's."""
+    """Bloom filters of all languages: bit l of a slot is language l's; beyond 64 languages in several arrays."""
 
     def __init__(self, langs: list[str], slots: int = SLOTS):
-        if len(langs) > MAX_LANGUAGES:
-            raise ValueError(f"{len(langs)} languages; a slot has {MAX_LANGUAGES} bits")
         self.langs, self.slots = langs, slots
-        self.masks = np.zeros(slots, next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if np.iinfo(t).bits >= len(langs)))
+        sizes = [min(SLOT_BITS, len(langs) - k) for k in range(0, max(1, len(langs)), SLOT_BITS)]
+        self.masks = [np.zeros(slots, next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if np.iinfo(t).bits >= n)) for n in sizes]
 
     def add(self, lang: int, keys: np.ndarray) -> None:
+        mask = self.masks[lang // SLOT_BITS]
         for at in probes(keys, self.slots):
-            self.masks[at] |= self.masks.dtype.type(1 << lang)
+            mask[at] |= mask.dtype.type(1 << lang % SLOT_BITS)
 
     def false_rates(self) -> np.ndarray:
-        kind = self.masks.dtype.type
-        return np.array([np.mean((self.masks >> kind(k)) & kind(1)) ** PROBES for k in range(len(self.langs))])
+        return np.array([np.mean(bits(self.masks[k // SLOT_BITS], k)) ** PROBES for k in range(len(self.langs))])
 
-    def containing(self, keys: np.ndarray) -> np.ndarray:
-        """Bitmask of the languages whose filters hold each n-gram."""
-        found = None
+    def containing(self, keys: np.ndarray) -> list[np.ndarray]:
+        """Bitmasks of the languages whose filters hold each n-gram, of 64 languages each."""
+        held = [mask[next(probes(keys, self.slots))] for mask in self.masks]
         for at in probes(keys, self.slots):
-            found = self.masks[at] if found is None else found & self.masks[at]
-        return found
+            for found, mask in zip(held, self.masks, strict=True):
+                found &= mask[at]
+        return held
 
 
 def build(train: DataFrame, **how: float) -> BloomSlices:
@@ -144,13 +150,13 @@ def build(train: DataFrame, **how: float) -> BloomSlices:
 
 def judge(model: BloomSlices, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Language and score of each text."""
-    kind, false = model.masks.dtype.type, model.false_rates()
+    false = model.false_rates()
     keys, first = grams(*tx.code_points(*tx.text_bytes(texts)))
     n = np.diff(first)
     held = model.containing(keys)
     share = np.zeros((len(model.langs), len(texts)))
     for k in range(len(model.langs)):
-        hits = tx.sums(((held >> kind(k)) & kind(1)).astype(np.int64), first)
+        hits = tx.sums(bits(held[k // SLOT_BITS], k).astype(np.int64), first)
         share[k] = (hits / np.maximum(n, 1) - false[k]) / max(1e-9, 1 - false[k])
     known = (n > 0) & bool(model.langs)
     best = np.argmax(share, axis=0) if model.langs else np.zeros(len(texts), int)

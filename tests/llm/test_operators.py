@@ -13,7 +13,7 @@ from tallyspark.llm import text as tx
 from tallyspark.llm.common import fold, maybe_in
 from tallyspark.llm.components import components
 from tallyspark.llm.decontamination import decontaminate, scan
-from tallyspark.llm.language_id import UNKNOWN, BloomSlices, identify, recognised
+from tallyspark.llm.language_id import UNKNOWN, BloomSlices, bits, identify, recognised
 from tallyspark.llm.lattice import Lattice
 from tallyspark.llm.line_dedup import Lines, removed_lines, remove_lines
 from tallyspark.llm.lm_score import lm_scores
@@ -187,11 +187,26 @@ def test_bloom_slices():
     keys = tx.mix(np.arange(1, 5001, dtype=np.uint64))
     model.add(0, keys[:3000])
     model.add(1, keys[2000:4000])
-    held = model.containing(keys)
+    (held,) = model.containing(keys)
     assert (held[:3000] & 1).all() and (held[2000:4000] & 2).all()
     assert (held[4000:] == 0).mean() > 0.99 and (model.false_rates() < 0.01).all()
 
 
+def test_more_languages_than_bits(spark):
+    names = [f"l{k:02}" for k in range(70)]
+    model = BloomSlices(names)
+    keys = tx.mix(np.arange(1, 7001, dtype=np.uint64))
+    for k in range(70):
+        model.add(k, keys[100 * k : 100 * k + 100])
+    held = model.containing(keys)
+    assert len(held) == 2 and all(bits(held[k // 64], k)[100 * k : 100 * k + 100].all() for k in range(70))
+    assert all(bits(held[k // 64], k).mean() < 0.02 for k in range(70)) and len(model.false_rates()) == 70
+    # Each language writes in two letters of its own.
+    texts = [(k, " ".join(f"{chr(0x4E00 + 2 * k)}{chr(0x4E01 + 2 * k)}" * n for n in range(1, 9)), names[k]) for k in range(70)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    assert {r.doc_id: r.lang_pred for r in identify(df, df).collect()} == dict(enumerate(names))
+
+
 def test_lm_scores(spark, docs):
     import public_tokenizers
 
