@@ -38,8 +38,8 @@ SEED_WEIGHT = 3.0
 LEAST_CONTEXTS, LEAST_ODDS, LEAST_Z = 12, 2.5, 6.0
 #: Lengths of stems that are tried.
 STEMS = range(4, 9)
-#: Entries that are weighed, and that are kept, at most.
-CANDIDATES, LEXICON_SIZE = 50_000, 2000
+#: Entries whose counts a task holds before it passes them on.
+HELD = 1 << 18
 #: Intercept, per summed weight (logarithmic), per weight per 100 words (logarithmic); before any fit.
 DEFAULT_COEFFICIENTS = (-3.0, 2.5, 0.5)
 #: Folding, as "what it becomes": what is written for it. Fixed values.
@@ -166,17 +166,21 @@ def toxic_uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"entry": pa.array(entry, pa.string()), "context": pa.array(context, pa.int64())})
 
 
-def other_uses(candidates: Callable[[], frozenset]) -> Callable:
-    """(entry, documents that use it) of the candidates, summed up within the task."""
+def other_uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(entry, texts that use it), summed up within the task as far as memory allows."""
+    counts: Counter = Counter()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, counts = candidates(), Counter()
-        for batch in tx.chunks(batches):
-            for text in batch.column("text").to_pylist():
-                counts.update({e for w in set(words_of(text)) for e in entries_of(w) if e in wanted})
-        yield pa.RecordBatch.from_pydict({"entry": pa.array(list(counts), pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
+    def flush() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_pydict({"entry": pa.array(list(counts), pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
+        counts.clear()
+        return out
 
-    return run
+    for batch in tx.chunks(batches):
+        for text in batch.column("text").to_pylist():
+            counts.update({e for w in set(words_of(text)) for e in entries_of(w)})
+            if len(counts) > HELD:
+                yield flush()
+    yield flush()
 
 
 def closed(entries: dict[str, tuple[int, float]]) -> dict[str, float]:
@@ -195,30 +199,25 @@ def closed(entries: dict[str, tuple[int, float]]) -> dict[str, float]:
 
 
 def learnt_entries(sample: DataFrame) -> dict[str, float]:
-    """Weights of at most ``LEXICON_SIZE`` words and stems that toxic documents use in many contexts and others hardly.
+    """Weights of all words and stems that toxic documents of the sample use in many contexts and others hardly.
 
-    A word of the default list that is seen often enough to tell, but no more in toxic texts, gets weight 0.
+    Spark counts and weighs every entry; only those that pass come back, so the sample's size bounds them. A word of the
+    default list that is seen often enough to tell, but no more in toxic texts, gets weight 0.
     """
-    context = sample.sparkSession.sparkContext
     toxic = sample.filter("label = 1").mapInArrow(toxic_uses, "entry string, context long").distinct()
-    uses = toxic.groupBy("entry").agg(F.count("*").alias("t")).filter(F.col("t") >= LEAST_CONTEXTS)
-    t = {r.entry: r.t for r in uses.orderBy(F.desc("t"), "entry").limit(CANDIDATES).collect()}
-    wanted = context.broadcast(frozenset(t) | {plain(w) for w in SEED_WORDS})
-    others = sample.filter("label <> 1").select("text").mapInArrow(other_uses(lambda: wanted.value), "entry string, n long")
-    n = {r.entry: r.n for r in others.groupBy("entry").agg(F.sum("n").alias("n")).collect()}
-    counted = sample.agg(F.count_if(F.col("label") == 1).alias("toxic"), F.count_if(F.col("label") != 1).alias("other")).first()
-    found: dict[str, tuple[int, float]] = {}
-    dull: dict[str, float] = {}
-    for entry in wanted.value:
-        a, b = t.get(entry, 0), n.get(entry, 0)
-        p, q, common = (a + 0.5) / (counted.toxic + 1), (b + 0.5) / (counted.other + 1), (a + b + 1) / (counted.toxic + counted.other + 2)
-        z = (p - q) / np.sqrt(common * (1 - common) * (1 / (counted.toxic + 1) + 1 / (counted.other + 1)))
-        if np.log(p / q) >= LEAST_ODDS and z >= LEAST_Z and a >= LEAST_CONTEXTS:
-            found[entry] = a, float(min(6.0, np.log(p / q)))
-        elif not entry.endswith("*") and a + b >= LEAST_CONTEXTS:
-            dull[entry] = 0.0
-    strongest = sorted(found.items(), key=lambda x: (-x[1][0], x[0]))[:LEXICON_SIZE]
-    return dull | closed(dict(strongest))
+    uses = toxic.groupBy("entry").agg(F.count("*").alias("a")).filter(F.col("a") >= LEAST_CONTEXTS)
+    others = sample.filter("label <> 1").select("text").mapInArrow(other_uses, "entry string, n long")
+    both = uses.withColumn("n", F.lit(0).cast("long")).unionByName(others.withColumn("a", F.lit(0).cast("long")))
+    seeds = sorted({plain(w) for w in SEED_WORDS})
+    counted = both.groupBy("entry").agg(F.sum("a").alias("a"), F.sum("n").alias("b")).filter((F.col("a") > 0) | F.col("entry").isin(seeds))
+    size = sample.agg(F.count_if(F.col("label") == 1).alias("toxic"), F.count_if(F.col("label") != 1).alias("other")).first()
+    p, q = (F.col("a") + 0.5) / (size.toxic + 1), (F.col("b") + 0.5) / (size.other + 1)
+    common = (F.col("a") + F.col("b") + 1) / (size.toxic + size.other + 2)
+    z = (p - q) / F.sqrt(common * (1 - common) * (1 / (size.toxic + 1) + 1 / (size.other + 1)))
+    passes = (F.log(p / q) >= LEAST_ODDS) & (z >= LEAST_Z) & (F.col("a") >= LEAST_CONTEXTS)
+    weighed = counted.select("entry", "a", (F.col("a") + F.col("b")).alias("seen"), F.least(F.log(p / q), F.lit(6.0)).alias("weight"), passes.alias("passes"))
+    rows = weighed.filter(F.col("passes") | (F.col("entry").isin(seeds) & (F.col("seen") >= LEAST_CONTEXTS))).collect()
+    return {r.entry: 0.0 for r in rows if not r.passes} | closed({r.entry: (r.a, r.weight) for r in rows if r.passes})
 
 
 def signals(weight: np.ndarray, n_words: np.ndarray) -> np.ndarray:
