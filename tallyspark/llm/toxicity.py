@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm import text as tx
-from tallyspark.llm.common import fold, table
+from tallyspark.llm.common import cut, fold, table
 from tallyspark.llm.labelled import FIT_ROWS, fit_sample
 
 SEED_WORDS = ("bastard", "clown", "creep", "crap", "cretin", "degenerate", "despicable", "disgusting", "dumbass", "fool", "garbage", "halfwit", "hateful", "idiot", "idiotic", "imbecile", "jackass", "jerk", "loser", "lunatic", "moron", "moronic", "nitwit", "pathetic", "pig", "psycho", "repulsive", "scum", "scumbag", "shit", "shut up", "slut", "stupid", "subhuman", "trash", "vermin", "vile", "weirdo", "whore", "worthless")
@@ -244,7 +244,8 @@ def toxicity(docs: DataFrame, labels: DataFrame | None, label: str = "toxic", fi
     b = np.array(DEFAULT_COEFFICIENTS)
     sample = None
     if labels is not None:
-        sample = fit_sample(docs, labels, label, fit_rows)
+        # Read four times below; written once, so that documents are not joined and scanned for each.
+        sample = cut(fit_sample(docs, labels, label, fit_rows))
         weights = {plain(w): x for w, x in weights.items()} | learnt_entries(sample)
         weights = {w: x for w, x in weights.items() if x > 0}
     matcher = context.broadcast(weights)
