@@ -9,6 +9,7 @@ from tallyspark.llm.lm_score import op3_lm_score
 from tallyspark.llm.near_dup import OP2_SQL, op2_near_dup
 from tallyspark.llm.packing import op9_packing
 from tallyspark.llm.pii import op5_pii
+from tallyspark.llm.prefix_trie import OP13_SQL, op13_prefix_trie
 from tallyspark.llm.quality_fm import op8_quality_fm
 from tallyspark.llm.quality_rules import op4_quality_rules
 from tallyspark.llm.toxicity import op10_toxicity
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_quality_fm": op8_quality_fm,
     "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
+    "op13_prefix_trie": op13_prefix_trie,
 }
-ORACLE_SQL: dict[str, str] = {"op2_near_dup": OP2_SQL, "op6_line_dedup": OP6_SQL, "op7_decontamination": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_near_dup": OP2_SQL, "op6_line_dedup": OP6_SQL, "op7_decontamination": OP7_SQL, "op13_prefix_trie": OP13_SQL}
