@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tallyspark.llm.decontamination import OP7_SQL, op7_decontamination
+from tallyspark.llm.hard_negatives import OP11_SQL, op11_hard_negatives
 from tallyspark.llm.language_id import op1_language_id
 from tallyspark.llm.line_dedup import OP6_SQL, op6_line_dedup
 from tallyspark.llm.lm_score import op3_lm_score
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_quality_fm": op8_quality_fm,
     "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
+    "op11_hard_negatives": op11_hard_negatives,
     "op13_prefix_trie": op13_prefix_trie,
 }
-ORACLE_SQL: dict[str, str] = {"op2_near_dup": OP2_SQL, "op6_line_dedup": OP6_SQL, "op7_decontamination": OP7_SQL, "op13_prefix_trie": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_near_dup": OP2_SQL, "op6_line_dedup": OP6_SQL, "op7_decontamination": OP7_SQL, "op11_hard_negatives": OP11_SQL, "op13_prefix_trie": OP13_SQL}
