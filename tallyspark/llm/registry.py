@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tallyspark.llm.best_fit import op12_best_fit
 from tallyspark.llm.decontamination import OP7_SQL, op7_decontamination
 from tallyspark.llm.hard_negatives import OP11_SQL, op11_hard_negatives
 from tallyspark.llm.language_id import op1_language_id
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_best_fit": op12_best_fit,
     "op13_prefix_trie": op13_prefix_trie,
 }
 ORACLE_SQL: dict[str, str] = {"op2_near_dup": OP2_SQL, "op6_line_dedup": OP6_SQL, "op7_decontamination": OP7_SQL, "op11_hard_negatives": OP11_SQL, "op13_prefix_trie": OP13_SQL}
