@@ -13,6 +13,11 @@ def trimmed(c: Column) -> Column:
     return F.regexp_replace(c, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
 
 
+def has_text(c: Column) -> Column:
+    """Has it a character that is no white space? False for null."""
+    return F.coalesce(c.rlike(r"[^\t-\r\x1c-\x20\u1680\u2000-\u2006\u2008-\u200a\u2028\u2029\u205f\u3000]"), F.lit(False))
+
+
 def optional_text(c: Column) -> Column:
     return F.nullif(trimmed(c), F.lit(""))
 

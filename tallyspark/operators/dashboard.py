@@ -6,10 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyspark.functions.scalars import MONEY, category_key
+from tallyspark.functions.scalars import MONEY, category_key, has_text, mapped
+from tallyspark.operators.accounts import connected, role
 
 MOST_SEGMENTS, LEAST_SHARE, OTHER = 5, 0.06, "OTHER"
 CHANNELS = ("EMAIL", "TELEGRAM")
+# What the feed calls statuses and report types.
+ACTIVITY_LABELS = {
+    "OCR_NEW": "OCR is still running", "OCR_PROCESSING": "OCR is still running", "OCR_DONE": "OCR completed", "OCR_FAILED": "OCR finished with an error", "REPORT_NEW": "Report is still processing", "REPORT_DONE": "Report is ready",
+    "REPORT_FAILED": "Report finished with an error", "MONTHLY_SPENDING": "Monthly spending", "CATEGORY_SUMMARY": "Category summary", "STORE_SUMMARY": "Store summary",
+}
 
 
 def currency_summary(purchases: DataFrame) -> DataFrame:
@@ -72,6 +78,15 @@ def recent_activity(first: DataFrame, second: DataFrame, n: int = 5) -> DataFram
     return both.orderBy(F.desc("at"), "feed", F.desc("id")).limit(n).drop("feed")
 
 
+def activity(receipts: DataFrame, jobs: DataFrame, labels: dict[str, str] = ACTIVITY_LABELS, n: int = 5) -> DataFrame:
+    """The ``n`` latest receipts and reports (kind, id, at, title), by when they were read or uploaded, or last changed."""
+    label = lambda c, prefix: mapped(F.concat(F.lit(prefix), c), labels)
+    scanned = receipts.select(F.lit("receipt").alias("kind"), "id", F.coalesce("ocr_processed_at", "uploaded_at").alias("at"), F.concat(label(F.col("ocr_status"), "OCR_"), F.lit(": "), "original_file_name").alias("title"))
+    status = F.when(F.col("status").isin("DONE", "FAILED"), F.col("status")).otherwise("NEW")
+    title = F.concat(label(status, "REPORT_"), F.lit(": "), label(F.col("report_type"), ""), F.lit(" "), "report_format")
+    return recent_activity(scanned, jobs.select(F.lit("report").alias("kind"), "id", F.col("updated_at").alias("at"), title.alias("title")), n)
+
+
 def table_counts(**tables: DataFrame) -> DataFrame:
     parts = [df.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows") for name, df in tables.items()]
     out = parts[0]
@@ -82,13 +97,13 @@ def table_counts(**tables: DataFrame) -> DataFrame:
 
 def recent_users(users: DataFrame, admins: list[str], n: int = 10) -> DataFrame:
     newest = users.orderBy(F.desc("created_on"), F.desc("id")).limit(n)
-    return newest.select("id", "email", F.when(F.col("google_subject").isNull(), "PASSWORD").otherwise("GOOGLE").alias("auth_provider"), F.when(F.col("email").isin(admins), "ADMIN").otherwise("USER").alias("role"))
+    return newest.select("id", "email", F.when(F.col("google_subject").isNull(), "PASSWORD").otherwise("GOOGLE").alias("auth_provider"), role(F.col("email"), admins).alias("role"))
 
 
 def delivery_plan(users: DataFrame) -> DataFrame:
-    """The order of channels for each user, preferred first, and the first that is configured."""
-    connected = F.coalesce((F.col("chat_id") != "") & F.col("connected_at").isNotNull(), F.lit(False))
-    preferred = F.array("preferred_channel")
+    """The order of channels for each user, preferred first (EMAIL if none is), those of them that are configured, and the first of these."""
+    chat = connected()
+    preferred = F.array(F.coalesce("preferred_channel", F.lit(CHANNELS[0])))
     order = F.concat(preferred, F.array_except(F.array(*map(F.lit, CHANNELS)), preferred))
-    usable = F.filter(order, lambda c: (c == "EMAIL") | connected)
-    return users.select("id", connected.alias("connected"), F.array_join(order, ",").alias("channel_order"), F.try_element_at(usable, F.lit(1)).alias("channel"))
+    usable = F.filter(order, lambda c: ((c == "EMAIL") & has_text(F.col("email"))) | ((c == "TELEGRAM") & chat))
+    return users.select("id", chat.alias("connected"), F.array_join(order, ",").alias("channel_order"), F.array_join(usable, ",").alias("usable"), F.try_element_at(usable, F.lit(1)).alias("channel"))

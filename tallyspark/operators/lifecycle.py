@@ -107,6 +107,17 @@ def transitions(jobs: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFram
     return rows, events.join(jobs.select(F.col("id").alias("job_id")), "job_id", "left_anti")
 
 
+def job_defaults(jobs: DataFrame, now: Column) -> DataFrame:
+    """Jobs as they are stored: created when they are new, updated now, NEW and CSV unless they say otherwise."""
+    given = {"created_at": now, "status": F.lit("NEW"), "report_format": F.lit("CSV")}
+    return jobs.withColumns({c: F.coalesce(F.col(c), default) for c, default in given.items()} | {"updated_at": now})
+
+
+def receipt_defaults(receipts: DataFrame, now: Column) -> DataFrame:
+    """Receipts as they are stored: uploaded now and NEW unless they say otherwise."""
+    return receipts.withColumns({"uploaded_at": F.coalesce("uploaded_at", now), "ocr_status": F.coalesce("ocr_status", F.lit("NEW"))})
+
+
 def messages(jobs: DataFrame) -> DataFrame:
     """(job_id, value): the queue message of each new job as JSON, to be written along with the job itself."""
     fields = {"reportJobId": "id", "userId": "user_id", "year": "year", "month": "month", "reportType": "report_type", "reportFormat": "report_format"}
@@ -114,7 +125,7 @@ def messages(jobs: DataFrame) -> DataFrame:
 
 
 def publish(outbox: DataFrame, queue_dir: str) -> None:
-    """Append messages to a queue's folder, from which ``streaming.jobs.run_queue`` takes them."""
+    """Append messages to a queue's folder, from which ``streaming.consumer`` takes them."""
     outbox.select("value").write.mode("append").text(queue_dir)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions.scalars import category_key
+from tallyspark.operators.accounts import connected
 
 #: Minutes that a download link is valid.
 LINK_MINUTES = 15
@@ -35,6 +36,7 @@ def notification(jobs: DataFrame) -> DataFrame:
     plain = F.replace(F.lower("report_type"), F.lit("_"), F.lit(" "))
     text = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
     done, form = F.col("status") == "DONE", F.col("report_format")
+    # The texts below.
     subject = text(name, " ", form, " report for ", when, F.when(done, " is ready").otherwise(" failed"))
     ready = text(
         "Your ", plain, " report in ", form, " format for ", when, " is ready.\nReport job id: ", number, "\nThe report file is attached or delivered directly in your selected channel.\n",
@@ -53,9 +55,10 @@ def receipt_summaries(receipts: DataFrame, lines: DataFrame, purchases: DataFram
     return joined.withColumns({"line_count": F.coalesce("line_count", F.lit(0)), "category": F.coalesce("linked_category", own)}).drop("linked_category")
 
 
-def connection_status(users: DataFrame, pending: DataFrame) -> DataFrame:
-    """connected, and the token and expiry of a pending link where the user is not connected yet."""
-    connected = F.coalesce((F.trim("chat_id") != "") & F.col("connected_at").isNotNull(), F.lit(False))
+def connection_status(users: DataFrame, pending: DataFrame, bot: str) -> DataFrame:
+    """connected and since when, and the link, token and expiry of a pending token where the user is not connected yet."""
     waiting = pending.select(F.col("user_id").alias("id"), F.col("token").alias("token_"), F.col("expires_at").alias("expires_"))
-    joined = users.join(waiting, "id", "left").withColumn("connected", connected)
-    return joined.select("id", "connected", F.when(~F.col("connected"), F.col("token_")).alias("token"), F.when(~F.col("connected"), F.col("expires_")).alias("expires_at"))
+    joined = users.join(waiting, "id", "left").withColumn("connected", connected())
+    open_ = lambda c: F.when(~F.col("connected"), c)
+    link = F.concat(F.lit(f"https://t.me/{bot}?start="), "token_")
+    return joined.select("id", "connected", "connected_at", open_(link).alias("link"), open_(F.col("token_")).alias("token"), open_(F.col("expires_")).alias("expires_at"))

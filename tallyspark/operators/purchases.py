@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.functions.scalars import MONEY, category_key, money, optional_text, trimmed
+from tallyspark.functions.scalars import MONEY, category_key, has_text, money, optional_text, trimmed
 
 CURRENCIES = ("USD", "EUR", "UAH", "RUB")
 
@@ -39,12 +39,13 @@ def errors(requests: DataFrame) -> DataFrame:
     """Adds ``errors``, the messages of all broken rules joined by "; "; null if there is none."""
 
     def blank(c: str) -> Column:
-        return F.coalesce(trimmed(F.col(c)) == "", F.lit(True))
+        return ~has_text(F.col(c))
 
     rules = [
         (blank("title"), "title: must not be blank"),
         (blank("category"), "category: must not be blank"),
-        (~F.coalesce(F.col("amount") > 0, F.lit(False)), "amount: must be greater than 0"),
+        (F.col("amount").isNull(), "amount: must not be null"),
+        (F.col("amount") <= 0, "amount: must be greater than 0"),
         (~F.coalesce(F.col("currency").isin(*CURRENCIES), F.lit(False)), "currency: must not be null"),
         (F.col("purchase_date").isNull(), "purchaseDate: must not be null"),
     ]
@@ -75,7 +76,7 @@ def created(requests: DataFrame, now: Column) -> tuple[DataFrame, DataFrame, Dat
 def item_errors(item: Column, place: Column) -> Column:
     """Messages of an item's broken rules, joined by "; ", else an empty text."""
     name = lambda field: F.concat(F.lit("items["), place.cast("string"), F.lit(f"].{field}: "))
-    blank = F.when(F.coalesce(trimmed(item["title"]) == "", F.lit(True)), F.concat(name("title"), F.lit("must not be blank")))
+    blank = F.when(~has_text(item["title"]), F.concat(name("title"), F.lit("must not be blank")))
     numbers = [F.when(item[c] <= 0, F.concat(name(shown), F.lit("must be greater than 0"))) for c, shown in (("quantity", "quantity"), ("unit_price", "unitPrice"), ("line_total", "lineTotal"))]
     return F.concat_ws("; ", blank, *numbers)
 

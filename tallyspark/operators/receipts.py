@@ -22,6 +22,7 @@ BARCODE = r"^[0-9\s-]{8,}$"
 UNITS = "шт|кг|kg|гр|g|г|л|ml|мл|уп|упак|pcs|pc|pack|бут|btl|pkg"
 WITH_UNIT = rf"(?iu)([0-9]+(?:[.,][0-9]+)?)\s*({UNITS})(?=\s|$)"
 MULTIPLIER = r"(?iu)([0-9]+(?:[.,][0-9]+)?)\s*[xх×*]\s*([0-9]+[.,][0-9]{2})"
+TITLE_ENDS = (r"(?iu)\s+[0-9]+(?:[.,][0-9]+)?\s*[xх×*]$", r"(?iu)\s*[xх×*]$", r"[\s,;:/\\|.-]+$")
 TOTAL_WORDS = ("total", "amount due", "sum", "subtotal", "итого", "сумма", "сума", "всього", "до сплати", "к оплате")
 SERVICE_WORDS = (
     "barcode", "bar code", "штрих", "штрихкод", "штрих код", "касса", "каса", "кассир", "касир", "cashier", "terminal", "терминал", "термінал", "address", "адрес", "www", "http", "qr",
@@ -73,7 +74,7 @@ def has_time(c: Column) -> Column:
 def clean_title(c: Column) -> Column:
     """Without a multiplier, a multiplier sign or punctuation at the end, in this order."""
     out = normalised(c)
-    for pattern in (r"(?iu)\s+[0-9]+(?:[.,][0-9]+)?\s*[xх×*]$", r"(?iu)\s*[xх×*]$", r"[\s,;:/\\|.-]+$"):
+    for pattern in TITLE_ENDS:
         out = F.regexp_replace(out, pattern, "")
     return out
 

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyspark.functions import scalars
+from tallyspark.functions import receipt_table, scalars
 from tallyspark.functions.calculator import calculate
 from tallyspark.operators import accounts, dashboard, lifecycle, notices, receipts, reports
 from tallyspark.operators import purchases as buying
-from tallyspark.sources import views
+from tallyspark.sources import objects, render, scratch, views
+from tallyspark.sources.tables import Tables, without
 from tallyspark.sources.views import VIEWS_SQL
-from tallyspark.streaming import jobs
+from tallyspark.streaming import consumer, feed, jobs, outbox
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -215,15 +216,25 @@ def dashboard_metrics(spark: SparkSession, d: str) -> DataFrame:
     return dashboard.job_metrics(jobs.latest_status(views.job_events(spark, d)))
 
 
+ACTIVITY_STATUS = "CASE {0} % 3 WHEN 0 THEN 'DONE' WHEN 1 THEN 'FAILED' ELSE 'NEW' END"
+
+
 @query(
-    """, f AS (SELECT 'purchase' AS kind, id, created_at AS at_, title, 0 AS feed FROM purchases WHERE user_id = 5 UNION ALL
-    SELECT 'job', event_id, updated_at, 'Job ' || job_id || ' ' || status, 1 FROM job_events)
+    f""", scans AS (SELECT o_orderkey AS id, {ACTIVITY_STATUS.format("o_orderkey")} AS status, o_orderdate AS uploaded, CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate + INTERVAL 1 DAY END AS processed
+        FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey = 5),
+    f AS (SELECT 'receipt' AS kind, id, coalesce(processed, uploaded) AS at_, CASE status WHEN 'DONE' THEN 'OCR completed' WHEN 'FAILED' THEN 'OCR finished with an error' ELSE 'OCR is still running' END || ': scan-' || id || '.png' AS title, 0 AS feed FROM scans
+    UNION ALL SELECT 'report', id, TIMESTAMP '1998-06-20' + INTERVAL (id % 13 * 4) DAY, CASE id % 3 WHEN 0 THEN 'Report is ready' WHEN 1 THEN 'Report finished with an error' ELSE 'Report is still processing' END || ': '
+        || CASE report_type WHEN 'MONTHLY_SPENDING' THEN 'Monthly spending' WHEN 'CATEGORY_SUMMARY' THEN 'Category summary' ELSE 'Store summary' END || ' ' || report_format, 1 FROM report_jobs WHERE user_id = 5)
     SELECT kind, id, at_ AS "at", title FROM f ORDER BY at_ DESC, feed, id DESC LIMIT 5"""
 )
 def dashboard_recent_activity(spark: SparkSession, d: str) -> DataFrame:
-    bought = views.purchases(spark, d).filter("user_id = 5").select(F.lit("purchase").alias("kind"), "id", F.col("created_at").alias("at"), "title")
-    done = views.job_events(spark, d).select(F.lit("job").alias("kind"), F.col("event_id").alias("id"), F.col("updated_at").alias("at"), F.concat_ws(" ", F.lit("Job"), "job_id", "status").alias("title"))
-    return dashboard.recent_activity(bought, done)
+    """User 5's."""
+    key = F.col("id")
+    status = F.element_at(F.lit(["DONE", "FAILED", "NEW"]), (key % 3 + 1).cast("int"))
+    uploaded = views.purchases(spark, d).filter("user_id = 5").select("id", status.alias("ocr_status"), F.concat(F.lit("scan-"), "id", F.lit(".png")).alias("original_file_name"), F.col("created_at").alias("uploaded_at"))
+    scanned = uploaded.withColumn("ocr_processed_at", F.when(key % 3 == 0, F.expr("uploaded_at + interval 1 day")))
+    changed = F.expr("timestamp_ntz'1998-06-20' + make_dt_interval(cast(id % 13 * 4 as int))")
+    return dashboard.activity(scanned, views.report_jobs(spark, d).filter("user_id = 5").withColumns({"status": status, "updated_at": changed}))
 
 
 @query("SELECT 'users' AS table_name, count(*) AS n_rows FROM users UNION ALL SELECT 'purchases', count(*) FROM purchases UNION ALL SELECT 'purchase_items', count(*) FROM purchase_items UNION ALL SELECT 'report_jobs', count(*) FROM report_jobs")
@@ -236,24 +247,50 @@ def admin_overview(spark: SparkSession, d: str) -> DataFrame:
     FROM users ORDER BY created_on DESC, id DESC LIMIT 10"""
 )
 def admin_recent_users(spark: SparkSession, d: str) -> DataFrame:
-    return dashboard.recent_users(views.users(spark, d), ["nation_3@example.org"])
+    return dashboard.recent_users(views.users(spark, d), [" NATION_3@example.ORG "])
 
 
 @query(
-    """, o AS (SELECT id, coalesce(chat_id <> '' AND connected_at IS NOT NULL, FALSE) AS connected, preferred_channel FROM users)
-    SELECT id, connected, CASE preferred_channel WHEN 'TELEGRAM' THEN 'TELEGRAM,EMAIL' ELSE 'EMAIL,TELEGRAM' END AS channel_order,
-    CASE WHEN preferred_channel = 'TELEGRAM' AND connected THEN 'TELEGRAM' ELSE 'EMAIL' END AS channel FROM o"""
+    """, o AS (SELECT id, coalesce(trim(chat_id) <> '' AND connected_at IS NOT NULL, FALSE) AS connected, id % 10 <> 7 AS mail, CASE WHEN id % 9 <> 4 THEN preferred_channel END AS p FROM users)
+    SELECT id, connected, CASE p WHEN 'TELEGRAM' THEN 'TELEGRAM,EMAIL' ELSE 'EMAIL,TELEGRAM' END AS channel_order,
+    CASE p WHEN 'TELEGRAM' THEN concat_ws(',', CASE WHEN connected THEN 'TELEGRAM' END, CASE WHEN mail THEN 'EMAIL' END) ELSE concat_ws(',', CASE WHEN mail THEN 'EMAIL' END, CASE WHEN connected THEN 'TELEGRAM' END) END AS usable,
+    CASE WHEN p = 'TELEGRAM' AND connected THEN 'TELEGRAM' WHEN mail THEN 'EMAIL' WHEN connected THEN 'TELEGRAM' END AS channel FROM o"""
 )
 def delivery_plan(spark: SparkSession, d: str) -> DataFrame:
-    return dashboard.delivery_plan(views.users(spark, d))
+    """Some users have no email, some no preferred channel, some a blank chat."""
+    people = views.users(spark, d)
+    return dashboard.delivery_plan(people.withColumns({"email": F.when(F.col("id") % 10 != 7, F.col("email")), "preferred_channel": F.when(F.col("id") % 9 != 4, F.col("preferred_channel"))}))
 
 
-UPDATES_SQL = ", updates AS (SELECT event_id AS update_id, 'chat-' || user_id AS chat_id, CASE WHEN event_type IN ('signup', 'click') THEN '/start  tok-' || user_id ELSE event_type END AS text, ts AS at_ FROM events)"
+UPDATES_SQL = """, updates AS (SELECT event_id AS update_id, CASE WHEN event_id % 17 <> 0 THEN 'chat-' || user_id END AS chat_id, ts AS at_,
+    CASE event_type WHEN 'signup' THEN '/start  tok-' || user_id WHEN 'click' THEN ' ' || chr(10) || '/start tok-' || user_id || chr(10) WHEN 'error' THEN '/start new-' || user_id ELSE event_type END AS text FROM events)"""
 
 
 def updates(spark: SparkSession, d: str) -> DataFrame:
-    text = F.when(F.col("event_type").isin("signup", "click"), F.concat(F.lit("/start  tok-"), "user_id")).otherwise(F.col("event_type"))
-    return views.read(spark, d, "events").select(F.col("event_id").alias("update_id"), F.concat(F.lit("chat-"), "user_id").alias("chat_id"), text.alias("text"), F.col("ts").alias("at"))
+    """Messages with white space around, of tokens that are void later, and without a chat."""
+    token = lambda text, name: F.concat(F.lit(text), F.lit(name), "user_id")
+    kind = F.col("event_type")
+    text = F.when(kind == "signup", token("/start  ", "tok-")).when(kind == "click", F.concat(token(" \n/start ", "tok-"), F.lit("\n"))).when(kind == "error", token("/start ", "new-")).otherwise(kind)
+    chat = F.when(F.col("event_id") % 17 != 0, F.concat(F.lit("chat-"), "user_id"))
+    return views.read(spark, d, "events").select(F.col("event_id").alias("update_id"), chat.alias("chat_id"), text.alias("text"), F.col("ts").alias("at"))
+
+
+TOKENS_SQL = """, tokens AS (SELECT DISTINCT 'tok-' || user_id AS token, user_id, TIMESTAMP '2024-01-05' AS created_at, TIMESTAMP '2024-01-20' AS expires_at FROM events WHERE user_id % 5 <> 0
+    UNION ALL SELECT DISTINCT 'new-' || user_id, user_id, TIMESTAMP '2024-01-12', TIMESTAMP '2024-01-15' FROM events WHERE user_id % 5 <> 0 AND user_id % 3 = 0),
+    starts AS (SELECT update_id, chat_id, at_, trim(replace(replace(text, chr(10), ''), '/start', '')) AS token FROM updates WHERE chat_id IS NOT NULL AND text LIKE '%/start%'),
+    judged AS (SELECT s.*, user_id, CASE WHEN user_id IS NULL OR at_ < created_at OR token LIKE 'tok-%' AND user_id % 3 = 0 AND at_ >= TIMESTAMP '2024-01-12' THEN 'UNKNOWN' WHEN expires_at < at_ THEN 'EXPIRED' ELSE 'LINKED' END AS state
+        FROM starts s LEFT JOIN tokens USING (token)),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY token, state ORDER BY at_, update_id) AS k, bool_or(state = 'LINKED') OVER (PARTITION BY token ORDER BY at_, update_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS taken FROM judged),
+    outcomes AS (SELECT update_id, user_id, token, chat_id, CASE WHEN state IN ('LINKED', 'EXPIRED') AND taken THEN 'USED' ELSE state END AS outcome FROM placed)"""
+
+
+def tokens(spark: SparkSession, d: str) -> DataFrame:
+    """A token for most users, and a newer one for every third, which voids the first."""
+    at = lambda t: F.expr(f"timestamp_ntz'{t}'")
+    people = views.read(spark, d, "events").filter("user_id % 5 <> 0").select("user_id").distinct()
+    first = people.select(F.concat(F.lit("tok-"), "user_id").alias("token"), "user_id", at("2024-01-05").alias("created_at"), at("2024-01-20").alias("expires_at"))
+    newer = people.filter("user_id % 3 = 0").select(F.concat(F.lit("new-"), "user_id").alias("token"), "user_id", at("2024-01-12").alias("created_at"), at("2024-01-15").alias("expires_at"))
+    return first.unionByName(newer).withColumn("used_at", F.expr("cast(null as timestamp_ntz)"))
 
 
 @query(UPDATES_SQL + " SELECT update_id, chat_id, text FROM updates WHERE update_id >= 137 ORDER BY update_id LIMIT 20")
@@ -261,16 +298,23 @@ def bot_offset_batch(spark: SparkSession, d: str) -> DataFrame:
     return jobs.next_batch(updates(spark, d), 137).select("update_id", "chat_id", "text")
 
 
-@query(
-    UPDATES_SQL
-    + """, tokens AS (SELECT DISTINCT 'tok-' || user_id AS token, user_id, TIMESTAMP '2024-01-20' AS expires_at FROM events WHERE user_id % 5 <> 0)
-    SELECT user_id, token, chat_id, update_id FROM (SELECT t.user_id, token, chat_id, update_id, row_number() OVER (PARTITION BY token ORDER BY update_id) AS k
-    FROM updates u JOIN tokens t ON u.text = '/start  ' || t.token WHERE t.expires_at >= u.at_) WHERE k = 1"""
-)
+@query(UPDATES_SQL + TOKENS_SQL + " SELECT user_id, token, chat_id, update_id FROM outcomes WHERE outcome = 'LINKED'")
 def token_link(spark: SparkSession, d: str) -> DataFrame:
-    tokens = views.read(spark, d, "events").filter("user_id % 5 <> 0").select(F.concat(F.lit("tok-"), "user_id").alias("token"), "user_id").distinct()
-    tokens = tokens.withColumns({"expires_at": F.expr("timestamp_ntz'2024-01-20'"), "used_at": F.expr("cast(null as timestamp_ntz)")})
-    return jobs.link_tokens(updates(spark, d), tokens)
+    return jobs.link_tokens(updates(spark, d), tokens(spark, d)).drop("at")
+
+
+@query(UPDATES_SQL + TOKENS_SQL + " SELECT * FROM outcomes")
+def token_start_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    return jobs.start_outcomes(updates(spark, d), tokens(spark, d)).drop("at")
+
+
+@query(
+    UPDATES_SQL + TOKENS_SQL
+    + """ SELECT id, coalesce(o.chat_id, u.chat_id) AS chat_id, coalesce(o.at_, u.connected_at) AS connected_at FROM users u
+    LEFT JOIN (SELECT user_id, chat_id, at_ FROM outcomes JOIN (SELECT update_id, at_ FROM updates) USING (update_id) WHERE outcome = 'LINKED' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY at_ DESC, update_id DESC) = 1) o ON u.id = o.user_id"""
+)
+def chats_connected(spark: SparkSession, d: str) -> DataFrame:
+    return accounts.connect_chats(views.users(spark, d), jobs.link_tokens(updates(spark, d), tokens(spark, d))).select("id", "chat_id", "connected_at")
 
 
 @query(
@@ -287,10 +331,11 @@ def delete_cascade(spark: SparkSession, d: str) -> DataFrame:
     return a.crossJoin(b).crossJoin(c)
 
 
-@query("SELECT c_custkey AS id FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey AS id FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def missing_owner_anti(spark: SparkSession, d: str) -> DataFrame:
-    buyers = views.read(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return views.read(spark, d, "customer").join(buyers, "c_custkey", "left_anti").select(F.col("c_custkey").alias("id"))
+    """Customers who never ordered urgently."""
+    urgent = views.read(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("id"))
+    return without(views.read(spark, d, "customer").select(F.col("c_custkey").alias("id")), urgent, "id")
 
 
 @query(
@@ -385,8 +430,9 @@ def receipt_summaries(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """, u AS (SELECT id, coalesce(chat_id <> '' AND connected_at IS NOT NULL, FALSE) AS connected FROM users)
-    SELECT id, connected, CASE WHEN NOT connected AND id % 2 = 0 THEN 'tok-' || id || '-2' END AS token, CASE WHEN NOT connected AND id % 2 = 0 THEN TIMESTAMP '2024-03-01' END AS expires_at FROM u"""
+    """, u AS (SELECT id, coalesce(trim(chat_id) <> '' AND connected_at IS NOT NULL, FALSE) AS connected, connected_at FROM users)
+    SELECT id, connected, connected_at, CASE WHEN NOT connected AND id % 2 = 0 THEN 'https://t.me/tally_bot?start=tok-' || id || '-2' END AS link,
+    CASE WHEN NOT connected AND id % 2 = 0 THEN 'tok-' || id || '-2' END AS token, CASE WHEN NOT connected AND id % 2 = 0 THEN TIMESTAMP '2024-03-01' END AS expires_at FROM u"""
 )
 def connection_status(spark: SparkSession, d: str) -> DataFrame:
     users = views.users(spark, d)
@@ -400,14 +446,26 @@ def connection_status(spark: SparkSession, d: str) -> DataFrame:
         F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(0, cast(k as int))").alias("created_at"),
         at("2024-02-01").alias("now"),
     )
-    return notices.connection_status(users, jobs.pending_tokens(tokens))
+    return notices.connection_status(users, jobs.pending_tokens(tokens), "tally_bot")
+
 
+#: Expressions of a whole number (q), and their values in SQL; null where there is none. Quarters have no rounding of their own.
+EXPRESSIONS = (
+    ("(q + 0) * 6 / 2 + 1.5", "q * 3 + 1.5"), ("q**2", "q * q"), ("2**3**2 + q", "512 + q"), ("q--1", None), ("0q+1", None), ("-q**2", None), ("(-q)**2", "q * q"), ("q - -1", None), ("q+-1", "q - 1"),
+    ("q/0", None), ("1/(q/0)", "0"), ("q/*two*/", None), ("q/*2*/+1", "q + 1"), ("q//1", None), ("(q)(2)", None), (".25*q", "q * 0.25"), ("q.*2", "q * 2"), ("q.5.5", None), ("", None), ("()", None), ("((q)", None),
+    ("q*10**20*10", "q * 1e21"), ("1.005 + 0*q", "1"), ("2*-q", "-2 * q"), ("8/4/2-q", "1 - q"), ("q e", None),
+)
 
-@query(" SELECT l_orderkey AS id, line_index, CAST(CAST(l_quantity AS INTEGER) * 3 + 1.5 AS DECIMAL(19,2)) AS value FROM numbered")
+
+@query(
+    f", e AS (SELECT l_orderkey AS id, line_index, CAST(CAST(l_quantity AS INTEGER) AS DOUBLE) AS q, l_partkey % {len(EXPRESSIONS)} AS k FROM numbered) SELECT id, line_index, CAST(CASE k "
+    + " ".join(f"WHEN {k} THEN {value or 'NULL'}" for k, (_, value) in enumerate(EXPRESSIONS)) + " END AS DOUBLE) AS value FROM e"
+)
 def calculated_amounts(spark: SparkSession, d: str) -> DataFrame:
     lines = views.read(spark, d, "lineitem")
     place = Window.partitionBy("l_orderkey").orderBy(*lines.columns)
-    typed = F.concat(F.lit("("), F.col("l_quantity").cast("int"), F.lit(" + 0) * 6 / 2 + 1.5"))
+    shape = F.element_at(F.lit([text for text, _ in EXPRESSIONS]), (F.col("l_partkey") % len(EXPRESSIONS) + 1).cast("int"))
+    typed = F.replace(shape, F.lit("q"), F.col("l_quantity").cast("int").cast("string"))
     return lines.select(F.col("l_orderkey").alias("id"), (F.row_number().over(place) - 1).cast("int").alias("line_index"), calculate(typed).alias("value"))
 
 
@@ -426,7 +484,7 @@ def purchase_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 
 REQUESTS = """, requests AS (SELECT id, user_id, CASE WHEN id % 11 = 0 THEN '  ' ELSE '  ' || title || ' ' END AS title, CASE WHEN id % 13 = 0 THEN NULL ELSE lower(category) END AS category,
-    CASE WHEN id % 5 = 0 THEN 0.00 ELSE amount END AS amount, CASE WHEN id % 17 = 0 THEN 'GBP' ELSE currency END AS currency, purchase_date, id % 3 AS n FROM purchases)"""
+    CASE WHEN id % 5 = 0 THEN 0.00 WHEN id % 23 <> 0 THEN amount END AS amount, CASE WHEN id % 17 = 0 THEN 'GBP' ELSE currency END AS currency, purchase_date, id % 3 AS n FROM purchases)"""
 
 
 def requests(spark: SparkSession, d: str) -> DataFrame:
@@ -435,13 +493,13 @@ def requests(spark: SparkSession, d: str) -> DataFrame:
     item = lambda k: F.struct(F.when(key % 19 != k, F.lit(f" item {k} ")).alias("title"), (key % 4).cast("decimal(19,3)").alias("quantity"), F.lit("pcs").alias("unit"), F.lit(1.25).cast("decimal(19,2)").alias("unit_price"), F.lit(None).cast("decimal(19,2)").alias("line_total"))
     return views.purchases(spark, d).select(
         "id", "user_id", F.when(key % 11 == 0, "  ").otherwise(F.concat(F.lit("  "), "title", F.lit(" "))).alias("title"), F.when(key % 13 != 0, F.lower("category")).alias("category"),
-        F.when(key % 5 == 0, 0).otherwise(F.col("amount")).cast("decimal(19,2)").alias("amount"), F.when(key % 17 == 0, "GBP").otherwise(F.col("currency")).alias("currency"), "purchase_date",
+        F.when(key % 5 == 0, 0).when(key % 23 != 0, F.col("amount")).cast("decimal(19,2)").alias("amount"), F.when(key % 17 == 0, "GBP").otherwise(F.col("currency")).alias("currency"), "purchase_date",
         F.lit(None).cast("string").alias("store_name"), F.lit("").alias("comment"), F.slice(F.array(item(0), item(1)), 1, (key % 3).cast("int")).alias("items"),
     )
 
 
 ERRORS_SQL = """, judged AS (SELECT *, concat_ws('; ', CASE WHEN trim(title) = '' THEN 'title: must not be blank' END, CASE WHEN category IS NULL THEN 'category: must not be blank' END,
-    CASE WHEN amount <= 0 THEN 'amount: must be greater than 0' END, CASE WHEN currency = 'GBP' THEN 'currency: must not be null' END,
+    CASE WHEN amount IS NULL THEN 'amount: must not be null' END, CASE WHEN amount <= 0 THEN 'amount: must be greater than 0' END, CASE WHEN currency = 'GBP' THEN 'currency: must not be null' END,
     CASE WHEN n > 0 AND id % 19 = 0 THEN 'items[0].title: must not be blank' END, CASE WHEN n > 0 AND id % 4 = 0 THEN 'items[0].quantity: must be greater than 0' END,
     CASE WHEN n > 1 AND id % 19 = 1 THEN 'items[1].title: must not be blank' END, CASE WHEN n > 1 AND id % 4 = 0 THEN 'items[1].quantity: must be greater than 0' END) AS errors FROM requests)"""
 
@@ -562,7 +620,7 @@ def job_messages(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """, t AS (SELECT j.id AS job_id, u.id AS user_id, u.preferred_channel AS p, coalesce(chat_id <> '' AND connected_at IS NOT NULL, FALSE) AS c, (j.id % 2) = 0 AS email_ok, (j.id % 3) = 0 AS chat_ok FROM report_jobs j JOIN users u ON u.id = j.user_id),
+    """, t AS (SELECT j.id AS job_id, u.id AS user_id, u.preferred_channel AS p, coalesce(trim(chat_id) <> '' AND connected_at IS NOT NULL, FALSE) AS c, (j.id % 2) = 0 AS email_ok, (j.id % 3) = 0 AS chat_ok FROM report_jobs j JOIN users u ON u.id = j.user_id),
     o AS (SELECT *, CASE WHEN p = 'TELEGRAM' AND c THEN 1 WHEN c THEN 2 ELSE 0 END AS chat_place, CASE WHEN p = 'TELEGRAM' AND c THEN 2 ELSE 1 END AS email_place FROM t),
     w AS (SELECT *, CASE WHEN chat_place > 0 AND chat_ok AND (NOT email_ok OR chat_place < email_place) THEN 'TELEGRAM' WHEN email_ok THEN 'EMAIL' END AS channel FROM o)
     SELECT job_id, channel, CAST(CASE channel WHEN 'EMAIL' THEN email_place WHEN 'TELEGRAM' THEN chat_place ELSE CASE WHEN chat_place > 0 THEN 2 ELSE 1 END END AS BIGINT) AS n_tries,
@@ -590,33 +648,47 @@ def refresh_needed(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """, r AS (SELECT c_custkey AS request_id, CASE WHEN c_custkey % 4 = 0 THEN lower(n_name) || '@example.org' ELSE 'new' || (c_custkey // 3) || '@example.org' END AS email FROM customer JOIN nation ON c_nationkey = n_nationkey),
-    k AS (SELECT *, row_number() OVER (PARTITION BY email ORDER BY request_id) AS k, email IN (SELECT email FROM users) AS taken FROM r)
-    SELECT request_id, email, CASE WHEN NOT taken AND k = 1 THEN CASE email WHEN 'new1@example.org' THEN 'ADMIN' ELSE 'USER' END END AS role, CASE WHEN taken OR k > 1 THEN 'User with email already exists' END AS error FROM k"""
+    r""", r AS (SELECT c_custkey AS request_id, CASE WHEN c_custkey % 11 = 0 THEN '  ' WHEN c_custkey % 13 = 0 THEN '' WHEN c_custkey % 4 = 0 THEN upper(n_name) || '@Example.org' ELSE 'new' || (c_custkey // 3) || '@example.org' END AS raw,
+        CASE c_custkey % 7 WHEN 0 THEN '        ' WHEN 1 THEN 'short' ELSE 'long enough' END AS password FROM customer JOIN nation ON c_nationkey = n_nationkey),
+    e AS (SELECT *, lower(trim(raw)) AS key, nullif(concat_ws('; ', CASE WHEN trim(raw) = '' THEN 'email: must not be blank' END,
+        CASE WHEN raw <> '' AND NOT regexp_matches(raw, '^[^\s@]+@[^\s@]+$') THEN 'email: must be a well-formed email address' END, CASE WHEN trim(password) = '' THEN 'password: must not be blank' END,
+        CASE WHEN length(password) < 8 THEN 'password: size must be between 8 and 255' END), '') AS errors FROM r),
+    k AS (SELECT *, row_number() OVER (PARTITION BY key, errors IS NULL ORDER BY request_id) AS k, key IN (SELECT email FROM users) AS taken FROM e),
+    j AS (SELECT *, coalesce(errors, CASE WHEN taken OR k > 1 THEN 'User with email already exists' END) AS error FROM k)
+    SELECT request_id, CASE WHEN error IS NULL THEN key ELSE raw END AS email, CASE WHEN error IS NULL THEN CASE key WHEN 'new1@example.org' THEN 'ADMIN' ELSE 'USER' END END AS role, error FROM j"""
 )
 def users_registered(spark: SparkSession, d: str) -> DataFrame:
     people = views.read(spark, d, "customer").join(views.read(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    email = F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lit(" "), F.upper("n_name"), F.lit("@Example.org"))).otherwise(F.concat(F.lit("new"), F.floor(F.col("c_custkey") / 3).cast("string"), F.lit("@example.org ")))
-    asked = people.select(F.col("c_custkey").alias("request_id"), email.alias("email"), F.lit("x").alias("password_hash"))
-    new, refused = accounts.register(views.users(spark, d), asked, ["new1@example.org"], F.expr("timestamp_ntz'2024-01-01'"))
-    return new.select("request_id", "email", "role", F.lit(None).cast("string").alias("error")).unionByName(refused.select("request_id", "email", F.lit(None).cast("string").alias("role"), "error"))
+    key = F.col("c_custkey")
+    new = F.concat(F.lit("new"), F.floor(key / 3).cast("string"), F.lit("@example.org"))
+    email = F.when(key % 11 == 0, "  ").when(key % 13 == 0, "").when(key % 4 == 0, F.concat(F.upper("n_name"), F.lit("@Example.org"))).otherwise(new)
+    password = F.when(key % 7 == 0, " " * 8).when(key % 7 == 1, "short").otherwise("long enough")
+    asked = people.select(key.alias("request_id"), email.alias("email"), password.alias("password"), F.lit("x").alias("password_hash"))
+    made, refused = accounts.register(views.users(spark, d), asked, ["  NEW1@Example.org "], F.expr("timestamp_ntz'2024-01-01'"))
+    return made.select("request_id", "email", "role", F.lit(None).cast("string").alias("error")).unionByName(refused.select("request_id", "email", F.lit(None).cast("string").alias("role"), "error"))
 
 
 @query(
-    """SELECT id, coalesce(google_subject, CASE WHEN id % 5 = 0 THEN 'sub-' || id END) AS google_subject FROM users
-    UNION ALL SELECT NULL, 'sub-x' || id FROM users WHERE id % 5 = 1"""
+    """SELECT id, coalesce(google_subject, CASE WHEN id % 5 = 0 THEN 'sub-b' || id END) AS google_subject,
+        CASE WHEN id % 4 <> 1 THEN 'USER' WHEN id % 5 = 0 THEN CASE WHEN id % 10 = 5 THEN 'ADMIN' ELSE 'USER' END END AS role FROM users
+    UNION ALL SELECT NULL, 'sub-x' || id, 'USER' FROM users WHERE id % 5 = 1"""
 )
 def accounts_linked(spark: SparkSession, d: str) -> DataFrame:
-    people = views.users(spark, d)
-    own = people.filter("id % 5 = 0").select("email", F.concat(F.lit("sub-"), "id").alias("subject"))
-    other = people.filter("id % 5 = 1").select(F.concat(F.lit("x"), "email").alias("email"), F.concat(F.lit("sub-x"), "id").alias("subject"))
-    linked, new = accounts.linked_accounts(people, own.unionByName(other), [])
-    return linked.select("id", "google_subject").unionByName(new.select(F.lit(None).cast("long").alias("id"), "google_subject"))
+    """Two logins each, of which the later has the lesser subject; every fourth user has no role yet."""
+    key, at = F.col("id"), lambda t: F.expr(f"timestamp_ntz'{t}'").alias("at")
+    people = views.users(spark, d).withColumn("role", F.when(key % 4 != 1, "USER"))
+    own = people.filter("id % 5 = 0")
+    later = own.select(F.upper("email").alias("email"), F.concat(F.lit("sub-a"), "id").alias("subject"), at("2024-02-02"))
+    first = own.select("email", F.concat(F.lit("sub-b"), "id").alias("subject"), at("2024-02-01"))
+    other = people.filter("id % 5 = 1").select(F.concat(F.lit("x"), "email").alias("email"), F.concat(F.lit("sub-x"), "id").alias("subject"), at("2024-02-01"))
+    admins = [f" {r.email.upper()}" for r in people.filter("id % 10 = 5").select("email").collect()]  # a configured list, five names
+    linked, new = accounts.linked_accounts(people, later.unionByName(first).unionByName(other), admins, F.expr("timestamp_ntz'2024-03-01'"))
+    return linked.select("id", "google_subject", "role").unionByName(new.select(F.lit(None).cast("long").alias("id"), "google_subject", "role"))
 
 
 @query(
-    """SELECT id, CASE WHEN id % 2 = 1 AND (id % 3 = 0 OR coalesce(chat_id <> '' AND connected_at IS NOT NULL, FALSE)) THEN CASE WHEN id % 3 = 0 THEN 'EMAIL' ELSE 'TELEGRAM' END ELSE preferred_channel END AS preferred_channel,
-    id % 2 = 1 AND id % 3 <> 0 AND NOT coalesce(chat_id <> '' AND connected_at IS NOT NULL, FALSE) AS refused FROM users"""
+    """SELECT id, CASE WHEN id % 2 = 1 AND (id % 3 = 0 OR coalesce(trim(chat_id) <> '' AND connected_at IS NOT NULL, FALSE)) THEN CASE WHEN id % 3 = 0 THEN 'EMAIL' ELSE 'TELEGRAM' END ELSE preferred_channel END AS preferred_channel,
+    id % 2 = 1 AND id % 3 <> 0 AND NOT coalesce(trim(chat_id) <> '' AND connected_at IS NOT NULL, FALSE) AS refused FROM users"""
 )
 def channel_preferences(spark: SparkSession, d: str) -> DataFrame:
     people = views.users(spark, d)
@@ -636,13 +708,13 @@ def user_delete_cascade(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT id, concat_ws('; ', CASE WHEN y < 2000 THEN 'year: must be greater than or equal to 2000' END, CASE WHEN y > 9999 THEN 'year: must be less than or equal to 9999' END,
-    CASE WHEN m < 1 THEN 'month: must be greater than or equal to 1' END, CASE WHEN m > 12 THEN 'month: must be less than or equal to 12' END, CASE WHEN id % 7 = 0 THEN 'reportType: must not be null' END,
-    CASE WHEN id % 9 = 0 THEN 'reportFormat: must not be null' END) AS errors FROM (SELECT id, 1990 + id % 30 * 400 AS y, id % 15 AS m FROM report_jobs)"""
+    """SELECT id, concat_ws('; ', CASE WHEN y IS NULL THEN 'year: must not be null' END, CASE WHEN y < 2000 THEN 'year: must be greater than or equal to 2000' END, CASE WHEN y > 9999 THEN 'year: must be less than or equal to 9999' END,
+    CASE WHEN m IS NULL THEN 'month: must not be null' END, CASE WHEN m < 1 THEN 'month: must be greater than or equal to 1' END, CASE WHEN m > 12 THEN 'month: must be less than or equal to 12' END, CASE WHEN id % 7 = 0 THEN 'reportType: must not be null' END,
+    CASE WHEN id % 9 = 0 THEN 'reportFormat: must not be null' END) AS errors FROM (SELECT id, CASE WHEN id % 11 <> 0 THEN 1990 + id % 30 * 400 END AS y, CASE WHEN id % 13 <> 0 THEN id % 15 END AS m FROM report_jobs)"""
 )
 def report_requests_checked(spark: SparkSession, d: str) -> DataFrame:
     key = F.col("id")
-    asked = views.report_jobs(spark, d).select("id", (1990 + key % 30 * 400).alias("year"), (key % 15).alias("month"), F.when(key % 7 != 0, F.col("report_type")).alias("report_type"), F.when(key % 9 == 0, "DOC").otherwise(F.col("report_format")).alias("report_format"))
+    asked = views.report_jobs(spark, d).select("id", F.when(key % 11 != 0, 1990 + key % 30 * 400).alias("year"), F.when(key % 13 != 0, key % 15).alias("month"), F.when(key % 7 != 0, F.col("report_type")).alias("report_type"), F.when(key % 9 == 0, "DOC").otherwise(F.col("report_format")).alias("report_format"))
     return accounts.report_errors(asked).select("id", F.coalesce("errors", F.lit("")).alias("errors"))
 
 
@@ -683,3 +755,169 @@ def category_labels(spark: SparkSession, d: str) -> DataFrame:
 def purchase_previews(spark: SparkSession, d: str) -> DataFrame:
     shown = buying.preview(buying.with_items(views.purchases(spark, d), views.purchase_items(spark, d)))
     return shown.select("id", F.size("shown").cast("long").alias("n_shown"), F.col("more").cast("long").alias("more"))
+
+
+# --- tables that change together, stored files, queues and streams
+
+
+def scratch_tables(spark: SparkSession) -> Tables:
+    return Tables(spark, scratch.folder(spark, "tables"))
+
+
+@query(
+    """SELECT v AS version, count(DISTINCT p.id) AS n_purchases, count(i.purchase_id) AS n_items, CAST(coalesce(sum(i.line_index), 0) AS BIGINT) AS places
+    FROM (SELECT unnest([1, 2]) AS v) JOIN purchases p ON v = 1 OR p.id % 3 <> 0 LEFT JOIN purchase_items i ON i.purchase_id = p.id GROUP BY v"""
+)
+def purchases_committed(spark: SparkSession, d: str) -> DataFrame:
+    """Purchases with their items in one commit, then without every third: what readers of either version see of both tables."""
+    held = scratch_tables(spark)
+    rows, items = views.purchases(spark, d), views.purchase_items(spark, d)
+    held.commit(appended={"purchases": rows.select("id", "user_id"), "items": items.join(rows.select(F.col("id").alias("purchase_id")), "purchase_id", "left_semi").select("purchase_id", "line_index")}, writer="load", number=0)
+    held.commit(appended={"purchases": rows.select("id", "user_id")}, writer="load", number=0)  # once more: nothing happens
+    first = held.version()
+    left, fewer, _ = buying.delete(held.read("purchases"), held.read("items"), held.read("purchases").select("id").withColumnRenamed("id", "purchase_id"), held.read("purchases").filter("id % 3 = 0"))
+    held.commit(replaced={"purchases": left, "items": fewer}, base=first)
+
+    def seen(number: int, version: dict) -> DataFrame:
+        bought, lines = held.read("purchases", version), held.read("items", version)
+        return bought.agg(F.count("*").alias("n_purchases")).crossJoin(lines.agg(F.count("*").alias("n_items"), F.coalesce(F.sum("line_index"), F.lit(0)).alias("places"))).select(F.lit(number).alias("version"), "*")
+
+    return seen(1, first).unionByName(seen(2, held.version()))
+
+
+@query(
+    """ SELECT id AS job_id, report_format, report_format <> 'DOC' AS made, CASE report_format WHEN 'CSV' THEN bytes END AS csv_bytes FROM
+    (SELECT id, CASE WHEN id % 11 = 0 THEN 'DOC' ELSE report_format END AS report_format FROM report_jobs) JOIN (SELECT job_id AS id, sum(strlen(line) + 1) AS bytes FROM ("""
+    + ORACLE_SQL["report_csv_lines"]
+    + ") GROUP BY job_id) USING (id)"
+)
+def report_files(spark: SparkSession, d: str) -> DataFrame:
+    """All jobs' files, made on executors and stored; every eleventh job asks for a format that there is not."""
+    rows = views.report_jobs(spark, d)
+    asked = rows.select(F.col("id").alias("job_id"), F.when(F.col("id") % 11 == 0, "DOC").otherwise(F.col("report_format")).alias("report_format"))
+    made = render.files(reports.document(rows, views.purchases(spark, d)), asked)
+    held, folder = scratch_tables(spark), scratch.folder(spark, "reports")
+    held.commit(appended={"files": made.withColumn("key", F.concat(F.col("job_id").cast("string"), F.lit("."), F.lower("report_format")))})
+    objects.write(held.read("files").filter("error is null").select("key", "content"), folder)
+    stored = objects.stored(spark, folder)
+    return held.read("files").join(stored, "key", "left").select("job_id", "report_format", F.col("length").isNotNull().alias("made"), F.when(F.col("report_format") == "CSV", F.col("length")).alias("csv_bytes"))
+
+
+def queued_jobs(spark: SparkSession, d: str, held: Tables, folder: str) -> None:
+    """All report jobs, of which every eleventh can't be made, in a table and a queue that holds lines of no use as well; and all of them consumed, some twice."""
+    rows = views.report_jobs(spark, d).drop("email").withColumn("report_format", F.when(F.col("id") % 11 == 0, "DOC").otherwise(F.col("report_format")))
+    held.commit(appended={"users": views.users(spark, d), "purchases": views.purchases(spark, d)})
+    outbox.create_jobs(held, rows)
+    outbox.publish_pending(held, "report_jobs", f"{folder}/queue")
+    again = held.read("outbox").filter("id % 2 = 0").select("value")
+    gone = held.read("outbox").select(F.replace("value", F.lit('"reportJobId":'), F.lit('"reportJobId":-')).alias("value")).filter("value like '%01,%'")
+    lifecycle.publish(again.unionByName(gone).unionByName(again.limit(1).select(F.lit("no message").alias("value"))), f"{folder}/queue")
+    for _ in range(2):  # what was consumed is not consumed again
+        consumer.consume(held, consumer.report_queue(f"{folder}/files"), f"{folder}/queue", f"{folder}/checkpoint", files=100).awaitTermination()
+
+
+@query(
+    """ SELECT id, CASE WHEN id % 11 = 0 THEN 'FAILED' ELSE 'DONE' END AS status, CASE WHEN id % 11 = 0 THEN 'no generator for format DOC' END AS error, id % 11 <> 0 AS stored, CAST(2 AS BIGINT) AS n_changes FROM report_jobs"""
+)
+def jobs_consumed(spark: SparkSession, d: str) -> DataFrame:
+    held, folder = scratch_tables(spark), scratch.folder(spark, "jobs")
+    queued_jobs(spark, d, held, folder)
+    files = objects.stored(spark, f"{folder}/files").select(F.col("key").alias("s3_key"), F.lit(True).alias("stored"))
+    counts = held.read("report_jobs_status").groupBy("id").agg(F.count("*").alias("n_changes"))
+    last = consumer.statuses(held, "report_jobs_status").join(files, "s3_key", "left").join(counts, "id")
+    return last.select("id", "status", "error", F.coalesce("stored", F.lit(False)).alias("stored"), "n_changes")
+
+
+def mail(message: dict) -> None:
+    if message["job_id"] % 2:
+        raise ConnectionError("EMAIL is down")
+
+
+def chat(message: dict) -> None:
+    if message["job_id"] % 3:
+        raise ConnectionError("TELEGRAM is down")
+
+
+@query(
+    """, t AS (SELECT j.id AS job_id, u.preferred_channel AS p, coalesce(trim(chat_id) <> '' AND connected_at IS NOT NULL, FALSE) AS c, CASE WHEN j.id % 11 = 0 THEN 'FAILED' ELSE 'DONE' END AS status FROM report_jobs j JOIN users u ON u.id = j.user_id),
+    o AS (SELECT job_id, status, 'EMAIL' AS channel, CASE WHEN c AND p = 'TELEGRAM' THEN 1 ELSE 0 END AS place, job_id % 2 = 0 AS ok FROM t
+        UNION ALL SELECT job_id, status, 'TELEGRAM', CASE WHEN p = 'TELEGRAM' THEN 0 ELSE 1 END, job_id % 3 = 0 FROM t WHERE c)
+    SELECT job_id, status, channel, CAST(place AS INTEGER) AS place, ok, CASE WHEN NOT ok THEN channel || ' is down' END AS error FROM o
+    WHERE place = 0 OR NOT EXISTS (SELECT 1 FROM o e WHERE e.job_id = o.job_id AND e.place = 0 AND e.ok)"""
+)
+def deliveries_logged(spark: SparkSession, d: str) -> DataFrame:
+    """Finished jobs are told by channels of which some fail; a second run adds nothing."""
+    held, folder = scratch_tables(spark), scratch.folder(spark, "jobs")
+    queued_jobs(spark, d, held, folder)
+    for _ in range(2):
+        outbox.deliver(held, {"EMAIL": mail, "TELEGRAM": chat})
+    return held.read("deliveries")
+
+
+def as_text(content: bytes) -> str:
+    if content.startswith(b"?"):
+        raise ValueError("no engine")
+    return content.decode()
+
+
+@query(
+    """, c AS (SELECT c_custkey AS id, c_custkey % 5 AS k FROM customer) SELECT id, CASE WHEN k IN (0, 1, 2) THEN 'FAILED' ELSE 'DONE' END AS status,
+    CASE k WHEN 0 THEN 'no engine' WHEN 1 THEN 'OCR returned empty text' WHEN 2 THEN 'Stored file is missing' END AS error, CASE WHEN k > 2 THEN 'SHOP ' || CASE k WHEN 3 THEN 'NORD' ELSE 'WEST' END END AS store_name,
+    CASE WHEN k > 2 THEN CAST(id % 90 + 10.25 AS DECIMAL(19,2)) END AS total_amount, CAST(CASE WHEN k > 2 THEN 2 ELSE 0 END AS BIGINT) AS n_lines FROM c"""
+)
+def receipts_consumed(spark: SparkSession, d: str) -> DataFrame:
+    """A stored receipt of each customer, read by the consumer of the receipt queue; some can't be."""
+    held, folder = scratch_tables(spark), scratch.folder(spark, "receipts")
+    key, kind = F.col("id"), F.col("id") % 5
+    rows = views.read(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("id"), F.lit(1).cast("long").alias("user_id"), F.concat(F.lit("r/"), "c_custkey", F.lit(".txt")).alias("s3_key"))
+    amount = (key % 90 + F.lit(10.25).cast("decimal(19,2)")).cast("decimal(19,2)").cast("string")
+    text = F.concat(F.lit("SHOP "), F.when(kind == 3, "NORD").otherwise("WEST"), F.lit("\n-\nMILK 1.00\nBREAD 2 x 0.50 1.00\nTOTAL "), amount)
+    files = rows.filter(kind != 2).select(F.col("s3_key").alias("key"), F.when(kind == 0, "?").when(kind == 1, " \n ").otherwise(text).cast("binary").alias("content"))
+    objects.write(files, f"{folder}/files")
+    outbox.create_receipts(held, rows)
+    outbox.publish_pending(held, "receipts", f"{folder}/queue")
+    consumer.consume(held, consumer.receipt_queue(f"{folder}/files", as_text), f"{folder}/queue", f"{folder}/checkpoint").awaitTermination()
+    lines = held.read("receipt_lines").groupBy("receipt_id").agg(F.count("*").alias("n_lines"))
+    parsed = held.read("receipt_results").select(F.col("receipt_id").alias("id"), "store_name", "total_amount")
+    last = consumer.statuses(held, "receipts_status").join(parsed, "id", "left").join(lines.withColumnRenamed("receipt_id", "id"), "id", "left")
+    return last.select("id", "status", "error", "store_name", "total_amount", F.coalesce("n_lines", F.lit(0)).alias("n_lines"))
+
+
+@query(UPDATES_SQL + " SELECT update_id, chat_id, text, at_ AS \"at\" FROM updates")
+def bot_updates_streamed(spark: SparkSession, d: str) -> DataFrame:
+    """The whole feed by a stream that is stopped after its first batch and started again, each batch kept by one commit."""
+    held, folder = scratch_tables(spark), scratch.folder(spark, "feed")
+    updates(spark, d).select("update_id", "chat_id", "text", F.col("at").cast("timestamp").alias("at")).write.parquet(f"{folder}/feed")
+    keep = lambda batch, number: held.commit(appended={"updates": batch}, writer="feed", number=number)
+    for once in (True, False):
+        source = feed.updates(spark, f"{folder}/feed", limit=2000)
+        started = source.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(**({"availableNow": True} if once else {"processingTime": "0 seconds"})).start()
+        if once:
+            started.awaitTermination()
+        else:
+            started.processAllAvailable()
+            started.stop()
+    return held.read("updates").select("update_id", "chat_id", "text", F.col("at").cast("timestamp_ntz").alias("at"))
+
+
+@query(UPDATES_SQL + TOKENS_SQL + " SELECT * FROM outcomes WHERE user_id IS NOT NULL")
+def token_outcomes_streamed(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens and starts as a stream in three parts by time; the stream is started anew for each and goes on from its state."""
+    folder = scratch.folder(spark, "tokens")
+    stamp = {c: F.col(c).cast("timestamp") for c in ("at", "expires_at")}
+    made = feed.token_events(jobs.start_tokens(updates(spark, d)), tokens(spark, d)).withColumns(stamp)
+    days = ("2024-01-01", "2024-01-11", "2024-01-16", "2025-01-01")
+    for first, behind in zip(days, days[1:], strict=False):
+        made.filter(f"at >= timestamp'{first}' and at < timestamp'{behind}'").write.mode("append").parquet(f"{folder}/events")
+        events = spark.readStream.schema(feed.TOKEN_EVENTS).parquet(f"{folder}/events")
+        found = feed.token_outcomes(events).writeStream.format("parquet").option("path", f"{folder}/outcomes")
+        found.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/outcomes")
+
+
+@query(ORACLE_SQL["receipt_line_items"].removeprefix(VIEWS_SQL))
+def receipt_items_lateral(spark: SparkSession, d: str) -> DataFrame:
+    """The table function of the parser, in SQL."""
+    receipt_table.register(spark)
+    found = "SELECT r.receipt_id, p.* FROM {texts} r, LATERAL parse_receipt(r.raw_text) p"
+    return spark.sql(found, texts=views.receipt_texts(spark, d)).drop("raw_fragment")

@@ -1,6 +1,6 @@
 """Report files from a document's rows: CSV with Spark, PDF and workbook from the rows of one report.
 
-A report is one user's month, so its rows are few; the writers for PDF and workbook take them as a list.
+A report is one user's month, so its rows are few; the writers for PDF and workbook take them as a list (``files`` runs them on executors, for all reports at once).
 """
 
 from __future__ import annotations
@@ -15,7 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Row = tuple[str, list[str]]  # kind, cells
-PAGE_HEIGHT, PAGE_WIDTH, MARGIN, LINE_HEIGHT = 842, 595, 50, 15
+# Fixed values of the report files: page and fonts of a PDF (font, size), sizes of a workbook's bold fonts.
+PAGE_HEIGHT, PAGE_WIDTH, MARGIN, LINE_HEIGHT = 841.89, 595.28, 50, 15
+FONTS = {"title": (2, 16), "section": (2, 12), "row": (1, 10)}
+BOLD = {"title": 14, "section": 11, "header": 10}
 
 
 def write_csv(lines: DataFrame, path: str) -> None:
@@ -34,20 +37,21 @@ def text_line(kind: str, cells: list[str]) -> str:
 
 
 def pdf(rows: list[Row]) -> bytes:
-    """A4 pages of lines in a standard font; characters outside Latin-1 are shown as question marks."""
-    per_page = (PAGE_HEIGHT - 2 * MARGIN) // LINE_HEIGHT
-    lines = [text_line(*r) for r in rows] or [""]
+    """A4 pages of lines in standard fonts, titles larger and bold; characters outside Latin-1 are shown as question marks."""
+    per_page = int((PAGE_HEIGHT - 2 * MARGIN) // LINE_HEIGHT) + 1  # the last line may stand on the margin
+    lines = [(*FONTS.get(kind, FONTS["row"]), text_line(kind, cells)) for kind, cells in rows] or [(*FONTS["row"], "")]
     pages = [lines[i : i + per_page] for i in range(0, len(lines), per_page)]
-    objects: list[bytes] = [b"<< /Type /Catalog /Pages 2 0 R >>", b"", b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding >>"]
+    face = b"<< /Type /Font /Subtype /Type1 /BaseFont /%s /Encoding /WinAnsiEncoding >>"
+    objects: list[bytes] = [b"<< /Type /Catalog /Pages 2 0 R >>", b"", face % b"Helvetica", face % b"Helvetica-Bold"]
     kids = []
     for page in pages:
         shown = []
-        for line in page:
+        for font, size, line in page:
             text = line.encode("cp1252", "replace").replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)")
-            shown.append(b"(" + text + b") Tj T*")
-        stream = f"BT /F1 10 Tf {LINE_HEIGHT} TL {MARGIN} {PAGE_HEIGHT - MARGIN} Td\n".encode() + b"\n".join(shown) + b"\nET"
+            shown.append(f"/F{font} {size} Tf (".encode() + text + b") Tj T*")
+        stream = f"BT {LINE_HEIGHT} TL {MARGIN} {PAGE_HEIGHT - MARGIN} Td\n".encode() + b"\n".join(shown) + b"\nET"
         kids.append(len(objects) + 1)
-        objects.append(f"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 {PAGE_WIDTH} {PAGE_HEIGHT}] /Resources << /Font << /F1 3 0 R >> >> /Contents {len(objects) + 2} 0 R >>".encode())
+        objects.append(f"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 {PAGE_WIDTH} {PAGE_HEIGHT}] /Resources << /Font << /F1 3 0 R /F2 4 0 R >> >> /Contents {len(objects) + 2} 0 R >>".encode())
         objects.append(f"<< /Length {len(stream)} >>\nstream\n".encode() + stream + b"\nendstream")
     objects[1] = f"<< /Type /Pages /Count {len(kids)} /Kids [{' '.join(f'{k} 0 R' for k in kids)}] >>".encode()
     out, places = io.BytesIO(), []
@@ -68,11 +72,21 @@ def column_name(k: int) -> str:
     return name
 
 
+def column_widths(rows: list[Row]) -> str:
+    """Columns of the sheet, two at least, by the longest text in each; larger letters count for more."""
+    width = [0.0] * max([2, *(len(cells) for _, cells in rows)])
+    for kind, cells in rows:
+        for k, v in enumerate(cells):
+            width[k] = max(width[k], len(v) * BOLD.get(kind, 11) / 11)
+    return "".join(f'<col min="{k}" max="{k}" width="{min(w + 2, 255):.2f}" bestFit="1" customWidth="1"/>' for k, w in enumerate(width, 1))
+
+
 def workbook(rows: list[Row]) -> bytes:
-    """One sheet of text cells; titles and headers in bold."""
+    """One sheet of text cells; titles and headers in bold, columns as wide as their longest text."""
     cells = []
+    styles = {kind: f' s="{k}"' for k, kind in enumerate(BOLD, 1)}
     for r, (kind, values) in enumerate(rows, 1):
-        style = ' s="1"' if kind in ("title", "section", "header") else ""
+        style = styles.get(kind, "")
         each = "".join(f'<c r="{column_name(k)}{r}" t="inlineStr"{style}><is><t xml:space="preserve">{escape(v)}</t></is></c>' for k, v in enumerate(values) if v)
         cells.append(f'<row r="{r}">{each}</row>')
     space = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
@@ -85,9 +99,14 @@ def workbook(rows: list[Row]) -> bytes:
         "_rels/.rels": f'<Relationships xmlns="{package}/relationships"><Relationship Id="r1" Type="{rels}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
         "xl/workbook.xml": f'<workbook xmlns="{space}" xmlns:r="{rels}"><sheets><sheet name="Report" sheetId="1" r:id="r1"/></sheets></workbook>',
         "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{package}/relationships"><Relationship Id="r1" Type="{rels}/worksheet" Target="worksheets/sheet1.xml"/><Relationship Id="r2" Type="{rels}/styles" Target="styles.xml"/></Relationships>',
-        "xl/styles.xml": f'<styleSheet xmlns="{space}"><fonts count="2"><font/><font><b/></font></fonts><fills count="1"><fill/></fills><borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="2"><xf/><xf fontId="1" applyFont="1"/></cellXfs></styleSheet>',
-        "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{space}"><sheetData>{"".join(cells)}</sheetData></worksheet>',
+        "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{space}"><cols>{column_widths(rows)}</cols><sheetData>{"".join(cells)}</sheetData></worksheet>',
     }
+    fonts = "".join(f'<font><b/><sz val="{size}"/><name val="Calibri"/></font>' for size in BOLD.values())
+    formats = "".join(f'<xf fontId="{k}" applyFont="1"/>' for k in range(1, len(BOLD) + 1))
+    files["xl/styles.xml"] = (
+        f'<styleSheet xmlns="{space}"><fonts count="{len(BOLD) + 1}"><font><sz val="11"/><name val="Calibri"/></font>{fonts}</fonts><fills count="1"><fill/></fills><borders count="1"><border/></borders>'
+        f'<cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="{len(BOLD) + 1}"><xf/>{formats}</cellXfs></styleSheet>'
+    )
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         for name, body in files.items():
@@ -119,9 +138,31 @@ def render(document: DataFrame, job_id: int, form: str) -> bytes:
     return RENDERERS[form](rows_of(document, job_id))
 
 
+def files(document: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(job_id, report_format, content, error) of all ``wanted`` files (job_id, report_format), made where their rows are.
+
+    The rows of a file meet in one task, for a file is one value; reports are of one user's month.
+    """
+
+    def one(key: tuple, group: pa.Table) -> pa.Table:
+        job, form = (k.as_py() for k in key)
+        group = group.sort_by([("section", "ascending"), ("row", "ascending")])
+        content, error = None, None
+        try:
+            if form not in RENDERERS:
+                raise ValueError(f"no generator for format {form}")
+            content = RENDERERS[form](list(zip(group.column("kind").to_pylist(), group.column("cells").to_pylist(), strict=True)))
+        except Exception as e:
+            error = str(e)
+        return pa.table({"job_id": pa.array([job], pa.int64()), "report_format": pa.array([form], pa.string()), "content": pa.array([content], pa.binary()), "error": pa.array([error], pa.string())})
+
+    rows = document.join(wanted.select("job_id", "report_format"), "job_id")
+    return rows.groupBy("job_id", "report_format").applyInArrow(one, "job_id long, report_format string, content binary, error string")
+
+
 def read_objects(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, content) of stored files."""
-    return spark.read.format("binaryFile").load(path).select("path", "length", "content")
+    """(path, length, content) of the files in a folder and those below it."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "content")
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:

@@ -27,7 +27,7 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
         key.alias("id"),
         F.concat(F.lower("n_name"), F.lit("@example.org")).alias("email"),
         F.when(key % 3 == 0, F.concat(F.lit("g-"), key)).alias("google_subject"),
-        F.when(linked, F.concat(F.lit("chat-"), key)).alias("chat_id"),
+        F.when(key % 16 == 12, "  ").when(linked, F.concat(F.lit("chat-"), key)).alias("chat_id"),
         F.when(linked & (key % 8 != 0), F.expr("timestamp_ntz'2024-02-01'")).alias("connected_at"),
         F.when(key % 2 == 0, "TELEGRAM").otherwise("EMAIL").alias("preferred_channel"),
         F.date_add(F.lit("2024-01-01").cast("date"), (key * 7 % 25).cast("int")).alias("created_on"),
@@ -111,7 +111,7 @@ VIEWS_SQL = """
 WITH users AS (
     SELECT CAST(n_nationkey AS BIGINT) AS id, lower(n_name) || '@example.org' AS email,
            CASE WHEN n_nationkey % 3 = 0 THEN 'g-' || n_nationkey END AS google_subject,
-           CASE WHEN n_nationkey % 4 = 0 THEN 'chat-' || n_nationkey END AS chat_id,
+           CASE WHEN n_nationkey % 16 = 12 THEN '  ' WHEN n_nationkey % 4 = 0 THEN 'chat-' || n_nationkey END AS chat_id,
            CASE WHEN n_nationkey % 4 = 0 AND n_nationkey % 8 <> 0 THEN TIMESTAMP '2024-02-01' END AS connected_at,
            CASE WHEN n_nationkey % 2 = 0 THEN 'TELEGRAM' ELSE 'EMAIL' END AS preferred_channel,
            CAST(DATE '2024-01-01' + CAST(n_nationkey * 7 % 25 AS INTEGER) AS DATE) AS created_on

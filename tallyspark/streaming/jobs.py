@@ -1,4 +1,4 @@
-"""Queue-driven jobs: status machine, offsets, tokens; as batch operators and as a stream."""
+"""Queue-driven jobs: statuses, offsets and tokens as batch operators; ``consumer`` and ``feed`` have the streams."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.window import Window
 
+from tallyspark.functions.scalars import has_text, trimmed
+
 REPORT_MESSAGE = "reportJobId bigint, userId bigint, year int, month int, reportType string, reportFormat string"
 UPDATE = "update_id bigint, message struct<text: string, chat: struct<id: string>>"
 
@@ -24,20 +26,36 @@ def next_batch(updates: DataFrame, offset: int, n: int = 20) -> DataFrame:
 
 
 def start_tokens(updates: DataFrame) -> DataFrame:
-    """(update_id, chat_id, token, and ``at`` if there) of "/start <token>" messages."""
+    """(update_id, chat_id, token, and ``at`` if there) of "/start <token>" messages of some chat; white space around text and token counts nothing."""
     kept = [c for c in ("at",) if c in updates.columns]
-    parts = F.split(F.trim("text"), r"\s+", 2)
-    return updates.filter(F.col("text").startswith("/start") & (F.size(parts) == 2)).select("update_id", "chat_id", F.element_at(parts, 2).alias("token"), *kept)
+    told = trimmed(F.col("text"))
+    token = trimmed(F.try_element_at(F.split(told, r"\s+", 2), F.lit(2)))
+    return updates.filter(told.startswith("/start") & has_text(F.col("chat_id"))).select("update_id", trimmed(F.col("chat_id")).alias("chat_id"), token.alias("token"), *kept).filter(has_text(F.col("token")))
 
 
-def link_tokens(updates: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(user_id, token, chat_id, update_id): each unused, unexpired token is taken by its first update; later ones are ignored.
+def start_outcomes(updates: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(update_id, user_id, token, chat_id, at, outcome): what becomes of each start, as ``feed.token_outcomes`` finds it in a stream.
 
-    ``updates``: update_id, chat_id, text, at. ``tokens``: token, user_id, expires_at, used_at.
+    ``updates``: update_id, chat_id, text, at. ``tokens``: token, user_id, created_at, expires_at, used_at. A new token of a user voids the older ones.
+    LINKED: the first start of a valid token; USED: later ones, or a token that was used before; EXPIRED: past its time; UNKNOWN: no token
+    of anybody, or a void one.
     """
-    valid = start_tokens(updates).join(tokens.filter("used_at is null"), "token").filter("expires_at >= at")
-    first = F.row_number().over(Window.partitionBy("token").orderBy("update_id"))
-    return valid.withColumn("k", first).filter("k = 1").select("user_id", "token", "chat_id", "update_id")
+    tokens = tokens if "created_at" in tokens.columns else tokens.withColumn("created_at", F.lit(None).cast(tokens.schema["expires_at"].dataType))
+    newer = F.lead("created_at").over(Window.partitionBy("user_id").orderBy("created_at", "token"))
+    joined = start_tokens(updates).join(tokens.withColumn("void_at", newer), "token", "left")
+    void = F.col("user_id").isNull() | F.coalesce((F.col("created_at") > F.col("at")) | (F.col("void_at") <= F.col("at")), F.lit(False))
+    state = F.when(void, "UNKNOWN").when(F.col("used_at") <= F.col("at"), "USED").when(F.col("expires_at") < F.col("at"), "EXPIRED").otherwise("LINKED")
+    judged = joined.withColumn("outcome", state)
+    fits = F.when(F.col("outcome") == "LINKED", F.struct("at", "update_id"))
+    first = F.min(fits).over(Window.partitionBy("token"))
+    late = F.col("outcome").isin("LINKED", "EXPIRED") & (F.struct("at", "update_id") > F.col("first"))
+    told = judged.withColumn("first", first).withColumn("outcome", F.when(late, "USED").otherwise(F.col("outcome")))
+    return told.select("update_id", "user_id", "token", "chat_id", "at", "outcome")
+
+
+def link_tokens(updates: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(user_id, token, chat_id, update_id, at): each valid token is taken by its first update (``start_outcomes``)."""
+    return start_outcomes(updates, tokens).filter("outcome = 'LINKED'").select("user_id", "token", "chat_id", "update_id", "at")
 
 
 def pending_tokens(tokens: DataFrame) -> DataFrame:
