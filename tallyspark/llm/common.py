@@ -21,10 +21,13 @@ def fold(doc_id: str | Column, parts: int) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of this machine's own only where that is unset, as in tests."""
+    """The folder in spark.checkpoint.dir; one of this machine's own only where that is unset and the master is local, as in tests."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        given = spark.conf.get("spark.checkpoint.dir", None)
+        if not given and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        context.setCheckpointDir(given or tempfile.mkdtemp(prefix="checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 

@@ -161,7 +161,11 @@ class Lattice:
 
     def expected(self, words: list[str], counts: np.ndarray, log_p: np.ndarray) -> np.ndarray:
         """How often each piece (and byte) is expected to be used in the words, each taken ``counts`` times."""
-        total = np.zeros(self.n + 1)
+        return self.expectation(words, counts, log_p)[0]
+
+    def expectation(self, words: list[str], counts: np.ndarray, log_p: np.ndarray) -> tuple[np.ndarray, float]:
+        """What ``expected`` gives, and the log of the words' probability."""
+        total, likelihood = np.zeros(self.n + 1), 0.0
         for rows, points, lengths in self.runs(words):
             arcs = self.arcs(points, lengths, log_p)
             a, b = self.alpha(points.shape, arcs), self.beta(points.shape, lengths, arcs)
@@ -169,4 +173,5 @@ class Lattice:
             whole = a[np.arange(len(rows)), lengths]
             share = np.exp(a[row, start] + cost + b[row, end] - whole[row]) * counts[rows][row] * n_bytes
             total += np.bincount(piece, share, self.n + 1)
-        return total
+            likelihood += float(whole @ counts[rows])
+        return total, likelihood

@@ -1,7 +1,7 @@
 """Line deduplication by an exact set-similarity join.
 
 A line's set is its distinct words, A-Z lower-cased. Lines without words are left alone, as are those of fewer
-distinct words than a caller asks for (``LEAST_WORDS`` if it does not say; the query and the pipeline take all, 1). Two lines match if ``NUMERATOR / DENOMINATOR`` of their union is in both; of matching lines all but
+distinct words than ``least_words`` where a caller asks for more than one. Two lines match if ``NUMERATOR / DENOMINATOR`` of their union is in both; of matching lines all but
 the first, by document id, text hash and line number, are removed.
 
 Lines with equal sets form one class at once, known by two 64-bit hashes. A line's words are ordered by rarity, from counts of all lines'
@@ -33,7 +33,7 @@ from tallyspark.llm import text as tx
 from tallyspark.llm.common import NULL_ID, bitmap, cut, maybe_in, packed, table, unpacked
 
 NUMERATOR, DENOMINATOR = 80, 100
-LEAST_WORDS = 5
+LEAST_WORDS = 1
 #: The least size of a set that can match a different one: n of n + 1 words.
 LEAST_JOINED = -(-NUMERATOR // (DENOMINATOR - NUMERATOR))
 #: Counters that words are counted in; of each, the logarithm is broadcast in a byte. They travel in blocks.

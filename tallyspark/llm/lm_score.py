@@ -2,7 +2,8 @@
 
 Words are generated piece by piece from a given vocabulary, which is not trained here. A piece's probability starts
 from its vocabulary score and is re-estimated from the training documents' words by expected
-counts over all segmentations (forward and backward recursion in log space); ``rounds=0`` leaves the existing scores as they are. A
+counts over all segmentations (forward and backward recursion in log space), until a round gains less than ``GAIN``; ``rounds`` sets their
+number instead, and 0 leaves the existing scores as they are. A
 text's score is its marginal probability: the sum, over its words, of the log of the probability over all ways through the word's lattice, given
 that a word comes rather than the end, and of the end at last. The base score is a smoothed count of whole words and
 has no part in the score.
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,8 @@ from tallyspark.llm import text as tx
 from tallyspark.llm.common import cut, fold, table
 from tallyspark.llm.lattice import Lattice, read_vocabulary, start_probabilities
 
-ROUNDS = 2
+#: Rounds go on until one gains less than this share of the log likelihood of the words.
+GAIN = 0.001
 FREQUENT = 1e-4
 #: Added to each piece's expected count.
 SMOOTHING = 0.01
@@ -91,15 +94,20 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield take()
 
 
+#: Stands for a piece where the log likelihood of all words is told.
+WORDS = -1
+
+
 def expectations(path: str, shared: Callable[[], np.ndarray]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, _ = lattice(path)
-        total = np.zeros(model.n + 1)
+        total, likelihood = np.zeros(model.n + 1), 0.0
         for batch in batches:
             words = [w.decode("utf-8", "replace") for w in batch.column("word").to_pylist()]
-            total += model.expected(words, batch.column("n").to_numpy().astype(np.float64), shared())
+            more, of_words = model.expectation(words, batch.column("n").to_numpy().astype(np.float64), shared())
+            total, likelihood = total + more, likelihood + of_words
         used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"piece": used.astype(np.int64), "n": total[used]})
+        yield pa.RecordBatch.from_pydict({"piece": np.append(used, WORDS).astype(np.int64), "n": np.append(total[used], likelihood)})
 
     return run
 
@@ -202,25 +210,32 @@ def answer(_: tuple, docs: pa.Table, words: pa.Table) -> pa.Table:
     )
 
 
-def train(words: DataFrame, path: str, rounds: int = ROUNDS) -> np.ndarray:
-    """Natural logs of the pieces' probabilities; the last is a byte's. A word counts as often as training documents have it."""
+def train(words: DataFrame, path: str, rounds: int | None = None) -> np.ndarray:
+    """Natural logs of the pieces' probabilities; the last is a byte's. A word counts as often as training documents have it.
+
+    The likelihood can't fall from round to round (smoothing aside), and is below 0, so rounds come to an end.
+    """
     context = words.sparkSession.sparkContext
     model, scores = lattice(path)
     p = np.append(start_probabilities(scores) * 0.999, 0.001 / 256)
     learnt = words.filter("n > 0").select("word", "n")
-    for _ in range(rounds):
+    before = None
+    for _ in count() if rounds is None else range(rounds):
         shared = context.broadcast(np.log(p))
         rows = learnt.mapInArrow(expectations(path, lambda s=shared: s.value), "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).toArrow()
-        if not rows.num_rows:
+        piece, n = (rows.column(k).to_numpy() for k in ("piece", "n"))
+        now = n[piece == WORDS].sum()
+        if not now or rounds is None and before is not None and now - before < GAIN * -before:
             break
+        before = now
         weight = np.full(model.n + 1, SMOOTHING)
-        weight[rows.column("piece").to_numpy()] += rows.column("n").to_numpy()
+        weight[piece[piece != WORDS]] += n[piece != WORDS]
         p = weight / weight.sum()
         p[-1] /= 256  # what bytes have together is shared out evenly
     return np.log(p)
 
 
-def lm_scores(docs: DataFrame, learn: str, vocabulary: str, rounds: int = ROUNDS) -> DataFrame:
+def lm_scores(docs: DataFrame, learn: str, vocabulary: str, rounds: int | None = None) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of each document; ``learn`` is the SQL condition of training rows."""
     spark = docs.sparkSession
     marked = docs.select("doc_id", "text", F.coalesce(F.expr(learn), F.lit(False)).alias("learn"))

@@ -37,7 +37,8 @@ LAST_CLASS = 64
 #: Distinct words whose ids a worker remembers; beyond, it keeps only those of the texts at hand.
 REMEMBERED = 1_000_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-COUNTER_BITS = 40
+#: Below a task's partition number: sequences that it may make; numbers up to 2^31 fit above.
+COUNTER_BITS = 32
 
 
 #: A lower-case word with ASCII signs behind an ASCII letter: the tokenizer parts them there.

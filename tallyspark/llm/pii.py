@@ -2,7 +2,7 @@
 
 Plain e-mail addresses, IP addresses, card and phone numbers are found in the text as it stands. All texts
 are then run through transducers, each a rewriting of one kind of disguise that keeps, for every
-character it writes, the source characters that it stands for: look-alike letters, full-width forms and
+character it writes, the source characters that it stands for: look-alike letters (in words that mix scripts), full-width forms and
 other scripts' digits become ASCII, runs of spelled digits become digits, and "(at)", "[dot]", " at " and the
 like become "@" and ".". Identifiers found in the rewritten text are mapped back to source spans; one
 that overlaps a plain span, or that no rewriting took part in, is dropped. Plain spans stay as they are.
@@ -19,6 +19,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,6 +88,9 @@ LOOK_ALIKES = {
 SINGLE = str.maketrans({x: to for to, many in LOOK_ALIKES.items() for x in many})
 #: All that ``single`` rewrites: the table, full-width forms and other scripts' digits.
 FOREIGN = re.compile(rf"[{''.join(map(re.escape, map(chr, SINGLE)))}！-～]|(?![0-9])\d")
+#: Words with a letter that is not ASCII.
+MIXED = re.compile(r"[A-Za-z0-9_]*[^\W\x00-\x7F]\w*")
+ASCII_LETTER, WORD_SIGN = re.compile(r"[A-Za-z]"), re.compile(r"\w")
 #: Spelled digits of English, German, French and Spanish. Fixed values.
 SPELLED = {
     "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
@@ -110,27 +114,38 @@ IP_DOT = re.compile(r"(?<=[0-9])\s+dot\s+(?=[0-9])", re.IGNORECASE)
 
 
 class Rewriting:
-    """A text under rewriting, with the source span of each of its characters."""
+    """A text under rewriting, with the source span of each of its characters: none at all until something is rewritten."""
 
     def __init__(self, text: str):
         self.text = text
-        self.starts = list(range(len(text)))
-        self.ends = list(range(1, len(text) + 1))
+        self.starts = self.ends = np.zeros(0, np.int32)
         self.changed: list[tuple[int, int]] = []  # source spans
 
     def replace(self, edits: list[tuple[int, int, str]]) -> None:
         """Put texts in place of spans (of the text as it is now), given in order and not overlapping."""
         if not edits:
             return
-        text, starts, ends, at = [], [], [], 0
+        if not self.changed:
+            self.starts = np.arange(len(self.text), dtype=np.int32)
+            self.ends = self.starts + np.int32(1)
+        text, at = [], 0
         for a, b, new in edits:
             text += [self.text[at:a], new]
-            starts += self.starts[at:a] + [self.starts[a]] * len(new)
-            ends += self.ends[at:a] + [self.ends[b - 1]] * len(new)
-            self.changed.append((self.starts[a], self.ends[b - 1]))
             at = b
+        a, b, n = (np.array(x, np.int64) for x in ([e[0] for e in edits], [e[1] for e in edits], [len(e[2]) for e in edits]))
+        self.changed += zip(self.starts[a].tolist(), self.ends[b - 1].tolist(), strict=True)
+        # Kept parts and new ones by turns: where each begins in the text as it is now, and how long it will be.
+        begin, size = np.zeros(2 * len(a) + 1, np.int64), np.zeros(2 * len(a) + 1, np.int64)
+        begin[2::2], begin[1::2], size[1::2] = b, a, n
+        size[0::2] = np.append(a, len(self.text)) - begin[0::2]
+        new = np.repeat(np.arange(len(size)) % 2 == 1, size)
+        step = np.arange(len(new), dtype=np.int32) - np.repeat(np.cumsum(size) - size, size).astype(np.int32)
+        step[new] = 0
+        source = np.repeat(begin, size).astype(np.int32) + step
+        self.starts = self.starts[source]
+        source[new] = np.repeat(b - 1, n)
+        self.ends = self.ends[source]
         self.text = "".join([*text, self.text[at:]])
-        self.starts, self.ends = starts + self.starts[at:], ends + self.ends[at:]
 
 
 def single(c: str) -> str:
@@ -153,9 +168,25 @@ def spelt(text: str) -> Iterator[tuple[int, int, str]]:
             yield run.start(), end, digits
 
 
+def looking_alike(text: str) -> Iterator[tuple[int, int, str]]:
+    """Signs that stand for ASCII ones. A letter does only in a word that has ASCII letters as well; others are of the word's own script."""
+    for m in FOREIGN.finditer(text):
+        if m[0].isalpha() and not "！" <= m[0] <= "～":
+            continue
+        yield m.start(), m.end(), single(m[0])
+    for word in MIXED.finditer(text):
+        if ASCII_LETTER.search(word[0]):
+            yield from ((word.start() + m.start(), word.start() + m.end(), single(m[0])) for m in FOREIGN.finditer(word[0]) if m[0].isalpha() and not "！" <= m[0] <= "～")
+
+
+def whole_address(text: str, start: int, end: int) -> bool:
+    """Does an address that rewriting has brought out neither begin nor end within a word of another script?"""
+    return not (start and WORD_SIGN.match(text, start - 1) or end < len(text) and WORD_SIGN.match(text, end))
+
+
 def disguised_spans(text: str, plain: list[Span]) -> list[Span]:
     way = Rewriting(text)
-    way.replace([(m.start(), m.end(), single(m[0])) for m in FOREIGN.finditer(text)] if not text.isascii() else [])
+    way.replace(sorted(looking_alike(text)) if not text.isascii() else [])
     way.replace(list(spelt(way.text)))
     way.replace([(m.start(), m.end(), "+") for m in PLUS.finditer(way.text)])
     way.replace([(m.start(), m.end(), "@") for m in BRACKETED_AT.finditer(way.text)])
@@ -171,7 +202,8 @@ def disguised_spans(text: str, plain: list[Span]) -> list[Span]:
     if not way.changed:
         return []
     changed, taken = Overlaps(way.changed), Overlaps([(a, b) for a, _, b in plain])
-    sources = ((way.starts[a], kind, way.ends[b - 1]) for a, kind, b in plain_spans(way.text))
+    found = ((a, kind, b) for a, kind, b in plain_spans(way.text) if kind or whole_address(way.text, a, b))
+    sources = ((int(way.starts[a]), kind, int(way.ends[b - 1])) for a, kind, b in found)
     return [x for x in sources if changed.any(x[0], x[2]) and not taken.any(x[0], x[2])]
 
 

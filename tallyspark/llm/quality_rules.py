@@ -3,7 +3,8 @@
 Each document gets a few shape metrics. For every (lang, source) group a KLL sketch of each metric
 is built with partial aggregation, so a source with a third of all rows costs one sketch a task.
 Sketches of a language's sources are merged into one for the language, and those into one for all;
-a group with too few documents takes the thresholds of its language, or of all. A threshold is an
+a group's quantiles are drawn towards those of its language, and these towards those of all, by weights n / (n + ``PRIOR_DOCS``), so
+few documents say little and no number of them is a switch. A threshold is an
 outlier fence around the middle half of the group, so it moves with what is usual there and
 junk that makes up less than a quarter of a group can't move it.
 
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 from tallyspark.llm import text as tx
 from tallyspark.llm.common import cut, table
 
-#: Documents that a group needs for thresholds of its own.
-LEAST_DOCS = 200
+#: Documents at which a group's own quantiles count half, and those of its language, or of all, the other half.
+PRIOR_DOCS = 200
 #: Middle halves that a value may lie outside the middle half.
 FENCE = 3.0
 #: Per metric: the least width that the middle half is taken to have, and the sides on which it is fenced.
@@ -117,7 +118,7 @@ def metrics(docs: DataFrame) -> DataFrame:
     )
 
 
-def thresholds(measured: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
+def thresholds(measured: DataFrame, prior_docs: float = PRIOR_DOCS) -> DataFrame:
     """(lang, source) -> low_ and high_ fence of each metric, from sketches of documents that pass the base rules."""
     sketched = (
         measured.filter(~F.col("base_failed"))
@@ -134,8 +135,8 @@ def thresholds(measured: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
         return [F.struct(q(m, 0.25).alias("q1"), q(m, 0.75).alias("q3")).alias(f"{level}_{m}") for m in METRICS]
 
     groups = measured.select("lang", "source").distinct()
-    own = sketched.filter(F.col("n") >= least_docs).select(F.col("lang").alias("own_lang"), F.col("source").alias("own_source"), *fences("own"))
-    mid = by_lang.filter(F.col("n") >= least_docs).select(F.col("lang").alias("mid_lang"), *fences("mid"))
+    own = sketched.select(F.col("lang").alias("own_lang"), F.col("source").alias("own_source"), F.col("n").alias("own_n"), *fences("own"))
+    mid = by_lang.select(F.col("lang").alias("mid_lang"), F.col("n").alias("mid_n"), *fences("mid"))
     joined = (
         groups.join(own, F.col("lang").eqNullSafe(F.col("own_lang")) & F.col("source").eqNullSafe(F.col("own_source")), "left")
         .join(mid, F.col("lang").eqNullSafe(F.col("mid_lang")), "left")
@@ -143,17 +144,26 @@ def thresholds(measured: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     )
     out = [F.col("lang").alias("t_lang"), F.col("source").alias("t_source")]
     for m, (least, _) in METRICS.items():
-        mid_half = F.coalesce(f"own_{m}", f"mid_{m}", f"all_{m}")
-        width = F.greatest(mid_half["q3"] - mid_half["q1"], F.lit(least)) * FENCE
-        out += [(mid_half["q1"] - width).alias(f"low_{m}"), (mid_half["q3"] + width).alias(f"high_{m}")]
+        q1, q3 = (drawn(*((F.col(f"{level}_{m}")[q], F.col(f"{level}_n")) for level in ("own", "mid")), (F.col(f"all_{m}")[q], None), prior=prior_docs) for q in ("q1", "q3"))
+        width = F.greatest(q3 - q1, F.lit(least)) * FENCE
+        out += [(q1 - width).alias(f"low_{m}"), (q3 + width).alias(f"high_{m}")]
     return joined.select(*out)
 
 
-def quality_rules(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
+def drawn(value: tuple[Column, Column | None], *wider: tuple[Column, Column | None], prior: float) -> Column:
+    """A level's value drawn towards that of the wider ones; a level without documents says nothing."""
+    own, n = value
+    if not wider:
+        return own
+    rest = drawn(*wider, prior=prior)
+    return F.coalesce((own * n + rest * prior) / (n + prior), rest)
+
+
+def quality_rules(docs: DataFrame, prior_docs: float = PRIOR_DOCS) -> DataFrame:
     """One row a document: its counts, metrics, fences, ``base_failed`` and ``kept``."""
     measured = cut(metrics(docs))
     fenced = measured.join(
-        thresholds(measured, least_docs),
+        thresholds(measured, prior_docs),
         F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")),
         "left",
     ).drop("t_lang", "t_source")

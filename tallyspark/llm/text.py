@@ -168,6 +168,8 @@ def code_points(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 #: Characters below this have their own entry in the tables of case and kind.
 TABLED = 0x20000
+#: Those from TABLED to here are ideographs; beyond are tags and private signs.
+IDEOGRAPHS = 0x40000
 _kinds: list[np.ndarray] = []
 
 
@@ -183,8 +185,8 @@ def kinds() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def letters(points: np.ndarray) -> np.ndarray:
-    """Lower-cased code points where they are letters (ideographs beyond the tables are), else 0."""
+    """Lower-cased code points where they are letters (ideographs beyond the tables are, tags and private signs are not), else 0."""
     lower, letter, _ = kinds()
     low = np.minimum(points, TABLED - 1)
     far = points >= TABLED
-    return np.where(far, points, np.where(letter[low], lower[low], 0)).astype(np.uint32)
+    return np.where(far, np.where(points < IDEOGRAPHS, points, 0), np.where(letter[low], lower[low], 0)).astype(np.uint32)

@@ -143,7 +143,7 @@ def match_features(matcher: Callable[[], Matcher], keep: tuple[str, ...]) -> Cal
 
 def entries_of(word: str) -> list[str]:
     """The word and its stems (marked with a star) as the lexicon would have them."""
-    return [word, *(f"{word[:k]}*" for k in STEMS if k <= len(word))] if 3 <= len(word) <= 40 else []
+    return [word, *(f"{word[:k]}*" for k in STEMS if k <= len(word))]
 
 
 def words_of(text: str) -> list[str]:
