@@ -81,7 +81,7 @@ def matrix(vecs: list[bytes], width: int | None = None) -> np.ndarray:
     sizes = {len(v) for v in vecs}
     width = max([0, *sizes]) // 4 if width is None else width
     if sizes == {4 * width}:
-        return np.frombuffer(b"".join(vecs), "<i4").reshape(-1, width).astype(np.int64)
+        return np.frombuffer(b"".join(vecs), "<i4").reshape(len(vecs), width).astype(np.int64)
     out = np.zeros((len(vecs), width), np.int64)
     for row, v in zip(out, vecs, strict=True):
         part = np.frombuffer(v, "<i4")[:width]
@@ -99,7 +99,7 @@ def products(a: np.ndarray, b: np.ndarray, bound: float) -> np.ndarray:
 class Pivots:
     """Chosen rows; M is the largest squared length. Distances are between augmented vectors."""
 
-    def __init__(self, vecs: list[bytes], largest: int, n: int = PIVOTS):
+    def __init__(self, vecs: list[bytes], largest: int, n: int):
         self.largest = float(largest)
         x = matrix(vecs)
         chosen, nearest = [0] if len(vecs) else [], np.full(len(vecs), np.inf)
@@ -278,7 +278,7 @@ def hard_negatives(rows: DataFrame, every: int = 1, positives: int = POSITIVES,
     vecs = cut(vectors(rows))
     told = vecs.agg(F.count("*").alias("n"), F.max("norm").alias("largest"), F.count_if(F.col("vec_id") % every == 0).alias("anchors")).first()
     sample = vecs.orderBy(F.xxhash64(F.lit(11), "key"), "key").limit(SAMPLE).select("vec").collect()
-    pivots = Pivots([bytes(r.vec) for r in sample], told.largest or 0)
+    pivots = Pivots([bytes(r.vec) for r in sample], told.largest or 0, PIVOTS)
     depth = 0
     while len(pivots.points) > 1 and depth < len(pivots.points) and told.n > BLOCK * 10 * len(pivots.points) ** depth:
         depth += 1
