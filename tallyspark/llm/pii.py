@@ -88,9 +88,7 @@ LOOK_ALIKES = {
 SINGLE = str.maketrans({x: to for to, many in LOOK_ALIKES.items() for x in many})
 #: All that ``single`` rewrites: the table, full-width forms and other scripts' digits.
 FOREIGN = re.compile(rf"[{''.join(map(re.escape, map(chr, SINGLE)))}！-～]|(?![0-9])\d")
-#: Words with a letter that is not ASCII.
-MIXED = re.compile(r"[A-Za-z0-9_]*[^\W\x00-\x7F]\w*")
-ASCII_LETTER, WORD_SIGN = re.compile(r"[A-Za-z]"), re.compile(r"\w")
+ASCII_LETTER, WORD_SIGN, WORD = re.compile(r"[A-Za-z]"), re.compile(r"\w"), re.compile(r"\w+")
 #: Spelled digits of English, German, French and Spanish. Fixed values.
 SPELLED = {
     "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
@@ -99,6 +97,8 @@ SPELLED = {
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
 SPELT = "|".join(sorted(SPELLED, key=len, reverse=True))
+#: One of these is in every spelled digit: the words that hold no other.
+SPELT_PARTS = [w for w in map(str.casefold, SPELLED) if not any(x != w and x in w for x in map(str.casefold, SPELLED))]
 #: A run of at least this many digits, one of them spelled, is taken as a spelled number.
 SPELT_RUN = re.compile(rf"(?<!\w)(?:(?:{SPELT}|[0-9])(?:[ ,-]{{1,2}}|(?=\W)|\Z)){{3,}}", re.IGNORECASE)
 SPELT_WORD = re.compile(rf"(?<!\w)(?:{SPELT})(?!\w)", re.IGNORECASE)
@@ -106,11 +106,12 @@ PLUS = re.compile(r"(?<!\w)plus\s+(?=[0-9])", re.IGNORECASE)
 # White space in front is only tried from its beginning, so that long runs of it take linear time.
 BRACKETED_AT = re.compile(r"(?:(?<!\s)\s+)?[\[({<]\s*(?:at|@|arroba|ät)\s*[\])}>]\s*", re.IGNORECASE)
 BRACKETED_DOT = re.compile(r"(?:(?<!\s)\s+)?[\[({<]\s*(?:dot|punkt|point|punto|\.)\s*[\])}>]\s*", re.IGNORECASE)
-#: Bare words stand for signs only where the whole reads as an address: name at host dot end.
-BARE = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?P<at>\s+at\s+|@)[A-Za-z0-9-]+(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+)+", re.IGNORECASE)
-BARE_AT, BARE_DOT = re.compile(r"\s+at\s+", re.IGNORECASE), re.compile(r"\s+dot\s+", re.IGNORECASE)
-BARE_LOCAL_DOT = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:\s+dot\s+[A-Za-z0-9_%+-]+)+(?=@)", re.IGNORECASE)
-IP_DOT = re.compile(r"(?<=[0-9])\s+dot\s+(?=[0-9])", re.IGNORECASE)
+#: Bare words stand for signs only where the whole reads as an address, on one line: name at host dot end.
+GAP = r"[^\S\r\n]+"
+BARE = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?P<at>{GAP}at{GAP}|@)[A-Za-z0-9-]+(?:(?:{GAP}dot{GAP}|\.)[A-Za-z0-9-]+)+", re.IGNORECASE)
+BARE_AT, BARE_DOT = re.compile(rf"{GAP}at{GAP}", re.IGNORECASE), re.compile(rf"{GAP}dot{GAP}", re.IGNORECASE)
+BARE_LOCAL_DOT = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:{GAP}dot{GAP}[A-Za-z0-9_%+-]+)+(?=@)", re.IGNORECASE)
+IP_DOT = re.compile(rf"(?<=[0-9]){GAP}dot{GAP}(?=[0-9])", re.IGNORECASE)
 
 
 class Rewriting:
@@ -170,13 +171,19 @@ def spelt(text: str) -> Iterator[tuple[int, int, str]]:
 
 def looking_alike(text: str) -> Iterator[tuple[int, int, str]]:
     """Signs that stand for ASCII ones. A letter does only in a word that has ASCII letters as well; others are of the word's own script."""
+    word_end, mixed = 0, False
     for m in FOREIGN.finditer(text):
+        at = m.start()
         if m[0].isalpha() and not "！" <= m[0] <= "～":
-            continue
-        yield m.start(), m.end(), single(m[0])
-    for word in MIXED.finditer(text):
-        if ASCII_LETTER.search(word[0]):
-            yield from ((word.start() + m.start(), word.start() + m.end(), single(m[0])) for m in FOREIGN.finditer(word[0]) if m[0].isalpha() and not "！" <= m[0] <= "～")
+            if at >= word_end:  # each word is looked at once
+                first = at
+                while first and WORD_SIGN.match(text, first - 1):
+                    first -= 1
+                word_end = WORD.match(text, first).end()
+                mixed = ASCII_LETTER.search(text, first, word_end) is not None
+            if not mixed:
+                continue
+        yield at, at + 1, single(m[0])
 
 
 def whole_address(text: str, start: int, end: int) -> bool:
@@ -186,19 +193,25 @@ def whole_address(text: str, start: int, end: int) -> bool:
 
 def disguised_spans(text: str, plain: list[Span]) -> list[Span]:
     way = Rewriting(text)
-    way.replace(sorted(looking_alike(text)) if not text.isascii() else [])
-    way.replace(list(spelt(way.text)))
-    way.replace([(m.start(), m.end(), "+") for m in PLUS.finditer(way.text)])
-    way.replace([(m.start(), m.end(), "@") for m in BRACKETED_AT.finditer(way.text)])
-    way.replace([(m.start(), m.end(), ".") for m in BRACKETED_DOT.finditer(way.text)])
-    way.replace([(m.start(), m.end(), ".") for m in IP_DOT.finditer(way.text)])
-    inner = []
-    for m in BARE.finditer(way.text):
-        if "dot" in m[0].lower() or m["at"] == "@":
-            parts = [(x.start(), x.end(), "@") for x in BARE_AT.finditer(way.text, *m.span("at"))] + [(x.start(), x.end(), ".") for x in BARE_DOT.finditer(way.text, m.end("at"), m.end())]
-            inner += parts
-    way.replace(inner)
-    way.replace([(x.start(), x.end(), ".") for m in BARE_LOCAL_DOT.finditer(way.text) for x in BARE_DOT.finditer(way.text, m.start(), m.end())])
+    way.replace(list(looking_alike(text)) if not text.isascii() else [])
+    # What the rewritings below look for; a text without it is left alone by them.
+    folded = way.text.casefold()
+    if any(w in folded for w in SPELT_PARTS):
+        way.replace(list(spelt(way.text)))
+    if "plus" in folded:
+        way.replace([(m.start(), m.end(), "+") for m in PLUS.finditer(way.text)])
+    if any(x in folded for x in "[({<"):
+        way.replace([(m.start(), m.end(), "@") for m in BRACKETED_AT.finditer(way.text)])
+        way.replace([(m.start(), m.end(), ".") for m in BRACKETED_DOT.finditer(way.text)])
+    if "dot" in folded:
+        way.replace([(m.start(), m.end(), ".") for m in IP_DOT.finditer(way.text)])
+        inner = []
+        for m in BARE.finditer(way.text):
+            if "dot" in m[0].lower():
+                parts = [(x.start(), x.end(), "@") for x in BARE_AT.finditer(way.text, *m.span("at"))] + [(x.start(), x.end(), ".") for x in BARE_DOT.finditer(way.text, m.end("at"), m.end())]
+                inner += parts
+        way.replace(inner)
+        way.replace([(x.start(), x.end(), ".") for m in BARE_LOCAL_DOT.finditer(way.text) for x in BARE_DOT.finditer(way.text, m.start(), m.end())])
     if not way.changed:
         return []
     changed, taken = Overlaps(way.changed), Overlaps([(a, b) for a, _, b in plain])

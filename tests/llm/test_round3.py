@@ -230,3 +230,49 @@ def test_packing_awkward_texts(spark):
     pack = lambda docs: best_fit.pack(docs, public.path("byte_bpe_50k.json"), public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
     check_pieces(pack(df).collect(), [(r[0], ids) for r, ids in zip(rows, public_ids(texts), strict=True)])
     assert pack(df.limit(0)).count() == 0
+
+
+# --- personal data behind disguises
+
+
+DISGUISES = [
+    ("email", "john [at] example [dot] com"), ("email", "john at example dot com"), ("email", "jоhn@exаmple.com"), ("email", "john＠example.com"), ("email", "john dot doe＠example.com"), ("email", "j.d(at)host{dot}org"),
+    ("ip", "１０.0.0.25"), ("ip", "10 dot 0 dot 0 dot 25"), ("card", "４556 7375 8689 9855"), ("phone", "+1 five five five one two three four five six seven"), ("phone", "plus 49 one seven one 2345678"),
+]
+CLEAN = ["meet me at noon", "look at the dot", "é à ü ç", "a (b) c", "почта@mail.ru", "пишите на иванова@yandex.ru сегодня", "дом 5", "voilà où à la gare", "x < y > z", "", None]
+
+
+def test_spans_of_planted_disguises(spark):
+    """All disguises planted in texts of every kind are found where they are, and nothing else."""
+    from tallyspark.llm.pii import find_pii, listed
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    rows, want = [], {}
+    for i in range(400):
+        text, spans = "", []
+        for _ in range(rng.randint(0, 4)):
+            kind, shown = rng.choice(DISGUISES)
+            text += (rng.choice(CLEAN) or "") + rng.choice([". ", "; ", "\n"])
+            spans.append(f"{kind}:{len(text)}:{len(text) + len(shown)}")
+            text += shown + rng.choice([". ", "; ", "\n"])
+        text += rng.choice(CLEAN) or ""
+        rows.append((i, text or None))
+        want[i] = ",".join(spans)
+    got = find_pii(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", listed(F.concat("base", "added")).alias("spans"), F.size("base").alias("n"))
+    assert {r.doc_id: r.spans for r in got.collect()} == want and got.agg(F.sum("n")).first()[0] == 0
+
+
+def test_very_long_texts_take_little_memory():
+    from tallyspark.llm.pii import Rewriting, disguised_spans, plain_spans
+
+    text = "lorem ipsum dolor sit amet " * 100_000
+    assert disguised_spans(text, plain_spans(text)) == []
+    way = Rewriting(text)
+    assert way.starts.nbytes == 0  # nothing is kept for a text in which nothing is rewritten
+    way.replace([(0, 5, "L"), (12, 17, "DOLORES")])
+    assert way.text.startswith("L ipsum DOLORES sit") and len(way.text) == len(way.starts) == len(way.ends)
+    assert way.starts.itemsize == way.ends.itemsize == 4 and (way.starts[0], way.ends[0], way.starts[8], way.ends[14]) == (0, 5, 12, 17)
+    spelled = text + "john at example dot com" + text
+    [(a, kind, b)] = disguised_spans(spelled, plain_spans(spelled))
+    assert spelled[a:b] == "john at example dot com" and kind == 0
