@@ -273,6 +273,6 @@ def test_very_long_texts_take_little_memory():
     way.replace([(0, 5, "L"), (12, 17, "DOLORES")])
     assert way.text.startswith("L ipsum DOLORES sit") and len(way.text) == len(way.starts) == len(way.ends)
     assert way.starts.itemsize == way.ends.itemsize == 4 and (way.starts[0], way.ends[0], way.starts[8], way.ends[14]) == (0, 5, 12, 17)
-    spelled = text + "john at example dot com" + text
+    spelled = text + "john at example dot com " + text
     [(a, kind, b)] = disguised_spans(spelled, plain_spans(spelled))
     assert spelled[a:b] == "john at example dot com" and kind == 0
