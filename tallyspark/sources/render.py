@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 Row = tuple[str, list[str]]  # kind, cells
 # Fixed values of the report files: page and fonts of a PDF (font, size), sizes of a workbook's bold fonts.
-PAGE_HEIGHT, PAGE_WIDTH, MARGIN, LINE_HEIGHT = 841.89, 595.28, 50, 15
+PAGE_HEIGHT, PAGE_WIDTH, MARGIN, LINE_HEIGHT = 842, 595, 50, 15
 FONTS = {"title": (2, 16), "section": (2, 12), "row": (1, 10)}
 BOLD = {"title": 14, "section": 11, "header": 10}
 
@@ -38,7 +38,7 @@ def text_line(kind: str, cells: list[str]) -> str:
 
 def pdf(rows: list[Row]) -> bytes:
     """A4 pages of lines in standard fonts, titles larger and bold; characters outside Latin-1 are shown as question marks."""
-    per_page = int((PAGE_HEIGHT - 2 * MARGIN) // LINE_HEIGHT) + 1  # the last line may stand on the margin
+    per_page = (PAGE_HEIGHT - 2 * MARGIN) // LINE_HEIGHT + 1  # the last line may stand on the margin
     lines = [(*FONTS.get(kind, FONTS["row"]), text_line(kind, cells)) for kind, cells in rows] or [(*FONTS["row"], "")]
     pages = [lines[i : i + per_page] for i in range(0, len(lines), per_page)]
     face = b"<< /Type /Font /Subtype /Type1 /BaseFont /%s /Encoding /WinAnsiEncoding >>"
