@@ -12,7 +12,7 @@ Classes are compared in three steps, never all with all. First each class is pai
 one of its bands' groups, which joins a large group of copies by as many pairs as it has members. Verified links
 give components. Groups that then hold more than one component are gone through again: their members are paired with
 the group's first and with the one before, where these lie in other components. What groups still are mixed are compared
-in full, whatever their size: blocks of about ``BLOCK`` classes with their texts meet inside a
+in full, whatever their size: blocks of about ``BLOCK`` classes (fewer if their sets are large) with their texts meet inside a
 task, which verifies the pairs of different components whose estimate is high enough and passes on no more links than it takes
 to join what is linked. Those complete the components.
 
@@ -47,6 +47,8 @@ MANTISSA = 10
 SLACK = 5
 #: Classes of a block, one or two of which are compared within one task; neighbours are sought in parts of about PARTED such.
 BLOCK, PARTED = 1024, 4
+#: Shingles of a block, about, so that long texts make blocks of fewer classes.
+BLOCK_SHINGLES = 1 << 20
 SKETCHED = "doc_id long, is long, n_shingles long, class binary, sketch binary"
 
 
@@ -240,7 +242,7 @@ def compare(_: tuple, group: pa.Table) -> pa.Table:
 
 def mixed(members: DataFrame) -> DataFrame:
     """Members of groups with more than one component, with the size of their group; of groups with the same members one is enough."""
-    groups = cut(members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).filter("low <> high").select("key", "size"))
+    groups = cut(members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"), F.sum("n_shingles").alias("weight")).filter("low <> high").select("key", "size", "weight"))
     found = cut(maybe_in(members, groups, "key").filter("maybe_").drop("maybe_").join(groups, "key"))
     sums = [F.sum(F.shiftright(F.xxhash64("class", F.lit(salt)), 24)).alias(f"sum_{salt}") for salt in (1, 2, 3)]
     alike = found.groupBy("key").agg(F.first("size").alias("size"), *sums)
@@ -255,7 +257,7 @@ def rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
 
 def cross_links(classes: DataFrame, members: DataFrame, docs: DataFrame) -> DataFrame:
     """(a, b): links that join classes that share a band but not yet a component."""
-    n_parts = F.ceil(F.col("size") / BLOCK).cast("int")
+    n_parts = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("weight") / BLOCK_SHINGLES)).cast("int")
     laid = members.select("key", "class", "root", F.pmod(F.xxhash64("class"), n_parts).cast("int").alias("part"), (n_parts - 1).alias("last"))
     dealt = laid.select("key", "class", "root", "part", F.explode(F.sequence(F.lit(0), "last")).alias("with"))
     dealt = dealt.select("key", "root", "part", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"), "class")
@@ -279,7 +281,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if not near.isEmpty():
         # Known components go on as stars, so that only what joins them is sought.
         roots = components(tied(near))
-        members = mixed(rooted(members.drop("root", "size"), roots))
+        members = mixed(rooted(members.drop("root", "size", "weight"), roots))
     if not members.isEmpty():
         across = cut(cross_links(classes, members, docs))
         if not across.isEmpty():
