@@ -7,14 +7,14 @@
 5. packing: what is left is tokenised and packed; one row a piece.
 
 Every stage but the last returns the columns that it was given. Stages that use Python bound the session's Arrow batches
-by bytes (``bounded_batches``), so that a task's memory does not grow with the length of texts.
+by bytes (``bounded_batches``), so that a task's memory does not grow with the length of texts; ``run`` puts the bound back.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm.common import bounded_batches, table, written
+from tallyspark.llm.common import BATCHES, bounded_batches, table, written
 from tallyspark.llm.decontamination import decontaminate
 from tallyspark.llm.language_id import recognised
 from tallyspark.llm.line_dedup import remove_lines
@@ -55,7 +55,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """All stages over documents, each written and read again; the session's bound of Arrow batches is put back."""
+    docs, bound = table(spark, sf_dir, "documents"), spark.conf.get(BATCHES)
+    try:
+        for name, stage in STAGES:
+            docs = written(stage(spark, docs, sf_dir), name)
+    finally:
+        spark.conf.set(BATCHES, bound)
+    return docs
