@@ -140,11 +140,12 @@ class BloomSlices:
 def build(train: DataFrame, **how: float) -> BloomSlices:
     """Learn the filters; what reaches the driver is bounded by languages / MIN_SHARE rows."""
     found = language_sets(train, **how).select(F.explode("langs").alias("lang"), "gram").toArrow()
-    langs = np.array(found.column("lang").to_pylist(), object)
+    coded = pa.chunked_array(found.column("lang"), pa.string()).combine_chunks().dictionary_encode()  # numbers, not a text a row
+    names, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
     keys = found.column("gram").to_numpy().view(np.uint64)
-    model = BloomSlices(sorted(set(langs)))
+    model = BloomSlices(sorted(names))
     for k, lang in enumerate(model.langs):
-        model.add(k, keys[langs == lang])
+        model.add(k, keys[codes == names.index(lang)])
     return model
 
 
@@ -177,7 +178,11 @@ def identify(docs: DataFrame, train: DataFrame) -> DataFrame:
 
 
 def recognised(docs: DataFrame, train: DataFrame, least_score: float = 0.3) -> DataFrame:
-    """``docs``, with all columns, without those in no learnt language: ``und``, or too few of the n-grams in the best language's set."""
+    """``docs``, with all columns, without those in no learnt language: ``und``, or a score below ``least_score``.
+
+    The score is the share of a text's n-grams in the best language's set, freed of false positives. Texts of a learnt language have nearly all
+    of theirs there, others those alone that languages have in common, so the default lies between the two.
+    """
     model = docs.sparkSession.sparkContext.broadcast(build(train.filter("lang is not null")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
