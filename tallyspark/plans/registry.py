@@ -801,7 +801,7 @@ def purchases_committed(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """ SELECT id AS job_id, report_format, report_format <> 'DOC' AS made, CASE report_format WHEN 'CSV' THEN bytes END AS csv_bytes FROM
-    (SELECT id, CASE WHEN id % 11 = 0 THEN 'DOC' ELSE report_format END AS report_format FROM report_jobs) JOIN (SELECT job_id AS id, sum(strlen(line) + 1) AS bytes FROM ("""
+    (SELECT id, CASE WHEN id % 11 = 0 THEN 'DOC' ELSE report_format END AS report_format FROM report_jobs) JOIN (SELECT job_id AS id, CAST(sum(strlen(line) + 1) AS BIGINT) AS bytes FROM ("""
     + ORACLE_SQL["report_csv_lines"]
     + ") GROUP BY job_id) USING (id)"
 )
