@@ -31,7 +31,7 @@ def collected(spark, name, sf):
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings", "conversations"):
         con.sql(f"create view {t} as select * from '{LARGER}/{t}.parquet'")
     df = registry.QUERIES[name](spark, LARGER)
     theirs = con.sql(registry.ORACLE_SQL[name])
