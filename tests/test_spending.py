@@ -157,3 +157,13 @@ def test_scalars(spark):
         scalars.csv_cell(F.lit(None).cast("string")).alias("cell"),
     ).first()
     assert (row.label, row.file, row.small, row.large, row.cell) == ("Home And Garden", "my_file.png", 5.7, 57.0, "")
+
+
+def test_receipts_are_read_in_their_rows(spark):
+    """No sort or shuffle per receipt, and the same items whether titles pile up or lines hold control characters."""
+    texts = ["\n".join(["LONG title"] * 300 + ["9.00", "TEA x", "TOTAL 1.00", "LATE 2.00"]), "abc \x01 def\r1.00\r\n2.00\nMILK 3.00", "1.00", "", None]
+    items = receipts.items(spark.createDataFrame(list(enumerate(texts)), "receipt_id long, raw_text string"))
+    plan = items._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange" not in plan and "Sort" not in plan
+    got = {(r.receipt_id, r.line_index): (r.title, r.raw_fragment) for r in items.collect()}
+    assert got == {(0, 1): (" ".join(["LONG title"] * 300), " | ".join(["LONG title"] * 300 + ["9.00"])), (1, 1): ("abc \x01 def", "abc \x01 def | 1.00"), (1, 2): ("MILK", "MILK 3.00")}
