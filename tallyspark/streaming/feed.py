@@ -2,58 +2,133 @@
 
 ``bot_updates`` is a Spark data source with the feed's own contract: updates from an offset on, ``limit`` at most. The offset is
 the last update's id and one, and lies in the query's checkpoint, so a query that starts again goes on where it had
-stopped. What the feed serves is read by the driver, which is why a batch is bounded; the option ``feed`` names a folder of Parquet
-files (update_id, chat_id, text, at) that stands for it.
+stopped. A batch makes up to ``requests`` such requests, one unless the option says more. The option ``feed`` names a folder of Parquet
+files (update_id, chat_id, text, at) that stands for the feed. The driver finds where requests end by the ids of row groups that may
+hold the next ones, and keeps no more ids than a batch has; executors read the updates. In a feed written in order
+of its ids a batch costs what it holds; in one without order each batch looks at all ids.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 LIMIT = 20
+#: Tasks that share a batch's requests, about.
+TASKS = 24
 UPDATES = "update_id long, chat_id string, text string, at timestamp"
 #: What happens to tokens: kind is "token" (one is made for the user) or "start" (a chat sends it).
 TOKEN_EVENTS = "user_id long, kind string, token string, chat_id string, update_id long, at timestamp, expires_at timestamp"
 OUTCOMES = "update_id long, user_id long, token string, chat_id string, outcome string"
 
 
-class FeedReader(SimpleDataSourceStreamReader):
-    def __init__(self, feed: str, limit: int):
-        self.feed, self.limit = feed, limit
+class Requests(InputPartition):
+    """Updates from ``first`` to before ``behind``, and the row groups (by file) that may hold some."""
+
+    def __init__(self, first: int, behind: int, groups: dict[str, list[int]]):
+        self.first, self.behind, self.groups = first, behind, groups
+
+
+class FeedReader(DataSourceStreamReader):
+    def __init__(self, feed: str, limit: int, requests: int):
+        self.feed, self.limit, self.requests = feed, limit, requests
+        self.next: int | None = None
+        self.known: dict[tuple, list[tuple]] = {}  # by file, size and time: (least id, greatest id, number) of its row groups
 
     def initialOffset(self) -> dict:
         return {"next": 0}
 
-    def _updates(self, first: int, behind: int | None = None) -> list[tuple]:
-        import pyarrow.compute as pc
-        from pyarrow import dataset
+    def _groups(self, first: int, behind: int | None = None) -> list[tuple]:
+        """(least id, greatest id, file, number) of the row groups that may hold these updates, by least id."""
+        import pyarrow.parquet as pq
+        from pyarrow import fs
 
         from tallyspark.sources.objects import opened
 
         store, path = opened(self.feed)
-        wanted = pc.field("update_id") >= first
-        wanted = wanted & (pc.field("update_id") < behind) if behind is not None else wanted
-        found = dataset.dataset(path, filesystem=store, format="parquet").to_table(columns=[c.split()[0] for c in UPDATES.split(", ")], filter=wanted)
-        if behind is None and found.num_rows > self.limit:
-            found = found.take(pc.select_k_unstable(found, self.limit, [("update_id", "ascending")]))
-        found = found.sort_by("update_id")
-        at = found.column("at").cast(pa.timestamp("us")).cast(pa.timestamp("us", "UTC"))  # files may hold times without a zone, in UTC
-        columns = [c.to_pylist() for c in found.set_column(found.schema.get_field_index("at"), "at", at).columns]
-        return list(zip(*columns, strict=True))
+        found = []
+        for f in store.get_file_info(fs.FileSelector(path, recursive=True)):
+            if not f.is_file or f.base_name.startswith(("_", ".")):
+                continue
+            key = (f.path, f.size, f.mtime_ns)
+            if key not in self.known:
+                meta = pq.read_metadata(f.path, filesystem=store)
+                self.known[key] = [(*bounds(meta.row_group(i)), i) for i in range(meta.num_row_groups) if meta.row_group(i).num_rows]
+            found += [(low, high, f.path, i) for low, high, i in self.known[key] if high >= first and (behind is None or low < behind)]
+        return sorted(found)
+
+    def _ids(self, first: int, behind: int | None, most: int) -> np.ndarray:
+        """The first ``most`` ids from ``first`` on, in order."""
+        import pyarrow.parquet as pq
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        rows = self._updates(start["next"])
-        return iter(rows), {"next": rows[-1][0] + 1 if rows else start["next"]}
+        from tallyspark.sources.objects import opened
+
+        store, _ = opened(self.feed)
+        ids = np.zeros(0, np.int64)
+        for low, _, file, i in self._groups(first, behind):
+            if len(ids) == most and low > ids[-1]:
+                break
+            with pq.ParquetFile(file, filesystem=store) as f:
+                more = f.read_row_group(i, columns=["update_id"]).column(0).drop_null().to_numpy()
+            more = more[(more >= first) & (more < behind if behind is not None else True)]
+            ids = np.sort(np.concatenate([ids, more]))[:most]
+        return ids
+
+    def latestOffset(self) -> dict:
+        self.next = self.initialOffset()["next"] if self.next is None else self.next
+        ids = self._ids(self.next, None, self.limit * self.requests)
+        return {"next": int(ids[-1]) + 1 if len(ids) else self.next}
+
+    def partitions(self, start: dict, end: dict) -> list[Requests]:
+        first, behind = start["next"], end["next"]
+        self.next = behind  # Spark asks for a batch, if only an empty one, before it asks how far a query that starts again may go
+        if first >= behind:
+            return []
+        ids, groups = self._ids(first, behind, self.limit * self.requests), self._groups(first, behind)
+        edges = [first, *(int(x) for x in ids[:: self.limit * max(1, self.requests // TASKS)][1:]), behind]
+        made = []
+        for a, b in zip(edges, edges[1:], strict=False):
+            mine: dict[str, list[int]] = {}
+            for low, high, file, i in groups:
+                if high >= a and low < b:
+                    mine.setdefault(file, []).append(i)
+            made.append(Requests(a, b, mine))
+        return made
+
+    def read(self, partition: Requests) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute as pc
+        import pyarrow.parquet as pq
+
+        from tallyspark.sources.objects import opened
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter(self._updates(start["next"], end["next"]))
+        store, _ = opened(self.feed)
+        names = [c.split()[0] for c in UPDATES.split(", ")]
+        parts = []
+        for file, groups in partition.groups.items():
+            with pq.ParquetFile(file, filesystem=store) as f:
+                for i in groups:
+                    rows = f.read_row_group(i, columns=names).select(names)
+                    parts.append(rows.filter((pc.field("update_id") >= partition.first) & (pc.field("update_id") < partition.behind)))
+        for found in [pa.concat_tables(parts).sort_by("update_id")] if parts else []:
+            # Files may hold times without a zone, in UTC.
+            at = found.column("at").cast(pa.timestamp("us")).cast(pa.timestamp("us", "UTC"))
+            yield from found.set_column(names.index("at"), "at", at).to_batches(max_chunksize=10_000)
+
+
+def bounds(group) -> tuple[int, int]:
+    """The least and greatest id of a row group; all that there are if its file does not say."""
+    for k in range(group.num_columns):
+        held = group.column(k)
+        if held.path_in_schema == "update_id" and held.statistics is not None and held.statistics.has_min_max:
+            return held.statistics.min, held.statistics.max
+    return -(1 << 63), (1 << 63) - 1
 
 
 class BotUpdates(DataSource):
@@ -64,14 +139,14 @@ class BotUpdates(DataSource):
     def schema(self) -> str:
         return UPDATES
 
-    def simpleStreamReader(self, schema) -> FeedReader:
-        return FeedReader(self.options["feed"], int(self.options.get("limit", LIMIT)))
+    def streamReader(self, schema) -> FeedReader:
+        return FeedReader(self.options["feed"], int(self.options.get("limit", LIMIT)), int(self.options.get("requests", 1)))
 
 
-def updates(spark: SparkSession, feed: str, limit: int = LIMIT) -> DataFrame:
-    """The feed as a stream of updates; one batch asks it once."""
+def updates(spark: SparkSession, feed: str, limit: int = LIMIT, requests: int = 1) -> DataFrame:
+    """The feed as a stream of updates; one batch makes at most ``requests`` requests of ``limit``."""
     spark.dataSource.register(BotUpdates)
-    return spark.readStream.format("bot_updates").option("feed", feed).option("limit", limit).load()
+    return spark.readStream.format("bot_updates").option("feed", feed).option("limit", limit).option("requests", requests).load()
 
 
 def step(key: tuple, events: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

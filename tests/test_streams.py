@@ -234,3 +234,24 @@ def test_start_messages(spark):
     rows = [(i, "c", t) for i, t in enumerate(texts)] + [(90, None, "/start tok"), (91, " ", "/start tok")]
     got = {r.update_id: r.token for r in jobs.start_tokens(spark.createDataFrame(rows, "update_id long, chat_id string, text string")).collect()}
     assert got == {0: "tok", 1: "tok", 2: "tok", 7: "a b"}
+
+
+def test_a_batch_of_many_requests_is_read_by_tasks(spark, tmp_path):
+    rows = [(7 * i % 1009, f"c{i}", "hi", datetime(2026, 1, 1)) for i in range(1009)]
+    spark.createDataFrame(rows, feed.UPDATES).repartition(3).write.parquet(str(tmp_path / "feed"))
+    sizes, seen = [], []
+
+    def keep(batch, number):
+        sizes.append((batch.rdd.getNumPartitions(), batch.count()))
+        seen.extend(r.update_id for r in batch.select("update_id").collect())
+
+    for limit in (10, 20):  # the second query goes on from the first one's checkpoint
+        q = feed.updates(spark, str(tmp_path / "feed"), limit=limit, requests=30).writeStream.foreachBatch(keep).option("checkpointLocation", str(tmp_path / "checkpoint"))
+        if limit == 10:
+            q.trigger(availableNow=True).start().awaitTermination()
+        else:
+            q = q.start()
+            q.processAllAvailable()
+            q.stop()
+    assert [n for _, n in sizes if n] == [300, 600, 109] and sizes[0][0] == 30
+    assert sorted(seen) == list(range(1009))
