@@ -125,3 +125,12 @@ def test_table_function_gives_what_columns_give(spark):
     lateral = spark.sql("SELECT r.receipt_id, p.* FROM {texts} r, LATERAL parse_receipt(r.raw_text) p", texts=texts)
     want = Counter(map(tuple, receipts.items(texts).collect()))
     assert sum(want.values()) > 500 and Counter(map(tuple, lateral.collect())) == want
+
+
+def test_table_function_reads_a_line_as_the_column_rules_do():
+    """Digits and letters are counted alike in ASCII lines and others; words of any script are found in lines of their script."""
+    from tallyspark.functions import receipt_table
+
+    assert receipt_table.counted("MILK 2 x 0.50") == (4, 5) and receipt_table.counted("Ж٣²ⅷ 1") == (2, 1)
+    kinds = {"MILK 1.00": "inline", "1.00": "amount", "MILK": "title", "cashier anna": "other", "штрих": "other", "вул": "title", "вул 5": "other", "ave x": "title", "ave 5": "other", "a": "other"}
+    assert {line: receipt_table.kind_of(line, line.lower()) for line in kinds} == kinds
