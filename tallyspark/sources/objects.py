@@ -5,7 +5,8 @@ ended, executors move them to their keys. If either step fails, what was written
 none; contents and keys never pass through the driver. ``put`` writes a record of the objects afterwards, and removes the objects if
 that fails; ``sweep`` removes objects without a record, which a driver that was lost in between leaves behind.
 
-Paths are folders or URIs that pyarrow can open (local, hdfs, s3, gs); reading back is Spark's ``binaryFile`` (``render.read_objects``).
+Paths are folders or URIs that pyarrow can open (local, hdfs, s3, gs). Objects whose keys are known are read by key, on executors
+(``read``, ``render.recognised_objects``); all of a folder, by Spark's ``binaryFile`` (``render.read_objects``), which lists it on the driver.
 """
 
 from __future__ import annotations
@@ -34,6 +35,32 @@ def exists(store, name: str) -> bool:
     return store.get_file_info(name).type != fs.FileType.NotFound
 
 
+def place_of(key: str | None) -> str | None:
+    """Where a key's file lies in its folder; null if that is no key."""
+    place = posixpath.normpath(key or "")
+    return None if place.startswith(("..", "/", STAGING)) or place == "." else place
+
+
+def read(store, root: str, key: str | None) -> bytes | None:
+    """The content of the object under a key, null if there is none."""
+    from pyarrow import fs
+
+    if (place := place_of(key)) is None:
+        return None
+    try:
+        with store.open_input_file(f"{root}/{place}") as found:
+            return found.read()
+    except OSError:
+        if store.get_file_info(f"{root}/{place}").type == fs.FileType.File:
+            raise
+        return None
+
+
+def spread(rows: DataFrame, *on: str) -> DataFrame:
+    """``rows`` dealt over all cores by a hash, for those that are few bytes and much work; else a small file is one task."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, *on)
+
+
 def write(objects: DataFrame, path: str) -> None:
     """All of (key, content) as files under ``path``, or none. A task that runs again stages files of its own; those that its last run lists count."""
     spark, staging = objects.sparkSession, f"{STAGING}/{uuid.uuid4().hex}"
@@ -45,8 +72,7 @@ def write(objects: DataFrame, path: str) -> None:
         for batch in batches:
             keys, staged = [], []
             for key, content in zip(batch.column("key").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                place = posixpath.normpath(key or "")
-                if place.startswith(("..", "/", STAGING)) or place == ".":
+                if (place := place_of(key)) is None:
                     raise ValueError(f"not a key: {key}")
                 keys.append(place)
                 staged.append(f"{folder}/{uuid.uuid4().hex}")
@@ -56,9 +82,12 @@ def write(objects: DataFrame, path: str) -> None:
 
     def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = opened(path)
+        made = set()
         for batch in batches:
             for key, staged in zip(batch.column("key").to_pylist(), batch.column("staged").to_pylist(), strict=True):
-                store.create_dir(posixpath.dirname(f"{root}/{key}"), recursive=True)
+                if (folder := posixpath.dirname(f"{root}/{key}")) not in made:
+                    store.create_dir(folder, recursive=True)
+                    made.add(folder)
                 if exists(store, f"{root}/{staged}"):  # else an earlier run of this task has moved it
                     store.move(f"{root}/{staged}", f"{root}/{key}")
             yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
@@ -66,7 +95,7 @@ def write(objects: DataFrame, path: str) -> None:
     store, root = opened(path)
     listed = None
     try:
-        objects.select("key", "content").mapInArrow(stage, "key string, staged string").write.parquet(f"{path}/{staging}/list")
+        spread(objects.select("key", "content"), "key").mapInArrow(stage, "key string, staged string").write.parquet(f"{path}/{staging}/list")
         listed = spark.read.schema("key string, staged string").parquet(f"{path}/{staging}/list")
         listed.mapInArrow(move, "n long").agg(F.sum("n")).collect()
     except Exception:

@@ -155,16 +155,14 @@ def receipt_queue(uploads_dir: str, recognise: Callable[[bytes], str]) -> Queue:
 
     def process(tables: Tables, messages: DataFrame) -> DataFrame:
         asked = tables.read("receipts").join(messages.select("id"), "id", "left_semi").select("id", "s3_key")
-        found = render.read_objects(tables.spark, uploads_dir).withColumn("s3_key", F.substring_index("path", f"{uploads_dir.rstrip('/')}/", -1))
-        files = asked.join(found, "s3_key", "left")
-        texts = render.recognised(files.filter("content is not null").select(F.col("id").cast("string").alias("path"), "content"), recognise)
-        read = asked.select("id").join(texts.select(F.col("path").cast("long").alias("id"), "raw_text", "error", F.lit(True).alias("there")), "id", "left")
+        read = render.recognised_objects(asked, uploads_dir, recognise)
         blank = receipts.normalised(F.coalesce("raw_text", F.lit(""))) == ""
-        why = F.coalesce("error", F.when(F.col("there").isNull(), "Stored file is missing"), F.when(blank, lifecycle.EMPTY_TEXT))
+        why = F.coalesce("error", F.when(~F.col("there"), "Stored file is missing"), F.when(blank, lifecycle.EMPTY_TEXT))
         return read.select("id", "raw_text", why.alias("error"))
 
     def finished(tables: Tables, done: DataFrame) -> dict[str, DataFrame]:
-        texts = done.filter("error is null").select(F.col("id").alias("receipt_id"), "raw_text")
-        return {"receipt_results": receipts.headers(texts).join(texts, "receipt_id"), "receipt_lines": receipts.items(texts)}
+        texts = objects.spread(done.filter("error is null").select(F.col("id").alias("receipt_id"), "raw_text"), "receipt_id")
+        found = receipts.with_headers(texts).select("receipt_id", "store_name", "total_amount", "purchase_date", "raw_text")
+        return {"receipt_results": found, "receipt_lines": receipts.items(texts)}
 
     return Queue("receipts", RECEIPT_MESSAGE, "receiptId", "receipts", process, finished)

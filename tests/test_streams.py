@@ -6,7 +6,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from tallyspark.sources import objects
+from tallyspark.sources import objects, render
 from tallyspark.sources.tables import Tables
 from tallyspark.streaming import consumer, feed, jobs, outbox
 from tallyspark.streaming.consumer import Queue
@@ -255,3 +255,28 @@ def test_a_batch_of_many_requests_is_read_by_tasks(spark, tmp_path):
             q.stop()
     assert [n for _, n in sizes if n] == [300, 600, 109] and sizes[0][0] == 30
     assert sorted(seen) == list(range(1009))
+
+
+def test_receipts_are_read_by_key(spark, tmp_path, held):
+    """From a folder that is a URI; of what lies there only what is asked for, by many tasks though all comes in one file."""
+    texts = {"r/a.txt": "SHOP\n-\nMILK 1.00\nTOTAL 1.00", "_r/.b.txt": "SHOP\n-\nBREAD 2.00\nTOTAL 2.00", "r/c.txt": "?", "r/d.txt": " ", "r/other.txt": "?"}
+    folder = f"file://{tmp_path}/files"
+    objects.write(spark.createDataFrame([(k, v.encode()) for k, v in texts.items()], "key string, content binary"), folder)
+    keys = ["r/a.txt", "_r/.b.txt", "r/c.txt", "r/d.txt", "r/gone.txt", "r", "../out.txt", None]
+    (tmp_path / "out.txt").write_text("SHOP")
+    held.commit(appended={"receipts": spark.createDataFrame(list(enumerate(keys)), "id long, s3_key string").coalesce(1)})
+
+    def recognise(content):
+        if content == b"?":
+            raise ValueError("no engine")
+        return content.decode()
+
+    queued(spark, tmp_path, *(json.dumps({"receiptId": i, "userId": 1}) for i in range(len(keys))))
+    got = consumed(held, consumer.receipt_queue(folder, recognise), tmp_path)
+    missing = ("FAILED", None, "Stored file is missing")
+    assert got == {0: ("DONE", None, None), 1: ("DONE", None, None), 2: ("FAILED", None, "no engine"), 3: ("FAILED", None, "OCR returned empty text"), **{i: missing for i in range(4, 8)}}
+    assert {(r.receipt_id, r.title) for r in held.read("receipt_lines").collect()} == {(0, "MILK"), (1, "BREAD")}
+    assert {(r.receipt_id, r.raw_text, str(r.total_amount)) for r in held.read("receipt_results").collect()} == {(0, texts["r/a.txt"], "1.00"), (1, texts["_r/.b.txt"], "2.00")}
+    many = spark.range(200).select("id", F.lit("r/gone.txt").alias("s3_key")).coalesce(1)
+    read = render.recognised_objects(many, folder, recognise)
+    assert read.filter("not there").groupBy(F.spark_partition_id()).count().count() > 4
