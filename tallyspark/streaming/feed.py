@@ -26,6 +26,8 @@ TASKS = 24
 UPDATES = "update_id long, chat_id string, text string, at timestamp"
 #: What happens to tokens: kind is "token" (one is made for the user) or "start" (a chat sends it).
 TOKEN_EVENTS = "user_id long, kind string, token string, chat_id string, update_id long, at timestamp, expires_at timestamp"
+#: Groups that users are dealt into, and the one of those without an id (whose column would turn ids beside it into floats).
+BUCKETS, NOBODY = 4096, -1
 OUTCOMES = "update_id long, user_id long, token string, chat_id string, outcome string"
 
 
@@ -150,27 +152,35 @@ def updates(spark: SparkSession, feed: str, limit: int = LIMIT, requests: int =
 
 
 def step(key: tuple, events: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Outcomes of one user's starts; the state is the newest token, when it expires, and whether it was used."""
-    token, expires, used = state.get if state.exists else (None, None, False)
+    """Outcomes of one bucket's starts; the state is, for each user there, the newest token, when it expires, and whether it was used."""
+    held = {u: known for u, *known in zip(*state.get, strict=True)} if state.exists else {}
+    e = pd.concat(events).sort_values(["at", "update_id"], kind="stable")
+    nanoseconds = lambda c: e[c].to_numpy("datetime64[ns]").astype(np.int64).tolist()
+    users = [None] * len(e) if key[0] == NOBODY else e["user_id"].tolist()
     rows = []
-    for e in pd.concat(events).sort_values(["at", "update_id"], kind="stable").itertuples():
-        if e.kind == "token":
-            token, expires, used = e.token, e.expires_at.value, False
+    for user, kind, token, chat, number, at, until in zip(users, e["kind"], e["token"], e["chat_id"], e["update_id"], nanoseconds("at"), nanoseconds("expires_at"), strict=True):
+        if kind == "token":
+            held[user] = [token, until, False]
             continue
-        outcome = "UNKNOWN" if e.token != token else "USED" if used else "EXPIRED" if e.at.value > expires else "LINKED"
-        used = used or outcome == "LINKED"
-        rows.append((e.update_id, key[0], e.token, e.chat_id, outcome))
-    state.update((token, expires, used))
+        newest, expires, used = mine = held.setdefault(user, [None, None, False])
+        outcome = "UNKNOWN" if token != newest else "USED" if used else "EXPIRED" if at > expires else "LINKED"
+        mine[2] = used or outcome == "LINKED"
+        rows.append((number, user, token, chat, outcome))
+    state.update(([*held], *map(list, zip(*held.values(), strict=True))))
     yield pd.DataFrame(rows, columns=[c.split()[0] for c in OUTCOMES.split(", ")])
 
 
-def token_outcomes(events: DataFrame) -> DataFrame:
+def token_outcomes(events: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """What becomes of each start, for a stream of ``TOKEN_EVENTS`` whose batches are in order of time.
 
     A new token of a user voids the older ones, which are UNKNOWN from then on. A valid one is LINKED by its first start in order of
-    (at, update_id) and USED after that; one past its time is EXPIRED. Only the newest token of a user is kept.
+    (at, update_id) and USED after that; one past its time is EXPIRED. Only the newest token of a user is kept. The state of users is
+    kept by bucket, as a hash deals them, since Spark takes milliseconds for each group that it hands to Python; a batch writes the buckets
+    that it has events of. A checkpoint holds for one number of buckets.
     """
-    return events.groupBy("user_id").applyInPandasWithState(step, OUTCOMES, "token string, expires long, used boolean", "append", GroupStateTimeout.NoTimeout)
+    bucket = F.when(F.col("user_id").isNull(), F.lit(NOBODY)).otherwise(F.pmod(F.xxhash64("user_id"), F.lit(buckets)).cast("int"))
+    state = "user_id array<long>, token array<string>, expires array<long>, used array<boolean>"
+    return events.withColumn("bucket", bucket).groupBy("bucket").applyInPandasWithState(step, OUTCOMES, state, "append", GroupStateTimeout.NoTimeout)
 
 
 def token_events(starts: DataFrame, tokens: DataFrame) -> DataFrame:

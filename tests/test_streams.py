@@ -280,3 +280,29 @@ def test_receipts_are_read_by_key(spark, tmp_path, held):
     many = spark.range(200).select("id", F.lit("r/gone.txt").alias("s3_key")).coalesce(1)
     read = render.recognised_objects(many, folder, recognise)
     assert read.filter("not there").groupBy(F.spark_partition_id()).count().count() > 4
+
+
+def test_tokens_of_many_users_are_few_groups(spark, tmp_path):
+    """Users share buckets, and none sees another's tokens; large ids stay whole beside a user without one."""
+    at = lambda m: datetime(2026, 1, 1, m // 60, m % 60)
+    big = (1 << 60) + 1
+    people = [*range(40), big]
+    token = lambda u, name, m: (u, "token", f"{name}{u}", None, -1, at(m), at(m + 15))
+    start = lambda u, name, n, m: (u, "start", f"{name}{u}", f"c{n}", n, at(m), None)
+    first = [x for k, u in enumerate(people) for x in (token(u, "a", k), start(u, "a", 10 * k, k + k % 20))]
+    then = [x for k, u in enumerate(people) for x in (token(u, "b", 90 + k), start(u, "a", 10 * k + 1, 89), start(u, "b", 10 * k + 3, 95 + k), start(u, "b", 10 * k + 2, 95 + k), start(u, "b", 10 * k + 4, 200))]
+    seen = []
+    for rows in (first, [*then, (None, "start", "x", "c", 5000, at(100), None)]):
+        spark.createDataFrame(rows, feed.TOKEN_EVENTS).write.mode("append").parquet(str(tmp_path / "events"))
+        stream = spark.readStream.schema(feed.TOKEN_EVENTS).parquet(str(tmp_path / "events"))
+        q = feed.token_outcomes(stream, buckets=4).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        seen.append(max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress))
+    assert seen == [4, 5]
+    got = {r.update_id: (r.user_id, r.token, r.chat_id, r.outcome) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got.pop(5000) == (None, "x", "c", "UNKNOWN")
+    expected = {}
+    for k, u in enumerate(people):
+        outcomes = ["LINKED" if k % 20 <= 15 else "EXPIRED", "USED" if k % 20 <= 15 else "EXPIRED", "LINKED", "USED", "USED"]
+        expected |= {10 * k + i: (u, f"{'a' if i < 2 else 'b'}{u}", f"c{10 * k + i}", x) for i, x in enumerate(outcomes)}
+    assert got == expected
