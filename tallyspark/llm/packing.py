@@ -15,11 +15,11 @@ Columns other than doc_id and text are ignored.
 
 from __future__ import annotations
 
-import re
+import os
 import struct
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,15 +41,30 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 COUNTER_BITS = 32
 
 
-#: A lower-case word with ASCII signs behind an ASCII letter: the tokenizer parts them there.
-SIGNED = re.compile(rb"(.*[a-z])([!-&(-/:-@\[-`{-~]+)", re.DOTALL)
+#: ASCII signs but the apostrophe; the tokenizer parts a word at those behind a letter.
+SIGNS = bytes(x for x in range(0x21, 0x7F) if x != 0x27 and not chr(x).isalnum())
+SMALL = frozenset(b"abcdefghijklmnopqrstuvwxyz")
 #: How the tokenizer's model writes bytes: printable ones as the character of that number, the others, in order, from 256 on.
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTE_CHARACTERS = dict(zip(sorted(set(range(256)) - set(PRINTABLE)), range(256, 512), strict=False))
 
 
+#: Of so many ids, as little-endian 32-bit bytes.
+PACKED = [struct.Struct(f"<{n}I").pack for n in range(32)]
+
+
 def packed(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    return PACKED[len(ids)](*ids) if len(ids) < len(PACKED) else struct.pack(f"<{len(ids)}I", *ids)
+
+
+def modelled(word: bytes) -> str | None:
+    """A lower-case word of letters alone as the tokenizer's model takes it, null for any other."""
+    if word.isalpha():  # bytes: ASCII letters alone
+        return word.decode()
+    text = word.decode("utf-8", "replace")
+    if text.isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text):
+        return word.decode("latin-1").translate(BYTE_CHARACTERS)
+    return None
 
 
 class Tokenizer:
@@ -68,43 +83,46 @@ class Tokenizer:
         self.known: dict[bytes, bytes] = {}
         self.plain: dict[bytes, bytes] = {}
         self.special = [x.content.lower().encode() for x in self.public.get_added_tokens_decoder().values()]
+        self.sign = os.path.commonprefix(self.special)
         self.model = self.public.model
 
-    def encode(self, words: list[bytes]) -> dict[bytes, bytes]:
-        out, rest = {}, []
+    def encode(self, words: Iterable[bytes]) -> dict[bytes, bytes]:
+        out, rest, tokenize = {}, [], self.model.tokenize
         for w in words:
-            if w.isalpha():  # bytes: ASCII letters alone
-                out[w] = packed([x.id for x in self.model.tokenize(w.decode())])
-                continue
-            text = w.decode("utf-8", "replace")
-            if text.isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text):
-                out[w] = packed([x.id for x in self.model.tokenize(w.decode("latin-1").translate(BYTE_CHARACTERS))])
+            if (text := modelled(w)) is not None:
+                out[w] = packed([x.id for x in tokenize(text)])
             else:
-                rest.append((w, text))
-        found = self.public.encode_batch_fast([text for _, text in rest], add_special_tokens=False) if rest else []
-        out.update((w, packed(x.ids)) for (w, _), x in zip(rest, found, strict=True))
+                rest.append(w)
+        found = self.public.encode_batch_fast([w.decode("utf-8", "replace") for w in rest], add_special_tokens=False) if rest else []
+        out.update((w, packed(x.ids)) for w, x in zip(rest, found, strict=True))
         return out
 
     def learn(self, words: set[bytes]) -> None:
-        if len(self.known) + len(words) > self.remembered:
+        known, plain = self.known, self.plain
+        if len(known) + len(words) > self.remembered:
             # Frequent words are among those that are asked for now.
-            kept = {w: self.known[w] for w in words & self.known.keys()}
-            self.known.clear()
-            self.known.update(kept)
-            self.plain.clear()
-        new = {w: w.lower() for w in words - self.known.keys()}  # bytes: A-Z alone
-        single, parts = {}, {}
-        for w, low in new.items():
-            if any(x in low for x in self.special):
-                single[w] = w  # the tokenizer looks for these in the text as it stands
-            elif m := SIGNED.fullmatch(low):
-                parts[w] = m.groups()
+            kept = {w: known[w] for w in words if w in known}
+            known.clear()
+            known.update(kept)
+            plain.clear()
+        whole, parts = {}, []
+        for w in words:  # ``words - known.keys()`` would go through all that are known
+            if w in known:
+                continue
+            low = w.lower()  # bytes: A-Z alone
+            stem = low.rstrip(SIGNS)
+            if self.sign in low and any(x in low for x in self.special):
+                whole[w] = w  # the tokenizer looks for these in the text as it stands
+            elif stem != low and stem and (stem[-1] in SMALL or modelled(stem) is not None):
+                parts.append((w, stem, low[len(stem) :]))
             else:
-                single[w] = low
-        found = self.encode(list(set(single.values())))
-        self.known.update((w, found[low]) for w, low in single.items())
-        self.plain |= self.encode(list({x for p in parts.values() for x in p} - self.plain.keys()))
-        self.known.update((w, b"".join([self.plain[x] for x in p])) for w, p in parts.items())
+                whole[w] = low
+        # A word that is remembered need not be encoded again without its signs or in lower case.
+        found = self.encode({low for low in whole.values() if low not in known})
+        known.update([(w, found[low] if low in found else known[low]) for w, low in whole.items()])
+        plain.update(self.encode({x for _, *both in parts for x in both if x not in known and x not in plain}))
+        ids = lambda x: known[x] if x in known else plain[x]
+        known.update([(w, ids(stem) + ids(signs)) for w, stem, signs in parts])
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         split = [t.split() for t in texts]  # at ASCII white space, which the tokenizer parts at too

@@ -364,6 +364,27 @@ def test_tokenizer(vocabulary):
         assert np.frombuffer(ids, "<u4").tolist() == public.encode(t, add_special_tokens=False).ids
 
 
+def test_tokenizer_learns_new_words_alone(vocabulary):
+    """Texts of odd words have the public ids, also when words are forgotten; what is remembered is not gone through for each chunk."""
+    from tokenizers import Tokenizer as Public
+
+    class Asked(dict):
+        def keys(self):
+            raise AssertionError("gone through")
+
+        __iter__ = keys
+
+    public, ours, few = Public.from_file(vocabulary), Tokenizer(vocabulary), Tokenizer(vocabulary)
+    ours.known, ours.plain, few.remembered = Asked(), Asked(), 50
+    rng = np.random.default_rng(8)
+    pieces = ["a", "The", "the", "st", "é", "e\u0301", "É", "ß", "İ", "Σ", "ñ", "日本", "中", "'s", "'", "’", ".", "%%%", "...", "$", "<|", "|>", "<|endoftext|>", "<|ENDOFTEXT|>", "7", "١", "\u0338", "=", "_", "-", "ﬁ", "\u200b"]
+    texts = [" ".join("".join(rng.choice(pieces, rng.integers(1, 5))) for _ in range(40)) for _ in range(60)]
+    for t in texts:
+        expected = public.encode(t, add_special_tokens=False).ids
+        for made in (ours, few):
+            assert np.frombuffer(made.ids([t.encode()])[0], "<u4").tolist() == expected
+
+
 def test_packing(spark, docs, empty, vocabulary):
     from tokenizers import Tokenizer as Public
 
