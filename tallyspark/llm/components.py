@@ -1,20 +1,70 @@
-"""Connected components by alternating large-star and small-star (Kiveris et al., 2014) on DataFrames."""
+"""Connected components by alternating large-star and small-star (Kiveris et al., 2014) on DataFrames.
+
+Edges are first dealt into parts of about ``PART``, and each task turns its part into stars, so that the rounds begin with at most
+one edge a node and part. Of one part the stars are the components.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm.common import cut
 
 
+#: Edges that a task turns into stars at once.
+PART = 1 << 18
+
+
+def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b): of the edges of each ``PART`` or less, every node that is not the least it reaches there, with that least one."""
+
+    def found(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        above: dict = {}
+
+        def root(x):
+            top = x
+            while (up := above.get(top, top)) != top:
+                top = up
+            while (up := above.get(x, top)) != top:
+                above[x], x = top, up
+            return top
+
+        for batch in held:
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                x, y = root(a), root(b)
+                if x != y:
+                    above[max(x, y)] = min(x, y)
+        return pa.RecordBatch.from_pydict({"a": pa.array(above, held[0].schema.field("a").type), "b": pa.array(map(root, list(above)), held[0].schema.field("b").type)})
+
+    held, n = [], 0
+    for batch in batches:
+        for row in range(0, batch.num_rows, PART):
+            some = batch.slice(row, PART)
+            if n + some.num_rows > PART:
+                yield found(held)
+                held, n = [], 0
+            held.append(some)
+            n += some.num_rows
+    if n:
+        yield found(held)
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node reachable from each node that has an edge. ``edges`` has columns a and b of any ordered type.
+    """(node, root): the smallest node reachable from each node that has an edge. ``edges`` has columns a and b of any ordered type; they are read twice.
 
     Each round is two shuffles of the edges and is cut off in the checkpoint folder; rounds grow with
-    the logarithm of the longest path. Nodes and edges never meet on the driver.
+    the logarithm of the longest path. Nodes and edges never meet on the driver, nor in a task if they are more than ``PART``.
     """
-    edges = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges = edges.filter("a <> b").select("a", "b")
+    parts = -(-edges.count() // PART)
+    # Links of a part lie where the round-robin puts them; no more than its share meets in a task.
+    edges = cut(edges.repartition(max(1, parts)).mapInArrow(stars, edges.schema))
+    if parts <= 1:
+        return with_roots(edges)
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -29,4 +79,8 @@ def components(edges: DataFrame) -> DataFrame:
         if now == before:
             break
         before = now
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    return with_roots(edges)
+
+
+def with_roots(stars: DataFrame) -> DataFrame:
+    return stars.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(stars.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
