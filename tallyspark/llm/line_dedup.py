@@ -9,7 +9,7 @@ words in a table of hashed counters whose size is fixed; any order gives right r
 candidates. Two matching sets share a word within their first n - ceil(t n) + 1 words. The join has two steps, and
 neither writes out pairs:
 
-1. ``promising``: one small row for each class and front word is dealt by word. Rows of a word that no other row of it could match, by
+1. ``promising``: one small row for each class and front word is dealt by word, many in one piece of bytes. Rows of a word that no other row of it could match, by
    size, position, a parity bitmap of the sets, and the word before (two sets that also share that one meet there), go. Words
    so frequent that they could fill a task are dealt in parts, and their rows all stay.
 2. ``neighbours``: what stays is joined with its full sets and dealt by word again, large groups in pairs of blocks. A
@@ -49,6 +49,9 @@ BLOCK = 1024
 #: Rows that are looked at together, pairs likewise, and words of pairs that are verified together.
 ROWS, PAIRS, VERIFIED = 1 << 16, 1 << 20, 1 << 22
 PLACE = ("id", "is", "number")
+#: What a row of a front word has, in numbers of 64 bits; such rows go to 2^BUCKET_BITS buckets by the top of the first, about SENT at a time.
+ROW = ("spot", "word", "key", "before", "low", "high")
+BUCKET_BITS, SENT = 12, 1 << 18
 
 
 class Lines:
@@ -63,7 +66,7 @@ class Lines:
         head = np.searchsorted(self.owner, np.arange(len(offsets) - 1))
         self.number = np.arange(len(self.owner)) - head[self.owner]
         of_line = np.searchsorted(starts, words.starts, "right") - 1
-        hashes = words.hashes()
+        self.words = hashes = words.hashes()
         rank = ranks[(hashes % np.uint64(COUNTERS)).astype(np.int64)] if ranks is not None else None
         order = sorted_words(of_line, rank, hashes)
         line, hashes = of_line[order], hashes[order]
@@ -149,14 +152,6 @@ def identified(docs: DataFrame) -> DataFrame:
 # --- words and classes
 
 
-def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(COUNTERS, np.int64)
-    for batch in tx.chunks(batches):
-        hashes = tx.Words(*tx.text_bytes(batch.column("text"))).hashes()
-        total += np.bincount((hashes % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
-    yield pa.RecordBatch.from_pydict({"block": np.arange(COUNTERS // COUNTER_BLOCK, dtype=np.int32), "counts": pa.array([x.tobytes() for x in total.reshape(-1, COUNTER_BLOCK)], pa.binary())})
-
-
 def add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The blocks of a task, summed as they come."""
     total: dict[int, np.ndarray] = {}
@@ -166,10 +161,9 @@ def add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict({"block": pa.array(total, pa.int32()), "counts": pa.array([x.tobytes() for x in total.values()], pa.binary())})
 
 
-def word_ranks(docs: DataFrame) -> tuple[np.ndarray, int]:
+def word_ranks(counted: DataFrame) -> tuple[np.ndarray, int]:
     """The logarithm of each counter, in steps of an eighth of a doubling, and the least one of frequent words. ``COUNTERS`` numbers come to the driver."""
-    schema = "block int, counts binary"
-    summed = docs.select("text").mapInArrow(count_words, schema).repartition("block").mapInArrow(add_counts, schema)
+    summed = counted.repartition("block").mapInArrow(add_counts, "block int, counts binary")
     counts = np.zeros(COUNTERS, np.int64)
     for row in summed.toArrow().to_pylist():
         counts[row["block"] * COUNTER_BLOCK :][:COUNTER_BLOCK] = np.frombuffer(row["counts"], np.int64)
@@ -177,14 +171,26 @@ def word_ranks(docs: DataFrame) -> tuple[np.ndarray, int]:
     return ranks, int(np.ceil(8 * np.log2(max(FREQUENT, SHARE * counts.mean()))))
 
 
+OCCURRENCES = "id long, is long, number int, key long, more long, block int, counts binary"
+
+
 def occurrences(least_words: int) -> Callable:
+    """A row for each line; and of each task, behind them, its counts of words in blocks."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
         for batch in tx.chunks(batches):
             lines = Lines(*tx.text_bytes(batch.column("text")), None)
+            total += np.bincount((lines.words % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
             a, b = lines.keys()
             long = np.flatnonzero(lines.n >= max(1, least_words))
             at = pa.array(lines.owner[long])
-            yield pa.RecordBatch.from_pydict({"id": batch.column("id").take(at), "is": batch.column("is").take(at), "number": lines.number[long].astype(np.int32), "key": a[long].view(np.int64), "more": b[long].view(np.int64)})
+            found = {"id": batch.column("id").take(at), "is": batch.column("is").take(at), "number": lines.number[long].astype(np.int32), "key": a[long].view(np.int64), "more": b[long].view(np.int64)}
+            yield pa.RecordBatch.from_pydict(found | {"block": pa.nulls(len(long), pa.int32()), "counts": pa.nulls(len(long), pa.binary())})
+        blocks = total.reshape(-1, COUNTER_BLOCK)
+        some = np.flatnonzero(blocks.any(axis=1)).astype(np.int32)
+        none = {k: pa.nulls(len(some), pa.int32() if k == "number" else pa.int64()) for k in ("id", "is", "number", "key", "more")}
+        yield pa.RecordBatch.from_pydict(none | {"block": some, "counts": pa.array([blocks[k].tobytes() for k in some], pa.binary())})
 
     return run
 
@@ -193,15 +199,16 @@ def occurrences(least_words: int) -> Callable:
 
 
 def fronts(ranks: Callable[[], tuple[np.ndarray, int]], least_words: int) -> Callable:
-    """A row for each front word of each line, once a task for lines with equal sets.
+    """Rows for the front words of each line, once a task for lines with equal sets, but for words that occur once in all texts, which no other line has.
 
-    ``spot`` has, from the top, 36 bits of a hash that the row is dealt by, then 14 each for the size of the set and the place of the word. A
+    Rows travel as bytes of numbers, as ``ROW`` names them, many of a bucket (``spot`` of the output) together. Their own ``spot`` has, from the top, 36 bits of a hash that the row is dealt by, then 14 each for the size of the set and the place of the word. A
     size of ``FULL`` stands for all from there on, and for rows of frequent words.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Seen()
         table, frequent = ranks()
+        held: list[np.ndarray] = []
         for batch in tx.chunks(batches):
             lines = Lines(*tx.text_bytes(batch.column("text")), table)
             keys, more = lines.keys()
@@ -211,6 +218,8 @@ def fronts(ranks: Callable[[], tuple[np.ndarray, int]], least_words: int) -> Cal
             place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
             of = np.repeat(chosen, many)
             at = lines.first[of] + place
+            again = lines.rank[at] > 0
+            of, at, place = of[again], at[again], place[again]
             before = np.where(place > 0, lines.hashes[at - 1], np.uint64(0))
             # A part of about FREQUENT rows of a frequent word; other words have one part.
             often = np.flatnonzero(lines.rank[at] >= frequent)
@@ -222,13 +231,30 @@ def fronts(ranks: Callable[[], tuple[np.ndarray, int]], least_words: int) -> Cal
             n[often] = FULL
             low, high = (x[of] for x in parity(lines.hashes, lines.first))
             columns = {"spot": (dealt >> np.uint64(28) << np.uint64(28)) | (n << np.uint64(14)) | np.minimum(place, FULL).astype(np.uint64), "word": word, "key": keys[of], "before": before, "low": low, "high": high}
-            yield pa.RecordBatch.from_pydict({k: v.view(np.int64) for k, v in columns.items()})
+            held.append(np.stack([columns[k] for k in ROW], axis=1))
+            if sum(map(len, held)) >= SENT:
+                yield from bucketed(np.concatenate(held))
+                held = []
+        if held:
+            yield from bucketed(np.concatenate(held))
 
     return run
 
 
-def groups(batches: Iterator[pa.RecordBatch], shift: int) -> Iterator[pa.RecordBatch]:
-    """Tables of about ``ROWS`` rows, or of one group; batches come sorted by ``spot``, and no group, which is spot without its last ``shift`` bits, is parted."""
+def bucketed(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(spot, rows): the rows of each bucket as bytes."""
+    for begin in range(0, len(rows), 8 * SENT):
+        some = rows[begin : begin + 8 * SENT]
+        some = some[np.argsort(some[:, 0], kind="stable")]
+        bucket = (some[:, 0] >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
+        first = np.flatnonzero(np.diff(bucket, prepend=-1))
+        offsets = (np.append(first, len(some)) * 8 * len(ROW)).astype(np.int32)
+        data = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(some)])
+        yield pa.RecordBatch.from_pydict({"spot": bucket[first], "rows": data})
+
+
+def groups(batches: Iterator[pa.RecordBatch], size: Callable[[pa.RecordBatch], int] = lambda batch: batch.num_rows) -> Iterator[pa.RecordBatch]:
+    """Tables of about ``ROWS`` rows, or of one group; batches come sorted by ``spot``, and no group, which is one spot, is parted. ``size``: the rows of a batch."""
     held: list[pa.RecordBatch] = []
 
     def joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -239,18 +265,18 @@ def groups(batches: Iterator[pa.RecordBatch], shift: int) -> Iterator[pa.RecordB
         if not batch.num_rows:
             continue
         held.append(batch)
-        rows += batch.num_rows
+        rows += size(batch)
         if rows < ROWS:
             continue
         whole = joined(held)
-        spot = whole.column("spot").to_numpy() >> shift
+        spot = whole.column("spot").to_numpy()
         last = spot == spot[-1]
         begin = whole.num_rows - int(np.argmin(last[::-1])) if not last.all() else 0
         if begin:
             yield whole.slice(0, begin)
         held = [whole.slice(begin)]
         # A group that alone fills a table is looked at again when as many more rows have come.
-        rows = whole.num_rows - begin if begin else 0
+        rows = size(held[0]) if begin else 0
     if held and sum(b.num_rows for b in held):
         yield joined(held)
     tx.give_back()
@@ -281,11 +307,17 @@ def group_numbers(*columns: np.ndarray) -> np.ndarray:
     return np.cumsum(new)
 
 
+def numbers(batch: pa.RecordBatch) -> np.ndarray:
+    """The rows that ``bucketed`` made bytes of."""
+    data = batch.column("rows")
+    offsets = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1]
+    return np.frombuffer(data.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(np.uint64).reshape(-1, len(ROW))
+
+
 def promising_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word, key) of rows that another row of their word could match."""
-    names = ("spot", "word", "key", "before", "low", "high")
-    for batch in groups(batches, 28):
-        columns = [batch.column(k).to_numpy().view(np.uint64) for k in names]
+    for batch in groups(batches, lambda batch: len(numbers(batch))):
+        columns = [*np.ascontiguousarray(numbers(batch).T)]
         order = np.lexsort((columns[2], columns[0]))
         columns = [c[order] for c in columns]
         new = np.zeros(len(order), bool)
@@ -311,8 +343,8 @@ def promising_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def promising(docs: DataFrame, ranks: Callable[[], tuple[np.ndarray, int]], least_words: int) -> DataFrame:
-    rows = docs.select("text").mapInArrow(fronts(ranks, least_words), "spot long, word long, key long, before long, low long, high long")
-    return rows.repartition(F.shiftright("spot", 28)).sortWithinPartitions("spot").mapInArrow(promising_rows, "word long, key long")
+    rows = docs.select("text").mapInArrow(fronts(ranks, least_words), "spot int, rows binary")
+    return rows.repartition("spot").sortWithinPartitions("spot").mapInArrow(promising_rows, "word long, key long")
 
 
 # --- step 2: full sets, verified
@@ -420,7 +452,7 @@ def verified(sets: Sets, group: np.ndarray, part: np.ndarray, two: np.ndarray, u
 
 def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each set of a group: how many sets it matches there, and the first place of those."""
-    for batch in groups(batches, 0):
+    for batch in groups(batches):
         sets = Sets(batch.column("words"))
         word, i, j, part, key, more = (batch.column(k).to_numpy() for k in ("word", "i", "j", "part", "key", "more"))
         is_word = sets.hashes == word.view(np.uint64)[sets.owner]
@@ -474,8 +506,9 @@ def neighbours(docs: DataFrame, rows: DataFrame, ranks: Callable, classes: DataF
 
 def removed_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """(id, is, numbers, n_links): lines to remove from each document that has any, from 0; and how many other sets its sets match."""
-    lines = cut(identified(docs).mapInArrow(occurrences(least_words), "id long, is long, number int, key long, more long"))
-    shared = docs.sparkSession.sparkContext.broadcast(word_ranks(docs))
+    read = cut(identified(docs).mapInArrow(occurrences(least_words), OCCURRENCES))
+    shared = docs.sparkSession.sparkContext.broadcast(word_ranks(read.filter("counts is not null").select("block", "counts")))
+    lines = read.filter("counts is null").select(*PLACE, "key", "more")
     ranks = lambda: shared.value
     rows = cut(promising(docs, ranks, least_words))
     place = F.struct(*PLACE)
