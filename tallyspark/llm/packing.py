@@ -16,10 +16,9 @@ Columns other than doc_id and text are ignored.
 from __future__ import annotations
 
 import os
-import struct
 import unicodedata
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,100 +33,200 @@ CAPACITY = 4096
 END = 2
 #: Pieces shorter than capacity / LAST_CLASS are not classed.
 LAST_CLASS = 64
-#: Distinct words whose ids a worker remembers; beyond, it keeps only those of the texts at hand.
-REMEMBERED = 1_000_000
+#: Distinct words whose ids a worker remembers at most, about; a new one takes the place of another.
+REMEMBERED = 1 << 20
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Below a task's partition number: sequences that it may make; numbers up to 2^31 fit above.
 COUNTER_BITS = 32
 
 
-#: ASCII signs but the apostrophe; the tokenizer parts a word at those behind a letter.
-SIGNS = bytes(x for x in range(0x21, 0x7F) if x != 0x27 and not chr(x).isalnum())
+#: ASCII signs but the apostrophe; the tokenizer parts a word at those behind a letter or digit.
+SIGNS = np.array([0x21 <= x < 0x7F and x != 0x27 and not chr(x).isalnum() for x in range(256)])
+ALNUM = np.array([x < 0x80 and chr(x).isalnum() for x in range(256)])
+LETTER = np.array([x < 0x80 and chr(x).isalpha() for x in range(256)])
 SMALL = frozenset(b"abcdefghijklmnopqrstuvwxyz")
 #: How the tokenizer's model writes bytes: printable ones as the character of that number, the others, in order, from 256 on.
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTE_CHARACTERS = dict(zip(sorted(set(range(256)) - set(PRINTABLE)), range(256, 512), strict=False))
-
-
-#: Of so many ids, as little-endian 32-bit bytes.
-PACKED = [struct.Struct(f"<{n}I").pack for n in range(32)]
-
-
-def packed(ids: list[int]) -> bytes:
-    return PACKED[len(ids)](*ids) if len(ids) < len(PACKED) else struct.pack(f"<{len(ids)}I", *ids)
+#: Bytes of a word up to which it is encoded along with others.
+LONGEST = 256
+#: Ids that are stored before all are forgotten, for each place of a word.
+STORED = 4
+#: What the vocabulary's tokens that end a word end in.
+WORD_END = "</w>"
 
 
 def modelled(word: bytes) -> str | None:
-    """A lower-case word of letters alone as the tokenizer's model takes it, null for any other."""
+    """A lower-case word of letters alone, null for any other."""
     if word.isalpha():  # bytes: ASCII letters alone
         return word.decode()
+    if word.isascii():
+        return None
     text = word.decode("utf-8", "replace")
-    if text.isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text):
-        return word.decode("latin-1").translate(BYTE_CHARACTERS)
-    return None
+    return text if text.isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text) else None
+
+
+class Letters:
+    """Ids of words that ``modelled`` lets pass and that end in a-z, many in one call.
+
+    The vocabulary's merges stand in the order of their ids, so ``tiktoken`` takes the ids as ranks, and gives the same. A token that ends a word
+    has its last letter as a capital, which is in no such word: so words lie one after another in one text, and each end tells.
+    """
+
+    def __init__(self, vocabulary: dict[str, int]):
+        import tiktoken
+
+        raw = {chr(c): b for b, c in BYTE_CHARACTERS.items()} | {chr(b): b for b in PRINTABLE}
+        ranks = {}
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, rank in vocabulary.items():
+            stem = token.removesuffix(WORD_END)
+            if not stem or any(c not in raw for c in stem) or any("A" <= c <= "Z" for c in stem):
+                continue
+            data = bytes(raw[c] for c in stem)
+            if stem == token:
+                ranks[data] = rank
+            elif data[-1] in SMALL:
+                ranks[data[:-1] + data[-1:].upper()] = rank
+                self.last[rank] = True
+        self.fast = tiktoken.Encoding("letters", pat_str="[^A-Z]*[A-Z]", mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words that are written so, and how many each has."""
+        ids = self.fast.encode_to_numpy(text, disallowed_special=()).astype(np.uint32, copy=False)
+        return ids, np.diff(np.flatnonzero(self.last[ids]), prepend=-1)
+
+
+def spread(first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """``first[i], first[i] + 1, ...``, ``many[i]`` of them, for each i."""
+    return np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
 
 
 class Tokenizer:
     """Ids of texts, as little-endian 32-bit bytes.
 
     The tokenizer drops white space, lower-cases and never joins what it parts, so a text's ids are its
-    words' ids one after another, and each distinct word has to be encoded only once a worker. Lower-case
-    words of letters alone pass its first steps unchanged and go to its model at once.
+    words' ids one after another. Signs at a word's end count as a word of their own where the tokenizer parts them too. A word is known by 63 bits
+    of a hash; its ids are remembered in a table with one place a hash, where the latest stays, so nothing is gone through to find or add some. Words of
+    ASCII letters pass the tokenizer's first steps unchanged but for case and need its merges only.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer as Public
 
         self.public = Public.from_file(path)
-        self.remembered = REMEMBERED
-        self.known: dict[bytes, bytes] = {}
-        self.plain: dict[bytes, bytes] = {}
-        self.special = [x.content.lower().encode() for x in self.public.get_added_tokens_decoder().values()]
-        self.sign = os.path.commonprefix(self.special)
+        self.special = os.path.commonprefix([x.content for x in self.public.get_added_tokens_decoder().values()]).encode()
         self.model = self.public.model
+        self.letters = Letters(self.public.get_vocab(with_added_tokens=False))
+        self.remembered = REMEMBERED
 
-    def encode(self, words: Iterable[bytes]) -> dict[bytes, bytes]:
-        out, rest, tokenize = {}, [], self.model.tokenize
-        for w in words:
-            if (text := modelled(w)) is not None:
-                out[w] = packed([x.id for x in tokenize(text)])
+    @property
+    def remembered(self) -> int:
+        return len(self.keys)
+
+    @remembered.setter
+    def remembered(self, most: int) -> None:
+        places = 1 << max(0, most - 1).bit_length()
+        if places != len(getattr(self, "keys", ())):
+            self.keys, self.many, self.first = np.zeros(places, np.uint64), np.zeros(places, np.int64), np.zeros(places, np.int64)
+            self.store, self.filled = np.zeros(0, np.uint32), 0
+
+    def keep(self, ids: np.ndarray) -> int:
+        """Where ``ids`` begin in the store."""
+        begin, self.filled = self.filled, self.filled + len(ids)
+        if self.filled > len(self.store):
+            self.store = np.concatenate([self.store, np.zeros(self.filled, np.uint32)])
+        self.store[begin : self.filled] = ids
+        return begin
+
+    def words(self, raw: np.ndarray, offsets: np.ndarray) -> tx.Words:
+        """Words of texts, with signs at an end parted where the tokenizer parts them."""
+        words = tx.Words(raw, offsets)
+        starts, ends = words.starts, words.ends
+        if not len(starts):
+            return words
+        stem = np.maximum.accumulate(np.where(SIGNS[raw], 0, np.arange(1, len(raw) + 1)))[ends - 1]
+        last, before = raw[np.maximum(stem - 1, 0)], raw[np.maximum(stem - 2, 0)]
+        # Letters of Latin-1 and Latin Extended-A; not the two signs there, and not the one that gets a mark in lower case.
+        latin = (before == 0xC3) & (last != 0x97) & (last != 0xB7) | (before == 0xC4) & (last != 0xB0) | (before == 0xC5)
+        parted = (stem > starts) & (stem < ends) & (ALNUM[last] | (last >= 0x80) & latin)
+        if self.odd(raw):
+            special = np.zeros(len(raw) + 1, np.int64)
+            hit = (raw[:-1] == self.special[0]) & (raw[1:] == self.special[1])
+            np.cumsum(np.append(hit, False), out=special[1:])
+            parted &= special[ends] == special[starts]
+        here = np.flatnonzero(parted)
+        words.starts = np.insert(starts, here + 1, stem[here])
+        words.ends = np.insert(ends, here, stem[here])
+        words.first = np.searchsorted(words.starts, offsets)
+        return words
+
+    def odd(self, raw: np.ndarray) -> bool:
+        """May the texts hold the name of a special token, which the tokenizer looks for in the text as it stands?"""
+        return self.special[:2] in raw.tobytes()
+
+    def encode(self, words: list[bytes]) -> list[list[int] | np.ndarray]:
+        out: list = [None] * len(words)
+        fast, rest = [], []
+        for i, w in enumerate(words):
+            low = w.lower()  # bytes: A-Z alone
+            if (text := modelled(low)) is None:
+                rest.append(i)
+            elif low[-1] in SMALL and len(low) <= LONGEST:
+                fast.append((i, text[:-1] + text[-1].upper()))
             else:
-                rest.append(w)
-        found = self.public.encode_batch_fast([w.decode("utf-8", "replace") for w in rest], add_special_tokens=False) if rest else []
-        out.update((w, packed(x.ids)) for w, x in zip(rest, found, strict=True))
+                out[i] = [x.id for x in self.model.tokenize(low.decode("latin-1").translate(BYTE_CHARACTERS))]
+        if fast:
+            ids, many = self.letters.encode("".join([text for _, text in fast]))
+            for (i, _), mine in zip(fast, np.split(ids, np.cumsum(many)[:-1]), strict=True):
+                out[i] = mine
+        found = self.public.encode_batch_fast([words[i].decode("utf-8", "replace") for i in rest], add_special_tokens=False) if rest else []
+        for i, x in zip(rest, found, strict=True):
+            out[i] = x.ids
         return out
 
-    def learn(self, words: set[bytes]) -> None:
-        known, plain = self.known, self.plain
-        if len(known) + len(words) > self.remembered:
-            # Frequent words are among those that are asked for now.
-            kept = {w: known[w] for w in words if w in known}
-            known.clear()
-            known.update(kept)
-            plain.clear()
-        whole, parts = {}, []
-        for w in words:  # ``words - known.keys()`` would go through all that are known
-            if w in known:
-                continue
-            low = w.lower()  # bytes: A-Z alone
-            stem = low.rstrip(SIGNS)
-            if self.sign in low and any(x in low for x in self.special):
-                whole[w] = w  # the tokenizer looks for these in the text as it stands
-            elif stem != low and stem and (stem[-1] in SMALL or modelled(stem) is not None):
-                parts.append((w, stem, low[len(stem) :]))
-            else:
-                whole[w] = low
-        # A word that is remembered need not be encoded again without its signs or in lower case.
-        found = self.encode({low for low in whole.values() if low not in known})
-        known.update([(w, found[low] if low in found else known[low]) for w, low in whole.items()])
-        plain.update(self.encode({x for _, *both in parts for x in both if x not in known and x not in plain}))
-        ids = lambda x: known[x] if x in known else plain[x]
-        known.update([(w, ids(stem) + ids(signs)) for w, stem, signs in parts])
+    def learn(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Store the ids of words: where they begin, and how many each has."""
+        first, many = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        letters = np.zeros(len(raw) + 1, np.int64)
+        np.cumsum(LETTER[raw], out=letters[1:])
+        size = ends - starts
+        plain = (letters[ends] - letters[starts] == size) & (size <= LONGEST)
+        some = np.flatnonzero(plain)
+        if len(some):
+            text = raw[spread(starts[some], size[some])] | np.uint8(0x20)
+            text[np.cumsum(size[some]) - 1] ^= 0x20
+            ids, many[some] = self.letters.encode(text.tobytes().decode())
+            first[some] = self.keep(ids) + np.cumsum(many[some]) - many[some]
+        others = np.flatnonzero(~plain)
+        if len(others):
+            found = self.encode([raw[a:b].tobytes() for a, b in zip(starts[others].tolist(), ends[others].tolist(), strict=True)])
+            many[others] = [len(x) for x in found]
+            first[others] = self.keep(np.concatenate(found).astype(np.uint32)) + np.cumsum(many[others]) - many[others]
+        return first, many
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]  # at ASCII white space, which the tokenizer parts at too
-        self.learn(set().union(*split))
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+        raw = np.frombuffer(b"".join(texts), np.uint8)
+        offsets = np.append(0, np.cumsum([len(t) for t in texts])).astype(np.int64)
+        words = self.words(raw, offsets)
+        # Names of special tokens are other words in other case; texts without any never meet them.
+        hashes = words.hashes(lower=not self.odd(raw)) | np.uint64(1)
+        place = (hashes >> np.uint64(1)).astype(np.int64) & (len(self.keys) - 1)
+        first, many = self.first[place], self.many[place]
+        new = np.flatnonzero(self.keys[place] != hashes)
+        if len(new):
+            found, one, of = np.unique(hashes[new], return_index=True, return_inverse=True)
+            one = new[one]
+            begin, n = self.learn(raw, words.starts[one], words.ends[one])
+            first[new], many[new] = begin[of], n[of]
+            at = place[one]
+            at, own = np.unique(at, return_index=True)  # of several words for one place one stays
+            self.keys[at], self.first[at], self.many[at] = found[own], begin[own], n[own]
+        ids = self.store[spread(first, many)].astype("<u4", copy=False).tobytes()
+        if self.filled > STORED * len(self.keys):
+            self.keys[:], self.filled, self.store = 0, 0, np.zeros(0, np.uint32)
+        cuts = (4 * np.append(0, np.cumsum(many))[words.first]).tolist()
+        return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 _tokenizers: dict[str, Tokenizer] = {}
@@ -218,7 +317,7 @@ class Packer:
 def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, last_class: int = LAST_CLASS, end: int = END, remembered: int = REMEMBERED) -> DataFrame:
     """One row a piece: where it lies in its document and in its sequence. ``vocabulary`` must be at that path on every machine.
 
-    ``remembered``: distinct words whose ids a worker holds (about 200 bytes each); fewer cost time, not results.
+    ``remembered``: distinct words whose ids a worker holds (about 40 bytes each); fewer cost time, not results.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
